@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, decontaminate, fingerprints, language, licences, toxicity
+from tidemark.llm import bpe, chat, decontaminate, fingerprints, language, licences, secrets, toxicity, urls
 
 #: Where the vocabulary of op10 lies, on the driver.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit_documents(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_pages(table(spark, sf_dir, "pages"), urls.page_labels(table(spark, sf_dir, "labels")))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,6 +61,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": op1_chat,
         "op2_toxicity": op2_toxicity,
+        "op3_urls": op3_urls,
+        "op4_secrets": op4_secrets,
         "op5_decontaminate": op5_decontaminate,
         "op6_licences": op6_licences,
         "op8_language": op8_language,
@@ -62,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": chat.ORACLE_SQL}
+    return {"op1_chat": chat.ORACLE_SQL, "op4_secrets": secrets.oracle()}
