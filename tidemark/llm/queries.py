@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, decontaminate, fingerprints, language, licences, secrets, toxicity, urls
+from tidemark.llm import bpe, chat, decontaminate, fingerprints, language, licences, near, secrets, toxicity, urls
 
 #: Where the vocabulary of op10 lies, on the driver.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,6 +44,10 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify_documents(docs, language.fit_documents(docs))
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secrets": op4_secrets,
         "op5_decontaminate": op5_decontaminate,
         "op6_licences": op6_licences,
+        "op7_near": op7_near,
         "op8_language": op8_language,
         "op9_fingerprints": op9_fingerprints,
         "op10_bpe": op10_bpe,
