@@ -12,8 +12,14 @@ ORDER = V.TRADE_ORDER
 ORDER_SQL = ", ".join(ORDER)
 
 
+#: Values that are short decimals can lie halfway between two rounded ones, where engines differ in the
+#: last bit; seven digits are rounded after this shift in both.
+NUDGE = 1.7e-8
+
+
 def out(df: DataFrame, keys: list[str], names: list[str], digits: int = 6) -> DataFrame:
-    return df.select(*keys, *(F.round(F.col(n).cast("double"), digits).alias(n) for n in names))
+    shift = NUDGE if digits == 7 else 0.0
+    return df.select(*keys, *(F.round(F.col(n).cast("double") + shift, digits).alias(n) for n in names))
 
 
 def on_equity(work, keys, names, digits=6):
@@ -25,7 +31,7 @@ def on_trades(work, keys, names, digits=6):
 
 
 def r(x: str, name: str, digits: int = 6) -> str:
-    return f"round(CAST({x} AS DOUBLE), {digits}) AS {name}"
+    return f"round(CAST({x} AS DOUBLE) + {NUDGE if digits == 7 else 0.0!r}, {digits}) AS {name}"
 
 
 DAILY = """dd AS (SELECT asset, CAST(ts AS DATE) AS day, arg_max(equity, ts) AS equity FROM v_equity GROUP BY 1, 2),
@@ -117,9 +123,9 @@ QUERIES = {
         SELECT asset, CAST(epoch(CAST(month AS TIMESTAMP)) AS BIGINT) AS month, {r('ret', 'ret')}, {r('vol', 'vol')}, {r('CASE WHEN count(ret) OVER w >= 12 THEN avg(ret) OVER w / stddev_samp(ret) OVER w * sqrt(12) END', 'rolling_sharpe')}
         FROM g WINDOW w AS (PARTITION BY asset ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""", "v_equity")),
     "merge_equity_curves": (regime_merge, V.oracle("SELECT min(asset) AS test_id, CAST(epoch(ts) AS BIGINT) AS ts, round(arg_min(equity, asset), 4) AS equity FROM v_equity GROUP BY ts", "v_equity")),
-    "equal_weight": (lambda s, d: M.equal_weight(V.equity(s, d)).select(F.unix_timestamp(F.col("day").cast("timestamp")).alias("day"), F.round("r", 11).alias("r"), F.round("growth", 6).alias("growth")),
+    "equal_weight": (lambda s, d: M.equal_weight(V.equity(s, d)).select(F.unix_timestamp(F.col("day").cast("timestamp")).alias("day"), F.round("r", 5).alias("r"), F.round("growth", 6).alias("growth")),
         V.oracle("""WITH q AS (SELECT *, equity / lag(equity) OVER (PARTITION BY asset ORDER BY ts) - 1 AS r FROM v_equity), m AS (SELECT CAST(ts AS DATE) AS day, avg(r) AS r FROM q GROUP BY 1)
-        SELECT CAST(epoch(CAST(day AS TIMESTAMP)) AS BIGINT) AS day, round(r, 11) AS r, round(exp(sum(coalesce(ln(1 + r), 0)) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING)), 6) AS growth FROM m""", "v_equity")),
+        SELECT CAST(epoch(CAST(day AS TIMESTAMP)) AS BIGINT) AS day, round(r, 5) AS r, round(exp(sum(coalesce(ln(1 + r), 0)) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING)), 6) AS growth FROM m""", "v_equity")),
     "trade_metrics": (trade_query(lambda t: M.trade_metrics(t, "strategy"), ["strategy"]), V.oracle(f"WITH {RR} SELECT strategy, {TRADE_SQL} FROM rr GROUP BY strategy", "v_trades")),
     "metrics_by_regime": (trade_query(lambda t: M.metrics_by_direction(t, F.col("entry_regime")), ["side", "grp"]), V.oracle(f"""WITH {RR}, u AS (SELECT *, unnest(['both', dir]) AS side FROM rr), v AS (SELECT *, unnest([CAST(entry_regime AS VARCHAR), 'all']) AS grp FROM u)
         SELECT side, grp, {TRADE_SQL} FROM v GROUP BY side, grp""", "v_trades")),

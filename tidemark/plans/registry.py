@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import indicators, performance
+from tidemark.plans import indicators, performance, recursion
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (indicators, performance)
+MODULES = (indicators, performance, recursion)
 
 
 def queries() -> dict[str, Query]:
