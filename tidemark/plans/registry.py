@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import indicators, performance, recursion
+from tidemark.plans import indicators, performance, recursion, research
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (indicators, performance, recursion)
+MODULES = (indicators, performance, recursion, research)
 
 
 def queries() -> dict[str, Query]:
