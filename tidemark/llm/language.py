@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.batches import by_piece, texts_of
 from tidemark.llm.hashing import seeds
+from tidemark.llm.sample import bounded_sample
 
 UNDETERMINED = "und"
 _POINTS = 0x110000
@@ -143,21 +144,11 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, per_language: int, languages: int) -> DataFrame:
-    """A bounded sample of labelled rows, the same however the table is partitioned.
-
-    Rows compete by a hash of their id: ``per_language * languages`` rows at most. Each partition sends
-    its own best only, so the driver never holds more than the bound.
-    """
-    fit = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = [F.xxhash64(F.lit("language"), "doc_id"), F.sha2("text", 256)]
-    return fit.select("text", "lang").orderBy(*order).limit(per_language * languages)
-
-
 def fit_documents(docs: DataFrame, per_language: int = 400, languages: int = 6) -> Model:
-    """Train on at most ``per_language * languages`` labelled documents (a documented bound)."""
-    sample = training_sample(docs, per_language, languages).collect()
-    return train([r.text for r in sample], [r.lang for r in sample])
+    """Train on about ``per_language * languages`` labelled documents, never over twice as many (a documented bound)."""
+    fit = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    sample = sorted((r.text, r.lang) for r in bounded_sample(fit, per_language * languages, "language"))
+    return train([t for t, _ in sample], [lang for _, lang in sample])
 
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.batches import by_piece, texts_of
 from tidemark.llm.hashing import WORD, word_hashes
+from tidemark.llm.sample import bounded_sample
 
 #: Chain order, and the seed words of the weakly labelled categories.
 SEEDS = {
@@ -147,24 +148,21 @@ def train(found: list[set[str]], toxic: np.ndarray, width: int = 512, folds: int
     return Chain(named, tuple(weights), float(max((p[order][best] + below) / 2, LEAST_PROBABILITY)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """Distinct words and labels of at most ``rows`` labelled documents, chosen by a hash of their id."""
+def fit_documents(docs: DataFrame, labels: DataFrame, rows: int = 6000) -> Chain:
+    """Fit on about ``rows`` labelled documents, never over twice as many (a documented bound)."""
     given = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = given.orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(rows)
-    # at most ``rows`` ids and flags: small by construction
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    chosen = {r.doc_id: r.toxic for r in bounded_sample(given, rows, "toxicity")}
+    # the chosen ids and flags are bounded by ``rows``: small by construction
+    ids = docs.sparkSession.createDataFrame(sorted(chosen.items()), "doc_id long, toxic long")
+    joined = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [" ".join(sorted(words_in(t))) for t in texts_of(batch)]
-        return pa.RecordBatch.from_arrays([pa.array(found), batch.column("toxic").cast(pa.int64()), batch.column("doc_id")], ["words", "toxic", "doc_id"])
-
-    return joined.mapInArrow(by_piece(work, "text"), "words string, toxic long, doc_id long")
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), batch.column("toxic"), batch.column("doc_id")], ["words", "toxic", "doc_id"])
 
-
-def fit_documents(docs: DataFrame, labels: DataFrame, rows: int = 6000) -> Chain:
-    """Fit on at most ``rows`` labelled documents (a documented bound on what the driver holds)."""
-    sample = sorted(labelled_sample(docs, labels, rows).collect(), key=lambda r: (r.doc_id, r.words))
-    return train([set(r.words.split()) for r in sample], np.array([r.toxic > 0 for r in sample]))
+    sample = joined.mapInArrow(by_piece(work, "text"), "words string, toxic long, doc_id long").collect()
+    sample = sorted(sample, key=lambda r: (r.doc_id, r.words))
+    return train([set(r.words.split()) for r in sample], np.array([r.toxic > 0 for r in sample], dtype=bool))
 
 
 SCHEMA = "doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean"
