@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators import features as FT
 from tidemark.operators import information as I
 from tidemark.operators import learning as L
 from tidemark.operators import metrics as M
@@ -17,6 +18,7 @@ from tidemark.operators import risk as RK
 from tidemark.operators import search as SE
 from tidemark.operators import simulation as SI
 from tidemark.operators import splits as SP
+from tidemark.operators import studies as ST
 from tidemark.operators import windows as W
 from tidemark.sources import views as V
 
@@ -332,6 +334,50 @@ def optimal_d(spark, sf_dir):
     return SE.optimal_difference(V.bars(spark, sf_dir))
 
 
+# studies
+
+
+def multi_timeframe(spark, sf_dir):
+    bars = V.bars(spark, sf_dir)
+    names = ["roc", "williams_r"]
+    out = FT.several_timeframes(bars, {"6h": "6 hours"}, lambda d: W.williams_r(W.roc(d, 3), 5), names)
+    return out.select("symbol", V.epoch(), *(F.round(f"{n}_6h", 6).alias(f"{n}_6h") for n in names))
+
+
+def squeeze_windows(spark, sf_dir):
+    return rnd(FT.squeeze_momentum(V.bars(spark, sf_dir)).withColumn("ts", F.unix_timestamp("ts")), ["symbol", "ts"], ["squeeze_on", "squeeze_slope"], 5)
+
+
+def meta_matrix(spark, sf_dir):
+    return FT.meta_features(V.bars(spark, sf_dir)).withColumn("ts", F.unix_timestamp("ts"))
+
+
+def rescaled(spark, sf_dir):
+    e = V.equity(spark, sf_dir)
+    return rnd(FT.dynamic_normalized(e, R.rebalance_dates(e).select("ts")).withColumn("ts", F.unix_timestamp("ts")), ["asset", "ts"], ["scale", "equity_scaled"], 4)
+
+
+def suite(spark, sf_dir):
+    return ST.suite(V.bars(spark, sf_dir), {"cross": SE.moving_cross, "hold": SE.buy_and_hold}, {"1h": "1 hour", "6h": "6 hours"}, {"fast": 3, "slow": 13})
+
+
+def five_phases(spark, sf_dir):
+    return ST.stability_study(V.bars(spark, sf_dir), SE.moving_cross, {"fast": (3, 5, 8), "slow": (13, 21)})
+
+
+def pilot(spark, sf_dir):
+    d = daily_returns(spark, sf_dir)
+    return ST.pilot(d, R.rebalance_dates(d, "YEAR").select("ts"))
+
+
+def turnovers(spark, sf_dir):
+    d = daily_returns(spark, sf_dir)
+    dates = R.rebalance_dates(d, "YEAR").select(F.col("ts").alias("date"))
+    n = F.dense_rank().over(Window.orderBy("asset"))
+    w = dates.crossJoin(d.select("asset").distinct().withColumn("k", n)).withColumns({"strategy": F.lit("moving"), "weight": (F.col("k") + F.year("date") % 3) / 20})
+    return rnd(PF.turnover(w).withColumn("date", F.unix_timestamp("date")), ["strategy", "date"], ["turnover"])
+
+
 DAY = "d AS (SELECT asset, date_trunc('day', ts) AS ts, avg(ret) AS ret FROM v_returns GROUP BY 1, 2)"
 COV = f"""WITH {DAY}, n AS (SELECT count(DISTINCT ts) AS n FROM d), s AS (SELECT asset, sum(ret) AS s FROM d GROUP BY asset),
  c AS (SELECT a.asset AS i, b.asset AS j, sum(a.ret * b.ret) AS xy FROM d a JOIN d b USING (ts) GROUP BY 1, 2),
@@ -426,6 +472,23 @@ QUERIES = {
         j AS (SELECT x.number, y.score AS v, abs(x.a - y.a) + abs(x.b - y.b) AS d FROM t x JOIN t y ON abs(x.a - y.a) + abs(x.b - y.b) <= 0.05),
         g AS (SELECT number, sum((1 - d / (0.05 * 1.000001)) * v) / sum(1 - d / (0.05 * 1.000001)) AS mean, stddev_samp(v) AS sd, count(*) AS n FROM j GROUP BY number)
         SELECT number, {r('mean', 'mean', 5)}, {r('sd', 'sd', 5)}, {r('n', 'n', 5)}, {r('1 / (1 + coalesce(abs(sd / mean), 0))', 'stability', 5)} FROM g""", "v_trials")),
+    "multi_timeframe": (multi_timeframe, V.oracle("""WITH c AS (SELECT symbol, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS b, max(high) AS h, min(low) AS l, last(close ORDER BY ts) AS close FROM v_bars GROUP BY 1, 2),
+        f AS (SELECT symbol, b, (close / nullif(lag(close, 3) OVER w, 0) - 1) * 100 AS roc, CASE WHEN count(*) OVER x = 5 THEN -100 * (max(h) OVER x - close) / nullif(max(h) OVER x - min(l) OVER x, 0) END AS wr FROM c
+          WINDOW w AS (PARTITION BY symbol ORDER BY b), x AS (PARTITION BY symbol ORDER BY b ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+        g AS (SELECT symbol, b, lag(roc) OVER w AS roc, lag(wr) OVER w AS wr FROM f WINDOW w AS (PARTITION BY symbol ORDER BY b))
+        SELECT v.symbol, CAST(epoch(v.ts) AS BIGINT) AS ts, round(coalesce(roc, 0), 6) + 0.0 AS roc_6h, round(coalesce(wr, 0), 6) + 0.0 AS williams_r_6h FROM v_bars v ASOF LEFT JOIN g ON v.symbol = g.symbol AND v.ts >= g.b""", "v_bars")),
+    "squeeze_windows": (squeeze_windows, None),
+    "meta_features": (meta_matrix, None),
+    "dynamic_normalized": (rescaled, V.oracle(f"""WITH q AS (SELECT max(ts) AS ts FROM v_equity GROUP BY date_trunc('quarter', ts)), a AS (SELECT asset, ts, equity / lag(equity) OVER (PARTITION BY asset ORDER BY ts) - 1 AS r FROM v_equity),
+        b AS (SELECT a.*, q.ts IS NOT NULL AS hit, CASE WHEN count(r) OVER p >= 60 THEN stddev_samp(r) OVER p * sqrt(252) END AS v FROM a LEFT JOIN q USING (ts) WINDOW p AS (PARTITION BY asset ORDER BY a.ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+        k AS (SELECT asset, ts, r, coalesce(last_value(CASE WHEN hit THEN 0.1 / nullif(v, 0) END IGNORE NULLS) OVER (PARTITION BY asset ORDER BY ts ROWS UNBOUNDED PRECEDING), 1) AS scale FROM b)
+        SELECT asset, CAST(epoch(ts) AS BIGINT) AS ts, {r('scale', 'scale', 4)}, {r('100000 * exp(sum(ln(1 + coalesce(r * scale, 0))) OVER (PARTITION BY asset ORDER BY ts ROWS UNBOUNDED PRECEDING))', 'equity_scaled', 4)} FROM k""", "v_equity")),
+    "backtest_suite": (suite, None),
+    "stability_study": (five_phases, None),
+    "risk_model_pilot": (pilot, None),
+    "turnover": (turnovers, V.oracle(f"""WITH {DAY}, a AS (SELECT max(ts) AS date FROM d GROUP BY year(ts)), k AS (SELECT asset, row_number() OVER (ORDER BY asset) AS k FROM (SELECT DISTINCT asset FROM d)),
+        w AS (SELECT date, asset, (k + year(date) % 3) / 20.0::DOUBLE AS w FROM a CROSS JOIN k), m AS (SELECT date, abs(w - lag(w) OVER (PARTITION BY asset ORDER BY date)) AS m FROM w)
+        SELECT 'moving' AS strategy, CAST(epoch(date) AS BIGINT) AS date, {r('sum(m) * 0.5', 'turnover')} FROM m GROUP BY date""", "v_returns")),
     "confirmed_pivots": (pivots, None),
     "spring_signals": (springs, None),
     "zone_entries": (zones, None),

@@ -28,7 +28,7 @@ def read_bars(spark: SparkSession, path: str, symbol: str | None = None) -> Data
     time = "time" if "time" in raw.columns else raw.columns[0]
     name = F.lit(symbol) if symbol else F.regexp_extract(F.input_file_name(), r"([^/\\]+?)\.csv", 1)
     return raw.select(
-        name.alias("symbol"), F.to_timestamp(F.col(time)).alias("ts"), *(F.col(c).try_cast("double").alias(c) for c in PRICES)
+        name.alias("symbol"), F.try_to_timestamp(F.col(time)).alias("ts"), *(F.col(c).try_cast("double").alias(c) for c in PRICES)
     ).where(F.col("ts").isNotNull())
 
 
@@ -40,7 +40,7 @@ def read_news(spark: SparkSession, path: str) -> DataFrame:
     missing = [n for n, c in (("date", time), ("currency", currency), ("impact", pick("impact")), ("event", pick("event"))) if c is None]
     if missing:
         raise ValueError(f"the calendar lacks {missing}")
-    return raw.select(F.to_timestamp(F.col(time)).alias("ts"), F.col(currency).alias("currency"), "impact", "event")
+    return raw.select(F.try_to_timestamp(F.col(time)).alias("ts"), F.col(currency).alias("currency"), "impact", "event")
 
 
 def load_security(
@@ -69,11 +69,11 @@ def read_strategy_files(spark: SparkSession, folder: str, start_date: str | None
 
     raw = named("equity")
     time, value = raw.columns[:2]
-    equity = raw.select("strategy", F.to_timestamp(F.col(time)).alias("ts"), F.col(value).try_cast("double").alias("equity"))
+    equity = raw.select("strategy", F.try_to_timestamp(F.col(time)).alias("ts"), F.col(value).try_cast("double").alias("equity"))
     trades = named("trades")
     for c in trades.columns:
         if "date" in c.lower() or "time" in c.lower():
-            trades = trades.withColumn(c, F.to_timestamp(F.col(c)))
+            trades = trades.withColumn(c, F.try_to_timestamp(F.col(c)))
     if start_date:
         at = F.lit(start_date).cast("timestamp")
         equity = equity.where(F.col("ts") >= at)
@@ -86,7 +86,7 @@ def read_returns(spark: SparkSession, path: str) -> DataFrame:
     """A wide CSV of returns (first column the time) as long (ts, asset, ret)."""
     raw = spark.read.option("header", True).csv(path)
     time, *assets = raw.columns
-    wide = raw.select(F.to_timestamp(F.col(time)).alias("ts"), *(F.col(f"`{a}`").try_cast("double").alias(a) for a in assets))
+    wide = raw.select(F.try_to_timestamp(F.col(time)).alias("ts"), *(F.col(f"`{a}`").try_cast("double").alias(a) for a in assets))
     return wide.unpivot("ts", assets, "asset", "ret")
 
 
