@@ -12,6 +12,7 @@ from tests.conftest import DATA
 from tidemark.functions import scalars as S
 from tidemark.operators import resample as R
 from tidemark.operators import splits as SP
+from tidemark.operators import windows as W
 from tidemark.sources import files
 from tidemark.sources import views as V
 from tidemark.streaming import live
@@ -75,6 +76,13 @@ def test_combinatorial_splits_do_not_leak(spark):
         assert all(min(abs(a - b) for b in test) >= 5 for a in train)
 
 
+def test_chunks_give_the_same_windows(spark):
+    bars = V.bars(spark, f"{DATA}/sf0.001")
+    key = lambda df: sorted((r.symbol, r.ts, round(r.bb_mid or 0, 9), round(r.williams_r or 0, 9)) for r in df.select("symbol", "ts", "bb_mid", "williams_r").collect())
+    work = lambda df: W.williams_r(W.bollinger(df))
+    assert key(W.by_chunks(bars, work, 10 * 86_400, 9 * 86_400)) == key(work(bars))
+
+
 def test_bet_sizes(spark):
     df = spark.createDataFrame([(0.0,), (0.5,), (0.9,)], "p double")
     found = [r[0] for r in df.select(S.probability_to_bet_size(F.col("p"))).collect()]

@@ -147,13 +147,6 @@ def path_metrics(folds: DataFrame, key: str = "param_id", value: str = "sharpe")
     return g.withColumn("consistency", 1 / (1 + F.coalesce(F.abs(F.try_divide("sd", "mean")), F.lit(0.0))))
 
 
-def minmax(x: str, low_is_better: bool = False):
-    """Scaled to 0..1 over the table; constant columns are a half."""
-    w = Window.partitionBy()
-    share = F.coalesce(F.try_divide(c(x) - F.min(x).over(w), F.max(x).over(w) - F.min(x).over(w)), F.lit(0.5))
-    return 1 - share if low_is_better else share
-
-
 def scaled(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` with each name scaled to 0..1 as ``<name>_s``: one aggregate of the ends, joined back as one row."""
     ends = df.agg(*(f(n).alias(f"_{k}_{n}") for n in names for k, f in (("lo", F.min), ("hi", F.max))))

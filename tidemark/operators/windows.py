@@ -7,6 +7,7 @@ columns. A window that is not full gives null.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,19 @@ def full(value: Column, x: Column, n: int, key: str = "symbol") -> Column:
     return F.when(F.count(x).over(last_n(n, key)) >= n, value)
 
 
+def by_chunks(df: DataFrame, work: Callable[[DataFrame], DataFrame], seconds: int, warm: int) -> DataFrame:
+    """``work`` on stretches of ``seconds`` per symbol, each with the ``warm`` seconds before it.
+
+    One symbol with a large part of all rows is one sort in one task otherwise. Windows that reach back
+    no further than ``warm`` (which is at most ``seconds``) give the same rows; cumulative ones do not.
+    """
+    at = F.unix_timestamp("ts")
+    own, later = F.floor(at / seconds), F.floor((at + warm) / seconds)
+    dealt = df.withColumn("_own", own).withColumn("_chunk", F.explode(F.array_distinct(F.array(own, later))))
+    dealt = dealt.withColumns({"_symbol": c("symbol"), "symbol": F.concat_ws("|", "symbol", "_chunk")})
+    return work(dealt).where(c("_own") == c("_chunk")).withColumn("symbol", c("_symbol")).drop("_own", "_chunk", "_symbol")
+
+
 def sma(x: Column, n: int) -> Column:
     return full(F.avg(x).over(last_n(n)), x, n)
 
