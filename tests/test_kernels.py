@@ -215,3 +215,27 @@ def test_steps_and_expected_maximum():
     rng = np.random.default_rng(0)
     assert M.expected_max_sharpe(50) == pytest.approx(rng.standard_normal((4000, 50)).max(axis=1).mean(), abs=0.05)
     assert NormalDist().cdf(0) == 0.5
+
+
+def test_shrinkage_and_spectral_scores(x):
+    rng = np.random.default_rng(2)
+    noise = rng.standard_normal((200, 80))
+    raw, shrunk = np.cov(noise, rowvar=False), R.nonlinear_shrinkage(noise)
+    assert np.linalg.norm(shrunk - np.eye(80)) < 0.3 * np.linalg.norm(raw - np.eye(80))
+    assert np.allclose(R.spectral_scores(x, communality=True), 1)
+
+
+def test_neighbour_information_of_gaussians():
+    rng = np.random.default_rng(0)
+    a = rng.standard_normal(1500)
+    b = 0.8 * a + 0.6 * rng.standard_normal(1500)
+    assert I.knn_mutual_information(a, b) == pytest.approx(-0.5 * math.log(1 - 0.64), abs=0.08)
+    assert I.knn_mutual_information(a, rng.standard_normal(1500)) < 0.06
+
+
+def test_single_features_and_kendall():
+    rng = np.random.default_rng(0)
+    z = rng.standard_normal((400, 3))
+    y = (z[:, 2] > 0).astype(float)
+    assert L.single_feature_scores(z, y).argmax() == 2
+    assert L.kendall(np.arange(5.0), np.array([0.0, 1, 2, 4, 3])) == pytest.approx(0.8)

@@ -258,3 +258,24 @@ def fold_votes(features: DataFrame, folds: int = 5, repeats: int = 5, critical:
 def stable_removals(votes: DataFrame, folds: int, share: float = 0.5) -> DataFrame:
     """Features that at least a share of the folds found harmful."""
     return votes.groupBy("feature").agg(F.sum(c("harmful").cast("int")).alias("votes")).where(c("votes") >= math.ceil(folds * share))
+
+
+def single_feature_scores(x: np.ndarray, y: np.ndarray, folds: int = 5) -> np.ndarray:
+    """Cross-validated negative log-loss of a model on each feature alone."""
+    fold = np.arange(len(y)) % folds
+    out = []
+    for j in range(x.shape[1]):
+        loss = 0.0
+        for f in range(folds):
+            w = logistic(x[fold != f][:, [j]], y[fold != f], ridge=1e-3)
+            p = np.clip(predict(w, x[fold == f][:, [j]]), 1e-12, 1 - 1e-12)
+            t = y[fold == f]
+            loss -= float((t * np.log(p) + (1 - t) * np.log(1 - p)).sum())
+        out.append(-loss / len(y))
+    return np.array(out)
+
+
+def kendall(x: np.ndarray, y: np.ndarray) -> float:
+    """Kendall's rank correlation with ties, over all pairs of a short vector."""
+    a, b = np.sign(x[:, None] - x[None, :]), np.sign(y[:, None] - y[None, :])
+    return float((a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()))

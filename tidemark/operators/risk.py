@@ -302,3 +302,31 @@ def rolling_top_eigenvalue(returns: DataFrame, n: int) -> DataFrame:
         return pd.DataFrame(out, columns=["day", "top", "participation", "bound"])
 
     return dealt.groupBy("block").applyInPandas(work, "day date, top double, participation double, bound double")
+
+
+def nonlinear_shrinkage(x: np.ndarray) -> np.ndarray:
+    """Analytical nonlinear shrinkage of the sample eigenvalues (Ledoit and Wolf, 2020), for more rows than columns."""
+    x = x - x.mean(axis=0)
+    n, p = len(x) - 1, x.shape[1]
+    values, vectors = np.linalg.eigh(x.T @ x / n)
+    values = np.maximum(values, 1e-18)
+    width = n ** (-1 / 3)
+    h = width * values[None, :]
+    z = (values[:, None] - values[None, :]) / h
+    # Epanechnikov density of the spectrum and its Hilbert transform
+    density = (3 / (4 * math.sqrt(5)) * np.maximum(1 - z**2 / 5, 0) / h).mean(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        edge = np.log(np.abs((math.sqrt(5) - z) / (math.sqrt(5) + z)))
+        hilbert = -3 / (10 * math.pi) * z + 3 / (4 * math.sqrt(5) * math.pi) * (1 - z**2 / 5) * np.where(np.isclose(np.abs(z), math.sqrt(5)), 0, edge)
+    hilbert = (np.where(np.isclose(np.abs(z), math.sqrt(5)), -3 / (10 * math.pi) * z, hilbert) / h).mean(axis=1)
+    ratio = p / n
+    shrunk = values / ((math.pi * ratio * values * density) ** 2 + (1 - ratio - math.pi * ratio * values * hilbert) ** 2)
+    return (vectors * shrunk) @ vectors.T
+
+
+def spectral_scores(x: np.ndarray, components: int | None = None, communality: bool = False) -> np.ndarray:
+    """Per feature the sum over components of eigenvalue times squared loading (or of squared loadings alone)."""
+    values, vectors, _ = pca(x)
+    k = components or len(values)
+    loading = vectors[:, :k] * np.sqrt(values[:k])
+    return ((loading**2) if communality else values[:k] * loading**2).sum(axis=1)
