@@ -101,15 +101,20 @@ def _score(w: np.ndarray, rows: np.ndarray, cols: np.ndarray, n: int, width: int
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(found: list[set[str]], toxic: np.ndarray, width: int = 512, folds: int = 5) -> Chain:
-    """A chain from the distinct words of each row and their labels."""
+def train(texts: list[str], toxic: np.ndarray, width: int = 512, folds: int = 5) -> Chain:
+    """A chain from the words of each row (as one string) and their labels.
+
+    Terms are held as hashes; their strings are made again, row by row, where they are needed.
+    """
     toxic = np.asarray(toxic, dtype=np.float64)
-    n, bad = len(found), toxic.sum()
+    n, bad = len(texts), toxic.sum()
     if not bad or bad == n:
         return Chain({}, (), 2.0)
-    listed = [sorted(terms(x)) for x in found]
-    rows = np.repeat(np.arange(n), [len(x) for x in listed])
-    vocabulary, cols = np.unique(word_hashes([t for x in listed for t in x]), return_inverse=True)
+    hashed = [word_hashes(sorted(terms(words_in(t)))) for t in texts]
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in hashed])
+    vocabulary, cols = np.unique(np.concatenate(hashed), return_inverse=True)
+    cols = cols.astype(np.int32)
+    del hashed
     seen = np.bincount(cols, minlength=len(vocabulary))
     hits = np.bincount(cols, weights=toxic[rows], minlength=len(vocabulary))
     # terms that stand in toxic rows more than by chance, by their z score
@@ -120,7 +125,7 @@ def train(found: list[set[str]], toxic: np.ndarray, width: int = 512, folds: int
     place[chosen] = np.arange(len(chosen))
     cell = place[cols] >= 0
     rows, cols, size = rows[cell], place[cols[cell]], len(chosen)
-    targets = [toxic * np.array([not x.isdisjoint(s) for x in found]) for s in SEEDS.values()]
+    targets = [toxic * np.array([not words_in(t).isdisjoint(s) for t in texts]) for s in SEEDS.values()]
     # each label is dealt evenly to the folds
     fold = np.where(toxic > 0, np.cumsum(toxic > 0), np.cumsum(toxic <= 0)) % folds
     earlier = np.empty((n, 0))
@@ -143,7 +148,10 @@ def train(found: list[set[str]], toxic: np.ndarray, width: int = 512, folds: int
     best = int(np.argmax(f1))
     below = p[order][best + 1] if best + 1 < n else 0.0
     wanted = dict(zip(vocabulary[chosen].tolist(), range(size), strict=True))
-    named = {t: k for x in listed for t, h in zip(x, word_hashes(x).tolist(), strict=True) if (k := wanted.get(h)) is not None}
+    named: dict[str, int] = {}
+    for text in texts:
+        found = list(terms(words_in(text)))
+        named.update((t, k) for t, h in zip(found, word_hashes(found).tolist(), strict=True) if (k := wanted.get(h)) is not None)
     # with few rows the best cut can fall among clean rows: it is never below the least probability
     return Chain(named, tuple(weights), float(max((p[order][best] + below) / 2, LEAST_PROBABILITY)))
 
@@ -162,7 +170,7 @@ def fit_documents(docs: DataFrame, labels: DataFrame, rows: int = 6000) -> Chain
 
     sample = joined.mapInArrow(by_piece(work, "text"), "words string, toxic long, doc_id long").collect()
     sample = sorted(sample, key=lambda r: (r.doc_id, r.words))
-    return train([set(r.words.split()) for r in sample], np.array([r.toxic > 0 for r in sample], dtype=bool))
+    return train([r.words for r in sample], np.array([r.toxic > 0 for r in sample], dtype=bool))
 
 
 SCHEMA = "doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean"
