@@ -93,6 +93,17 @@ def test_language(spark, docs, empty):
     assert language.identify_documents(empty, language.fit_documents(empty)).count() == 0
 
 
+def test_language_rejects_what_it_has_not_learned():
+    words = {"en": "the of and to in is that with which have", "de": "der die und nicht ein ich auch werden", "fr": "le la les des est une dans pour"}
+    rng = np.random.default_rng(0)
+    rows = [(" ".join(rng.choice(some.split(), 30)), lang) for _ in range(120) for lang, some in words.items()]
+    model = language.train([t for t, _ in rows], [lang for _, lang in rows])
+    for text in ("これは日本語の文章です", "Hän juo kahvia ja lukee kirjaa kotona", "Это русский текст", "bcdfg hjklm npqrst vwxz", "aaaaaaaa", "x"):
+        assert model.predict(text)[2], text
+    assert not any(model.predict(t)[2] for t, _ in rows)
+    assert not model.predict("the")[2] and not model.predict("nicht auch")[2]
+
+
 def test_toxicity_chain(spark, docs, empty):
     rng = np.random.default_rng(0)
     plain = [f"w{k}" for k in range(300)]

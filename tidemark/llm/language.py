@@ -3,7 +3,12 @@
 A text is the average of the embeddings of its subwords: character n-grams of 1 to 3 code points in
 its lower-cased words, with word boundaries as characters, hashed into a fixed number of rows. Rows and
 softmax are trained together by stochastic gradient descent in numpy on a bounded sample; temperature
-and rejection threshold are calibrated on a part of that sample that training does not see.
+and rejection thresholds are calibrated on a part of that sample that training does not see.
+
+A softmax is sure of anything that lies on one side of its borders, so a second score falls off away from
+the training data: the share of a text's trigrams that are familiar in the predicted language, as an upper
+bound that allows for short texts. Its threshold parts held-out texts from negatives made of them: the same
+texts judged without their own language, and with their letters shuffled.
 
 Null and empty texts, and texts without any letter, are ``und`` with score 0 and are rejected. Texts of
 any length are read whole. Rows are judged one by one: repeated rows, an empty table and further
@@ -25,6 +30,10 @@ from tidemark.llm.sample import bounded_sample
 
 UNDETERMINED = "und"
 _POINTS = 0x110000
+#: Bits of a trigram's hash in the table of familiar trigrams.
+_TRIGRAM_BITS = 18
+#: A trigram is familiar from this share of a language's texts on; standard errors a short text is allowed.
+_FAMILIAR, _ERRORS = 0.02, 1.64
 
 
 def _classes() -> np.ndarray:
@@ -50,19 +59,31 @@ def letters(text: str) -> np.ndarray:
     return out
 
 
-def buckets(text: str, rows: int) -> np.ndarray:
-    """Rows of all subwords of ``text``, with repeats; ``rows`` is a power of two."""
+def subwords(text: str) -> tuple[np.ndarray, int]:
+    """Hashes of all subwords of ``text``, with repeats, and how many at their end are trigrams."""
     x = letters(text)
     if not x.any():
-        return np.empty(0, dtype=np.int64)
+        return np.empty(0, dtype=np.uint64), 0
     x = x.astype(np.uint64)
     a, b, c = seeds(3, 8) | np.uint64(1)
-    shift = np.uint64(64 - rows.bit_length() + 1)
     one, two = x * a, x[:-1] * b + x[1:] * a
     three = two[:-1] * c + x[2:] * b
     letter = x > 0
     found = [one[letter], two[letter[:-1] | letter[1:]], three[letter[1:-1]]]
-    return (np.concatenate(found) * (b ^ c) >> shift).astype(np.int64)
+    return np.concatenate(found) * (b ^ c), len(found[2])
+
+
+def buckets(hashes: np.ndarray, rows: int) -> np.ndarray:
+    """Rows of hashed subwords; ``rows`` is a power of two."""
+    return (hashes >> np.uint64(64 - rows.bit_length() + 1)).astype(np.int64)
+
+
+def familiarity(share: float, n: int) -> float:
+    """Upper bound (Wilson's) of the familiar share of ``n`` trigrams; 0 where none is familiar."""
+    z = _ERRORS * _ERRORS
+    if not n or not share:
+        return 0.0
+    return (share + z / (2 * n) + _ERRORS * (share * (1 - share) / n + z / (4 * n * n)) ** 0.5) / (1 + z / n)
 
 
 @dataclass(frozen=True)
@@ -74,18 +95,57 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    #: Per language, whether texts of it commonly hold a trigram; and the least familiarity of a text.
+    familiar: np.ndarray
+    least: float
 
     def predict(self, text: str) -> tuple[str, float, bool]:
         """Language, calibrated probability, and whether it is rejected."""
-        found = buckets(text, len(self.scores)) if self.languages else ()
-        if not len(found):
+        hashes, n = subwords(text) if self.languages else ((), 0)
+        if not len(hashes):
             return UNDETERMINED, 0.0, True
+        found = buckets(hashes, len(self.scores))
         counts = np.bincount(found, minlength=len(self.scores))
         logits = (counts @ self.scores / len(found) + self.bias) / self.temperature
         p = np.exp(logits - logits.max())
         p /= p.sum()
         best = int(p.argmax())
-        return self.languages[best], float(p[best]), bool(p[best] < self.threshold)
+        share = self.familiar[best, buckets(hashes[-n:], self.familiar.shape[1])].mean()
+        rejected = p[best] < self.threshold or familiarity(float(share), n) < self.least
+        return self.languages[best], float(p[best]), bool(rejected)
+
+
+def trigram_shares(trigrams: list[np.ndarray], langs: list[int], n_langs: int) -> np.ndarray:
+    """Whether each trigram is familiar in each language: in ``_FAMILIAR`` of its texts, and in two if it has 20."""
+    held = np.zeros((n_langs, 1 << _TRIGRAM_BITS), dtype=np.int32)
+    for x, y in zip(trigrams, langs, strict=True):
+        held[y, np.unique(x)] += 1
+    texts = np.bincount(np.array(langs, dtype=np.int64), minlength=n_langs)
+    return held >= np.maximum(np.ceil(texts * _FAMILIAR), np.where(texts < 20, 1, 2))[:, None]
+
+
+def least_familiarity(good: np.ndarray, bad: np.ndarray, share: float = 0.001, weight: float = 30.0) -> float:
+    """A threshold between bad texts (all but 1 %) and good ones (all but ``share``), nearer to the bad.
+
+    Where the two overlap, the one of least cost; a good text rejected costs ``weight`` bad ones kept.
+    """
+    if not len(good) or not len(bad):
+        return 0.0
+    low, high = float(np.quantile(bad, 0.99)), float(np.quantile(good, share))
+    if low < high:
+        return low + (high - low) / 4
+    edges = np.unique(np.concatenate([[0.0], good, bad]))
+    lost = np.searchsorted(np.sort(good), edges) / len(good)
+    kept = 1 - np.searchsorted(np.sort(bad), edges) / len(bad)
+    return float(edges[int(np.argmin(weight * lost + kept))])
+
+
+def shuffled(text: str, rng: np.random.Generator) -> str:
+    """``text`` with its letters dealt anew to their places."""
+    points = np.array(list(text))
+    at = np.flatnonzero([c.isalpha() for c in text])
+    points[at] = points[rng.permutation(at)]
+    return "".join(points)
 
 
 def train(
@@ -95,12 +155,14 @@ def train(
     """Stochastic gradient descent on embeddings and softmax; every sixth text calibrates."""
     languages = tuple(sorted(set(langs)))
     if not languages:
-        return Model((), np.zeros((rows, 0)), np.zeros(0), 1.0, 1.0)
-    counted = []
+        return Model((), np.zeros((rows, 0)), np.zeros(0), 1.0, 1.0, np.zeros((0, 1 << _TRIGRAM_BITS), bool), 0.0)
+    counted, trigrams, kept = [], [], []
     for text, lang in zip(texts, langs, strict=True):
-        found = buckets(text, rows)
-        if len(found):
-            at, n = np.unique(found, return_counts=True)
+        hashes, last = subwords(text)
+        if len(hashes):
+            at, n = np.unique(buckets(hashes, rows), return_counts=True)
+            trigrams.append(buckets(hashes[-last:], 1 << _TRIGRAM_BITS).astype(np.int32))
+            kept.append(text)
             counted.append((at, (n / n.sum()).astype(np.float32), languages.index(lang)))
     rng = np.random.default_rng(seed)
     held = counted[::6] if len(counted) >= 60 else counted
@@ -130,13 +192,34 @@ def train(
         return e / e.sum(axis=1, keepdims=True)
 
     grid = np.geomspace(0.01, 20, 80)
-    losses = [-np.log(np.maximum(confidence(t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in grid]
+    # held-out rows without an error do not prove more than (n + 1) / (n + 2), so the temperature stays bounded
+    doubt = 1 / (len(truth) + 2)
+    target = np.full((len(truth), len(languages)), doubt / max(len(languages) - 1, 1))
+    target[np.arange(len(truth)), truth] = 1 - doubt
+    losses = [-(target * np.log(np.maximum(confidence(t), 1e-12))).sum(axis=1).mean() for t in grid]
     temperature = float(grid[int(np.argmin(losses))])
     # a right answer may be rejected in rejected_share of cases; never above an even vote
     best = confidence(temperature)
     right = np.sort(best.max(axis=1)[best.argmax(axis=1) == truth])
     threshold = float(min(right[int(rejected_share * len(right))] * 0.9 if len(right) else 1.0, 0.5))
-    return Model(languages, scores, bias.astype(np.float64), temperature, threshold)
+    # familiar trigrams of the fitted part, judged on the held-out one and on negatives made of it
+    chosen = [i % 6 == 0 for i in range(len(counted))] if len(counted) >= 60 else [True] * len(counted)
+    part = [i for i in range(len(counted)) if len(counted) < 60 or i % 6]
+    familiar = trigram_shares([trigrams[i] for i in part], [counted[i][2] for i in part], len(languages))
+    good, bad = [], []
+    predicted = best.argmax(axis=1)
+    for k, i in enumerate(np.flatnonzero(chosen).tolist()):
+        shares, y = familiar[:, trigrams[i]].mean(axis=1), counted[i][2]
+        if predicted[k] == y:
+            good.append(familiarity(float(shares[y]), len(trigrams[i])))
+        if len(languages) > 1:
+            bad.append(familiarity(float(np.delete(shares, y).max()), len(trigrams[i])))
+        mixed = buckets(subwords(shuffled(kept[i][:2000], rng))[0], 1 << _TRIGRAM_BITS)
+        n = sum(c.isalpha() for c in kept[i][:2000])
+        if n:
+            bad.append(familiarity(float(familiar[:, mixed[-n:]].mean(axis=1).max()), n))
+    least = least_familiarity(np.array(good), np.array(bad), rejected_share)
+    return Model(languages, scores, bias.astype(np.float64), temperature, threshold, familiar, least)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
