@@ -162,6 +162,28 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.keep_clean(empty, bench).count() == 0 and decontaminate.keep_clean(docs, bench.limit(0)).count() == len(AWKWARD)
 
 
+def test_decontamination_over_shifts():
+    text = "A train leaves Boston at 7 hours and Maria travels 120 km to Denver before noon, how far is it then?"
+    items = decontaminate.Items([(1, text), (2, "the quick red fox jumps over one lazy dog today")])
+    leaks = {
+        "more names": "A train leaves New York at 7 hours and Maria Lopez travels 1 200 km to Salt Lake City before noon, how far is it then?",
+        "a word more": "A train leaves Boston at 7 hours and today Maria travels 120 km to Denver before noon, how far is it then?",
+        "a word less": "A train leaves Boston at 7 hours and Maria travels 120 km Denver before noon, how far is it then?",
+    }
+    for name, leak in leaks.items():
+        assert decontaminate.find_leaks(leak, items).get(1, 0) >= 0.7, name
+    words = text.split()
+    for k in range(1, len(words)):  # a word more at every place
+        assert 1 in decontaminate.find_leaks(" ".join([*words[:k], "well", *words[k:]]), items), k
+    assert 2 in decontaminate.find_leaks("the quick red fox jumps right over one lazy dog today", items)
+    # halves that contradict each other, stand in the wrong order or far apart are no leak
+    twice = decontaminate.Items([(3, "if Anna has 5 red apples in one big basket then how many of the 5 apples can Anna give away today")])
+    assert 3 in decontaminate.find_leaks("if Petra has 8 red apples in one big basket well then how many of the 8 apples can Petra give away today", twice)
+    assert not decontaminate.find_leaks("if Petra has 8 red apples in one big basket well then how many of the 9 apples can Maria give away today", twice)
+    assert not decontaminate.find_leaks("how many of the 5 apples can Anna give away today if Anna has 5 red apples in one big basket then", twice)
+    assert not decontaminate.find_leaks("if Anna has 5 red apples in one big basket then " + "well " * 60 + "how many of the 5 apples can Anna give away today", twice)
+
+
 def brute_spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)

@@ -1,12 +1,16 @@
 """Benchmark decontamination by template canonicalisation.
 
 A text becomes a sequence of slots and words: a number becomes ``<num>``, a unit behind a number
-``<unit>``, a capitalised word inside a sentence ``<name>``, everything else its lower-cased word.
+``<unit>``, a capitalised word inside a sentence ``<name>``, everything else its lower-cased word; a run
+of slots of one kind is one slot (``Maria Lopez``, ``12 000``).
 Windows of ``width`` consecutive template tokens are hashed and joined with the windows of the
-benchmark. Windows that agree are aligned by their diagonal (place in the document less place in the
-item); on each diagonal the slots under the matched windows must be consistent: equal item values
-stand opposite equal document values and the other way round. A diagonal counts as a leak when its
-matched tokens cover ``coverage`` of the item. Items shorter than a window are one window by themselves.
+benchmark. Where windows agree, the item is aligned with the document around them: runs of at least ``RUN`` equal
+tokens on diagonals (place in the document less place in the item) near to the windows' are chained in the
+order of both texts, over words that one side has more, and the slots under a chain must be consistent:
+equal item values stand opposite equal document values and the other way round. A chain counts as a leak
+when its tokens cover ``coverage`` of the item. Windows are half as long as an item with fewer than twice
+``width`` tokens, so that one edit leaves one whole; items shorter than ``width`` are one window by
+themselves.
 
 Windows made of slots alone match nothing. Null, empty and short texts have no windows and are clean.
 Texts of any length are read whole. Repeated documents are judged alike, row by row; repeated items
@@ -34,8 +38,11 @@ UNITS = frozenset(
 )
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]|[%$€£°]")
 WIDTH = 8
+#: Tokens of the shortest run a chain takes in.
+RUN = 4
 COVERAGE = 0.7
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
+SLOTS = frozenset((NUM, NAME, UNIT))
 _MARKS = frozenset(".!?\n")
 #: Documents and benchmark meet in a broadcast of at most this many benchmark windows.
 BROADCAST_WINDOWS = 4_000_000
@@ -52,17 +59,20 @@ def canonical(text: str) -> tuple[list[str], list[str]]:
             continue
         low = raw.lower()
         if raw[0].isdigit():
-            template.append(NUM)
-            last_number = True
+            token, last_number = NUM, True
         else:
             if (last_number and low in UNITS) or raw in "%$€£°":
-                template.append(UNIT)
+                token = UNIT
             elif not start and raw != low:
-                template.append(NAME)
+                token = NAME
             else:
-                template.append(low)
+                token = low
             last_number = False
-        values.append(low)
+        if token in SLOTS and not start and template and template[-1] == token:
+            values[-1] += " " + low
+        else:
+            template.append(token)
+            values.append(low)
         start = False
     return template, values
 
@@ -73,6 +83,18 @@ def consistent(item: list[str], doc: list[str]) -> bool:
     return len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
+def short_names(template: list[str], values: list[str]) -> list[str]:
+    """``values``, with a name of several words as the name by which the text shortens it, where it does."""
+    names = {v for t, v in zip(template, values, strict=True) if t == NAME}
+    out = list(values)
+    for i, (t, v) in enumerate(zip(template, values, strict=True)):
+        if t == NAME and " " in v:
+            words = v.split()
+            own = [w for k in range(1, len(words)) for w in (" ".join(words[:k]), " ".join(words[k:])) if w in names]
+            out[i] = own[0] if own else v
+    return out
+
+
 def window_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
     """A hash for each run of ``width`` tokens."""
     factors = seeds(width, 5) | np.uint64(1)
@@ -101,9 +123,9 @@ class Items:
             if not template or key in seen or item in self.templates:
                 continue
             seen.add(key)
-            self.templates[item], self.values[item] = template, values
-            w = min(width, len(template))
-            plain = [t not in (NUM, NAME, UNIT) for t in template]
+            self.templates[item], self.values[item] = template, short_names(template, values)
+            w = min(width, len(template) // 2) if len(template) >= width else len(template)
+            plain = [t not in SLOTS for t in template]
             for at, h in enumerate(window_hashes(word_hashes(template), w).tolist()):
                 if any(plain[at : at + w]):
                     tables[w].append((h, item, at))
@@ -114,7 +136,7 @@ class Items:
 
     def matches(self, template: list[str], values: list[str], hashes: np.ndarray) -> dict[int, float]:
         """Item -> covered share, for the items that the document leaks."""
-        diagonals: dict[tuple[int, int], set[int]] = defaultdict(set)
+        seeds_of: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for w, (keys, places) in self.tables.items():
             if len(hashes) < w:
                 continue
@@ -125,18 +147,96 @@ class Items:
                 while k < len(keys) and keys[k] == own[at]:
                     item, place = places[k]
                     if self.templates[item][place : place + w] == template[at : at + w]:
-                        diagonals[item, at - place].update(range(place, place + w))
+                        seeds_of[item][at - place].append(place)
                     k += 1
         found: dict[int, float] = {}
-        for (item, shift), covered in diagonals.items():
-            share = len(covered) / len(self.templates[item])
-            if share < self.coverage or share <= found.get(item, 0.0):
-                continue
-            slots = [p for p in sorted(covered) if self.templates[item][p] in (NUM, NAME, UNIT)]
-            if consistent([self.values[item][p] for p in slots], [values[p + shift] for p in slots]):
+        for item, diagonals in seeds_of.items():
+            share = self.best_chain(item, diagonals, template, values)
+            if share >= self.coverage:
                 found[item] = share
         return found
 
+    def best_chain(self, item: int, diagonals: dict[int, list[int]], template: list[str], values: list[str]) -> float:
+        """The largest share of the item under one consistent chain; ``diagonals`` holds where windows agree."""
+        own = self.templates[item]
+        size = len(own)
+        best = 0.0
+        # windows whose diagonals are within the item's length of each other may share a chain
+        ordered = sorted(diagonals)
+        start = 0
+        for k in range(1, len(ordered) + 1):
+            if k < len(ordered) and ordered[k] - ordered[k - 1] <= size:
+                continue
+            group = ordered[start:k]
+            start = k
+            runs = self.runs(own, template, group)
+            if runs:
+                low = min(p + d for p, _, d in runs)
+                high = max(end + d for _, end, d in runs)
+                region = short_names(template[low:high], values[low:high])
+                best = max(best, chain(runs, own, self.values[item], region, low, self.coverage) / size)
+        return best
+
+    def runs(self, own: list[str], template: list[str], group: list[int]) -> list[tuple[int, int, int]]:
+        """(begin, end, diagonal) of the item's runs that the document holds on diagonals near ``group``."""
+        size = len(own)
+        near = sorted({d + k for d in group for k in range(-self.width, self.width + 1)})
+        least = min(RUN, size)
+        out = []
+        for d in near:
+            p, end = max(0, -d), min(size, len(template) - d)
+            while p < end:
+                if own[p] != template[p + d]:
+                    p += 1
+                    continue
+                q = p + 1
+                while q < end and own[q] == template[q + d]:
+                    q += 1
+                if q - p >= least and any(t not in SLOTS for t in own[p:q]):
+                    out.append((p, q, d))
+                p = q
+        return out
+
+
+def chain(
+    runs: list[tuple[int, int, int]], own: list[str], item: list[str], doc: list[str], low: int, coverage: float = COVERAGE
+) -> int:
+    """Most tokens under a chain of ``runs``, in order in both texts, whose slots are consistent.
+
+    Every run keeps its chains by what their slots stand opposite to; of chains that agree in that, the
+    longest. ``doc`` holds the document's values from ``low`` on. Two runs of a chain are at most the
+    item's length apart in the document.
+    """
+    # where no chain can cover enough even without regard to slots, none is worth its states
+    covered = {p for begin, end, _ in runs for p in range(begin, end)}
+    if len(covered) < coverage * len(own):
+        return 0
+    runs = sorted(runs, key=lambda r: (r[0] + r[2], r[0]))
+    slots = [p for p, t in enumerate(own) if t in SLOTS]
+    states: list[dict[frozenset, int]] = []
+    best = 0
+    for i, (begin, end, d) in enumerate(runs):
+        kept: dict[frozenset, int] = {}
+        options: list[tuple[int, frozenset, int]] = [(begin, frozenset(), 0)]
+        for j in range(i - 1, -1, -1):
+            b, e, c = runs[j]
+            if begin + d - (b + c) > 2 * len(own):
+                break
+            if begin + d - (e + c) > len(own):
+                continue
+            # what overlaps counts for the run before
+            first = max(begin, e, e + c - d)
+            if first >= end:
+                continue
+            options += [(first, pairs, n) for pairs, n in states[j].items()]
+        for first, before, n in options:
+            pairs = before | {(item[p], doc[p + d - low]) for p in slots if first <= p < end}
+            if consistent([x for x, _ in pairs], [y for _, y in pairs]):
+                kept[pairs] = max(kept.get(pairs, 0), n + end - first)
+        states.append(kept)
+        best = max([best, *kept.values()])
+    return best
+
 
 def find_leaks(text: str, items: Items) -> dict[int, float]:
     template, values = canonical(text)
