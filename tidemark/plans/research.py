@@ -177,9 +177,13 @@ def scales(spark, sf_dir):
 # simulation
 
 
+#: The reference's defaults; permutations come in batches of ``PER_BATCH``.
+SIMULATED_PATHS, PERMUTATIONS, PER_BATCH = 2000, 200, 5
+
+
 def monte_carlo(method):
     def query(spark, sf_dir):
-        return SI.summarise(SI.monte_carlo(daily_returns(spark, sf_dir), "asset", "ret", ["ts"], method, paths=200, batch=50), "asset")
+        return SI.summarise(SI.monte_carlo(daily_returns(spark, sf_dir), "asset", "ret", ["ts"], method, paths=SIMULATED_PATHS, batch=50), "asset")
 
     return query
 
@@ -201,7 +205,7 @@ def permutation(spark, sf_dir):
     fields = ("ts", "open", "high", "low", "close")
     bars = V.bars(spark, sf_dir).withColumns({x: F.col(x) + 1000 for x in fields[1:]})
     packed = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("bars"))
-    dealt = packed.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(7)))).repartition("symbol", "batch")
+    dealt = packed.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(PERMUTATIONS // PER_BATCH - 1)))).repartition("symbol", "batch")
 
     def work(batches):
         for pdf in batches:
@@ -210,7 +214,7 @@ def permutation(spark, sf_dir):
                 b = {k: np.array([x[k] for x in rows], dtype=np.float64) for k in fields[1:]}
                 days = np.array([x["ts"].toordinal() for x in rows])
                 real = SE.score(*SE.replay(b, SE.moving_cross(b, {"fast": 5, "slow": 20})))["sharpe"]
-                for k in range(5):
+                for k in range(PER_BATCH):
                     p = SI.permute_bars(b, days, np.random.default_rng([11, batch, k]))
                     got = SE.score(*SE.replay(p, SE.moving_cross(p, {"fast": 5, "slow": 20})))["sharpe"]
                     out.append((symbol, real, int(got >= real)))
