@@ -245,6 +245,16 @@ def test_urls(spark):
     assert {r.template for r in judged.values()} == {"h.org/bad/*", "h.org/good/*"}
 
 
+def test_urls_of_any_depth(spark):
+    stem = "a/b/c/d/e/f/g"
+    rows = [(k, f"http://h.org/{stem}/{'bad' if k % 2 else 'good'}/{k}/x") for k in range(200)] + [(200 + k, f"http://i.org/{stem}/{k}/y") for k in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    judged = {r.page_id: r for r in urls.judge_pages(pages, spark.createDataFrame([(k, k % 2) for k in range(0, 200, 3)], "page_id long, bad int")).collect()}
+    assert len(judged) == len(rows) and all((judged[k].verdict == "block") == bool(k % 2 and k < 200) for k in judged)
+    stars = "/".join("*" * 7)
+    assert {r.template for r in judged.values()} == {f"h.org/{stars}/bad/*/*", f"h.org/{stars}/good/*/*", f"i.org/{stars}/*/*"}
+
+
 def test_fingerprints(spark, docs, empty):
     rng = np.random.default_rng(2)
     texts = [" ".join(rng.choice([f"w{k}" for k in range(60)], int(n))) for n in rng.integers(0, 80, 60)] + ["", "x", None]

@@ -10,7 +10,9 @@ Trees are built from distinct (host, path) rows with their counts, so hot hosts
 summed before they move; the sums of a branch's siblings come from a join on (parent, salt).
 
 Null urls and urls without ``://`` have an empty host and path and belong to the template of the empty
-host. Paths deeper than ``depth`` segments end in ``**``. Repeated rows count and are judged one by
+host. Every level that exists is judged, but a template whose labelled pages are all bad or all good, or
+that has fewer than two, stops there: no branch below it can differ, so what is left of its paths is ``*``,
+one for each segment. Repeated rows count and are judged one by
 one; without labels nothing is rejected; empty tables give no rows; other columns are ignored.
 """
 
@@ -50,7 +52,7 @@ def by_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def templates(paths: DataFrame, depth: int = 6, kinds: int = 12, support: int = 8, z: float = 1.96) -> DataFrame:
+def templates(paths: DataFrame, kinds: int = 12, support: int = 8, z: float = 1.96) -> DataFrame:
     """The template of each row of ``paths`` (host, path, n, labelled, bad), as a column ``template``.
 
     A segment stays literal when its parent has at most ``kinds`` different ones or when it holds at
@@ -59,10 +61,20 @@ def templates(paths: DataFrame, depth: int = 6, kinds: int = 12, support: int =
     """
     segments = F.filter(F.split("path", "/"), lambda x: x != "")
     tree = cut(paths.withColumn("segments", segments).withColumn("template", F.col("host")))
-    levels = tree.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(min(levels, depth)):
+    columns = [*paths.columns, "template"]
+    done: DataFrame | None = None
+    tree = tree.withColumn("_open", F.lit(True))
+    level = 0
+    while True:
+        left = F.size("segments") - level
+        closed = tree.where(~F.col("_open") | (left <= 0))
+        closed = closed.withColumn("template", F.concat("template", F.repeat(F.lit("/*"), F.greatest(left, F.lit(0))))).select(*columns)
+        done = closed if done is None else done.unionByName(closed)
+        tree = tree.where(F.col("_open") & (left > 0)).drop("_open")
+        if tree.isEmpty():
+            return done
         at = F.get("segments", F.lit(level))
-        below = tree.where(F.size("segments") > level).select("template", at.alias("segment"), "n", "labelled", "bad")
+        below = tree.select("template", at.alias("segment"), "n", "labelled", "bad")
         branches = below.groupBy("template", "segment").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
         sums = branches.groupBy("template").agg(
             F.count("*").alias("kinds"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")
@@ -76,12 +88,16 @@ def templates(paths: DataFrame, depth: int = 6, kinds: int = 12, support: int =
         differs = F.abs(F.try_divide("bad", "labelled") - F.try_divide(rest_bad, rest)) > z * error
         enough = (F.col("kinds") <= kinds) | (F.col("labelled") >= support)
         name = F.when(F.coalesce(differs & enough, F.lit(False)), F.col("segment")).otherwise("*")
-        names = both.select(F.col("template").alias("_t"), F.col("segment").alias("_s"), name.alias("_name"))
-        deeper = tree.join(names, (F.col("template") == F.col("_t")) & (at == F.col("_s")), "left")
-        grown = F.when(F.col("_name").isNull(), F.col("template")).otherwise(F.concat_ws("/", "template", "_name"))
-        tree = cut(deeper.withColumn("template", grown).drop("_t", "_s", "_name"))
-    deep = F.size("segments") > depth
-    return tree.withColumn("template", F.when(deep, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("segments")
+        named = both.withColumn("_name", name)
+        merged = named.groupBy("template", "_name").agg(F.sum("labelled").alias("_labelled"), F.sum("bad").alias("_bad"))
+        # without both kinds of labels no branch below can differ
+        merged = merged.withColumn("_open", (F.col("_bad") > 0) & (F.col("_bad") < F.col("_labelled")))
+        merged = merged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        known = named.join(merged, ["template", "_name", "salt"])
+        names = known.select(F.col("template").alias("_t"), F.col("segment").alias("_s"), "_name", "_open")
+        deeper = tree.join(names, (F.col("template") == F.col("_t")) & (at == F.col("_s")))
+        tree = cut(deeper.withColumn("template", F.concat_ws("/", "template", "_name")).drop("_t", "_s", "_name"))
+        level += 1
 
 
 def judge_pages(
