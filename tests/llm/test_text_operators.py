@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, chat, decontaminate, fingerprints, language, licences, secrets, toxicity, urls
+from tidemark.llm import bpe, chat, decontaminate, fingerprints, language, licences, sample, secrets, toxicity, urls
 
 LONG = "abc déf " * 20_000
 AWKWARD = [
@@ -104,6 +104,15 @@ def test_language_rejects_what_it_has_not_learned():
     assert not model.predict("the")[2] and not model.predict("nicht auch")[2]
 
 
+def test_language_sample_of_each(spark):
+    rows = [(k, f"text {k}", "en") for k in range(20_000)] + [(20_000 + k, f"rare {k}", "fr") for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = [r.lang for r in sample.bounded_sample_of_each(df, "lang", 100, 200, "language")]
+    assert found.count("fr") == 12 and 140 < found.count("en") < 260
+    assert sample.bounded_sample_of_each(df.limit(0), "lang", 100, 200, "language") == []
+    assert language.fit_documents(df, per_language=20).languages == ("en", "fr")
+
+
 def test_toxicity_chain(spark, docs, empty):
     rng = np.random.default_rng(0)
     plain = [f"w{k}" for k in range(300)]

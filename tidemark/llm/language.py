@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.batches import by_piece, texts_of
 from tidemark.llm.hashing import seeds
-from tidemark.llm.sample import bounded_sample
+from tidemark.llm.sample import bounded_sample_of_each
 
 UNDETERMINED = "und"
 _POINTS = 0x110000
@@ -228,9 +228,13 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def fit_documents(docs: DataFrame, per_language: int = 400, languages: int = 6) -> Model:
-    """Train on about ``per_language * languages`` labelled documents, never over twice as many (a documented bound)."""
+    """Train on about ``per_language`` labelled documents of each language (all, where it has fewer).
+
+    A language with more than its part of ``per_language * languages`` rows of the whole table gives that
+    part. Never over twice as many (a documented bound).
+    """
     fit = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sample = sorted((r.text, r.lang) for r in bounded_sample(fit, per_language * languages, "language"))
+    sample = sorted((r.text, r.lang) for r in bounded_sample_of_each(fit, "lang", per_language, per_language * languages, "language"))
     return train([t for t, _ in sample], [lang for _, lang in sample])
 
 

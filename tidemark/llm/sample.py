@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -18,3 +20,21 @@ def bounded_sample(df: DataFrame, rows: int, salt: str, key: str = "doc_id") ->
         return []
     draw = F.pmod(F.xxhash64(F.lit(salt), key), F.lit(1 << 40))
     return df.where(draw < int(min(1.0, rows / n) * (1 << 40))).limit(2 * rows).collect()
+
+
+def bounded_sample_of_each(df: DataFrame, group: str, rows: int, in_all: int, salt: str, key: str = "doc_id") -> list[Row]:
+    """As ``bounded_sample``, but of each value of ``group`` about ``rows`` rows, or its part of ``in_all`` where that is more.
+
+    Groups are counted first, and each has its own share of the hashes. Never over twice as many rows in all.
+    """
+    counts = df.where(F.col(group).isNotNull()).groupBy(group).count().collect()
+    if not counts:
+        return []
+    part = in_all / sum(r["count"] for r in counts)
+    wanted = {r[group]: min(1.0, max(rows / r["count"], part)) for r in counts}
+    bounds = [(value, int(share * (1 << 40))) for value, share in wanted.items()]
+    limit = math.ceil(2 * sum(wanted[r[group]] * r["count"] for r in counts))
+    shares = df.sparkSession.createDataFrame(bounds, f"`_group` {df.schema[group].dataType.simpleString()}, `_bound` long")
+    draw = F.pmod(F.xxhash64(F.lit(salt), key), F.lit(1 << 40))
+    drawn = df.withColumn("_draw", draw).join(F.broadcast(shares), F.col(group) == F.col("_group")).where("_draw < _bound")
+    return drawn.select(*df.columns).limit(limit).collect()
