@@ -193,6 +193,14 @@ def test_decontamination_over_shifts():
     assert not decontaminate.find_leaks("if Anna has 5 red apples in one big basket then " + "well " * 60 + "how many of the 5 apples can Anna give away today", twice)
 
 
+def test_decontamination_of_repeated_ids(spark):
+    texts = ["how many red apples fit into the green basket of the farmer", "which river runs through the old town before it meets the sea"]
+    bench = spark.createDataFrame([(0, t) for t in texts], "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (10, 10_000):
+        assert {r.doc_id: r["items"] for r in decontaminate.judge_documents(df, bench, block=block).collect()} == {0: [0], 1: [0]}
+
+
 def brute_spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)

@@ -14,7 +14,7 @@ themselves.
 
 Windows made of slots alone match nothing. Null, empty and short texts have no windows and are clean.
 Texts of any length are read whole. Repeated documents are judged alike, row by row; repeated items
-count as the one with the smallest id. Empty tables on either side give rows without items, or none.
+count as the one with the smallest id; different texts under one id are all searched. Empty tables on either side give rows without items, or none.
 """
 
 from __future__ import annotations
@@ -113,16 +113,20 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], width: int = WIDTH, coverage: float = COVERAGE):
         self.width, self.coverage = width, coverage
+        # items go by running number: one id may have several texts
+        self.ids: list[int] = []
         self.templates: dict[int, list[str]] = {}
         self.values: dict[int, list[str]] = {}
         tables: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         seen: set[tuple] = set()
-        for item, text in sorted(rows, key=lambda r: (r[0], r[1])):
+        for item_id, text in sorted(rows, key=lambda r: (r[0], r[1])):
             template, values = canonical(text)
             key = (*template, None, *values)
-            if not template or key in seen or item in self.templates:
+            if not template or key in seen:
                 continue
             seen.add(key)
+            item = len(self.ids)
+            self.ids.append(item_id)
             self.templates[item], self.values[item] = template, short_names(template, values)
             w = min(width, len(template) // 2) if len(template) >= width else len(template)
             plain = [t not in SLOTS for t in template]
@@ -153,7 +157,7 @@ class Items:
         for item, diagonals in seeds_of.items():
             share = self.best_chain(item, diagonals, template, values)
             if share >= self.coverage:
-                found[item] = share
+                found[self.ids[item]] = max(share, found.get(self.ids[item], 0.0))
         return found
 
     def best_chain(self, item: int, diagonals: dict[int, list[int]], template: list[str], values: list[str]) -> float:
