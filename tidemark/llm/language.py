@@ -124,20 +124,15 @@ def trigram_shares(trigrams: list[np.ndarray], langs: list[int], n_langs: int) -
     return held >= np.maximum(np.ceil(texts * _FAMILIAR), np.where(texts < 20, 1, 2))[:, None]
 
 
-def least_familiarity(good: np.ndarray, bad: np.ndarray, share: float = 0.001, weight: float = 30.0) -> float:
-    """A threshold between bad texts (all but 1 %) and good ones (all but ``share``), nearer to the bad.
+def least_familiarity(good: np.ndarray, bad: np.ndarray, share: float = 0.001) -> float:
+    """A threshold between bad texts (all but 5 %) and good ones (all but ``share``), nearer to the bad.
 
-    Where the two overlap, the one of least cost; a good text rejected costs ``weight`` bad ones kept.
+    Where the two overlap, the bad texts' bound, but at most what all but five times ``share`` of the good have.
     """
     if not len(good) or not len(bad):
         return 0.0
-    low, high = float(np.quantile(bad, 0.99)), float(np.quantile(good, share))
-    if low < high:
-        return low + (high - low) / 4
-    edges = np.unique(np.concatenate([[0.0], good, bad]))
-    lost = np.searchsorted(np.sort(good), edges) / len(good)
-    kept = 1 - np.searchsorted(np.sort(bad), edges) / len(bad)
-    return float(edges[int(np.argmin(weight * lost + kept))])
+    low, high = float(np.quantile(bad, 0.95)), float(np.quantile(good, share))
+    return low + (high - low) / 4 if low < high else min(low, float(np.quantile(good, 5 * share)))
 
 
 def shuffled(text: str, rng: np.random.Generator) -> str:
