@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -273,28 +275,51 @@ def test_urls_of_any_depth(spark):
 
 
 def test_fingerprints(spark, docs, empty):
+    """Against an own computation of the edit and of the similarity that the samples estimate."""
+
+    def jaccard(a: str, b: str) -> float:
+        x, y = (Counter(re.findall(r"\w+", t.lower())) for t in (a, b))
+        return sum((x & y).values()) / max(sum((x | y).values()), 1) if x or y else 1.0
+
     rng = np.random.default_rng(2)
-    texts = [" ".join(rng.choice([f"w{k}" for k in range(60)], int(n))) for n in rng.integers(0, 80, 60)] + ["", "x", None]
-    df = spark.createDataFrame([(int(i), t) for i, t in zip(rng.permutation(1000)[: len(texts)], texts, strict=True)], "doc_id long, text string")
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(2000)], int(n))) for n in rng.integers(0, 80, 300)] + ["", "x", None, LONG, "same words", "same words", "日本 語"]
+    ids = rng.permutation(1000)[: len(texts)].tolist()
+    df = spark.createDataFrame(list(zip(ids, texts, ids, strict=True)), "doc_id long, text string, run long").repartition(7)
     got = {r.doc_id: r for r in fingerprints.fingerprint_documents(df).collect()}
-    rows = sorted((r.doc_id, r.text or "") for r in df.collect())
+    rows = sorted(zip(ids, [t or "" for t in texts], strict=True))
     assert len(got) == len(rows)
+    errors = []
     for k, (i, text) in enumerate(rows):
-        following = rows[(k + 1) % len(rows)][1]
-        changed = fingerprints.edited(text, following)
-        own, other, nxt = (fingerprints.sample_texts([t]) for t in (text, changed, following))
-        assert got[i].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
-        assert got[i].fingerprint == fingerprints.text_of(own[0]) and got[i].edited_fingerprint == fingerprints.text_of(other[0])
-        assert got[i].near_edited == fingerprints.likeness(own, other)[0] and got[i].near_next == fingerprints.likeness(own, nxt)[0]
-    assert fingerprints.fingerprint_documents(docs).count() == len(AWKWARD) and fingerprints.fingerprint_documents(empty).count() == 0
+        following, r = rows[(k + 1) % len(rows)][1], got[i]
+        changed = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        errors += [r.near_edited - jaccard(text, changed), r.near_next - jaccard(text, following)]
+        assert (r.near_next == 1.0) == (r.fingerprint == got[rows[(k + 1) % len(rows)][0]].fingerprint)
+        assert (r.near_edited == 1.0) == (r.fingerprint == r.edited_fingerprint)
+    assert abs(np.mean(errors)) < 0.015 and np.abs(errors).mean() < 0.05 and np.abs(errors).max() < 0.3
+    assert len({got[i].fingerprint for i, t in rows if t == "same words"}) == 1 and {got[i].fingerprint for i, t in rows if t == ""} == {""}
+    # ids alike follow each other by text; a null id comes first
+    found = [(r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.fingerprint_documents(docs).collect()]
+    order = sorted(((-1 if r[0] is None else r[0]), r[1] or "") for r in AWKWARD)
+    wanted = [
+        (None if i < 0 else i, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2]).encode()).hexdigest())
+        for k, (i, t) in enumerate(order)
+    ]
+    assert Counter(found) == Counter(wanted)
+    assert fingerprints.fingerprint_documents(empty).count() == 0
     one = fingerprints.fingerprint_documents(docs.where("doc_id = 3")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_fingerprints_of_many_empty_texts_are_bounded():
+    names = ("guest", "doc_id", "text")
+    batch = pa.RecordBatch.from_arrays([pa.array([False] * 20_000), pa.array(range(20_000), pa.int64()), pa.array([""] * 20_000)], names)
+    sizes = [b.num_rows for b in fingerprints._pairs([batch])]
+    assert sum(sizes) == 20_000 and max(sizes) <= fingerprints._FLUSH_ROWS
+
+
 def test_fingerprints_estimate_generalised_jaccard():
     rng = np.random.default_rng(3)
-    from collections import Counter
-
     errors = []
     for _ in range(100):
         a = list(rng.choice(40, 60))

@@ -7,19 +7,25 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text a Python worker turns into tokens at once; longer single texts stand alone.
+#: Bytes of text and rows a Python worker turns into objects at once; longer single texts stand alone.
 PIECE_BYTES = 2 << 20
+PIECE_ROWS = 4096
 
 
-def pieces(batch: pa.RecordBatch, *columns: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` whose text ``columns`` hold about ``limit`` bytes; whole rows only."""
+def pieces(batch: pa.RecordBatch, *columns: str, limit: int = PIECE_BYTES, rows: int = PIECE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` of at most ``rows`` rows whose ``columns`` hold about ``limit`` bytes; whole rows only.
+
+    Columns are strings, binaries or long integers that say how many bytes a row has.
+    """
     sizes = [0] * batch.num_rows
     for name in columns:
-        for i, n in enumerate(pc.binary_length(batch.column(name)).to_pylist()):
+        column = batch.column(name)
+        lengths = column if pa.types.is_integer(column.type) else pc.binary_length(column)
+        for i, n in enumerate(lengths.to_pylist()):
             sizes[i] += n or 0
     start = held = 0
     for i, n in enumerate(sizes):
-        if held and held + n > limit:
+        if i - start >= rows or (held and held + n > limit):
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += n

@@ -13,18 +13,20 @@ row is its own next. An empty table gives an empty result; other columns are ign
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import pieces
 from tidemark.llm.hashing import STEP, mix, seeds, word_hashes, words_of
 
 SAMPLES = 64
 _FLUSH_CHARS = 1 << 20
+_FLUSH_ROWS = 4096
 _FIRST = -(1 << 63)
 
 
@@ -108,55 +110,63 @@ def _result(rows: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
 
 
 def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row with the row after it; runs are sorted, the next run's first row at their end."""
+    """Each row of a run with the row after it; the next run's first row stands at the run's end.
+
+    What is held between two results is bounded by characters and by rows.
+    """
     held: list[tuple[int | None, str, str]] = []
     size = 0
-    waiting: tuple[int, int | None, str] | None = None  # the row whose next one has not come yet
-    for batch in batches:
-        for run, guest, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("run", "guest", "doc_id", "text")), strict=True):
+    waiting: tuple[int | None, str] | None = None  # the row whose next one has not come yet
+    for piece in (p for batch in batches for p in pieces(batch, "text", limit=_FLUSH_CHARS, rows=_FLUSH_ROWS)):
+        for guest, doc_id, text in zip(*(piece.column(c).to_pylist() for c in ("guest", "doc_id", "text")), strict=True):
             if waiting is not None:
-                held.append((waiting[1], waiting[2], text if waiting[0] == run else waiting[2]))
-                size += 2 * len(waiting[2])
-            waiting = None if guest else (run, doc_id, text)
-            if size > _FLUSH_CHARS:
+                held.append((*waiting, text))
+                size += 2 * len(waiting[1])
+                waiting = None
+            if not guest:
+                waiting = (doc_id, text)
+            if size > _FLUSH_CHARS or len(held) >= _FLUSH_ROWS:
                 yield _result(held)
                 held, size = [], 0
     if waiting is not None:
-        held.append((waiting[1], waiting[2], waiting[2]))
+        held.append((*waiting, waiting[1]))
     if held:
         yield _result(held)
 
 
+def place_among(bounds: list[int], key: Column) -> Column:
+    """How many of the ascending ``bounds`` lie below ``key``, looked up in two steps."""
+    if not bounds:
+        return F.lit(0)
+    width = math.isqrt(len(bounds) - 1) + 1
+    chunks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    below = lambda some, k: F.array_size(F.filter(some, lambda b: b < k))
+    whole = below(F.array(*(F.lit(c[-1]) for c in chunks)), key)
+    inside = F.get(F.array(*(F.array(*map(F.lit, c)) for c in chunks)), whole)
+    return whole * width + F.coalesce(below(inside, key), F.lit(0))
+
+
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edit, and how alike they are.
 
-    Ids are cut into as many runs as the session has shuffle partitions (their bounds, a number per run,
-    are all the driver sees). Texts move once, to their run; the first row of each run also goes to the
-    end of the run before it, so that every row finds its next one beside it.
+    Ids are cut into as many runs as the session has shuffle partitions (their bounds and first ids, two
+    numbers per run, are all the driver sees). Texts move once, run k to partition k; the first row of each
+    run also goes to the end of the run before it, so that every row finds its next one beside it.
     """
-    spark = docs.sparkSession
-    runs = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    runs = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))
-    cuts = docs.select(F.percentile_approx(key, [i / runs for i in range(1, runs)], 20 * runs).alias("q")).first().q or []
-    bounds = np.unique(np.array(cuts, dtype=np.int64))
-
-    @F.pandas_udf("int")
-    def run_of(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, k.to_numpy(), side="left").astype(np.int32))
-
-    firsts = docs.select(key.alias("k")).select("k", run_of("k").alias("run")).groupBy("run").agg(F.min("k").alias("k")).collect()
-    firsts = sorted((r.run, r.k) for r in firsts)
-    before = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}
-    first_keys = np.array([k for _, k in firsts], dtype=np.int64)
-    targets = np.array([before[k] for _, k in firsts], dtype=np.int32)
-
-    @F.pandas_udf("int")
-    def guest_of(k: pd.Series) -> pd.Series:
-        at = np.minimum(np.searchsorted(first_keys, k.to_numpy()), max(len(first_keys) - 1, 0))
-        return pd.Series(np.where(first_keys[at] == k.to_numpy(), targets[at], -1).astype(np.int32))
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), key.alias("k"))
-    rows = rows.select("doc_id", "text", "k", run_of("k").alias("own"), guest_of("k").alias("other"))
-    placed = rows.select("doc_id", "text", "k", F.posexplode(F.when(F.col("other") < 0, F.array("own")).otherwise(F.array("own", "other"))).alias("guest", "run"))
-    placed = placed.withColumn("guest", F.col("guest") > 0)
-    return placed.repartition(runs, "run").sortWithinPartitions("run", "guest", "k", "text").mapInArrow(_pairs, SCHEMA)
+    cuts = docs.select(F.percentile_approx(key, [i / runs for i in range(1, runs)], 10 * runs).alias("q")).first().q or []
+    own = place_among(sorted(set(cuts)), key)
+    firsts = sorted((r.run, r.k) for r in docs.select(key.alias("k"), own.alias("run")).groupBy("run").agg(F.min("k").alias("k")).collect())
+    # the first id of a run is a guest of the run before, that of the first run one of the last
+    starts, before = [k for _, k in firsts], [run for run, _ in firsts[-1:] + firsts[:-1]]
+    at = place_among(starts, key)
+    other = F.when(F.get(_longs(starts), at) == key, F.get(_longs(before), at).cast("int"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), key.alias("k"), own.alias("own"), other.alias("other"))
+    places = F.when(F.col("other").isNull(), F.array("own")).otherwise(F.array("own", "other"))
+    placed = rows.select("doc_id", "text", "k", F.posexplode(places).alias("guest", "run")).withColumn("guest", F.col("guest") > 0)
+    return placed.repartitionById(runs, "run").sortWithinPartitions("run", "guest", "k", "text").mapInArrow(_pairs, SCHEMA)
+
+
+def _longs(values: list[int]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<long>")
