@@ -56,10 +56,21 @@ def corpus() -> list[str | None]:
 
 
 def test_depth_meets_recall():
-    depth = near.prefix_depth(0.8, near.TREES, near.FULL_DEPTH, near.RECALL)
+    depth = near.shortest_depth(0.8, near.TREES, near.FULL_DEPTH, near.RECALL)
     assert 1 - (1 - 0.8**depth) ** near.TREES >= near.RECALL and depth >= 3
 
 
+def test_prefixes_shorten_until_the_recall():
+    shortest = near.shortest_depth(0.8, near.TREES, near.FULL_DEPTH, near.RECALL)
+    step = lambda found, depth: near.next_depth(np.array(found, dtype=float), 0.8, near.TREES, depth, shortest, near.RECALL)
+    copies, border = [0] * 19 + [10**6], [10**6] + [0] * 19
+    assert step([0] * 20, near.FULL_DEPTH) == shortest  # nothing found proves nothing
+    assert step(copies, near.FULL_DEPTH) is None  # nearly equal texts meet at the full depth
+    assert step(border, near.FULL_DEPTH) == shortest and step(border, shortest) is None
+    middle = [0] * 4 + [10**6] + [0] * 15
+    assert shortest < step(middle, near.FULL_DEPTH) < near.FULL_DEPTH
+
+
 def test_near_against_brute_force(spark):
     texts = corpus()
     df = spark.createDataFrame([(k, t, "x", "y") for k, t in enumerate(texts)], "doc_id long, text string, content string, root string")
@@ -72,14 +83,37 @@ def test_near_against_brute_force(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(roots))
 
 
+def test_near_of_a_group_over_many_blocks(spark):
+    """One group of near copies, of which many pairs are near the threshold, against all pairs."""
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in rng.integers(0, 900, 150)]
+    texts = []
+    for _ in range(250):
+        c = list(base)
+        for _ in range(int(rng.integers(0, 4))):
+            c[int(rng.integers(0, len(c)))] = f"x{rng.integers(0, 50)}"
+        texts.append(" ".join(c))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    roots, links = brute(texts)
+    for block in (near.BLOCK, 40):
+        found = {r.doc_id: r for r in near.near_classes(df, block=block).collect()}
+        assert [found[k].class_id for k in range(len(texts))] == roots
+        assert sum(found[k].n_links for k in range(len(texts))) >= 0.999 * sum(links)
+        assert all(found[k].n_links <= links[k] for k in range(len(texts)))
+
+
 def test_near_awkward_rows(spark):
-    schema = "doc_id long, text string, lang string"
+    schema = "doc_id long, text string, id string, own string, whole long"
     long_text = "some words of text " * 20_000
-    rows = [(1, "a b c d e f g", "x"), (1, "a b c d e f g", "x"), (None, "a b c d e f g", "x"), (2, None, None), (2, None, None), (3, long_text, "x"), (4, long_text + "end", "x")]
-    df = spark.createDataFrame(rows, schema)
+    texts = [(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (2, None), (2, None), (3, long_text), (4, long_text + "end"), (5, " ".join(f"t{k}" for k in range(50_000)))]
+    df = spark.createDataFrame([(i, t, "x", "y", 7) for i, t in texts], schema)
     found = sorted(((r.doc_id or -1), r.class_id, r.n_links) for r in near.near_classes(df).select("doc_id", "class_id", "n_links").collect())
-    assert found == [(-1, 1, 2), (1, 1, 2), (1, 1, 2), (2, 2, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0)] or found[-2:] == [(3, 3, 1), (4, 3, 1)]
-    assert near.keep_one(df).count() >= 3
+    # four shingles against the same and one more: 0.8
+    assert found == [(-1, 1, 2), (1, 1, 2), (1, 1, 2), (2, 2, 0), (2, 2, 0), (3, 3, 1), (4, 3, 1), (5, 5, 0)]
+    kept = near.keep_one(df)
+    assert kept.columns == df.columns and kept.schema == df.schema
+    # a null id is the least of its class
+    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 2, 3, 5]
     assert near.near_classes(df.limit(0)).count() == 0 and near.keep_one(df.limit(0)).count() == 0
 
 

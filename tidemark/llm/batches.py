@@ -1,4 +1,4 @@
-"""Arrow batches in bounded pieces, and groups streamed out of sorted partitions."""
+"""Arrow batches in bounded pieces."""
 
 from __future__ import annotations
 
@@ -49,19 +49,3 @@ def by_piece(
                 yield work(piece)
 
     return run
-
-
-def groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
-    """Runs of rows with equal ``keys`` in a partition sorted by them; one run is held at a time."""
-    current: tuple | None = None
-    rows: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            key = tuple(row[k] for k in keys)
-            if key != current:
-                if rows:
-                    yield current, rows
-                current, rows = key, []
-            rows.append(row)
-    if rows:
-        yield current, rows
