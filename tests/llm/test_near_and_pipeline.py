@@ -10,9 +10,9 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import components, decontaminate, language, near
+from tidemark.llm import components, language, near
 from tidemark.llm.queries import VOCABULARY
-from tests.llm.test_text_operators import brute_spans
+from tests.llm.test_text_operators import brute_leaks, brute_spans
 
 
 def shingles(text: str | None) -> set:
@@ -157,8 +157,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert not {500, 501} & {r[0] for r in left}
     roots, _ = brute([r[1] for r in left])
     left = [left[k] for k in sorted(set(roots))]
-    items = decontaminate.Items([(1, question)])
-    left = [r for r in left if not decontaminate.find_leaks(r[1], items)]
+    left = [r for r in left if not brute_leaks(r[1], [(1, question)])]
     reference = Tokenizer.from_file(VOCABULARY)
     want = {}
     for doc_id, text, *_ in left:

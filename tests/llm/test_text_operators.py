@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, chat, decontaminate, fingerprints, language, licences, sample, secrets, toxicity, urls
@@ -165,42 +166,99 @@ def test_decontamination(spark, docs, empty):
     df = spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "doc_id long, text string")
     found = {r.doc_id: r.leaked for r in decontaminate.judge_documents(df, bench).collect()}
     assert found == {k: want for k, (_, want) in cases.items()}
-    # one block of windows after the other gives the same
-    assert {r.doc_id: r.leaked for r in decontaminate.judge_documents(df, bench, block=10).collect()} == found
     assert not decontaminate.consistent(["1", "1"], ["2", "3"]) and decontaminate.consistent(["1", "1", "2"], ["5", "5", "6"])
-    kept = decontaminate.keep_clean(docs, bench)
-    assert kept.columns == docs.columns and kept.count() == len(AWKWARD)
+    clash = docs.withColumn("content", F.lit("x")).withColumn("items", F.lit(1)).withColumn("_items", F.lit(2)).withColumn("whole", F.lit(3))
+    kept = decontaminate.keep_clean(clash, bench)
+    assert kept.schema == clash.schema and Counter(map(str, kept.collect())) == Counter(map(str, clash.collect()))
     assert decontaminate.keep_clean(empty, bench).count() == 0 and decontaminate.keep_clean(docs, bench.limit(0)).count() == len(AWKWARD)
 
 
+def brute_leaks(text: str, items: list[tuple[int, str]]) -> dict[int, float]:
+    """Items whose chain covers enough, with windows compared one by one as tuples of tokens."""
+    doc, out = decontaminate.canonical(text), {}
+    for item_id, item_text in items:
+        item = decontaminate.canonical(item_text)
+        w = decontaminate.item_width(len(item[0]), decontaminate.WIDTH)
+        windows = [item[0][p : p + w] for p in range(len(item[0]) - w + 1)]
+        hits = [(a, p) for p, x in enumerate(windows) if set(x) - decontaminate.SLOTS for a in range(len(doc[0]) - w + 1) if doc[0][a : a + w] == x]
+        if (share := decontaminate.leak_share(item, doc, hits)) >= decontaminate.COVERAGE:
+            out[item_id] = max(share, out.get(item_id, 0))
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    """Random questions with other names, numbers and units inside random prose, and prose alone."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"{a}{b}" for a in "bcdfghklm" for b in ("an", "ore", "ist", "ul", "emo")]
+    names, units = ["Maria", "New York", "Salt Lake City", "Li", "Anna Maria"], ["km", "hours", "kg"]
+
+    def question() -> list[str]:
+        return [str(x) for x in rng.choice([*vocabulary, "{name}", "{num} {unit}", "{num}"], int(rng.integers(6, 30)), p=[0.8 / len(vocabulary)] * len(vocabulary) + [0.08, 0.06, 0.06])]
+
+    def filled(words: list[str]) -> str:
+        chosen = {k: iter(rng.permutation(v).tolist() * 20) for k, v in (("name", names), ("unit", units), ("num", [str(n) for n in range(2, 99)]))}
+        return " ".join(re.sub(r"\{(\w+)\}", lambda m: next(chosen[m[1]]), w) for w in words)
+
+    asked = [question() for _ in range(25)]
+    bench = [(k, "Well " + filled(q)) for k, q in enumerate(asked)] + [(None, "what a pity that this question has no number"), (3, "a second text of item three that stands alone")]
+    prose = lambda: " ".join(rng.choice(vocabulary, int(rng.integers(0, 60))))
+    texts = [f"{prose()} well {filled(asked[int(rng.integers(0, 25))])} {prose()}" for _ in range(60)] + [prose() for _ in range(40)]
+    texts += ["oh what a pity that this question has no number", "A second text of item three that stands alone", "", None, texts[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.judge_documents(df, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    found = 0
+    for k, text in enumerate(texts):
+        want = brute_leaks(text or "", [(-1 if i is None else i, t) for i, t in bench])
+        assert got[k]["items"] == sorted(i for i in want if i >= 0), (k, text)
+        assert got[k].n_items == len(want) and got[k].leaked == bool(want) and abs(got[k].coverage - max(want.values(), default=0)) < 1e-9
+        found += bool(want)
+    assert found > 50 and got[100].leaked and got[100]["items"] == [] and got[101]["items"] == [3]
+
+
+def test_templates_of_many_texts_at_once():
+    rng = np.random.default_rng(5)
+    tokens = "a the Maria Lopez 12 3.5 kg km % . ! ? \n Hours hours 7 Z ñandú Été ٣ _ - ( New York".split(" ")
+    for _ in range(300):
+        texts = [" ".join(rng.choice(tokens, int(rng.integers(0, 25)))) for _ in range(5)]
+        hashes, slot, counts = decontaminate.template_hashes(texts)
+        plain = [decontaminate.canonical(t)[0] for t in texts]
+        assert counts.tolist() == [len(x) for x in plain] and slot.tolist() == [y in decontaminate.SLOTS for x in plain for y in x]
+        pairs = set(zip(hashes.tolist(), (y for x in plain for y in x), strict=True))
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
 def test_decontamination_over_shifts():
     text = "A train leaves Boston at 7 hours and Maria travels 120 km to Denver before noon, how far is it then?"
-    items = decontaminate.Items([(1, text), (2, "the quick red fox jumps over one lazy dog today")])
+    items = [(1, text), (2, "the quick red fox jumps over one lazy dog today")]
     leaks = {
+        "another name": text.replace("Denver", "Salt Lake City"),
+        "other names": text.replace("Boston", "New York").replace("Denver", "Las Vegas"),
         "more names": "A train leaves New York at 7 hours and Maria Lopez travels 1 200 km to Salt Lake City before noon, how far is it then?",
         "a word more": "A train leaves Boston at 7 hours and today Maria travels 120 km to Denver before noon, how far is it then?",
         "a word less": "A train leaves Boston at 7 hours and Maria travels 120 km Denver before noon, how far is it then?",
     }
     for name, leak in leaks.items():
-        assert decontaminate.find_leaks(leak, items).get(1, 0) >= 0.7, name
+        assert brute_leaks(leak, items).get(1, 0) >= 0.7, name
     words = text.split()
     for k in range(1, len(words)):  # a word more at every place
-        assert 1 in decontaminate.find_leaks(" ".join([*words[:k], "well", *words[k:]]), items), k
-    assert 2 in decontaminate.find_leaks("the quick red fox jumps right over one lazy dog today", items)
+        assert 1 in brute_leaks(" ".join([*words[:k], "well", *words[k:]]), items), k
+    assert 2 in brute_leaks("the quick red fox jumps right over one lazy dog today", items)
     # halves that contradict each other, stand in the wrong order or far apart are no leak
-    twice = decontaminate.Items([(3, "if Anna has 5 red apples in one big basket then how many of the 5 apples can Anna give away today")])
-    assert 3 in decontaminate.find_leaks("if Petra has 8 red apples in one big basket well then how many of the 8 apples can Petra give away today", twice)
-    assert not decontaminate.find_leaks("if Petra has 8 red apples in one big basket well then how many of the 9 apples can Maria give away today", twice)
-    assert not decontaminate.find_leaks("how many of the 5 apples can Anna give away today if Anna has 5 red apples in one big basket then", twice)
-    assert not decontaminate.find_leaks("if Anna has 5 red apples in one big basket then " + "well " * 60 + "how many of the 5 apples can Anna give away today", twice)
+    twice = [(3, "if Anna has 5 red apples in one big basket then how many of the 5 apples can Anna give away today")]
+    assert 3 in brute_leaks("if Petra has 8 red apples in one big basket well then how many of the 8 apples can Petra give away today", twice)
+    assert not brute_leaks("if Petra has 8 red apples in one big basket well then how many of the 9 apples can Maria give away today", twice)
+    assert not brute_leaks("how many of the 5 apples can Anna give away today if Anna has 5 red apples in one big basket then", twice)
+    assert not brute_leaks("if Anna has 5 red apples in one big basket then " + "well " * 60 + "how many of the 5 apples can Anna give away today", twice)
 
 
 def test_decontamination_of_repeated_ids(spark):
     texts = ["how many red apples fit into the green basket of the farmer", "which river runs through the old town before it meets the sea"]
     bench = spark.createDataFrame([(0, t) for t in texts], "item_id long, text string")
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for block in (10, 10_000):
-        assert {r.doc_id: r["items"] for r in decontaminate.judge_documents(df, bench, block=block).collect()} == {0: [0], 1: [0]}
+    assert {r.doc_id: r["items"] for r in decontaminate.judge_documents(df, bench).collect()} == {0: [0], 1: [0]}
+    # equal texts under several ids are one item, with the least id
+    bench = spark.createDataFrame([(5, texts[0]), (2, texts[0]), (None, texts[0])], "item_id long, text string")
+    assert {r.doc_id: r["items"] for r in decontaminate.judge_documents(df, bench).collect()} == {0: [2], 1: []}
 
 
 def brute_spans(text: str) -> list[tuple[int, int, int]]:

@@ -12,9 +12,16 @@ when its tokens cover ``coverage`` of the item. Windows are half as long as an i
 ``width`` tokens, so that one edit leaves one whole; items shorter than ``width`` are one window by
 themselves.
 
+Both sides stay distributed. The documents' windows pass a Bloom filter of the benchmark's, whose bits are
+bounded by ``FILTER_BITS``: what it lets through by mistake is dropped by the join. Only documents with a
+window that passes move, one of each text, with their places; the join by hash gives pairs of a text and an
+item, and these are aligned. The leaking texts meet the documents again by their SHA-256.
+
 Windows made of slots alone match nothing. Null, empty and short texts have no windows and are clean.
-Texts of any length are read whole. Repeated documents are judged alike, row by row; repeated items
-count as the one with the smallest id; different texts under one id are all searched. Empty tables on either side give rows without items, or none.
+Texts of any length are read whole. Repeated documents are judged alike, row by row; items with equal
+templates and values count as one with the smallest id; different texts under one id are all searched. An
+item without id is searched too: it counts as one more item, but ``items`` lists ids only. Empty tables on
+either side give rows without items, or none. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +31,13 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import by_piece, texts_of
-from tidemark.llm.hashing import seeds, word_hashes
+from tidemark.llm.hashing import STEP, mix, seeds, word_hashes
+from tidemark.llm.storage import cut
 
 #: Words that are units when they follow a number.
 UNITS = frozenset(
@@ -44,8 +53,11 @@ COVERAGE = 0.7
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 SLOTS = frozenset((NUM, NAME, UNIT))
 _MARKS = frozenset(".!?\n")
-#: Documents and benchmark meet in a broadcast of at most this many benchmark windows.
-BROADCAST_WINDOWS = 4_000_000
+_SYMBOLS = frozenset("%$€£°")
+#: The filter has about 256 bits a window, but never more than these: 16 MB, whatever the benchmark.
+FILTER_BITS = 1 << 27
+#: Up to so many leaking texts (32 bytes each) are broadcast; beyond, rows meet them by a shuffle.
+BROADCAST_TEXTS = 200_000
 
 
 def canonical(text: str) -> tuple[list[str], list[str]]:
@@ -61,7 +73,7 @@ def canonical(text: str) -> tuple[list[str], list[str]]:
         if raw[0].isdigit():
             token, last_number = NUM, True
         else:
-            if (last_number and low in UNITS) or raw in "%$€£°":
+            if (last_number and low in UNITS) or raw in _SYMBOLS:
                 token = UNIT
             elif not start and raw != low:
                 token = NAME
@@ -77,6 +89,84 @@ def canonical(text: str) -> tuple[list[str], list[str]]:
     return template, values
 
 
+#: What a raw token is, in the low bits of its hash: a mark, number, unit symbol or word; capitalised; a unit's name.
+_MARK, _NUMBER, _SYMBOL, _WORD, _CAPITAL, _UNIT_WORD, _BITS = 0, 1, 2, 3, 4, 8, 15
+_CACHE_TOKENS = 300_000
+
+
+class _Tokens(dict):
+    """raw token -> hash of its lower case with what it is; emptied when it holds too many."""
+
+    def __missing__(self, raw: str) -> int:
+        if len(self) >= _CACHE_TOKENS:
+            self.clear()
+        low = raw.lower()
+        if raw in _MARKS or raw in _SYMBOLS:
+            kind = _MARK if raw in _MARKS else _SYMBOL
+        elif raw[0].isdigit():
+            kind = _NUMBER
+        else:
+            kind = _WORD | (_CAPITAL if raw != low else 0) | (_UNIT_WORD if low in UNITS else 0)
+        value = self[raw] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")) & ~_BITS | kind
+        return value
+
+
+_tokens = _Tokens()
+
+
+def template_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the template tokens of all texts, whether each is a slot, and their number per text.
+
+    The same templates as ``canonical``'s, for many texts at once and without the values.
+    """
+    raw: list[str] = []
+    counts = np.empty(len(texts), dtype=np.int64)
+    for i, text in enumerate(texts):
+        found = TOKEN.findall(text)
+        counts[i] = len(found)
+        raw += found
+    value = np.fromiter(map(_tokens.__getitem__, raw), dtype=np.uint64, count=len(raw))
+    owner = np.repeat(np.arange(len(texts)), counts)
+    what = (value & np.uint64(_BITS)).astype(np.int8)
+    place = np.flatnonzero(what != _MARK)
+    value, what, owner = value[place], what[place], owner[place]
+    first = np.diff(owner, prepend=-1) != 0
+    start = first | (np.diff(place, prepend=-1) != 1)
+    after = lambda x: np.concatenate((x[:1], x[:-1]))
+    kind = what & 3
+    unit = (kind == _SYMBOL) | ((what & _UNIT_WORD > 0) & (after(kind) == _NUMBER) & ~first)
+    slot = np.where(kind == _NUMBER, 1, np.where(unit, 2, np.where((what & _CAPITAL > 0) & ~start, 3, 0)))
+    kept = ~((slot > 0) & ~start & (slot == after(slot)))
+    hashes = np.where(slot > 0, _SLOT_HASHES[slot], value & ~np.uint64(_BITS))
+    return hashes[kept], slot[kept] > 0, np.bincount(owner[kept], minlength=len(texts))
+
+
+_SLOT_HASHES = np.concatenate((np.zeros(1, np.uint64), word_hashes([NUM, UNIT, NAME])))
+
+
+def window_hashes(tokens: np.ndarray, counts: np.ndarray, widths: list[int]):
+    """For each width: the width, where each text's windows start among ``tokens``, and their hashes."""
+    position = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts)
+    left = np.repeat(counts, counts) - position
+    factors = seeds(max(widths, default=0), 5) | np.uint64(1)
+    rolled = np.zeros(len(tokens), dtype=np.uint64)
+    for j in range(max(widths, default=0)):
+        rolled[: max(len(tokens) - j, 0)] += tokens[j:] * factors[j]
+        if j + 1 in widths:
+            at = np.flatnonzero(left > j)
+            yield j + 1, at, mix(rolled[at] + np.uint64(j + 1) * STEP)
+
+
+def filter_places(hashes: np.ndarray, bits: int, k: int) -> np.ndarray:
+    """The ``k``-th place of each hash in a filter of ``bits`` (a power of two)."""
+    return (hashes + np.uint64(k) * (hashes >> np.uint64(32) | np.uint64(1))) & np.uint64(bits - 1)
+
+
+def item_width(size: int, width: int) -> int:
+    """The length of the windows of an item of ``size`` tokens."""
+    return min(width, size // 2) if size >= width else size
+
+
 def consistent(item: list[str], doc: list[str]) -> bool:
     """Whether the two lists of slot values stand in one-to-one correspondence."""
     pairs = set(zip(item, doc, strict=True))
@@ -95,111 +185,50 @@ def short_names(template: list[str], values: list[str]) -> list[str]:
     return out
 
 
-def window_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
-    """A hash for each run of ``width`` tokens."""
-    factors = seeds(width, 5) | np.uint64(1)
-    n = len(tokens) - width + 1
-    out = np.zeros(max(n, 0), dtype=np.uint64)
-    for j in range(width if n > 0 else 0):
-        out += tokens[j : j + n] * factors[j]
-    return out
-
-
-class Items:
-    """The benchmark: every item's template and values, and its windows sorted by hash.
+def leak_share(item: tuple[list[str], list[str]], doc: tuple[list[str], list[str]], hits: list[tuple[int, int]], width: int = WIDTH, coverage: float = COVERAGE) -> float:
+    """The largest share of the item under one consistent chain; ``hits`` are places (document, item) where windows agree.
 
-    Windows of the full width have one table; an item shorter than that has one in the table of its length.
+    ``item`` and ``doc`` are templates with their values, as ``canonical`` gives them.
     """
+    own, item_values = item[0], short_names(*item)
+    template, values = doc
+    size, w = len(own), item_width(len(own), width)
+    diagonals = sorted({at - place for at, place in hits if own[place : place + w] == template[at : at + w]})
+    best = 0.0
+    # windows whose diagonals are within the item's length of each other may share a chain
+    start = 0
+    for k in range(1, len(diagonals) + 1):
+        if k < len(diagonals) and diagonals[k] - diagonals[k - 1] <= size:
+            continue
+        found = equal_runs(own, template, diagonals[start:k], width)
+        start = k
+        if found:
+            low = min(p + d for p, _, d in found)
+            high = max(end + d for _, end, d in found)
+            region = short_names(template[low:high], values[low:high])
+            best = max(best, chain(found, own, item_values, region, low, coverage) / size)
+    return best
 
-    def __init__(self, rows: list[tuple[int, str]], width: int = WIDTH, coverage: float = COVERAGE):
-        self.width, self.coverage = width, coverage
-        # items go by running number: one id may have several texts
-        self.ids: list[int] = []
-        self.templates: dict[int, list[str]] = {}
-        self.values: dict[int, list[str]] = {}
-        tables: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        seen: set[tuple] = set()
-        for item_id, text in sorted(rows, key=lambda r: (r[0], r[1])):
-            template, values = canonical(text)
-            key = (*template, None, *values)
-            if not template or key in seen:
-                continue
-            seen.add(key)
-            item = len(self.ids)
-            self.ids.append(item_id)
-            self.templates[item], self.values[item] = template, short_names(template, values)
-            w = min(width, len(template) // 2) if len(template) >= width else len(template)
-            plain = [t not in SLOTS for t in template]
-            for at, h in enumerate(window_hashes(word_hashes(template), w).tolist()):
-                if any(plain[at : at + w]):
-                    tables[w].append((h, item, at))
-        self.tables = {}
-        for w, found in tables.items():
-            found.sort()
-            self.tables[w] = (np.array([h for h, _, _ in found], dtype=np.uint64), [x[1:] for x in found])
-
-    def matches(self, template: list[str], values: list[str], hashes: np.ndarray) -> dict[int, float]:
-        """Item -> covered share, for the items that the document leaks."""
-        seeds_of: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for w, (keys, places) in self.tables.items():
-            if len(hashes) < w:
-                continue
-            own = window_hashes(hashes, w)
-            slot = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-            for at in np.flatnonzero(keys[slot] == own).tolist():
-                k = int(slot[at])
-                while k < len(keys) and keys[k] == own[at]:
-                    item, place = places[k]
-                    if self.templates[item][place : place + w] == template[at : at + w]:
-                        seeds_of[item][at - place].append(place)
-                    k += 1
-        found: dict[int, float] = {}
-        for item, diagonals in seeds_of.items():
-            share = self.best_chain(item, diagonals, template, values)
-            if share >= self.coverage:
-                found[self.ids[item]] = max(share, found.get(self.ids[item], 0.0))
-        return found
-
-    def best_chain(self, item: int, diagonals: dict[int, list[int]], template: list[str], values: list[str]) -> float:
-        """The largest share of the item under one consistent chain; ``diagonals`` holds where windows agree."""
-        own = self.templates[item]
-        size = len(own)
-        best = 0.0
-        # windows whose diagonals are within the item's length of each other may share a chain
-        ordered = sorted(diagonals)
-        start = 0
-        for k in range(1, len(ordered) + 1):
-            if k < len(ordered) and ordered[k] - ordered[k - 1] <= size:
+
+def equal_runs(own: list[str], template: list[str], group: list[int], width: int) -> list[tuple[int, int, int]]:
+    """(begin, end, diagonal) of the item's runs that the document holds on diagonals near ``group``."""
+    size = len(own)
+    near = sorted({d + k for d in group for k in range(-width, width + 1)})
+    least = min(RUN, size)
+    out = []
+    for d in near:
+        p, end = max(0, -d), min(size, len(template) - d)
+        while p < end:
+            if own[p] != template[p + d]:
+                p += 1
                 continue
-            group = ordered[start:k]
-            start = k
-            runs = self.runs(own, template, group)
-            if runs:
-                low = min(p + d for p, _, d in runs)
-                high = max(end + d for _, end, d in runs)
-                region = short_names(template[low:high], values[low:high])
-                best = max(best, chain(runs, own, self.values[item], region, low, self.coverage) / size)
-        return best
-
-    def runs(self, own: list[str], template: list[str], group: list[int]) -> list[tuple[int, int, int]]:
-        """(begin, end, diagonal) of the item's runs that the document holds on diagonals near ``group``."""
-        size = len(own)
-        near = sorted({d + k for d in group for k in range(-self.width, self.width + 1)})
-        least = min(RUN, size)
-        out = []
-        for d in near:
-            p, end = max(0, -d), min(size, len(template) - d)
-            while p < end:
-                if own[p] != template[p + d]:
-                    p += 1
-                    continue
-                q = p + 1
-                while q < end and own[q] == template[q + d]:
-                    q += 1
-                if q - p >= least and any(t not in SLOTS for t in own[p:q]):
-                    out.append((p, q, d))
-                p = q
-        return out
+            q = p + 1
+            while q < end and own[q] == template[q + d]:
+                q += 1
+            if q - p >= least and any(t not in SLOTS for t in own[p:q]):
+                out.append((p, q, d))
+            p = q
+    return out
 
 
 def chain(
@@ -242,71 +271,147 @@ def chain(
     return best
 
 
-def find_leaks(text: str, items: Items) -> dict[int, float]:
-    template, values = canonical(text)
-    return items.matches(template, values, word_hashes(template))
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, item_text): one row for each template with its values."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = []
+        for text in texts_of(batch):
+            template, values = canonical(text)
+            keys.append(xxhash.xxh128_digest("\0".join((*template, "", *values)).encode("utf-8", "surrogatepass")) if template else None)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column("item_id"), batch.column("text")], ["item", "item_id", "item_text"])
+
+    rows = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    keyed = rows.mapInArrow(by_piece(work, "text"), "item binary, item_id long, item_text string").where("item is not null")
+    return cut(keyed.groupBy("item").agg(F.min("item_id").alias("item_id"), F.min("item_text").alias("item_text")))
+
+
+def _windows(items: DataFrame, width: int) -> DataFrame:
+    """(hash, item, place): the windows of the benchmark that are not made of slots alone, and their width ``w``."""
 
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tokens, slot, counts = template_hashes(texts_of(batch, "item_text"))
+        owner = np.repeat(np.arange(len(counts)), counts)
+        wanted = np.array([item_width(n, width) for n in counts.tolist()], dtype=np.int64)[owner]
+        starts = (np.cumsum(counts) - counts)[owner]
+        plain = np.concatenate(([0], np.cumsum(~slot)))
+        parts: list[tuple] = []
+        for w, at, hashes in window_hashes(tokens, counts, list(range(1, width + 1))):
+            use = (wanted[at] == w) & (plain[at + w] > plain[at])
+            at = at[use]
+            parts.append((np.full(len(at), w), hashes[use].view(np.int64), owner[at], at - starts[at]))
+        w, h, o, p = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(w, pa.int32()), pa.array(h, pa.int64()), batch.column("item").take(pa.array(o)), pa.array(p, pa.int32())], ["w", "hash", "item", "place"]
+        )
 
-SCHEMA = "doc_id long, leaked boolean, n_items long, items array<long>, coverage double"
+    return cut(items.mapInArrow(by_piece(work, "item_text"), "w int, hash long, item binary, place int"))
 
 
-def _blocks(benchmark: DataFrame, block: int) -> list[list[tuple[int, str]]]:
-    """The benchmark in blocks of about ``block`` windows, each small enough to broadcast."""
-    out: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    rows = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").distinct()
-    for r in rows.orderBy("item_id", "text").toLocalIterator():
-        windows = len(r.text) // 2 + 1
-        if size + windows > block and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((r.item_id, r.text))
-        size += windows
+def _filter(windows: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of the windows, as words of 64 bits: at most ``FILTER_BITS``, whatever their number ``n``."""
+    bits = min(FILTER_BITS, 1 << max(16, (256 * n - 1).bit_length()))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes = batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64)
+        at = np.unique(np.concatenate([filter_places(hashes, bits, k) for k in range(3)]))
+        words = (at >> np.uint64(6)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(words), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "bits"])
+
+    set_bits = windows.select("hash").mapInArrow(by_piece(work), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, dtype=np.uint64)
+    out[set_bits.column("word").to_numpy()] = set_bits.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def search(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE, block: int = BROADCAST_WINDOWS) -> DataFrame:
-    """The leaked items of each document.
+def _content() -> F.Column:
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("content")
 
-    The benchmark is a stated set of questions: it is joined by hash, in blocks whose number of windows
-    is at most ``block``, each broadcast, with all documents in one pass per block. One block is the
-    usual case; documents are never shuffled.
-    """
-    blocks = _blocks(benchmark, block)
-    found = docs
-    for n, rows in enumerate(blocks):
-        found = _search_block(found, Items(rows, width, coverage), first=n == 0)
-    return found
 
+def _passing(docs: DataFrame, windows: DataFrame, n: int) -> DataFrame:
+    """(content, text, hash, at): the texts with windows that pass the filter, and those windows."""
+    widths = sorted(r.w for r in windows.select("w").distinct().collect())
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(windows, n))
 
-def _search_block(docs: DataFrame, items: Items, first: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    columns = [f for f in docs.schema.fields if f.name not in ("_items", "_coverage")]
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = shared.value
+        bits = len(words) << 6
+        tokens, _, counts = template_hashes(texts_of(batch))
+        owner, starts = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts) - counts
+        found = [(np.empty(0, np.int64), np.empty(0, np.uint64))]
+        for _, at, hashes in window_hashes(tokens, counts, widths):
+            for k in range(3):
+                place = filter_places(hashes, bits, k)
+                ok = (words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)) > 0
+                at, hashes = at[ok], hashes[ok]
+            found.append((at, hashes))
+        at, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(at, kind="stable")
+        at, hashes = at[order], hashes[order]
+        texts, number = np.unique(owner[at], return_counts=True)
+        ends = pa.array(np.concatenate(([0], np.cumsum(number))), pa.int32())
+        own = at - starts[owner[at]]
+        rows = pa.array(texts, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("content").take(rows), batch.column("text").take(rows),
+                pa.ListArray.from_arrays(ends, pa.array(hashes.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(own, pa.int32())),
+            ],
+            ["content", "text", "hash", "at"],
+        )
+
+    passed = docs.select(_content(), "text").mapInArrow(by_piece(work, "text"), "content binary, text string, hash array<long>, at array<int>")
+    return cut(passed.groupBy("content").agg(*(F.first(c).alias(c) for c in ("text", "hash", "at"))))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE) -> DataFrame:
+    """(content, items, n_items, coverage) of each text of ``docs`` that leaks an item."""
+    items = _items(benchmark)
+    windows = _windows(items, width)
+    passed = _passing(docs, windows, windows.count())
+    hits = passed.select("content", F.explode(F.arrays_zip("hash", "at")).alias("hit")).select("content", "hit.*")
+    hits = hits.join(windows.select("hash", "item", "place"), "hash")
+    pairs = cut(hits.groupBy("content", "item").agg(F.collect_list(F.struct("at", "place")).alias("hits")))
+    both = pairs.join(items, "item").join(passed.select("content", "text"), "content")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        new = [find_leaks(t, shared.value) for t in texts_of(batch)]
-        old = [[] for _ in new] if first else batch.column("_items").to_pylist()
-        top = [0.0 for _ in new] if first else batch.column("_coverage").to_pylist()
-        ids = [sorted({*a, *b}) for a, b in zip(old, new, strict=True)]
-        share = [max([s, *b.values()]) for s, b in zip(top, new, strict=True)]
+        contents, shares = batch.column("content").to_pylist(), []
+        last: tuple = (None, None)
+        for content, text, item, hit in zip(contents, texts_of(batch), texts_of(batch, "item_text"), batch.column("hits").to_pylist(), strict=True):
+            if content != last[0]:  # the pairs of a text stand together
+                last = (content, canonical(text))
+            shares.append(leak_share(canonical(item), last[1], [(h["at"], h["place"]) for h in hit], width, coverage))
+        keep = [i for i, x in enumerate(shares) if x >= coverage]
+        rows = pa.array(keep, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [*(batch.column(f.name) for f in columns), pa.array(ids, pa.list_(pa.int64())), pa.array(share, pa.float64())],
-            [*(f.name for f in columns), "_items", "_coverage"],
+            [batch.column("content").take(rows), batch.column("item_id").take(rows), pa.array([shares[i] for i in keep], pa.float64())], ["content", "item_id", "share"]
         )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns) + ", _items array<long>, _coverage double"
-    return docs.mapInArrow(by_piece(work, "text"), schema)
+    found = both.select("content", "text", "item_id", "item_text", "hits").mapInArrow(by_piece(work, "text"), "content binary, item_id long, share double")
+    ids = F.array_sort(F.collect_set("item_id"))
+    nameless = F.max(F.col("item_id").isNull().cast("long"))
+    return cut(found.groupBy("content").agg(ids.alias("items"), (F.size(ids) + nameless).alias("n_items"), F.max("share").alias("coverage")))
+
+
+def _beside(texts: DataFrame) -> DataFrame:
+    """``texts``, to be broadcast where their number allows it."""
+    return F.broadcast(texts) if texts.count() <= BROADCAST_TEXTS else texts
 
 
 def judge_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Per row: whether it leaks items, which, and the largest covered share."""
-    found = search(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, **options)
-    return found.select(
-        "doc_id", (F.size("_items") > 0).alias("leaked"), F.size("_items").cast("long").alias("n_items"),
-        F.col("_items").alias("items"), F.col("_coverage").alias("coverage"),
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = leaks(rows, benchmark, **options)
+    joined = rows.select("doc_id", _content()).join(_beside(found.select("content", "n_items", "items", "coverage")), "content", "left")
+    return joined.select(
+        "doc_id", F.col("n_items").isNotNull().alias("leaked"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
     )
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, that leak no item."""
-    return search(docs, benchmark, **options).where(F.size("_items") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = leaks(docs.select("text"), benchmark, **options)
+    # a row travels as one value, so that its columns may have any names
+    rows = docs.select(_content(), F.struct(*docs.columns).alias("whole"))
+    return rows.join(_beside(found.select("content")), "content", "left_anti").select("whole.*")
