@@ -1,19 +1,21 @@
 """URL filters by a tree of path templates.
 
-Every host has a tree of its paths, one level per segment. Level by level a segment becomes a wildcard
-where it is variable (many different values for the pages below), and branches whose labelled share of
-bad pages does not differ from that of their siblings are merged into the wildcard too (a two-sided
-test of proportions). Each template that remains has a purity, the smoothed share of bad pages among
-its labelled ones, and is rejected from a threshold on. Given rules go before templates.
+Every host has a tree of its paths, one level per segment. Level by level, a place with more than ``kinds``
+different segments is variable and becomes a wildcard, but for segments with labels enough to tell that
+their share of bad pages differs from their siblings'. Elsewhere segments stay, but branches whose share
+does not differ (a two-sided test of proportions against the siblings) are merged into one, written
+``(de|en)``. Each template that remains has a purity, the smoothed share of bad pages among its labelled
+ones, and is rejected from a threshold on. Given rules go before templates.
 
 Trees are built from distinct (host, path) rows with their counts, so hot hosts and repeated pages are
-summed before they move; the sums of a branch's siblings come from a join on (parent, salt).
+summed before they move; a parent's sums meet its branches on (parent, salt), and names and verdicts are
+written before they meet the paths, so that adaptive execution can split a template with many paths.
 
 Null urls and urls without ``://`` have an empty host and path and belong to the template of the empty
-host. Every level that exists is judged, but a template whose labelled pages are all bad or all good, or
-that has fewer than two, stops there: no branch below it can differ, so what is left of its paths is ``*``,
-one for each segment. Repeated rows count and are judged one by
-one; without labels nothing is rejected; empty tables give no rows; other columns are ignored.
+host. Every level that exists is judged, but a template with fewer than ``least`` pages and without labels
+of both kinds stops there: what is left of its paths is ``*``, one for each segment. Repeated rows count
+and are judged one by one, null page ids among them; without labels nothing is rejected; empty tables give
+no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,51 +54,52 @@ def by_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def templates(paths: DataFrame, kinds: int = 12, support: int = 8, z: float = 1.96) -> DataFrame:
+def templates(paths: DataFrame, kinds: int = 12, support: int = 8, z: float = 1.96, least: int = 8) -> DataFrame:
     """The template of each row of ``paths`` (host, path, n, labelled, bad), as a column ``template``.
 
-    A segment stays literal when its parent has at most ``kinds`` different ones or when it holds at
-    least ``support`` labelled pages, and its share of bad pages differs from its siblings' by ``z``
-    standard errors; else it is ``*``.
+    Under a parent with more than ``kinds`` different segments, one that holds at least ``support`` labelled
+    pages and whose share of bad pages differs from its siblings' by ``z`` standard errors stays; the others
+    are ``*``. Under any other parent all segments stay, those that do not differ so as one branch.
     """
     segments = F.filter(F.split("path", "/"), lambda x: x != "")
     tree = cut(paths.withColumn("segments", segments).withColumn("template", F.col("host")))
     columns = [*paths.columns, "template"]
+    salt = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+    sums = ("n", "labelled", "bad")
     done: DataFrame | None = None
-    tree = tree.withColumn("_open", F.lit(True))
+    tree = tree.withColumn("open", F.lit(True))
     level = 0
     while True:
         left = F.size("segments") - level
-        closed = tree.where(~F.col("_open") | (left <= 0))
+        closed = tree.where(~F.col("open") | (left <= 0))
         closed = closed.withColumn("template", F.concat("template", F.repeat(F.lit("/*"), F.greatest(left, F.lit(0))))).select(*columns)
         done = closed if done is None else done.unionByName(closed)
-        tree = tree.where(F.col("_open") & (left > 0)).drop("_open")
+        tree = tree.where(F.col("open") & (left > 0)).drop("open")
         if tree.isEmpty():
             return done
         at = F.get("segments", F.lit(level))
-        below = tree.select("template", at.alias("segment"), "n", "labelled", "bad")
-        branches = below.groupBy("template", "segment").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
-        sums = branches.groupBy("template").agg(
-            F.count("*").alias("kinds"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")
-        )
-        sums = sums.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        branches = tree.select("template", at.alias("segment"), *sums).groupBy("template", "segment").agg(*(F.sum(c).alias(c) for c in sums))
+        parents = branches.groupBy("template").agg(F.count("*").alias("kinds"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
         salted = branches.withColumn("salt", F.pmod(F.xxhash64("segment"), F.lit(_SALTS)).cast("int"))
-        both = salted.join(sums, ["template", "salt"])
+        both = salted.join(parents.withColumn("salt", salt), ["template", "salt"])
         rest, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
         pooled = F.try_divide("all_bad", "all_labelled")
         error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), "labelled") + F.try_divide(F.lit(1.0), rest)))
-        differs = F.abs(F.try_divide("bad", "labelled") - F.try_divide(rest_bad, rest)) > z * error
-        enough = (F.col("kinds") <= kinds) | (F.col("labelled") >= support)
-        name = F.when(F.coalesce(differs & enough, F.lit(False)), F.col("segment")).otherwise("*")
-        named = both.withColumn("_name", name)
-        merged = named.groupBy("template", "_name").agg(F.sum("labelled").alias("_labelled"), F.sum("bad").alias("_bad"))
-        # without both kinds of labels no branch below can differ
-        merged = merged.withColumn("_open", (F.col("_bad") > 0) & (F.col("_bad") < F.col("_labelled")))
-        merged = merged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        known = named.join(merged, ["template", "_name", "salt"])
-        names = known.select(F.col("template").alias("_t"), F.col("segment").alias("_s"), "_name", "_open")
-        deeper = tree.join(names, (F.col("template") == F.col("_t")) & (at == F.col("_s")))
-        tree = cut(deeper.withColumn("template", F.concat_ws("/", "template", "_name")).drop("_t", "_s", "_name"))
+        differs = F.coalesce(F.abs(F.try_divide("bad", "labelled") - F.try_divide(rest_bad, rest)) > z * error, F.lit(False))
+        few = F.col("kinds") <= kinds
+        # a segment holds no slash, so that the marks of merged branches are no segments
+        kind = F.when(differs & (few | (F.col("labelled") >= support)), F.col("segment")).otherwise(F.when(few, "/few").otherwise("/many"))
+        marked = both.select("template", "salt", "segment", *sums, kind.alias("kind"))
+        # of the few at most ``kinds`` are listed
+        listed = F.array_sort(F.collect_set(F.when(F.col("kind") != "/many", F.col("segment"))))
+        merged = marked.groupBy("template", "kind").agg(*(F.sum(c).alias(f"{c}_here") for c in sums), listed.alias("listed"))
+        name = F.when(F.col("kind") == "/many", "*").when(F.size("listed") == 1, F.get("listed", F.lit(0))).otherwise(F.concat(F.lit("("), F.array_join("listed", "|"), F.lit(")")))
+        worth = (F.col("n_here") >= least) | ((F.col("bad_here") > 0) & (F.col("bad_here") < F.col("labelled_here")))
+        merged = merged.select("template", "kind", name.alias("name"), worth.alias("open"))
+        known = marked.select("template", "salt", "segment", "kind").join(merged.withColumn("salt", salt), ["template", "kind", "salt"])
+        names = cut(known.select(F.col("template").alias("parent"), F.col("segment").alias("own"), "name", "open"))
+        deeper = tree.join(names, (F.col("template") == F.col("parent")) & (at == F.col("own")))
+        tree = cut(deeper.withColumn("template", F.concat_ws("/", "template", "name")).drop("parent", "own", "name"))
         level += 1
 
 
@@ -118,7 +121,8 @@ def judge_pages(
     judged = tree.groupBy("template").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
     # a template is rejected on labels of its own only
     judged = judged.withColumn("purity", purity).withColumn("reject", (F.col("bad") > 0) & (F.col("purity") >= threshold))
-    per_path = cut(tree.select("host", "path", "template").join(judged.select("template", "purity", "reject"), "template"))
+    judged = cut(judged.select("template", "purity", "reject"))
+    per_path = cut(tree.select("host", "path", "template").join(judged, "template"))
     out = parsed.join(per_path, ["host", "path"], "left")
     rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
     method = F.when(F.coalesce("reject", F.lit(False)), "block").otherwise("allow")
