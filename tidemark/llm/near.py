@@ -247,14 +247,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _forest(reps: DataFrame, trees: int, full: int, shortest: int) -> DataFrame:
-    """(tree, label, rep, size), sorted: the labels that share at least the shortest prefix with another."""
-    label = F.substring("sig", F.col("tree") * (4 * full) + 1, F.lit(4 * full))
-    every = reps.select("rep", "size", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    every = every.select("rep", "size", "tree", label.alias("label"))
-    node = F.xxhash64("tree", F.substring("label", 1, 4 * shortest)).alias("node")
-    shared = cut(every.select(node).groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"))
-    inside = every.select(node, "tree", "label", "rep", "size").join(shared, "node", "left_semi").drop("node")
-    return cut(inside.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label"))
+    """(tree, label, rep, size), sorted: the labels of those that share at least one shortest prefix with another."""
+    label = F.substring("sig", F.col("tree") * (4 * full) + 1, F.lit(4 * full)).alias("label")
+    number = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    labels = lambda some: some.select("rep", "size", "sig", number).select("tree", label, "rep", "size")
+    nodes = labels(reps).select(F.xxhash64("tree", F.substring("label", 1, 4 * shortest)).alias("node"), "rep")
+    shared = cut(nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"))
+    inside = cut(nodes.join(shared, "node", "left_semi").select("rep").distinct())
+    forest = labels(reps.join(inside, "rep", "left_semi"))
+    return cut(forest.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label"))
 
 
 def _sets(docs: DataFrame, reps: DataFrame, forest: DataFrame, width: int) -> DataFrame:
