@@ -286,14 +286,31 @@ def test_secrets_against_brute_force(spark, docs, empty):
 
 
 def test_ledger_scans_only_what_it_lacks(spark):
-    old = spark.createDataFrame([(1, "token=abcdefgh1")], "doc_id long, text string")
-    first = secrets.scan_blobs(old)
-    marked = spark.createDataFrame(first.collect(), first.schema)
-    new = old.union(spark.createDataFrame([(2, "secret=zzzzzzzz9"), (3, "token=abcdefgh1")], "doc_id long, text string"))
-    after = secrets.scan_blobs(new, marked)
-    assert after.count() == 2  # one old blob, one new; the copy adds none
-    assert secrets.scan_blobs(new, marked, version="2").where("rule_version = '2'").count() == 2
-    assert {r.doc_id: len(r.spans) for r in secrets.findings(new, marked).collect()} == {1: 1, 2: 1, 3: 1}
+    key = "-----BEGIN RSA PRIVATE KEY-----"
+    history = [(1, "a.env", 1, "token=abcdefgh1"), (2, "a.env", 2, "secret=zzzzzzzz9"), (3, "b.env", 1, "token=abcdefgh1"), (4, "c.pem", 1, key), (5, "d.env", 1, None)]
+    rows = lambda n: spark.createDataFrame(history[:n], "doc_id long, path string, commit int, text string")
+    pairs = lambda df: sum(len(r.pairs) for r in df.collect())
+    ledger, new = secrets.extend_ledger(rows(1))
+    assert pairs(new) == len(secrets.RULES) and [len(r.spans) for r in new.collect()] == [1]
+    # the second version of the file is new, the copy of the first under another path is not
+    ledger, new = secrets.extend_ledger(rows(3), ledger)
+    assert pairs(new) == len(secrets.RULES) and new.count() == 1
+    assert {(r.whole.path, r.whole.commit): len(r.spans) for r in secrets.findings(rows(3), ledger).collect()} == {("a.env", 1): 1, ("a.env", 2): 1, ("b.env", 1): 1}
+    # one rule has a new version: one pair for each blob, five for the new ones
+    raised = secrets.VERSIONS | {"assign": 2}
+    ledger, new = secrets.extend_ledger(rows(5), ledger, raised)
+    assert sorted(len(r.pairs) for r in new.collect()) == [1, 1, 5, 5] and secrets.extend_ledger(rows(5), ledger, raised)[1].count() == 0
+    known = {r.blob.hex() if isinstance(r.blob, bytes) else bytes(r.blob).hex(): len(r.spans) for r in secrets.known_findings(ledger, raised).collect()}
+    assert known == {hashlib.sha256(t.encode()).hexdigest(): 1 for t in ("token=abcdefgh1", "secret=zzzzzzzz9", key)}
+    # the old version's findings stay for whoever asks for it
+    assert {r.blob.hex() if isinstance(r.blob, bytes) else bytes(r.blob).hex() for r in secrets.known_findings(ledger).collect()} == set(known)
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    clash = spark.createDataFrame([(1, "my token=abcdefgh1", "a", "b", 3), (2, None, "c", "d", 4)], "doc_id long, text string, `_blob` string, spans string, `whole` long")
+    out = secrets.redact(clash)
+    assert out.columns == clash.columns
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "my [SECRET]", "a", "b", 3), (2, None, "c", "d", 4)]
 
 
 def test_urls(spark):

@@ -1,16 +1,18 @@
 """Secret scans over an incremental ledger of blobs.
 
-Every version of every text is a blob, addressed by the SHA-256 of its content. The ledger holds what
-each blob gave under each version of the rules; only pairs that it lacks are scanned, each distinct blob
-once, and findings are joined back to all rows (paths, versions, copies) that hold the blob. Built from
-DataFrame functions alone.
+Every version of every text is a blob, addressed by the SHA-256 of its content. Every rule has a version,
+and the ledger, a table, holds which pairs of a blob and a rule's version have been scanned and what they
+gave. Only pairs that it lacks are scanned, each blob's text moving once for all its pairs, and the findings
+are joined back to all rows (paths, versions, copies) that hold the blob. A rule whose version changes is
+scanned again, the others are not; findings of versions that are not asked for stay in the ledger unused.
+Built from DataFrame functions alone.
 
 A kind's matches are leftmost and non-overlapping. Their places come from the lengths of what stands
 between them (``split``) and of the matches (``regexp_extract_all``), in code points.
 
 Null texts are the empty blob, without findings. Texts of any length are scanned whole. Repeated rows
 are rows of one blob. An empty table adds nothing to the ledger and gives no rows. Other columns are
-ignored, whatever their names.
+ignored, whatever their names; ``redact`` counts ``n_chars`` anew only where there is such a column.
 """
 
 from __future__ import annotations
@@ -38,7 +40,8 @@ RULES = {
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
 }
 BASE = ("assign", "access", "hex")
-RULE_VERSION = "1"
+#: The version of each rule as it stands above: raised whenever the rule changes.
+VERSIONS = dict.fromkeys(RULES, 1)
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 _BLOCK = 64
 
@@ -78,35 +81,62 @@ def spans_of_kind(text: Column, kind: str) -> Column:
     return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(F.array().cast(SPANS))
 
 
-def blob_of(text: str = "text") -> Column:
-    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+def blob_of(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def scan_blobs(rows: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION) -> DataFrame:
-    """The ledger (blob, rule_version, spans) after scanning what it lacks of ``rows`` (text).
+def _pair(kind: str, version: int) -> str:
+    return f"{kind}@{version}"
 
-    A text moves once, to the task of its blob; copies are dropped before they move.
+
+def scan_blobs(rows: DataFrame, ledger: DataFrame | None = None, versions: dict[str, int] = VERSIONS) -> DataFrame:
+    """New rows of the ledger (blob, pairs, spans, n_rows): what it lacks of ``rows`` (text).
+
+    ``pairs`` are the rules, with their versions, that were scanned just now, ``spans`` what they gave and
+    ``n_rows`` how many of the rows hold the blob. Copies are dropped before a text moves.
     """
-    blobs = rows.select(blob_of().alias("blob"), F.coalesce("text", F.lit("")).alias("content"))
-    blobs = blobs.groupBy("blob").agg(F.first("content").alias("content"))
-    if ledger is not None:
-        seen = ledger.where(F.col("rule_version") == version).select("blob")
-        blobs = blobs.join(seen, "blob", "left_anti")
-    spans = F.array_sort(F.concat(*(spans_of_kind(F.col("content"), k) for k in RULES)))
-    scanned = blobs.select("blob", F.lit(version).alias("rule_version"), spans.alias("spans"))
-    return scanned if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(scanned)
+    blobs = rows.select(blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("content"))
+    blobs = blobs.groupBy("blob").agg(F.first("content").alias("content"), F.count("*").alias("n_rows"))
+    wanted = F.array(*(F.lit(_pair(k, v)) for k, v in versions.items()))
+    if ledger is None:
+        blobs = blobs.withColumn("pairs", wanted)
+    else:
+        seen = ledger.groupBy("blob").agg(F.flatten(F.collect_list("pairs")).alias("seen"))
+        blobs = blobs.join(seen, "blob", "left").withColumn("pairs", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))))
+        blobs = blobs.where(F.size("pairs") > 0)
+    none = F.array().cast(SPANS)
+    found = [F.when(F.array_contains("pairs", _pair(k, v)), spans_of_kind(F.col("content"), k)).otherwise(none) for k, v in versions.items()]
+    return blobs.select("blob", "pairs", F.array_sort(F.concat(*found)).alias("spans"), "n_rows")
+
+
+def extend_ledger(rows: DataFrame, ledger: DataFrame | None = None, versions: dict[str, int] = VERSIONS) -> tuple[DataFrame, DataFrame]:
+    """The ledger (blob, pairs, spans, n_rows) with what it lacked of ``rows``, and that part alone; both are tables."""
+    new = cut(scan_blobs(rows, ledger, versions))
+    return (new if ledger is None else ledger.select(*new.columns).unionByName(new)), new
+
+
+def known_findings(ledger: DataFrame, versions: dict[str, int] = VERSIONS) -> DataFrame:
+    """(blob, spans) of the blobs that have findings under these versions of the rules, by start.
+
+    A row of the ledger holds findings of the pairs it names only: what a kind gave is taken from the rows
+    that name its version.
+    """
+    current = F.array(*(F.when(F.array_contains("pairs", _pair(k, v)), F.lit(list(RULES).index(k))) for k, v in versions.items()))
+    valid = F.filter("spans", lambda s: F.array_contains(F.array_compact(current), s["kind"]))
+    found = ledger.where(F.size("spans") > 0).select("blob", valid.alias("spans"))
+    return found.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")).where(F.size("spans") > 0)
 
 
-def findings(rows: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION) -> DataFrame:
-    """``rows`` with a column ``spans``: the findings of each row's blob, empty where there are none.
+def findings(rows: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(whole, blob, spans): each row of ``rows`` as one value, with its blob's findings, empty where there are none.
 
-    Blobs with findings are written before they are joined, so that a blob that many rows hold can be
-    split by adaptive execution.
+    Findings are written before they are joined, so that a blob that many rows hold can be split by
+    adaptive execution.
     """
-    state = scan_blobs(rows, ledger, version).where(F.col("rule_version") == version)
-    found = cut(state.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")))
-    joined = rows.withColumn("_blob", blob_of()).join(found, "_blob", "left")
-    return joined.withColumn("spans", F.coalesce("_spans", F.array().cast(SPANS))).drop("_blob", "_spans")
+    found = cut(known_findings(ledger))
+    # a row travels as one value, so that its columns may have any names
+    held = rows.select(F.struct(*rows.columns).alias("whole"), blob_of(F.col("text")).alias("blob"))
+    return held.join(found, "blob", "left").select("whole", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def _written(spans: Column) -> Column:
@@ -115,13 +145,16 @@ def _written(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Counts, digest and list of the findings of each document."""
-    found = findings(docs.select(F.col("doc_id").cast("long"), "text"))
+    """Counts, digest and list of the findings of each document, and its blob."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ledger, _ = extend_ledger(rows)
+    found = findings(rows, ledger)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == list(RULES).index(k))).cast("long")
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
     return found.select(
-        "doc_id", *(count(k).alias(f"n_{k}") for k in BASE), F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans")
-    )
+        F.col("whole.doc_id").alias("doc_id"), *(count(k).alias(f"n_{k}") for k in BASE), F.sha2(_written(base), 256).alias("base_sha256"),
+        _written(F.col("spans")).alias("spans"), F.lower(F.hex("blob")).alias("blob"),
+    )
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
@@ -149,11 +182,17 @@ def _safe_merge(done: Column, s: Column, merge) -> Column:
     return F.when(F.size(done) == 0, first).otherwise(merge(done, s))
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """``docs``, all columns and rows, with secrets replaced in ``text`` and ``n_chars`` counted anew."""
-    found = findings(docs).withColumn("text", redacted(F.col("text"), F.col("spans")))
-    n = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", n).select(*[F.col(f"`{c}`") for c in docs.columns])
+    ledger, _ = extend_ledger(docs.select("text"), ledger)
+    found = findings(docs, ledger)
+    text = F.col("whole.text")
+    found = found.withColumn("new", F.when(F.size("spans") > 0, redacted(text, F.col("spans"))).otherwise(text))
+    kept = {c: F.col(f"whole.`{c}`") for c in docs.columns}
+    kept["text"] = F.col("new")
+    if "n_chars" in kept:
+        kept["n_chars"] = F.when(F.size("spans") > 0, F.length("new").cast("long")).otherwise(kept["n_chars"])
+    return found.select(*(value.alias(c) for c, value in kept.items()))
 
 
 def oracle() -> str:
@@ -182,6 +221,6 @@ a AS (
   FROM f GROUP BY rid
 )
 SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(t) AS blob
 FROM d LEFT JOIN a USING (rid)
 """
