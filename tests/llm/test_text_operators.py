@@ -59,20 +59,61 @@ def test_bpe_equals_library(docs, empty):
             assert r.n_tokens == 0
 
 
-def test_licences(docs, empty):
+def climb(tokens: list[str], least: int = 1):
+    """Value of an expression by precedence climbing, and the tokens left: (labels, openness, name)."""
+    head = tokens.pop(0)
+    if head == "(":
+        left = climb(tokens)
+        tokens.pop(0)
+    else:
+        left = ({licences.family(head)}, licences.OPENNESS.get(licences.family(head), 0.5), head.lower())
+    while tokens and (strength := {"or": 1, "and": 2, "with": 3}.get(tokens[0].lower(), 0)) >= least:
+        word = tokens.pop(0).lower()
+        right = climb(tokens, strength + 1)
+        if word == "with":
+            left = (left[0], (1 + left[1]) / 2 if right[2].startswith(licences.LINKING) else left[1], "")
+        else:
+            left = (left[0] | right[0], (max if word == "or" else min)(left[1], right[1]), "")
+    return left
+
+
+def test_licences_against_brute_force(spark, docs, empty):
     assert licences.parse("MIT OR (GPL-3.0 WITH exception AND Apache-2.0) junk) more") == ["MIT", "GPL-3.0", "exception", "with", "Apache-2.0", "and", "or"]
-    assert licences.parse("AND MIT") is None
-    labels, score = licences.evaluate(licences.parse("GPL-2.0-only OR MIT"))
-    assert labels == {"gpl", "mit"} and score == 1.0
-    assert licences.evaluate(licences.parse("GPL-2.0-only AND MIT"))[1] == pytest.approx(0.3)
+    assert licences.parse("AND MIT") is None and licences.parse("") is None
+    rng = np.random.default_rng(9)
+    names = ["MIT", "Apache-2.0", "GPL-2.0-only", "LGPL-2.1+", "BSD-3-Clause", "Foo-1", "CC-BY-SA-4.0", "NONE", "LicenseRef-x"]
+
+    def expression(depth: int) -> str:
+        if depth == 0 or rng.random() < 0.3:
+            return str(rng.choice(names)) + str(rng.choice(["", "", " WITH Classpath-exception-2.0", " with other-exception"]))
+        inner = f" {rng.choice(['AND', 'OR', 'or', 'and'])} ".join(expression(depth - 1) for _ in range(int(rng.integers(2, 4))))
+        return f"({inner})" if rng.random() < 0.5 else inner
+
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    for text in ["The MIT  license, the Apache-License; general PUBLIC license é_x mit license", "", LONG, "mit mit license license", "MİT license mit_license"]:
-        low = re.sub("[A-Z]", lambda m: m.group().lower(), text)
+    filler = [*licences.BASE, *licences.NOTICES, "The MIT  license,", "Apache-License;", "mit mit license license", "MİT license", "mit_license", "é_x", "\n", "word", "12"]
+    texts = [" ".join(rng.choice(filler, int(rng.integers(0, 12)))) for _ in range(150)] + ["", None, LONG]
+    tagged = {}
+    for tag in ("SPDX-License-Identifier: ", "// spdx license identifier ", "SPDX_License-Identifier="):
+        for _ in range(60):
+            e = expression(3)
+            tagged[len(texts)] = e
+            texts.append(f"{rng.choice(filler)} \n{tag}{e}\n{rng.choice(filler)}")
+    found = {r.doc_id: r for r in licences.scan_documents(spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, labels string")).collect()}
+    for k, text in enumerate(texts):
+        low = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
         words = pattern.findall(low)
-        places = [i for p in licences.BASE for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
-        n_words, n_base, first, last, *_ = licences.scan(text)
-        assert (n_words, n_base, first, last) == (len(words), len(places), min(places, default=None), max(places, default=None))
-    assert licences.scan("SPDX-License-Identifier: Apache-2.0 OR MIT\n")[5] == "apache,mit"
+        at = lambda p: [i for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]  # noqa: B023, E731
+        places = {i: label for p, label in licences.BASE.items() for i in at(p)}
+        noticed = set(places.values()) | {label for p, label in licences.NOTICES.items() if at(p)}
+        scores = [licences.OPENNESS[x] for x in noticed]
+        if k in tagged:
+            labels, score, _ = climb(re.findall(r"[()]|[^\s()]+", tagged[k]))
+            noticed |= labels
+            scores.append(score)
+        r = found[k]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), min(places, default=None), max(places, default=None))
+        assert (r.base_labels, r.labels) == (",".join(sorted(set(places.values()))), ",".join(sorted(noticed))), text
+        assert r.score == pytest.approx(min(scores, default=0.0))
     assert licences.scan_documents(docs).count() == len(AWKWARD) and licences.scan_documents(empty).count() == 0
 
 

@@ -23,34 +23,77 @@ from pyspark.sql import DataFrame
 from tidemark.llm.batches import by_piece, texts_of
 
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Phrase (words by single spaces) -> label; the first three are the base.
+#: Phrase (words by single spaces) -> label; the base.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+#: Names and opening words of licences in common use, as their texts write them.
 NOTICES = {
-    "mozilla public license": "mpl",
+    "academic free license": "afl",
+    "affero general public license": "agpl",
+    "all rights reserved": "proprietary",
+    "artistic license": "artistic",
+    "boost software license": "bsl",
     "bsd license": "bsd",
+    "business source license": "busl",
+    "cc0 1 0 universal": "cc0",
+    "common development and distribution license": "cddl",
+    "common public license": "cpl",
     "creative commons attribution": "cc-by",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution sharealike": "cc-by-sa",
     "eclipse public license": "epl",
-    "all rights reserved": "proprietary",
+    "elastic license": "elastic",
+    "european union public licence": "eupl",
+    "free and unencumbered software released into the public domain": "unlicense",
+    "free documentation license": "gfdl",
+    "ibm public license": "ipl",
+    "isc license": "isc",
+    "lesser general public license": "lgpl",
+    "library general public license": "lgpl",
+    "microsoft public license": "ms-pl",
+    "mozilla public license": "mpl",
+    "mulan permissive software license": "mulanpsl",
+    "open database license": "odbl",
+    "open font license": "ofl",
+    "open software license": "osl",
+    "permission is hereby granted free of charge": "mit",
+    "permission to use copy modify and or distribute this software": "isc",
+    "postgresql license": "postgresql",
+    "python software foundation license": "python",
+    "redistribution and use in source and binary forms": "bsd",
+    "server side public license": "sspl",
+    "universal permissive license": "upl",
+    "w3c software notice and license": "w3c",
+    "zlib license": "zlib",
+    "zope public license": "zpl",
 }
 TAG = "spdx license identifier"
-TAGGED = re.compile(r"spdx-license-identifier\s*:?[ \t]*([^\r\n]*)", re.IGNORECASE | re.ASCII)
-#: Openness of a label, 0 to 1: what the score of a document is made of.
+#: What stands behind the tag's words, however they are joined.
+TAGGED = re.compile(r"spdx[^0-9a-z\r\n]+license[^0-9a-z\r\n]+identifier[ \t]*[:=]?[ \t]*([^\r\n]*)", re.IGNORECASE | re.ASCII)
+#: Openness of a label, 0 to 1: what the score of a document is made of. Its keys are the families of identifiers.
 OPENNESS = {
-    "mit": 1.0, "bsd": 1.0, "apache": 1.0, "isc": 1.0, "cc-by": 0.9,
-    "mpl": 0.6, "epl": 0.6, "lgpl": 0.5, "gpl": 0.3, "agpl": 0.1, "proprietary": 0.0,
+    "0bsd": 1.0, "afl": 0.9, "agpl": 0.1, "apache": 1.0, "apsl": 0.6, "artistic": 0.8, "blueoak": 1.0, "bsd": 1.0, "bsl": 1.0, "busl": 0.05,
+    "cc-by": 0.9, "cc-by-nc": 0.1, "cc-by-nd": 0.1, "cc-by-sa": 0.4, "cc0": 1.0, "cddl": 0.6, "cecill": 0.3, "cpl": 0.6, "curl": 1.0, "ecl": 1.0,
+    "elastic": 0.05, "epl": 0.6, "eupl": 0.4, "fsfap": 1.0, "gfdl": 0.3, "gpl": 0.3, "ipl": 0.6, "isc": 1.0, "lgpl": 0.5, "lppl": 0.6,
+    "mit": 1.0, "mpl": 0.6, "ms-pl": 0.8, "ms-rl": 0.6, "mulanpsl": 1.0, "ncsa": 1.0, "odbl": 0.4, "odc-by": 0.9, "ofl": 0.7, "openssl": 0.9,
+    "osl": 0.3, "php": 0.9, "postgresql": 1.0, "proprietary": 0.0, "python": 1.0, "ruby": 0.9, "sleepycat": 0.3, "sspl": 0.05, "unlicense": 1.0, "upl": 1.0,
+    "vim": 0.8, "w3c": 0.9, "wtfpl": 1.0, "x11": 1.0, "zlib": 1.0, "zpl": 0.9,
 }
-TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*")
+#: Exceptions behind ``WITH`` that let code be linked or generated without the licence's own terms.
+LINKING = ("autoconf-exception", "bison-exception", "bootloader-exception", "classpath-exception", "ecos-exception", "font-exception",
+           "gcc-exception", "linux-syscall-note", "llvm-exception", "ocaml-lgpl-linking-exception", "qt-lgpl-exception", "wxwindows-exception")
+#: The label of an identifier of no known family.
+OTHER = "other"
+TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 #: Binding strength of the operators, the tightest last.
 BINDING = {"or": 1, "and": 2, "with": 3}
 
 
+@cache
 def family(identifier: str) -> str:
-    """The label of an identifier: ``Apache-2.0`` -> ``apache``."""
+    """The label of an identifier, by its longest known beginning: ``Apache-2.0`` -> ``apache``."""
     low = identifier.lower()
-    for name in sorted(OPENNESS, key=len, reverse=True):
-        if low == name or low.startswith((f"{name}-", f"{name}.", f"{name}+")):
-            return name
-    return low
+    names = (name for name in OPENNESS if low == name or low.startswith((f"{name}-", f"{name}.", f"{name}+")))
+    return max(names, key=len, default="proprietary" if low in ("none", "unlicensed") else OTHER)
 
 
 def parse(expression: str) -> list[str] | None:
@@ -92,16 +135,22 @@ def parse(expression: str) -> list[str] | None:
 
 
 def evaluate(postfix: list[str]) -> tuple[set[str], float]:
-    """Labels of an expression and its openness: ``or`` offers the better, ``and`` binds to the worse."""
-    stack: list[tuple[set[str], float]] = []
+    """Labels of an expression and its openness: ``or`` offers the better, ``and`` binds to the worse.
+
+    An exception behind ``with`` has no label; one that permits linking takes half of what a licence lacks.
+    """
+    stack: list[tuple[set[str], float, str]] = []
     for token in postfix:
-        if token in BINDING:
-            (right, r), (left, v) = stack.pop(), stack.pop()
-            stack.append({"or": (left | right, max(v, r)), "and": (left | right, min(v, r)), "with": (left, min(1.0, v + 0.1))}[token])
-        else:
+        if token not in BINDING:
             label = family(token)
-            stack.append(({label}, OPENNESS.get(label, 0.5)))
-    return stack[0]
+            stack.append(({label}, OPENNESS.get(label, 0.5), token.lower()))
+            continue
+        (right, r, name), (left, v, _) = stack.pop(), stack.pop()
+        if token == "with":
+            stack.append((left, (v + 1) / 2 if name.startswith(LINKING) else v, ""))
+        else:
+            stack.append((left | right, max(v, r) if token == "or" else min(v, r), ""))
+    return stack[0][:2]
 
 
 @cache
