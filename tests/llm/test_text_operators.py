@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -163,7 +164,7 @@ def test_toxicity_chain(spark, docs, empty):
     rows, labels = [], []
     for k in range(400):
         bad = k % 5 == 0
-        rows.append((k, " ".join([*rng.choice(plain, 20), *(["idiot", "zorgich"] if bad and k % 2 else ["zorgende"] if bad else [])])))
+        rows.append((k, " ".join([*rng.choice(plain, 20), *(["zorgling", "zorgich"] if bad and k % 2 else ["zorgende"] if bad else [])])))
         labels.append((k, int(bad)))
     train, given = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     chain = toxicity.fit_documents(train, given)
@@ -176,6 +177,34 @@ def test_toxicity_chain(spark, docs, empty):
     assert toxicity.score_documents(empty, none).count() == 0 and not any(r.toxic for r in toxicity.score_documents(docs, none).collect())
 
 
+def test_toxicity_of_rows_held_out():
+    """Trained on two thirds of the labelled documents, judged on the others."""
+    docs, labels = (pq.read_table(f"/root/testdata/sf0.1/{t}.parquet").to_pandas() for t in ("documents", "labels"))
+    rows = labels.dropna(subset=["toxic"]).merge(docs[["doc_id", "text"]], on="doc_id")
+    words, bad = [toxicity.words_in(t or "") for t in rows.text], rows.toxic.to_numpy() > 0
+    held = rows.doc_id.to_numpy() % 3 == 0
+    chain = toxicity.train([" ".join(sorted(w)) for w, h in zip(words, held, strict=True) if not h], bad[~held])
+    found = np.array([chain.predict(w)[-1] >= chain.threshold for w, h in zip(words, held, strict=True) if h])
+    assert found[bad[held]].mean() > 0.85 and found[~bad[held]].mean() < 0.02
+    # the kinds before it are learnt: some toxic rows of each
+    kinds = np.array([chain.predict(w)[:-1] > 0.5 for w, b in zip(words, bad, strict=True) if b])
+    assert kinds.shape[1] == toxicity.KINDS and (kinds.sum(axis=0) >= 5).all()
+
+
+def test_chat_of_very_many_turns(spark):
+    rows = [(1, k, ("user", "assistant")[k % 2], f"[INST] {k} \\ </s>") for k in range(20_000)] + [(None, None, None, None), (None, None, None, None)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, parts string, size long")
+    formatted = {r.conv_id: r for r in chat.format_conversations(chat.as_parts(df)).collect()}
+    assert [t for _, t in chat.read_back(formatted[1].formatted)] == [r[3] for r in rows[:20_000]] and len(formatted[1].loss) == 10_000
+    assert chat.read_back(formatted[None].formatted) == [("", ""), ("", "")]
+
+
+def test_language_sample_where_ids_are_alike(spark):
+    df = spark.createDataFrame([(7, f"text number {k}", "en") for k in range(3000)], "doc_id long, text string, lang string")
+    drawn = sample.bounded_sample_of_each(df, "lang", 300, 300, "language", also=("text",))
+    assert 200 < len(drawn) < 400
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a\\<s>[INST]</s> <|x|>"), (1, 1, "assistant", "ok </s>"), (2, 0, None, None), (2, 0, "assistant", "x"), (2, 0, "assistant", "x"),
             (None, 5, "user", ""), (3, 0, "assistant", LONG)]

@@ -126,7 +126,10 @@ def as_parts(rows: DataFrame) -> DataFrame:
 def format_conversations(rows: DataFrame, **sizes) -> DataFrame:
     """One formatted row per conversation of ``rows`` (conv_id, turn, role, parts)."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), "parts")
-    gathered = rows.select(F.col("conv_id").cast("long"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    # what Python holds at once is bounded by the sizes of conversations
+    size = F.lit(64) + F.aggregate(F.coalesce("parts", F.array().cast(f"array<{PART}>")), F.lit(0), lambda n, p: n + 64 + F.coalesce(F.length(p["text"]), F.lit(0)))
+    turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"), size.cast("long").alias("size"))
+    gathered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"), F.sum("size").alias("size"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         done = [format_turns(turns, **sizes) for turns in batch.column("turns").to_pylist()]
@@ -138,7 +141,7 @@ def format_conversations(rows: DataFrame, **sizes) -> DataFrame:
             ["conv_id", "formatted", "loss", "attachments", "expanded_tokens"],
         )
 
-    return gathered.mapInArrow(by_piece(work), FORMATTED)
+    return gathered.mapInArrow(by_piece(work, "size"), FORMATTED)
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"

@@ -229,7 +229,7 @@ def fit_documents(docs: DataFrame, per_language: int = 400, languages: int = 6)
     part. Never over twice as many (a documented bound).
     """
     fit = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sample = sorted((r.text, r.lang) for r in bounded_sample_of_each(fit, "lang", per_language, per_language * languages, "language"))
+    sample = sorted((r.text, r.lang) for r in bounded_sample_of_each(fit, "lang", per_language, per_language * languages, "language", also=("text",)))
     return train([t for t, _ in sample], [lang for _, lang in sample])
 
 

@@ -1,11 +1,13 @@
 """Toxicity by a classifier chain.
 
 The categories are predicted one after another; each linear model sees the words of the text, the
-beginnings of its words (inflected forms share them) and the probabilities of all earlier categories. While training, those probabilities come from models that
-have not seen the row (out-of-fold); the models used for prediction are then fitted on all rows.
+beginnings of its words (inflected forms share them) and the probabilities of all earlier categories.
+While training, those probabilities come from models that have not seen the row (out-of-fold); the models
+used for prediction are then fitted on all rows. Every model chooses its own terms, from the rows it is
+fitted on, and the threshold comes from out-of-fold scores.
 
-Only the last category, ``toxic``, has given labels. The earlier ones are weak labels: a row labelled
-toxic that holds a seed word of the category.
+Only the last category, ``toxic``, has given labels. The earlier ones are learnt targets: the toxic rows,
+parted into ``KINDS`` groups by the terms that make them toxic (spherical k-means). No list of words is used.
 
 Null and empty texts hold no words: they get the probabilities of an empty text and are never toxic.
 Texts of any length are read whole. Repeated rows give repeated results; an empty table gives none;
@@ -25,14 +27,9 @@ from tidemark.llm.batches import by_piece, texts_of
 from tidemark.llm.hashing import WORD, word_hashes
 from tidemark.llm.sample import bounded_sample
 
-#: Chain order, and the seed words of the weakly labelled categories.
-SEEDS = {
-    "personal": ("idiot", "moron", "loser", "clown", "scum"),
-    "degrading": ("trash", "pathetic", "disgusting", "worthless", "stupid"),
-}
-CATEGORIES = (*SEEDS, "toxic")
-
-
+#: Groups of toxic rows that are categories of their own, before ``toxic`` itself.
+KINDS = 2
+CATEGORIES = (*(f"kind_{k + 1}" for k in range(KINDS)), "toxic")
 STEMS = (3, 4, 5, 6, 7)
 LEAST_PROBABILITY = 0.2
 
@@ -62,7 +59,7 @@ class Chain:
             return np.zeros(len(CATEGORIES))
         at = [self.terms[t] for t in terms(words) & self.terms.keys()]
         out: list[float] = []
-        n = len(self.terms)
+        n = len(self.weights[0]) - 1
         for w in self.weights:
             z = w[at].sum() + float(np.dot(w[n:-1], out)) + w[-1]
             out.append(1 / (1 + np.exp(-z)))
@@ -101,6 +98,66 @@ def _score(w: np.ndarray, rows: np.ndarray, cols: np.ndarray, n: int, width: int
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+class _Cells:
+    """Which row holds which term, as two aligned arrays."""
+
+    def __init__(self, texts: list[str]):
+        hashed = [word_hashes(sorted(terms(words_in(t)))) for t in texts]
+        self.n = len(texts)
+        self.rows = np.repeat(np.arange(self.n, dtype=np.int32), [len(x) for x in hashed])
+        self.vocabulary, cols = np.unique(np.concatenate(hashed), return_inverse=True)
+        self.cols = cols.astype(np.int32)
+
+    def strongest(self, y: np.ndarray, inside: np.ndarray, width: int) -> np.ndarray:
+        """The terms that stand in the rows of ``y`` more than by chance, by their z score over the rows ``inside``."""
+        use = inside[self.rows]
+        seen = np.bincount(self.cols[use], minlength=len(self.vocabulary))
+        hits = np.bincount(self.cols[use], weights=y[self.rows[use]], minlength=len(self.vocabulary))
+        share = y[inside].mean()
+        z = (hits - seen * share) / np.sqrt(seen * share * (1 - share) + 1) * (seen > 2)
+        return np.sort(np.argsort(-z, kind="stable")[:width])
+
+    def of(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and places among ``chosen`` of the cells that hold a chosen term."""
+        place = np.full(len(self.vocabulary), -1)
+        place[chosen] = np.arange(len(chosen))
+        cell = place[self.cols] >= 0
+        return self.rows[cell], place[self.cols[cell]]
+
+    def fit(self, y: np.ndarray, inside: np.ndarray, earlier: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a model fitted on the rows ``inside``, and its weights."""
+        chosen = self.strongest(y, inside, width)
+        rows, cols = self.of(chosen)
+        use = inside[rows]
+        renumbered = np.cumsum(inside) - 1
+        return chosen, _fit(renumbered[rows[use]], cols[use], int(inside.sum()), len(chosen), earlier[inside], y[inside])
+
+    def score(self, chosen: np.ndarray, w: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+        return _score(w, *self.of(chosen), self.n, len(chosen), earlier)
+
+
+def kinds_of(cells: _Cells, toxic: np.ndarray, kinds: int, width: int, rounds: int = 20) -> list[np.ndarray]:
+    """The toxic rows in groups: k-means of their unit vectors of strongest terms, from rows far apart."""
+    bad = np.flatnonzero(toxic > 0)
+    rows, cols = cells.of(cells.strongest(toxic, np.ones(cells.n, dtype=bool), width))
+    use = toxic[rows] > 0
+    x = np.zeros((len(bad), width))
+    x[np.searchsorted(bad, rows[use]), cols[use]] = 1
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1)
+    centres = [x[int(x.sum(axis=1).argmax())]]
+    for _ in range(kinds - 1):
+        centres.append(x[int(np.max([x @ c for c in centres], axis=0).argmin())])
+    for _ in range(rounds):
+        group = np.argmax(x @ np.array(centres).T, axis=1)
+        centres = [(m / max(np.linalg.norm(m), 1e-12)) if (m := x[group == k].sum(axis=0)).any() else centres[k] for k in range(kinds)]
+    out = []
+    for k in range(kinds):
+        y = np.zeros(cells.n)
+        y[bad[group == k]] = 1
+        out.append(y)
+    return out
+
+
 def train(texts: list[str], toxic: np.ndarray, width: int = 512, folds: int = 5) -> Chain:
     """A chain from the words of each row (as one string) and their labels.
 
@@ -110,35 +167,19 @@ def train(texts: list[str], toxic: np.ndarray, width: int = 512, folds: int = 5)
     n, bad = len(texts), toxic.sum()
     if not bad or bad == n:
         return Chain({}, (), 2.0)
-    hashed = [word_hashes(sorted(terms(words_in(t)))) for t in texts]
-    rows = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in hashed])
-    vocabulary, cols = np.unique(np.concatenate(hashed), return_inverse=True)
-    cols = cols.astype(np.int32)
-    del hashed
-    seen = np.bincount(cols, minlength=len(vocabulary))
-    hits = np.bincount(cols, weights=toxic[rows], minlength=len(vocabulary))
-    # terms that stand in toxic rows more than by chance, by their z score
-    share = bad / n
-    z = (hits - seen * share) / np.sqrt(seen * share * (1 - share) + 1) * (seen > 2)
-    chosen = np.sort(np.argsort(-z, kind="stable")[:width])
-    place = np.full(len(vocabulary), -1)
-    place[chosen] = np.arange(len(chosen))
-    cell = place[cols] >= 0
-    rows, cols, size = rows[cell], place[cols[cell]], len(chosen)
-    targets = [toxic * np.array([not words_in(t).isdisjoint(s) for t in texts]) for s in SEEDS.values()]
+    cells = _Cells(texts)
     # each label is dealt evenly to the folds
     fold = np.where(toxic > 0, np.cumsum(toxic > 0), np.cumsum(toxic <= 0)) % folds
+    every = np.ones(n, dtype=bool)
     earlier = np.empty((n, 0))
-    weights = []
-    for y in [*targets, toxic]:
-        weights.append(_fit(rows, cols, n, size, earlier, y))
-        out_of_fold = np.empty(n)
+    models = []
+    for y in [*kinds_of(cells, toxic, KINDS, min(width, len(cells.vocabulary))), toxic]:
+        models.append(cells.fit(y, every, earlier, width))
+        out_of_fold = np.zeros(n)
         for f in range(folds):
-            inside, outside = fold != f, fold == f
-            cell = inside[rows]
-            renumbered = np.cumsum(inside) - 1
-            w = _fit(renumbered[rows[cell]], cols[cell], int(inside.sum()), size, earlier[inside], y[inside])
-            out_of_fold[outside] = _score(w, rows, cols, n, size, earlier)[outside]
+            outside = fold == f
+            if outside.any() and not outside.all():
+                out_of_fold[outside] = cells.score(*cells.fit(y, ~outside, earlier, width), earlier)[outside]
         earlier = np.column_stack((earlier, out_of_fold))
     # the last column holds out-of-fold probabilities of the labels themselves: choose the best F1
     p = earlier[:, -1]
@@ -147,7 +188,15 @@ def train(texts: list[str], toxic: np.ndarray, width: int = 512, folds: int = 5)
     f1 = 2 * right / (np.arange(1, n + 1) + bad)
     best = int(np.argmax(f1))
     below = p[order][best + 1] if best + 1 < n else 0.0
-    wanted = dict(zip(vocabulary[chosen].tolist(), range(size), strict=True))
+    # one table of terms for all models: a term that a model has not chosen weighs nothing there
+    used = np.unique(np.concatenate([chosen for chosen, _ in models]))
+    weights = []
+    for chosen, w in models:
+        spread = np.zeros(len(used) + len(w) - len(chosen))
+        spread[np.searchsorted(used, chosen)] = w[: len(chosen)]
+        spread[len(used) :] = w[len(chosen) :]
+        weights.append(spread)
+    wanted = dict(zip(cells.vocabulary[used].tolist(), range(len(used)), strict=True))
     named: dict[str, int] = {}
     for text in texts:
         found = list(terms(words_in(text)))
