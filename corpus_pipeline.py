@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, decontaminate, language, near, secrets
 from tidemark.llm.queries import VOCABULARY, table
+from tidemark.llm.storage import shared_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +52,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, with a Parquet table in the shared folder between each two."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = spark.conf.get("spark.sql.warehouse.dir")
-    base = os.path.join(folder, f"pipeline-{uuid.uuid4().hex}")
+    base = os.path.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
     docs = table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
         result = stage(spark, docs, sf_dir)
