@@ -16,13 +16,13 @@ def embeddings(spark):
     return np.array([r.embedding for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()], dtype=np.float64)
 
 
-@pytest.mark.parametrize("name", ["rank_gaussian", "calibrated_metrics", "feature_votes", "rank_share_all", "auc_all", "classifier_metrics_all", "best_threshold_all"])
+@pytest.mark.parametrize("name", ["rank_gaussian", "calibrated_metrics", "feature_votes", "rank_share", "auc", "classifier_metrics", "best_threshold"])
 def test_all_features(spark, embeddings, name):
     found = {r[0] for r in registry.queries()[name](spark, SF).select("feature").distinct().collect()}
     assert found == set(range(embeddings.shape[1]))
 
 
-@pytest.mark.parametrize("name", ["feature_correlation_all", "mutual_information_all"])
+@pytest.mark.parametrize("name", ["feature_correlation", "mutual_information"])
 def test_all_pairs(spark, embeddings, name):
     n = embeddings.shape[1]
     rows = registry.queries()[name](spark, SF).collect()
@@ -34,4 +34,4 @@ def test_all_pairs(spark, embeddings, name):
 @pytest.mark.parametrize("name", ["rank_share", "auc", "classifier_metrics", "best_threshold", "mutual_information"])
 def test_same_as_checked_part(spark, name):
     part = {tuple(r) for r in registry.queries()[name](spark, SF).collect()}
-    assert part <= {tuple(r) for r in registry.queries()[f"{name}_all"](spark, SF).collect()}
+    assert part <= {tuple(r) for r in registry.queries()[f"{name}"](spark, SF).collect()}

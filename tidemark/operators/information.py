@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import risk
+
 c = F.col
 
 
@@ -52,6 +54,31 @@ def mutual_information(features: DataFrame, bins: int = 5) -> DataFrame:
     return g.select("i", "j", "mi", F.try_divide(2 * c("mi"), c("hx") + c("hy")).alias("nmi"), corr.alias("corr"))
 
 
+def vector_information(vectors: DataFrame, column: str, bins: int = 5) -> DataFrame:
+    """(i, j, mi, nmi, corr) of all pairs of places of a vector column.
+
+    A place's values fall into equal bins of its range; the counts of all pairs of bins are one matrix of
+    products of indicators per task, summed.
+    """
+    n, _, low, high = risk.vector_ends(vectors, column)
+    width = np.where(high > low, high - low, 1.0)
+
+    def indicators(x: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.floor((x - low) / width * bins), bins - 1).astype(np.int64)
+        out = np.zeros((len(x), x.shape[1] * bins))
+        out[np.arange(len(x))[:, None], np.arange(x.shape[1]) * bins + at] = 1
+        return out
+
+    cells = risk.gram(vectors, column, indicators).select((c("i") / bins).cast("int").alias("i"), (c("j") / bins).cast("int").alias("j"), "s")
+    joint = cells.groupBy("i", "j").agg((F.log2(F.lit(float(max(n, 1)))) - F.sum(c("s") * F.log2("s")) / n).alias("joint"))
+    # a place's entropy is the joint one with itself
+    own = joint.where("i = j").select(c("i").alias("k"), c("joint").alias("h"))
+    pairs = joint.where("i < j").join(own.select(c("k").alias("i"), c("h").alias("hx")), "i").join(own.select(c("k").alias("j"), c("h").alias("hy")), "j")
+    pairs = pairs.withColumn("mi", F.greatest(c("hx") + c("hy") - c("joint"), F.lit(0.0)))
+    corr = risk.vector_correlation(vectors, column)
+    return pairs.join(corr, ["i", "j"]).select("i", "j", "mi", F.try_divide(2 * c("mi"), c("hx") + c("hy")).alias("nmi"), "corr")
+
+
 def kl_divergence(p: np.ndarray, q: np.ndarray, epsilon: float = 1e-10) -> float:
     p, q = (p + epsilon) / (p + epsilon).sum(), (q + epsilon) / (q + epsilon).sum()
     return float((p * np.log(p / q)).sum())

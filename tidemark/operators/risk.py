@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -276,6 +277,60 @@ def correlation_long(features: DataFrame) -> DataFrame:
     return a.join(b, "id").groupBy("i", "j").agg(F.corr("x", "y").alias("corr"))
 
 
+def gram(vectors: DataFrame, column: str, prepare: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> DataFrame:
+    """(i, j, s): sums of products of all pairs of columns of the prepared vectors.
+
+    Each task multiplies its own rows batch by batch and gives one matrix; only matrices, whose size is
+    that of a vector squared, are shuffled and summed. Null vectors are left out; all others are of one length.
+    """
+
+    def work(batches):
+        total = None
+        for batch in batches:
+            rows = batch.column(0)
+            if len(rows):
+                x = prepare(rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1))
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["i", "j", "s"])
+
+    parts = vectors.where(c(column).isNotNull()).select(c(column).cast("array<double>").alias("x")).mapInArrow(work, "i int, j int, s double")
+    return parts.groupBy("i", "j").agg(F.sum("s").alias("s"))
+
+
+def vector_ends(vectors: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of vectors and, per place, mean, least and largest value: one row per task, summed here."""
+
+    def work(batches):
+        n, ends = 0, None
+        for batch in batches:
+            rows = batch.column(0)
+            if len(rows):
+                x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+                here = np.array([x.sum(axis=0), x.min(axis=0), x.max(axis=0)])
+                ends = here if ends is None else np.array([ends[0] + here[0], np.minimum(ends[1], here[1]), np.maximum(ends[2], here[2])])
+                n += len(rows)
+        if n:
+            k = np.arange(ends.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(np.full(len(k), n), pa.int64()), *map(pa.array, ends)], ["i", "n", "s", "lo", "hi"])
+
+    rows = vectors.where(c(column).isNotNull()).select(c(column).cast("array<double>").alias("x")).mapInArrow(work, "i int, n long, s double, lo double, hi double")
+    found = rows.groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("i").collect()
+    n = found[0].n if found else 0
+    return n, *(np.array([r[k] for r in found]) for k in ("s", "lo", "hi"))
+
+
+def vector_correlation(vectors: DataFrame, column: str) -> DataFrame:
+    """(i, j, corr) of all pairs of places of a vector column, from one matrix of products per task."""
+    n, sums, _, _ = vector_ends(vectors, column)
+    mean = sums / max(n, 1)
+    s = gram(vectors, column, lambda x: x - mean)
+    own = s.where("i = j").select(c("i").alias("k"), c("s").alias("own"))
+    both = s.join(own.select(c("k").alias("i"), c("own").alias("si")), "i").join(own.select(c("k").alias("j"), c("own").alias("sj")), "j")
+    return both.select("i", "j", (c("s") / F.sqrt(c("si") * c("sj"))).alias("corr"))
+
+
 def rolling_top_eigenvalue(returns: DataFrame, n: int) -> DataFrame:
     """Largest eigenvalue, participation ratio and noise bound of the correlation over the last ``n`` days.
 

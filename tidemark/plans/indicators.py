@@ -85,8 +85,7 @@ def asof_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def news_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = V.bars(spark, sf_dir).where("symbol = 'view'")
-    out = R.mark_news(bars, V.news(spark, sf_dir), n_bars=1, timezone="UTC", impacts=("red",))
+    out = R.mark_news(V.bars(spark, sf_dir), V.news(spark, sf_dir), n_bars=1, timezone="UTC", impacts=("red",))
     return out.select("symbol", V.epoch(), "news")
 
 
@@ -213,9 +212,10 @@ QUERIES = {
     "asof_align": (asof_query, over_bars(f"""WITH d AS (SELECT symbol, date_trunc('day', ts) AS u, max(high) AS h, last(close ORDER BY ts) AS c FROM v_bars GROUP BY 1, 2),
         g AS (SELECT symbol, u, lag(c) OVER x AS c, lag(h) OVER x AS h FROM d WINDOW x AS (PARTITION BY symbol ORDER BY u))
         SELECT b.symbol, {TS.replace('epoch(ts)', 'epoch(b.ts)')}, round(g.c, 6) AS close_1d, round(g.h, 6) AS high_1d FROM v_bars b ASOF LEFT JOIN g ON b.symbol = g.symbol AND b.ts >= g.u""")),
-    "news_flags": (news_query, V.oracle(f"""WITH b AS (SELECT symbol, ts FROM v_bars WHERE symbol = 'view'), h AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM v_news WHERE event = 'Bank Holiday'),
-        e AS (SELECT DISTINCT ts FROM v_news WHERE impact = 'red' AND event <> 'Bank Holiday'), n AS (SELECT DISTINCT b.ts FROM e ASOF JOIN b ON e.ts <= b.ts),
-        f AS (SELECT symbol, b.ts, CASE WHEN n.ts IS NOT NULL OR h.d IS NOT NULL THEN 1 ELSE 0 END AS f FROM b LEFT JOIN n USING (ts) LEFT JOIN h ON h.d = CAST(b.ts AS DATE))
+    "news_flags": (news_query, V.oracle(f"""WITH b AS (SELECT symbol, ts FROM v_bars), y AS (SELECT DISTINCT symbol FROM b), h AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM v_news WHERE event = 'Bank Holiday'),
+        e AS (SELECT DISTINCT ts FROM v_news WHERE impact = 'red' AND event <> 'Bank Holiday'), z AS (SELECT e.ts, symbol FROM e CROSS JOIN y),
+        n AS (SELECT DISTINCT b.symbol, b.ts FROM z ASOF JOIN b ON z.symbol = b.symbol AND z.ts <= b.ts),
+        f AS (SELECT b.symbol, b.ts, CASE WHEN n.ts IS NOT NULL OR h.d IS NOT NULL THEN 1 ELSE 0 END AS f FROM b LEFT JOIN n ON n.symbol = b.symbol AND n.ts = b.ts LEFT JOIN h ON h.d = CAST(b.ts AS DATE))
         SELECT symbol, {TS}, max(f) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS news FROM f""", "v_bars", "v_news")),
     "scalar_functions": (scalars_query, over_bars(f"""WITH a AS (SELECT *, (close - open) / (high - low + 1) AS x, high - low AS s FROM v_bars)
         SELECT symbol, {TS}, round((high + low + close) / 3, 6) AS typical, round(0.5 * ln((1 + greatest(least(x, 0.999), -0.999)) / (1 - greatest(least(x, 0.999), -0.999))), 6) AS fisher,

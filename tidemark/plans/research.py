@@ -96,18 +96,22 @@ def eigen(spark, sf_dir):
     return RK.rolling_top_eigenvalue(daily_returns(spark, sf_dir), 60).withColumn("day", F.unix_timestamp(F.col("day").cast("timestamp")))
 
 
-def first_features(n: int | None):
-    """The features with numbers below ``n``, as far as the query's SQL goes; all of them without ``n``."""
-    return lambda spark, sf_dir: V.features(spark, sf_dir) if n is None else V.features(spark, sf_dir).where(f"feature < {n}")
+def vectors(spark, sf_dir):
+    return V.read(spark, sf_dir, "embeddings").select("embedding")
 
 
-def feature_correlation(n=None):
-    return lambda spark, sf_dir: rnd(RK.correlation_long(first_features(n)(spark, sf_dir)), ["i", "j"], ["corr"], 6)
+def feature_correlation(spark, sf_dir):
+    return rnd(RK.vector_correlation(vectors(spark, sf_dir), "embedding"), ["i", "j"], ["corr"], 6)
+
+
+def correlation_matrix(spark, sf_dir):
+    corr = RK.vector_correlation(vectors(spark, sf_dir), "embedding")
+    return RK.matrix(corr.select(F.col("i").alias("asset_i"), F.col("j").alias("asset_j"), F.col("corr").alias("cov")))
 
 
 def pca_spectrum(spark, sf_dir):
     """Eigenvalues of the features' correlation: an aggregate over all rows, a small matrix here."""
-    names, m = RK.matrix(RK.correlation_long(V.features(spark, sf_dir)).select(F.col("i").alias("asset_i"), F.col("j").alias("asset_j"), F.col("corr").alias("cov")))
+    names, m = correlation_matrix(spark, sf_dir)
     import numpy as np
 
     values = np.linalg.eigvalsh(m)[::-1]
@@ -117,23 +121,23 @@ def pca_spectrum(spark, sf_dir):
 
 
 def onc_clusters(spark, sf_dir):
-    names, m = RK.matrix(RK.correlation_long(V.features(spark, sf_dir)).select(F.col("i").alias("asset_i"), F.col("j").alias("asset_j"), F.col("corr").alias("cov")))
+    names, m = correlation_matrix(spark, sf_dir)
     return spark.createDataFrame([(int(names[i]), k, s) for i, k, s in RK.feature_silhouettes(m)], "feature int, cluster int, silhouette double")
 
 
 # information
 
 
-def mutual(n=None):
-    return lambda spark, sf_dir: rnd(I.mutual_information(first_features(n)(spark, sf_dir)), ["i", "j"], ["mi", "nmi", "corr"], 6)
+def mutual(spark, sf_dir):
+    return rnd(I.vector_information(vectors(spark, sf_dir), "embedding"), ["i", "j"], ["mi", "nmi", "corr"], 6)
 
 
 def gauss(spark, sf_dir):
     return rnd(I.rank_gaussian(V.features(spark, sf_dir), "value", "feature"), ["id", "feature"], ["gauss"], 5)
 
 
-def rank_share(n=None):
-    return lambda spark, sf_dir: rnd(first_features(n)(spark, sf_dir).withColumn("share", I.rank_share("value", "feature")), ["id", "feature"], ["share"], 6)
+def rank_share(spark, sf_dir):
+    return rnd(V.features(spark, sf_dir).withColumn("share", I.rank_share("value", "feature")), ["id", "feature"], ["share"], 6)
 
 
 def rolling_pairs(spark, sf_dir):
@@ -233,24 +237,24 @@ def state(spark, sf_dir):
     return rnd(g, ["strategy"], L.state_columns((20, 50)), 5)
 
 
-def probabilities(spark, sf_dir, n=None) -> DataFrame:
-    return first_features(n)(spark, sf_dir).withColumn("p", F.round(1 / (1 + F.exp(-F.col("value"))), 6))
+def probabilities(spark, sf_dir) -> DataFrame:
+    return V.features(spark, sf_dir).withColumn("p", F.round(1 / (1 + F.exp(-F.col("value"))), 6))
 
 
-def auc(n=None):
-    return lambda spark, sf_dir: rnd(L.auc(probabilities(spark, sf_dir, n), "p", "label", "feature"), ["feature"], ["auc"])
+def auc(spark, sf_dir):
+    return rnd(L.auc(probabilities(spark, sf_dir), "p", "label", "feature"), ["feature"], ["auc"])
 
 
-def classifier_metrics(n=None):
+def classifier_metrics(spark, sf_dir):
     names = ["n", "log_loss", "brier", "accuracy", "precision", "recall", "f1"]
-    return lambda spark, sf_dir: rnd(L.evaluate(probabilities(spark, sf_dir, n), "p", "label", "feature"), ["feature"], names)
+    return rnd(L.evaluate(probabilities(spark, sf_dir), "p", "label", "feature"), ["feature"], names)
 
 
-def best_threshold(n=None):
-    return lambda spark, sf_dir: rnd(L.best_threshold(probabilities(spark, sf_dir, n), "p", "label", "feature"), ["feature"], ["threshold", "value"])
+def best_threshold(spark, sf_dir):
+    return rnd(L.best_threshold(probabilities(spark, sf_dir), "p", "label", "feature"), ["feature"], ["threshold", "value"])
 
 
-PROB = "p AS (SELECT id, feature, label, round(1 / (1 + exp(-value)), 6) AS p FROM v_features WHERE feature < 4)"
+PROB = "p AS (SELECT id, feature, label, round(1 / (1 + exp(-value)), 6) AS p FROM v_features)"
 
 
 def votes(spark, sf_dir):
@@ -428,19 +432,16 @@ QUERIES = {
     "garch_covariance": (cov_query(RK.garch_covariance), None),
     "denoised_covariance": (dense(lambda m: RK.marchenko_pastur(m, 2000)), None),
     "rolling_eigenvalues": (eigen, None),
-    "feature_correlation_all": (feature_correlation(), None),
-    "feature_correlation": (feature_correlation(12), V.oracle(f"SELECT a.feature AS i, b.feature AS j, {r('corr(a.value, b.value)', 'corr')} FROM v_features a JOIN v_features b USING (id) WHERE a.feature < 12 AND b.feature < 12 GROUP BY 1, 2", "v_features")),
+    "feature_correlation": (feature_correlation, V.oracle(f"SELECT a.feature AS i, b.feature AS j, {r('corr(a.value, b.value)', 'corr')} FROM v_features a JOIN v_features b USING (id) GROUP BY 1, 2", "v_features")),
     "pca_spectrum": (pca_spectrum, None),
     "onc_clusters": (onc_clusters, None),
-    "mutual_information_all": (mutual(), None),
-    "mutual_information": (mutual(8), V.oracle(f"""WITH e AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM v_features WHERE feature < 8 GROUP BY feature),
+    "mutual_information": (mutual, V.oracle(f"""WITH e AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM v_features GROUP BY feature),
         b AS (SELECT id, feature, value, least(CAST(floor((value - lo) / (hi - lo) * 5) AS INT), 4) AS bin FROM v_features JOIN e USING (feature)),
         h AS (SELECT feature, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h FROM (SELECT feature, bin, count(*)::DOUBLE AS n FROM b GROUP BY 1, 2) GROUP BY 1),
         j AS (SELECT i, j, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h FROM (SELECT a.feature AS i, c.feature AS j, a.bin, c.bin, count(*)::DOUBLE AS n FROM b a JOIN b c USING (id) WHERE a.feature < c.feature GROUP BY 1, 2, 3, 4) GROUP BY 1, 2),
         k AS (SELECT a.feature AS i, c.feature AS j, corr(a.value, c.value) AS corr FROM b a JOIN b c USING (id) WHERE a.feature < c.feature GROUP BY 1, 2)
         SELECT j.i, j.j, {r('greatest(x.h + y.h - j.h, 0)', 'mi')}, {r('2 * greatest(x.h + y.h - j.h, 0) / (x.h + y.h)', 'nmi')}, {r('corr', 'corr')} FROM j JOIN k ON j.i = k.i AND j.j = k.j JOIN h x ON x.feature = j.i JOIN h y ON y.feature = j.j""", "v_features")),
-    "rank_share_all": (rank_share(), None),
-    "rank_share": (rank_share(4), V.oracle(f"SELECT id, feature, {r('(rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2) / count(*) OVER (PARTITION BY feature)', 'share')} FROM v_features WHERE feature < 4", "v_features")),
+    "rank_share": (rank_share, V.oracle(f"SELECT id, feature, {r('(rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2) / count(*) OVER (PARTITION BY feature)', 'share')} FROM v_features", "v_features")),
     "rank_gaussian": (gauss, None),
     "rolling_dependence": (rolling_pairs, None),
     "portfolio_weights": (weights, None),
@@ -461,15 +462,12 @@ QUERIES = {
         SELECT strategy, {', '.join(f"{r(f'sum(coalesce(a{n}, 0))', f'state_rr_{n}', 5)}, {r(f'sum(coalesce(b{n}, 0.5))', f'state_winrate_{n}', 5)}" for n in (20, 50))} FROM w GROUP BY strategy""", "v_trades")),
     "meta_labels": (labels, V.oracle(f"""WITH {RR} SELECT strategy, CASE WHEN rr < -0.99 THEN 0 WHEN abs((exit_price - sl) / sl) <= 0.01 THEN 1 WHEN rr > 0.2 THEN 2 ELSE -1 END AS meta,
         CASE WHEN pnl < 0 THEN 0 WHEN pnl >= 0 THEN 1 ELSE -1 END AS meta_binary, count(*) AS n FROM rr GROUP BY 1, 2, 3""", "v_trades")),
-    "auc_all": (auc(), None),
-    "auc": (auc(4), V.oracle(f"""WITH {PROB}, k AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY p) + (count(*) OVER (PARTITION BY feature, p) - 1) / 2 AS rk FROM p)
+    "auc": (auc, V.oracle(f"""WITH {PROB}, k AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY p) + (count(*) OVER (PARTITION BY feature, p) - 1) / 2 AS rk FROM p)
         SELECT feature, {r('(sum(rk) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label)))', 'auc')} FROM k GROUP BY feature""", "v_features")),
-    "classifier_metrics_all": (classifier_metrics(), None),
-    "classifier_metrics": (classifier_metrics(4), V.oracle(f"""WITH {PROB}, k AS (SELECT *, greatest(least(p, 1 - 1e-15), 1e-15) AS q, CAST(p >= 0.5 AS INT) AS y FROM p)
+    "classifier_metrics": (classifier_metrics, V.oracle(f"""WITH {PROB}, k AS (SELECT *, greatest(least(p, 1 - 1e-15), 1e-15) AS q, CAST(p >= 0.5 AS INT) AS y FROM p)
         SELECT feature, {r('count(*)', 'n')}, {r('-avg(label * ln(q) + (1 - label) * ln(1 - q))', 'log_loss')}, {r('avg(pow(p - label, 2))', 'brier')}, {r('avg(CAST(y = label AS DOUBLE))', 'accuracy')},
         {r('sum(y * label) / sum(y)', 'precision')}, {r('sum(y * label) / sum(label)', 'recall')}, {r('2 * sum(y * label) / (sum(y) + sum(label))', 'f1')} FROM k GROUP BY feature""", "v_features")),
-    "best_threshold_all": (best_threshold(), None),
-    "best_threshold": (best_threshold(4), V.oracle(f"""WITH {PROB}, n AS (SELECT feature, p, sum(label) AS pos, count(*) AS n FROM p GROUP BY 1, 2),
+    "best_threshold": (best_threshold, V.oracle(f"""WITH {PROB}, n AS (SELECT feature, p, sum(label) AS pos, count(*) AS n FROM p GROUP BY 1, 2),
         k AS (SELECT feature, p, sum(pos) OVER w AS tp, sum(n) OVER w AS said, sum(pos) OVER t AS ps, sum(n) OVER t AS al FROM n WINDOW w AS (PARTITION BY feature ORDER BY p DESC ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY feature)),
         j AS (SELECT feature, p, tp / ps - (said - tp) / (al - ps) AS v FROM k) SELECT feature, {r('arg_max(p, (v, p))', 'threshold')}, {r('max(v)', 'value')} FROM j GROUP BY feature""", "v_features")),
     "calibrated_metrics": (calibrated, None),
