@@ -20,7 +20,7 @@ def test_permutations(spark):
 def test_paths(spark, monkeypatch, method):
     drawn = []
     summarise = simulation.summarise
-    monkeypatch.setattr(simulation, "summarise", lambda sims, key: drawn.append(sims) or summarise(sims, key))
+    monkeypatch.setattr(simulation, "summarise", lambda sims, key, actual=None: drawn.append(sims) or summarise(sims, key, actual))
     registry.queries()[f"monte_carlo_{method}"](spark, SF)
     counts = drawn[0].groupBy("asset").agg({"sim": "count"}).collect()
     assert counts and all(r[1] == 2000 for r in counts)

@@ -32,6 +32,26 @@ def state_features(t: DataFrame, key: str, order: tuple[str, ...], windows: tupl
     return t
 
 
+def state_with_history(now: DataFrame, history: DataFrame, key: str, order: tuple[str, ...], windows: tuple[int, ...] = STATE_WINDOWS, least: int = 10, fill: tuple[float, float] = (0.0, 0.5)) -> DataFrame:
+    """State features of the trades ``now`` alone, with ``history`` before them in the windows."""
+    both = history.withColumn("_now", F.lit(False)).unionByName(now.withColumn("_now", F.lit(True)))
+    return state_features(both, key, order, windows, least, fill).where("_now").drop("_now")
+
+
+def state_per_path(trades: DataFrame, path: str, key: str, order: tuple[str, ...], windows: tuple[int, ...] = STATE_WINDOWS, least: int = 10, fill: tuple[float, float] = (-1.0, -1.0)) -> DataFrame:
+    """State features within each path of a cross-validation: windows hold the path's own rows only."""
+    keyed = trades.withColumn("_key", F.struct(path, key))
+    return state_features(keyed, "_key", order, windows, least, fill).drop("_key")
+
+
+def rank_features_by_path(features: DataFrame, folds: int) -> DataFrame:
+    """(feature, role, mean, sd) of the AUC of each feature over folds by id: on the rows of a fold and on the others."""
+    dealt = features.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    dealt = dealt.withColumn("role", F.when(F.pmod("id", F.lit(folds)) == c("fold"), "validation").otherwise("train"))
+    found = auc(dealt, "value", "label", "feature", "fold", "role")
+    return found.groupBy("feature", "role").agg(F.avg("auc").alias("mean"), F.stddev_samp("auc").alias("sd"))
+
+
 def reward_weights(rr: Column, *keys: str) -> Column:
     """2 in the outer fifths by rank, else a half, with mean one."""
     w = Window.partitionBy(*keys)
@@ -131,6 +151,13 @@ class Calibrator:
             return predict(self.parts["stacking"], self.columns(p))
         return predict(self.parts[self.method], self.inputs(self.method, p))
 
+    def state(self) -> dict:
+        return {"method": self.method, "parts": {k: v.tolist() for k, v in self.parts.items()}}
+
+    @classmethod
+    def from_state(cls, state: dict) -> Calibrator:
+        return cls(state["method"], {k: np.array(v) for k, v in state["parts"].items()})
+
     @classmethod
     def best(cls, p: np.ndarray, y: np.ndarray, methods: tuple[str, ...] = ("platt", "beta", "temperature", "ensemble", "stacking")) -> Calibrator:
         """The method of least Brier score on the given rows."""
@@ -152,7 +179,58 @@ def calibrate(df: DataFrame, p: str, label: str, method: str = "platt", rows: in
 Model = Callable[[np.ndarray], np.ndarray]
 
 
-def boosted_trees(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 3, rate: float = 0.1, bins: int = 32, ridge: float = 1.0, seed: int = 7, sample: float = 1.0) -> tuple[Model, np.ndarray]:
+def leaf_values(node, b: np.ndarray) -> np.ndarray:
+    """What a tree (place, bin, lower, upper) or leaf gives rows of bins."""
+    if not isinstance(node, (tuple, list)):
+        return np.full(len(b), float(node))
+    j, k, low, high = node
+    out, side = np.empty(len(b)), b[:, j] <= k
+    out[side], out[~side] = leaf_values(low, b[side]), leaf_values(high, b[~side])
+    return out
+
+
+@dataclass
+class Forest:
+    """Boosted trees on binned features: a probability function that can be written down."""
+
+    edges: list[np.ndarray]
+    base: float
+    trees: list
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        b = np.column_stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)])
+        return 1 / (1 + np.exp(-(self.base + sum(leaf_values(t, b) for t in self.trees))))
+
+    def state(self) -> dict:
+        return {"edges": [e.tolist() for e in self.edges], "base": self.base, "trees": self.trees}
+
+    @classmethod
+    def from_state(cls, state: dict) -> Forest:
+        return cls([np.array(e) for e in state["edges"]], state["base"], state["trees"])
+
+
+@dataclass
+class Bag:
+    """The mean of several models' probabilities, and decisions by a threshold."""
+
+    models: list[Forest]
+    threshold: float = 0.5
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return np.mean([m(x) for m in self.models], axis=0)
+
+    def predict(self, x: np.ndarray, threshold: float | None = None) -> np.ndarray:
+        return (self(x) >= (self.threshold if threshold is None else threshold)).astype(np.int64)
+
+    def state(self) -> dict:
+        return {"models": [m.state() for m in self.models], "threshold": self.threshold}
+
+    @classmethod
+    def from_state(cls, state: dict) -> Bag:
+        return cls([Forest.from_state(m) for m in state["models"]], state["threshold"])
+
+
+def boosted_trees(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 3, rate: float = 0.1, bins: int = 32, ridge: float = 1.0, seed: int = 7, sample: float = 1.0) -> tuple[Forest, np.ndarray]:
     """Gradient boosting on histograms for a binary label: (probability function, gain per feature)."""
     rng = np.random.default_rng(seed)
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
@@ -176,35 +254,22 @@ def boosted_trees(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 3,
         side = binned[rows, best[1]] <= best[2]
         return best[1], best[2], grow(rows[side], g, h, left - 1), grow(rows[~side], g, h, left - 1)
 
-    def value(node, b: np.ndarray) -> np.ndarray:
-        if not isinstance(node, tuple):
-            return np.full(len(b), node)
-        j, k, low, high = node
-        out, side = np.empty(len(b)), b[:, j] <= k
-        out[side], out[~side] = value(low, b[side]), value(high, b[~side])
-        return out
-
     for _ in range(trees):
         p = 1 / (1 + np.exp(-score))
         rows = np.flatnonzero(rng.random(len(y)) < sample) if sample < 1 else np.arange(len(y))
         forest.append(grow(rows, p - y, p * (1 - p), depth))
-        score += value(forest[-1], binned)
-
-    def probability(z: np.ndarray) -> np.ndarray:
-        b = np.column_stack([np.searchsorted(e, z[:, j], side="right") for j, e in enumerate(edges)])
-        return 1 / (1 + np.exp(-(base + sum(value(t, b) for t in forest))))
-
-    return probability, gain_of / max(gain_of.sum(), 1e-12)
+        score += leaf_values(forest[-1], binned)
+    return Forest(edges, base, forest), gain_of / max(gain_of.sum(), 1e-12)
 
 
-def bagged(x: np.ndarray, y: np.ndarray, models: int = 10, seed: int = 7, **options) -> Model:
+def bagged(x: np.ndarray, y: np.ndarray, models: int = 10, seed: int = 7, **options) -> Bag:
     """The mean of boosted models on bootstrap rows."""
     rng = np.random.default_rng(seed)
     fitted = []
     for _ in range(models):
         rows = rng.integers(0, len(y), len(y))
         fitted.append(boosted_trees(x[rows], y[rows], **options)[0])
-    return lambda z: np.mean([m(z) for m in fitted], axis=0)
+    return Bag(fitted)
 
 
 def permutation_importance(model: Model, x: np.ndarray, y: np.ndarray, groups: list[list[int]] | None = None, repeats: int = 10, seed: int = 7) -> pd.DataFrame:
@@ -255,6 +320,41 @@ def fold_votes(features: DataFrame, folds: int = 5, repeats: int = 5, critical:
     return dealt.groupBy("fold").applyInPandas(work, "fold int, feature int, mean double, se double, harmful boolean")
 
 
+def clustered_importance(model: Model, x: np.ndarray, y: np.ndarray, clusters: list[list[int]], repeats: int = 10, top: int | None = None, seed: int = 7) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Importance of clusters shuffled as wholes, and of the features inside those above zero, the ``top`` of them."""
+    whole = permutation_importance(model, x, y, clusters, repeats, seed).rename(columns={"feature": "cluster"})
+    chosen = whole[whole["mean"] > 0].sort_values("mean", ascending=False).head(top or len(whole))["cluster"].tolist()
+    members = [j for k in chosen for j in clusters[k]]
+    inside = permutation_importance(model, x, y, [[j] for j in members], repeats, seed)
+    return whole, inside.assign(feature=members, cluster=[k for k in chosen for _ in clusters[k]])
+
+
+def impurity_importance(x: np.ndarray, y: np.ndarray, models: int = 10, seed: int = 7) -> pd.DataFrame:
+    """Share of the splits' gain per feature: mean and standard error over models on bootstrap rows."""
+    rng = np.random.default_rng(seed)
+    found = []
+    for _ in range(models):
+        rows = rng.integers(0, len(y), len(y))
+        found.append(boosted_trees(x[rows], y[rows], trees=20, seed=seed)[1])
+    shares = np.array(found)
+    return pd.DataFrame({"feature": np.arange(x.shape[1]), "mean": shares.mean(axis=0), "se": shares.std(axis=0) / math.sqrt(models)})
+
+
+def tuned(x: np.ndarray, y: np.ndarray, space: dict[str, list], trials: int = 20, folds: int = 3, seed: int = 7) -> pd.DataFrame:
+    """Random settings of boosted trees by cross-validated log-loss, the best first."""
+    rng, fold = np.random.default_rng(seed), np.arange(len(y)) % folds
+    rows = []
+    for _ in range(trials):
+        options = {k: v[int(rng.integers(0, len(v)))] for k, v in space.items()}
+        loss = 0.0
+        for f in range(folds):
+            model, _ = boosted_trees(x[fold != f], y[fold != f], seed=seed, **options)
+            p, t = np.clip(model(x[fold == f]), 1e-12, 1 - 1e-12), y[fold == f]
+            loss -= float((t * np.log(p) + (1 - t) * np.log(1 - p)).sum())
+        rows.append({**options, "loss": loss / len(y)})
+    return pd.DataFrame(rows).sort_values("loss", kind="stable", ignore_index=True)
+
+
 def stable_removals(votes: DataFrame, folds: int, share: float = 0.5) -> DataFrame:
     """Features that at least a share of the folds found harmful."""
     return votes.groupBy("feature").agg(F.sum(c("harmful").cast("int")).alias("votes")).where(c("votes") >= math.ceil(folds * share))

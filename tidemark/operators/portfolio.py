@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import risk
+from tidemark.operators.resample import asof_backward
 
 c = F.col
 
@@ -96,9 +97,9 @@ def tail_fractions(w: np.ndarray, x: np.ndarray, kind: str = "cvar", level: floa
     return own / own.sum() if own.sum() else equal(len(w))
 
 
-def tail_risk_parity(x: np.ndarray, kind: str = "cvar", rounds: int = 200) -> np.ndarray:
+def tail_risk_parity(x: np.ndarray, kind: str = "cvar", rounds: int = 200, cov: np.ndarray | None = None) -> np.ndarray:
     """Weights that even out the tail shares by damped multiplicative steps."""
-    w = inverse_vol(np.cov(x, rowvar=False))
+    w = inverse_vol(np.cov(x, rowvar=False) if cov is None else cov)
     best, error = w, math.inf
     for _ in range(rounds):
         f = tail_fractions(w, x, kind)
@@ -138,9 +139,9 @@ def hierarchical_risk_parity(cov: np.ndarray) -> np.ndarray:
     return w / w.sum()
 
 
-def nested_clusters(x: np.ndarray, risk_free: float = 0.0) -> np.ndarray:
+def nested_clusters(x: np.ndarray, risk_free: float = 0.0, cov: np.ndarray | None = None) -> np.ndarray:
     """Best Sharpe weights inside clusters, then across the clusters' own returns."""
-    cov = np.cov(x, rowvar=False)
+    cov = np.cov(x, rowvar=False) if cov is None else cov
     groups = risk.onc(risk.correlation(cov)).members
     inner = [max_sharpe(x[:, g].mean(axis=0), np.atleast_2d(cov[np.ix_(g, g)]), risk_free) for g in groups]
     series = np.column_stack([x[:, g] @ w for g, w in zip(groups, inner, strict=True)])
@@ -151,31 +152,93 @@ def nested_clusters(x: np.ndarray, risk_free: float = 0.0) -> np.ndarray:
     return out / out.sum()
 
 
-def ensemble(x: np.ndarray, how: str = "equal", lower: float = 0.0, upper: float = 1.0) -> np.ndarray:
+def sub_strategies(cov: np.ndarray) -> dict[str, np.ndarray]:
+    """Weights of the strategies that an ensemble blends."""
+    return {"equal": equal(len(cov)), "inverse_vol": inverse_vol(cov), "minimum_variance": minimum_variance(cov), "risk_parity": risk_parity(cov), "hrp": hierarchical_risk_parity(cov)}
+
+
+def blend(x: np.ndarray, subs: np.ndarray, how: str) -> np.ndarray:
+    """Shares of sub-strategies (rows of weights), equally, by least variance or by hierarchy of their returns."""
+    if how == "equal":
+        return equal(len(subs))
+    cov = np.cov(x @ subs.T, rowvar=False)
+    shrunk = 0.9 * cov + 0.1 * np.diag(np.diag(cov))
+    return minimum_variance(shrunk) if how == "minvar" else hierarchical_risk_parity(shrunk)
+
+
+def ensemble(x: np.ndarray, how: str = "equal", lower: float = 0.0, upper: float = 1.0, cov: np.ndarray | None = None) -> np.ndarray:
     """Sub-strategies blended equally, by least variance or by hierarchy of their returns."""
-    cov = np.cov(x, rowvar=False)
-    subs = np.array([equal(len(cov)), inverse_vol(cov), minimum_variance(cov), risk_parity(cov), hierarchical_risk_parity(cov)])
+    subs = np.array(list(sub_strategies(np.cov(x, rowvar=False) if cov is None else cov).values()))
+    return bounded_simplex(blend(x, subs, how) @ subs, lower, upper)
+
+
+def diagnose(x: np.ndarray, how: str = "equal", cov: np.ndarray | None = None) -> pd.DataFrame:
+    """Per sub-strategy: its share of the blend, the mean, deviation and mean correlation of its returns."""
+    found = sub_strategies(np.cov(x, rowvar=False) if cov is None else cov)
+    subs = np.array(list(found.values()))
     series = x @ subs.T
-    sub_cov = np.cov(series, rowvar=False)
-    shrunk = 0.9 * sub_cov + 0.1 * np.diag(np.diag(sub_cov))
-    blend = {"equal": lambda: equal(len(subs)), "minvar": lambda: minimum_variance(shrunk), "hrp": lambda: hierarchical_risk_parity(shrunk)}[how]()
-    return bounded_simplex(blend @ subs, lower, upper)
-
-
-STRATEGIES: dict[str, Callable[[np.ndarray], np.ndarray]] = {
-    "equal": lambda x: equal(x.shape[1]),
-    "inverse_vol": lambda x: inverse_vol(np.cov(x, rowvar=False)),
-    "minimum_variance": lambda x: minimum_variance(np.cov(x, rowvar=False)),
-    "mean_variance": lambda x: mean_variance(x.mean(axis=0) * 252, np.cov(x, rowvar=False) * 252),
-    "tangency": lambda x: max_sharpe(np.expm1(np.log1p(x).mean(axis=0) * 252), np.cov(x, rowvar=False) * 252),
-    "risk_parity": lambda x: risk_parity(np.cov(x, rowvar=False)),
-    "tail_risk_parity": tail_risk_parity,
-    "hrp": lambda x: hierarchical_risk_parity(np.cov(x, rowvar=False)),
-    "nco": nested_clusters,
-    "ensemble": ensemble,
+    r = np.corrcoef(series, rowvar=False)
+    others = (r.sum(axis=0) - 1) / max(len(subs) - 1, 1)
+    return pd.DataFrame({"strategy": list(found), "share": blend(x, subs, how), "mean": series.mean(axis=0), "sd": series.std(axis=0, ddof=1), "correlation": others})
+
+
+#: Strategies from the rows of returns and a covariance of their columns, by whatever risk model.
+STRATEGIES: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
+    "equal": lambda x, cov: equal(x.shape[1]),
+    "inverse_vol": lambda x, cov: inverse_vol(cov),
+    "minimum_variance": lambda x, cov: minimum_variance(cov),
+    "mean_variance": lambda x, cov: mean_variance(x.mean(axis=0) * 252, cov * 252),
+    "tangency": lambda x, cov: max_sharpe(np.expm1(np.log1p(x).mean(axis=0) * 252), cov * 252),
+    "risk_parity": lambda x, cov: risk_parity(cov),
+    "tail_risk_parity": lambda x, cov: tail_risk_parity(x, cov=cov),
+    "hrp": lambda x, cov: hierarchical_risk_parity(cov),
+    "nco": lambda x, cov: nested_clusters(x, cov=cov),
+    "ensemble": lambda x, cov: ensemble(x, cov=cov),
 }
 
 
+def fit_t(x: np.ndarray, rounds: int = 200) -> tuple[float, float, float]:
+    """Degrees of freedom, centre and scale of Student's t, by expectation and maximisation."""
+    centre, scale = float(np.median(x)), max(float(x.std()), 1e-12)
+    grid = np.concatenate((np.arange(2.1, 10, 0.1), np.geomspace(10, 200, 40)))
+    log_gamma = np.vectorize(math.lgamma)
+    constant = log_gamma((grid + 1) / 2) - log_gamma(grid / 2) - 0.5 * np.log(grid * math.pi)
+    freedom = 8.0
+    for _ in range(rounds):
+        z = ((x - centre) / scale) ** 2
+        u = (freedom + 1) / (freedom + z)
+        new = float((u * x).sum() / u.sum())
+        width = max(math.sqrt(float((u * (x - new) ** 2).mean())), 1e-12)
+        z = ((x - new) / width) ** 2
+        likely = constant - (grid + 1) / 2 * np.log1p(z[:, None] / grid).mean(axis=0)
+        now = float(grid[int(np.argmax(likely))])
+        still = abs(new - centre) < 1e-10 and abs(width - scale) < 1e-10 and now == freedom
+        freedom, centre, scale = now, new, width
+        if still:
+            break
+    return freedom, centre, scale
+
+
+def drawn_fraction(x: np.ndarray, step: float = 0.01, most: float = 5.0, fraction: float = 0.5, draws: int = 200_000, margin: float = 0.0, seed: int = 42) -> float:
+    """``fraction`` of the growth-optimal multiple over draws from the fitted t, clipped to the observed ends.
+
+    ``margin`` widens the ends by a share of their distance from the centre. Draws pass in blocks.
+    """
+    if len(x) < 2 or not x.std():
+        return 0.0
+    freedom, centre, scale = fit_t(x)
+    low, high = (centre + (end - centre) * (1 + margin) for end in (float(x.min()), float(x.max())))
+    if low >= 0:
+        return 0.0
+    rng = np.random.default_rng(seed)
+    grid, growth, n = np.arange(0.0, most + step / 2, step), 0.0, 0
+    while n < draws:
+        r = np.clip(centre + scale * rng.standard_t(freedom, min(10_000, draws - n)), low, high)
+        growth = growth + np.log(np.maximum(1 + grid[:, None] * r[None, :] / abs(low), 1e-12)).sum(axis=1)
+        n += len(r)
+    return float(grid[int(np.argmax(growth))] * fraction)
+
+
 def optimal_fraction(x: np.ndarray, step: float = 0.01, most: float = 5.0, fraction: float = 0.5) -> float:
     """``fraction`` of the growth-optimal multiple of the observed returns, by the worst one."""
     worst = float(x.min())
@@ -187,35 +250,65 @@ def optimal_fraction(x: np.ndarray, step: float = 0.01, most: float = 5.0, fract
     return float(grid[int(np.argmax(growth))] * fraction)
 
 
-def weights_at(returns: DataFrame, dates: DataFrame, lookback: int = 252, strategies: tuple[str, ...] = tuple(STRATEGIES)) -> DataFrame:
-    """Weights of each strategy at each rebalance date, from the rows before it: one task per date.
+def windows_before(returns: DataFrame, dates: DataFrame, lookback: int) -> DataFrame:
+    """Rows of returns with each ``date`` whose look-back holds them, found by their number in time.
 
-    ``dates`` (ts) is a calendar. A row of returns goes to the dates whose look-back holds it, found by
-    its number in time, so each task gets at most ``lookback`` times the number of assets.
+    ``dates`` (ts) is a calendar, so a date's task gets at most ``lookback`` times the number of assets.
     """
     times = returns.select("ts").distinct().withColumn("i", F.row_number().over(Window.orderBy("ts")))
     anchors = dates.join(times, "ts").select(c("ts").alias("date"), c("i").alias("at"))
-    dealt = returns.join(times, "ts").join(F.broadcast(anchors), (c("i") < c("at")) & (c("i") >= c("at") - lookback))
+    return returns.join(times, "ts").join(F.broadcast(anchors), (c("i") < c("at")) & (c("i") >= c("at") - lookback))
+
+
+def weights_at(
+    returns: DataFrame, dates: DataFrame, lookback: int = 252, strategies: tuple[str, ...] = tuple(STRATEGIES), risk_model: str = "sample", denoising: str | None = None
+) -> DataFrame:
+    """Weights of each strategy at each rebalance date, from the rows before it: one task per date.
+
+    The covariance that strategies get is that of the risk model, denoised where asked.
+    """
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="ts", columns="asset", values="ret", aggfunc="mean").fillna(0.0).sort_index().sort_index(axis=1)
-        x = wide.to_numpy()
+        wide = pdf.pivot_table(index="ts", columns="asset", values="ret", aggfunc="mean").sort_index().sort_index(axis=1)
+        gaps, x = wide.to_numpy(), wide.fillna(0.0).to_numpy()
+        usable = len(x) >= 60 and x.shape[1] > 1 and (x.std(axis=0) > 0).all()
+        own = risk.estimate(gaps, risk_model, denoising) if usable else None
         rows = []
         for name in strategies:
-            usable = len(x) >= 60 and x.shape[1] > 1 and (x.std(axis=0) > 0).all()
-            w = STRATEGIES[name](x) if usable else equal(x.shape[1])
+            # variances alone need no positive matrix
+            cov = risk.estimate(gaps, risk_model, denoising, psd=False) if usable and name == "inverse_vol" else own
+            w = STRATEGIES[name](x, cov) if usable else equal(x.shape[1])
             rows += [(pdf["date"].iloc[0], name, a, float(v)) for a, v in zip(wide.columns, w, strict=True)]
         return pd.DataFrame(rows, columns=["date", "strategy", "asset", "weight"])
 
+    dealt = windows_before(returns, dates, lookback)
     return dealt.groupBy("date").applyInPandas(work, "date timestamp, strategy string, asset string, weight double")
 
 
+def fractions_at(returns: DataFrame, dates: DataFrame, lookback: int = 252, anchored: bool = False, draws: int = 100_000, least_rows: int = 60) -> DataFrame:
+    """(date, asset, freedom, fraction): optimal fractions over the rows before each date, all of them if ``anchored``."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("ts")["ret"].dropna().to_numpy()
+        if len(x) < least_rows:
+            return pd.DataFrame(columns=["date", "asset", "freedom", "fraction"])
+        return pdf.iloc[:1][["date", "asset"]].assign(freedom=fit_t(x)[0], fraction=drawn_fraction(x, draws=draws))
+
+    dealt = windows_before(returns, dates, (1 << 30) if anchored else lookback)
+    return dealt.groupBy("date", "asset").applyInPandas(work, "date timestamp, asset string, freedom double, fraction double")
+
+
 def hold(returns: DataFrame, weights: DataFrame) -> DataFrame:
-    """Portfolio returns of weights that hold from their date to the next one."""
-    order = Window.partitionBy("strategy", "asset").orderBy("date")
-    spans = weights.withColumn("until", F.lead("date").over(order))
-    joined = returns.join(spans, "asset").where((c("ts") >= c("date")) & (c("until").isNull() | (c("ts") < c("until"))))
-    return joined.groupBy("strategy", "ts").agg(F.sum(c("weight") * c("ret")).alias("ret"))
+    """Portfolio returns of weights that hold from their date to the next one.
+
+    Each strategy's weights are one list per date, as many as assets, and a date's list is found by the
+    as-of join of the calendar of returns: rows meet one list per strategy, not all dates.
+    """
+    lists = weights.groupBy("strategy", c("date").alias("ts")).agg(F.map_from_entries(F.collect_list(F.struct("asset", "weight"))).alias("weights"))
+    times = weights.select("strategy").distinct().crossJoin(returns.select("ts").distinct())
+    held = asof_backward(times, lists, "strategy", ["weights"]).where("weights is not null")
+    joined = returns.join(held, "ts").withColumn("_w", F.try_element_at("weights", c("asset")))
+    return joined.where("_w is not null").groupBy("strategy", "ts").agg(F.sum(c("_w") * c("ret")).alias("ret"))
 
 
 def turnover(weights: DataFrame, halved: bool = True) -> DataFrame:
@@ -326,3 +419,35 @@ class RiskAllocator:
             moved = np.abs(w - old).sum()
             w = old + (w - old) * min(1.0, self.most_turnover / moved) if moved > 0 else w
         return dict(zip(names, w.tolist(), strict=True))
+
+    def snapshot(self) -> dict[str, dict]:
+        """What the allocator holds of each strategy: expected figures, their spread, and the multiplier."""
+        return {n: {"expected": self.expected[n].tolist(), "spread": self.spread[n].tolist(), "multiplier": self.multipliers.get(n, 1.0)} for n in self.expected}
+
+
+def allocate(returns: DataFrame, start: str, base: dict[str, float] | None = None, allocator: RiskAllocator | None = None, leverage: float = 1.0) -> DataFrame:
+    """(date, asset, multiplier, weight, audit...): the allocator's weights on its own weekly schedule.
+
+    ``returns`` (asset, ts, ret) are those of whole strategies or assets. The allocator is fitted on the rows
+    before ``start``; from then on, the first day of each week moves the weights, from rows strictly before it.
+    Its state goes from week to week, so the calendar, a row per day, is one task.
+    """
+    plan, begin = allocator or RiskAllocator(), pd.Timestamp(start)
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot_table(index="ts", columns="asset", values="ret", aggfunc="mean").fillna(0.0).sort_index().sort_index(axis=1)
+        names = list(wide.columns)
+        fixed = base or dict.fromkeys(names, 1.0 / len(names))
+        before, after = wide[wide.index < begin], wide.index[wide.index >= begin]
+        own = replace(plan, expected={}, spread={}, multipliers={}).fit({n: before[n].to_numpy() for n in names})
+        rows, held = [], None
+        for day in pd.Series(after).groupby(after.isocalendar().year.to_numpy() * 100 + after.isocalendar().week.to_numpy()).min():
+            multipliers = own.compute({n: wide.loc[wide.index < day, n].to_numpy() for n in names})
+            weights = own.overlay(fixed, multipliers, held)
+            moved = sum(abs(weights[n] - (held or {}).get(n, 0.0)) for n in names)
+            rows += [(day, n, fixed[n], multipliers[n], leverage * weights[n], moved) for n in names]
+            held = weights
+        return pd.DataFrame(rows, columns=["date", "asset", "base", "multiplier", "weight", "moved"])
+
+    schema = "date timestamp, asset string, base double, multiplier double, weight double, moved double"
+    return returns.select(F.lit("all").alias("book"), "asset", "ts", "ret").groupBy("book").applyInPandas(work, schema)

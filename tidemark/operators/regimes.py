@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -128,8 +129,30 @@ class HiddenMarkov:
         return g / g.sum(axis=1, keepdims=True), xi, float((np.log(scale) + top).sum())
 
     def posterior(self, x: np.ndarray) -> np.ndarray:
+        """Shares of the states given all rows, later ones too: for rows the model is fitted on."""
         return self._expect(x)[0]
 
+    def filtered(self, x: np.ndarray) -> np.ndarray:
+        """Shares of the states given the rows up to each: what is known at its time."""
+        e = self._emissions(x)
+        p = np.exp(e - e.max(axis=1, keepdims=True))
+        out = np.empty_like(p)
+        for i in range(len(p)):
+            out[i] = (self.start if i == 0 else out[i - 1] @ self.moves) * p[i]
+            out[i] /= out[i].sum() or 1e-300
+        return out
+
+    def state(self) -> dict:
+        """The fitted parameters as plain lists."""
+        return {"states": self.states, "start": self.start.tolist(), "moves": self.moves.tolist(), "means": self.means.tolist(), "covs": self.covs.tolist(),
+                "converged": self.converged, "likelihood": self.likelihood}
+
+    @classmethod
+    def from_state(cls, state: dict) -> HiddenMarkov:
+        out = cls(state["states"], converged=state["converged"], likelihood=state["likelihood"])
+        out.start, out.moves, out.means, out.covs = (np.array(state[k]) for k in ("start", "moves", "means", "covs"))
+        return out
+
 
 def gaussian_mixture(x: np.ndarray, k: int = 3, rounds: int = 100, seed: int = 7) -> np.ndarray:
     """Posterior shares of a full-covariance mixture."""
@@ -153,31 +176,137 @@ def align(posterior: np.ndarray, x: np.ndarray) -> np.ndarray:
     return posterior[:, np.argsort(level, kind="stable")]
 
 
+@dataclass
+class Ensemble:
+    """Hidden Markov models on random subsets of smoothed features, and the mean of what they say.
+
+    Smoothing goes on from the last training row, so that later rows are judged as they come.
+    """
+
+    models: int = 10
+    states: int = 3
+    seed: int = 7
+    span: int = 100
+    align_states: bool = False
+    weighted: bool = False
+    members: list[tuple[list[int], HiddenMarkov]] = field(default_factory=list)
+
+    def smooth(self, x: np.ndarray) -> np.ndarray:
+        return pd.DataFrame(x).ewm(span=self.span, min_periods=1).mean().to_numpy()
+
+    def fit(self, x: np.ndarray) -> Ensemble:
+        rng = np.random.default_rng(self.seed)
+        smooth = self.smooth(x)
+        self.members = []
+        for k in range(self.models):
+            cols = np.sort(rng.choice(x.shape[1], size=min(x.shape[1], int(rng.integers(2, 9))), replace=False))
+            self.members.append((cols.tolist(), HiddenMarkov(self.states, seed=self.seed + k, rounds=50).fit(smooth[:, cols])))
+        return self
+
+    def _mean(self, x: np.ndarray, say: Callable[[HiddenMarkov, np.ndarray], np.ndarray]) -> np.ndarray:
+        smooth, total, mass = self.smooth(x), np.zeros((len(x), self.states)), 0.0
+        for cols, model in self.members:
+            p = say(model, smooth[:, cols])
+            order = np.argsort(model.means[:, 0], kind="stable") if self.align_states else np.arange(self.states)
+            w = math.exp(model.likelihood / len(x)) if self.weighted else 1.0
+            total, mass = total + w * p[:, order], mass + w
+        return total / mass
+
+    def filtered(self, x: np.ndarray) -> np.ndarray:
+        return self._mean(x, HiddenMarkov.filtered)
+
+    def posterior(self, x: np.ndarray) -> np.ndarray:
+        return self._mean(x, HiddenMarkov.posterior)
+
+    def convergence(self) -> pd.DataFrame:
+        """One row per model: features, whether it converged, and its likelihood."""
+        return pd.DataFrame([(k, len(cols), m.converged, m.likelihood) for k, (cols, m) in enumerate(self.members)], columns=["model", "features", "converged", "likelihood"])
+
+    def state(self) -> dict:
+        return {"span": self.span, "states": self.states, "align_states": self.align_states, "weighted": self.weighted, "members": [[cols, m.state()] for cols, m in self.members]}
+
+    @classmethod
+    def from_state(cls, state: dict) -> Ensemble:
+        members = [(cols, HiddenMarkov.from_state(m)) for cols, m in state["members"]]
+        return cls(len(members), state["states"], span=state["span"], align_states=state["align_states"], weighted=state["weighted"], members=members)
+
+
 def hmm_ensemble(x: np.ndarray, models: int = 10, states: int = 3, seed: int = 7, align_states: bool = False, weighted: bool = False) -> np.ndarray:
     """Mean posterior of models on random subsets of smoothed features."""
-    smooth = pd.DataFrame(x).ewm(span=100, min_periods=1).mean().to_numpy()
-    rng = np.random.default_rng(seed)
-    total, mass = np.zeros((len(x), states)), 0.0
-    for k in range(models):
-        cols = np.sort(rng.choice(x.shape[1], size=min(x.shape[1], int(rng.integers(2, 9))), replace=False))
-        model = HiddenMarkov(states, seed=seed + k, rounds=50).fit(smooth[:, cols])
-        p = model.posterior(smooth[:, cols])
-        w = math.exp(model.likelihood / len(x)) if weighted else 1.0
-        total, mass = total + w * (align(p, smooth[:, cols]) if align_states else p), mass + w
-    return total / mass
+    return Ensemble(models, states, seed, align_states=align_states, weighted=weighted).fit(x).posterior(x)
 
 
-def detect(bars: DataFrame, names: list[str], states: int = 3, train_share: float = 0.7) -> DataFrame:
-    """Regimes of each symbol: mixture shares decoded by a hidden Markov model, fitted on the first rows, a task per symbol."""
+@dataclass
+class NextRegime:
+    """The regime after this one, from the one now and the features: a softmax of its own for each regime now."""
+
+    states: int = 3
+    rate: float = 2.0
+    rounds: int = 500
+    ridge: float = 1e-3
+
+    def _inputs(self, now: np.ndarray, x: np.ndarray) -> np.ndarray:
+        own = np.column_stack(((x - self.mean) / self.sd, np.ones(len(x))))
+        return (np.eye(self.states)[now][:, :, None] * own[:, None, :]).reshape(len(x), -1)
+
+    def fit(self, regime: np.ndarray, x: np.ndarray) -> NextRegime:
+        self.mean, sd = x.mean(axis=0), x.std(axis=0)
+        self.sd = np.where(sd > 0, sd, 1.0)
+        a, y = self._inputs(regime[:-1], x[:-1]), np.eye(self.states)[regime[1:]]
+        self.weights = np.zeros((a.shape[1], self.states))
+        for _ in range(self.rounds):
+            p = _soft(a @ self.weights)[0]
+            self.weights -= self.rate * (a.T @ (p - y) / max(len(a), 1) + self.ridge * self.weights)
+        return self
+
+    def predict(self, now: int, x: np.ndarray) -> np.ndarray:
+        """Shares of the next regimes after one row."""
+        return _soft(self._inputs(np.array([now]), x[None, :]) @ self.weights)[0][0]
+
+    def walk(self, first: int, x: np.ndarray, gate: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Regimes step by step from the predicted one before; below ``gate`` the regime stays as it is."""
+        now, path, sure = first, np.empty(len(x), dtype=np.int32), np.empty(len(x))
+        for i, row in enumerate(x):
+            p = self.predict(now, row)
+            now = int(p.argmax()) if p.max() >= gate else now
+            path[i], sure[i] = now, p.max()
+        return path, sure
+
+
+def detect(bars: DataFrame, names: list[str], states: int = 3, train_share: float = 0.7, train_until: str | None = None, ensemble: int = 0, gate: float = 0.0) -> DataFrame:
+    """Regimes of each symbol by a hidden Markov model, or a mean of ``ensemble`` of them: a task per symbol.
+
+    Models are fitted on the rows up to ``train_until``, or on the first ``train_share`` of them; such rows are
+    marked ``fitted``. A row's ``regime`` uses rows up to its own only (``confidence`` is its share), and
+    ``next_regime`` is what a model of the training rows expects after it. With ``train_until``, rows that come
+    later change nothing before them.
+    """
+    end = pd.Timestamp(train_until) if train_until else None
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts")
         x = pdf[names].fillna(0.0).to_numpy(dtype=np.float64)
-        head = max(int(len(x) * train_share), min(len(x), 30))
+        head = int((pdf["ts"] <= end).sum()) if end is not None else int(len(x) * train_share)
+        head = max(head, min(len(x), 30))
         x = (x - x[:head].mean(axis=0)) / np.where(x[:head].std(axis=0) == 0, 1, x[:head].std(axis=0))
-        model = HiddenMarkov(states).fit(x[:head])
-        order = np.argsort(model.means[:, 0], kind="stable")
-        p = model.posterior(x)[:, order]
-        return pdf[["symbol", "ts", "close"]].assign(regime=p.argmax(axis=1).astype(np.int32), confidence=p.max(axis=1))
-
-    return bars.select("symbol", "ts", "close", *names).groupBy("symbol").applyInPandas(work, "symbol string, ts timestamp, close double, regime int, confidence double")
+        model = Ensemble(ensemble, states, align_states=True).fit(x[:head]) if ensemble else HiddenMarkov(states).fit(x[:head])
+        order = np.arange(states) if ensemble else np.argsort(model.means[:, 0], kind="stable")
+        p = model.filtered(x)[:, order]
+        regime = p.argmax(axis=1).astype(np.int32)
+        after = NextRegime(states).fit(regime[:head], x[:head])
+        expected = np.empty(len(x), dtype=np.int32)
+        for i, row in enumerate(x):
+            share = after.predict(int(regime[i]), row)
+            expected[i] = int(share.argmax()) if share.max() >= gate else regime[i]
+        return pdf[["symbol", "ts", "close"]].assign(regime=regime, confidence=p.max(axis=1), next_regime=expected, fitted=np.arange(len(x)) < head)
+
+    schema = "symbol string, ts timestamp, close double, regime int, confidence double, next_regime int, fitted boolean"
+    return bars.select("symbol", "ts", "close", *names).groupBy("symbol").applyInPandas(work, schema)
+
+
+def validate(labelled: DataFrame) -> DataFrame:
+    """Per symbol and regime: share of rows, number of entries and mean length of a stay."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    rows = labelled.withColumn("_new", (F.lag("regime").over(w).isNull() | (F.lag("regime").over(w) != c("regime"))).cast("long"))
+    g = rows.groupBy("symbol", "regime").agg(F.count("*").alias("n"), F.sum("_new").alias("entries"))
+    return g.select("symbol", "regime", (c("n") / F.sum("n").over(Window.partitionBy("symbol"))).alias("share"), "entries", (c("n") / c("entries")).alias("mean_stay"))

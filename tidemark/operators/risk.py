@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -191,6 +192,48 @@ def denoise(cov: np.ndarray, x: np.ndarray, method: str = "marchenko_pastur") ->
     return ledoit_wolf(x)[0] if method == "shrinkage" else marchenko_pastur(cov, len(x))
 
 
+def sample_matrix(x: np.ndarray) -> np.ndarray:
+    return np.atleast_2d(np.cov(np.nan_to_num(x), rowvar=False))
+
+
+def pairwise_matrix(x: np.ndarray) -> np.ndarray:
+    """Each pair over the rows that both columns have; pairs without two such rows as 0."""
+    known = ~np.isnan(x)
+    z, k = np.where(known, x, 0.0), known.astype(np.float64)
+    n = k.T @ k
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = (z.T @ z - (z.T @ k) * (k.T @ z) / n) / (n - 1)
+    return np.where(n > 1, cov, 0.0)
+
+
+def ewma_matrix(x: np.ndarray, decay: float = 0.94) -> np.ndarray:
+    """``ewma_covariance`` on a matrix of rows in time."""
+    z = np.nan_to_num(x)
+    z = z - z.mean(axis=0)
+    n = len(z)
+    weight = np.append((1 - decay) * decay ** np.arange(n - 2, -1, -1.0), 0.0)
+    cov = (z * weight[:, None]).T @ z + decay ** (n - 1) * (z.T @ z) / n
+    np.fill_diagonal(cov, np.maximum(np.diag(cov), 1e-12))
+    return cov
+
+
+def garch_matrix(x: np.ndarray, horizon: int = 21) -> np.ndarray:
+    """Variances of the horizon by a model per column, under the pairwise correlation."""
+    sd = np.sqrt([garch_variance(col, horizon) for col in np.nan_to_num(x).T])
+    return project_correlation(correlation(pairwise_matrix(x))) * np.outer(sd, sd)
+
+
+#: Risk models on rows in time by assets, with gaps as nan.
+MODELS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"sample": sample_matrix, "pairwise": pairwise_matrix, "ewma": ewma_matrix, "garch": garch_matrix}
+
+
+def estimate(x: np.ndarray, model: str = "sample", denoising: str | None = None, psd: bool = True) -> np.ndarray:
+    """Covariance of the columns of ``x`` by a risk model, shifted to be positive and denoised where asked."""
+    cov = MODELS[model](x)
+    cov = shift_to_psd(cov) if psd else cov
+    return denoise(cov, np.nan_to_num(x), denoising) if denoising else cov
+
+
 @dataclass(frozen=True)
 class Clusters:
     members: list[list[int]]
@@ -277,6 +320,40 @@ def correlation_long(features: DataFrame) -> DataFrame:
     return a.join(b, "id").groupBy("i", "j").agg(F.corr("x", "y").alias("corr"))
 
 
+def component_loadings(corr: DataFrame, most: int = 10) -> DataFrame:
+    """(component, rank, feature, loading, share): the features that load most on each component of a long correlation matrix (i, j, corr)."""
+    names, m = matrix(corr.select(c("i").alias("asset_i"), c("j").alias("asset_j"), c("corr").alias("cov")))
+    values, vectors = np.linalg.eigh(m)
+    order = np.argsort(-values, kind="stable")
+    rows = []
+    for k, col in enumerate(order.tolist()):
+        v = vectors[:, col] * (1 if vectors[np.abs(vectors[:, col]).argmax(), col] >= 0 else -1)
+        top = np.argsort(-np.abs(v), kind="stable")[:most]
+        rows += [(k + 1, place + 1, int(names[j]), float(v[j]), float(values[col] / values.sum())) for place, j in enumerate(top.tolist())]
+    return corr.sparkSession.createDataFrame(rows, "component int, rank int, feature int, loading double, share double")
+
+
+def project(vectors: DataFrame, column: str, corr: np.ndarray, mean: np.ndarray, sd: np.ndarray, components: int) -> DataFrame:
+    """``vectors`` with ``scores``: places on the first components of the correlation, batch by batch."""
+    values, axes = np.linalg.eigh(corr)
+    axes = axes[:, np.argsort(-values, kind="stable")[:components]]
+
+    @F.pandas_udf("array<double>")
+    def scores(x: pd.Series) -> pd.Series:
+        return pd.Series(list((np.vstack(x.to_numpy()) - mean) / sd @ axes)) if len(x) else pd.Series([], dtype=object)
+
+    return vectors.withColumn("scores", scores(c(column).cast("array<double>")))
+
+
+def redundant(silhouettes: DataFrame, threshold: float = 0.25, share: float = 0.2, least: int = 2) -> DataFrame:
+    """Features (feature, cluster, silhouette) to remove: below the threshold or in a cluster's lowest share, while ``least`` stay."""
+    best = Window.partitionBy("cluster").orderBy(F.desc("silhouette"), "feature")
+    n = F.count("*").over(Window.partitionBy("cluster"))
+    ranked = silhouettes.withColumns({"_best": F.row_number().over(best), "_n": n})
+    poor = (c("silhouette") < threshold) | (c("_best") > F.ceil(c("_n") * (1 - share)))
+    return ranked.where(poor & (c("_best") > least)).drop("_best", "_n")
+
+
 def gram(vectors: DataFrame, column: str, prepare: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> DataFrame:
     """(i, j, s): sums of products of all pairs of columns of the prepared vectors.
 

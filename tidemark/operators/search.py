@@ -131,14 +131,51 @@ def walk_forward(bars: DataFrame, folds: DataFrame, params: DataFrame, signal: S
     """In-sample choice and out-of-sample score per symbol and fold; ``folds`` are rows with (fold, role)."""
 
     def part(role: str) -> DataFrame:
-        rows = folds.where(c("role") == role)
-        keyed = rows.withColumn("symbol", F.concat_ws("|", "symbol", "fold"))
-        return run_grid(keyed.select("symbol", "ts", "open", "high", "low", "close", "volume"), params, signal)
+        # the symbol and its fold together are the key of a replay
+        rows = folds.where(c("role") == role).withColumn("symbol", F.to_json(F.struct("symbol", "fold")))
+        return run_grid(rows.select("symbol", "ts", "open", "high", "low", "close", "volume"), params, signal)
 
     chosen = best_per(part("train").where(c(metric).isNotNull()), metric, "symbol").withColumnRenamed(metric, "is_score")
-    test = part("test").select("symbol", "param_id", *SCORES)
-    both = chosen.join(test, ["symbol", "param_id"]).withColumn("fold", F.split_part("symbol", F.lit("|"), F.lit(2)).cast("int"))
-    return both.withColumn("symbol", F.split_part("symbol", F.lit("|"), F.lit(1))).withColumn("efficiency", F.try_divide(metric, "is_score"))
+    both = chosen.join(part("test").select("symbol", "param_id", *SCORES), ["symbol", "param_id"])
+    key = F.from_json("symbol", "symbol string, fold int")
+    return both.withColumn("_k", key).withColumns({"symbol": c("_k.symbol"), "fold": c("_k.fold"), "efficiency": F.try_divide(metric, "is_score")}).drop("_k")
+
+
+def propose(history: list[tuple[dict, float]], space: dict[str, list], n: int, rng: np.random.Generator, first: int = 8, good: float = 0.25, explore: float = 0.2) -> list[dict]:
+    """``n`` parameter sets to try next: at random at first, then values that the best trials hold more often than the others."""
+    out = []
+    ranked = [p for p, v in sorted(history, key=lambda h: -h[1])]
+    best, rest = ranked[: max(1, int(len(ranked) * good))], ranked[max(1, int(len(ranked) * good)) :]
+    for _ in range(n):
+        chosen = {}
+        for name, values in space.items():
+            odds = np.ones(len(values))
+            if len(history) >= first and rng.random() > explore:
+                odds = np.array([(1 + sum(p[name] == v for p in best)) / (1 + sum(p[name] == v for p in rest)) for v in values])
+            chosen[name] = values[int(rng.choice(len(values), p=odds / odds.sum()))]
+        out.append(chosen)
+    return out
+
+
+def learned_search(bars: DataFrame, space: dict[str, list], signal: Signal, metric: str = "sharpe", trials: int = 24, batch: int = 8, seed: int = 7) -> DataFrame:
+    """(number, params, value) of trials that learn from those before: batches run as one fan-out each.
+
+    A trial's value is the metric's mean over the symbols; parameter sets met before are not run again. The
+    history, a row per trial, is all the driver holds.
+    """
+    rng, spark = np.random.default_rng(seed), bars.sparkSession
+    known: dict[str, float] = {}
+    rows: list[tuple[int, str, float | None]] = []
+    while len(rows) < trials:
+        history = [(json.loads(p), v) for _, p, v in rows if v is not None]
+        texts = [json.dumps(p, sort_keys=True) for p in propose(history, space, min(batch, trials - len(rows)), rng, batch)]
+        fresh = sorted({t for t in texts if t not in known})
+        if fresh:
+            params = spark.createDataFrame(list(enumerate(fresh)), "param_id int, params string")
+            found = run_grid(bars, params, signal).groupBy("params").agg(F.avg(metric).alias("v")).collect()
+            known |= {r.params: r.v for r in found}
+        rows += [(len(rows) + k, t, known.get(t)) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "number int, params string, value double")
 
 
 def path_metrics(folds: DataFrame, key: str = "param_id", value: str = "sharpe") -> DataFrame:

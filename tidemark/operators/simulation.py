@@ -115,10 +115,32 @@ def monte_carlo(rows: DataFrame, key: str, value: str, order: list[str], method:
 
 
 def summarise(sims: DataFrame, key: str, actual: DataFrame | None = None) -> DataFrame:
-    """Percentiles and means over the simulations of each key and metric."""
+    """Percentiles and means over the simulations of each key and metric.
+
+    With ``actual`` (the key and the metrics of the real path), also the share of simulations below it, ties
+    by half, as ``rank``.
+    """
     tall = sims.unpivot([key], list(METRICS), "metric", "value")
+    if actual is not None:
+        real = actual.unpivot([key], list(METRICS), "metric", "real")
+        tall = tall.join(real, [key, "metric"])
     q = F.percentile("value", [0.05, 0.25, 0.5, 0.75, 0.95])
-    return tall.groupBy(key, "metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), *(q[i].alias(n) for i, n in enumerate(("p05", "p25", "p50", "p75", "p95"))))
+    place = [] if actual is None else [
+        F.first("real").alias("real"), F.avg(F.when(F.col("value") < F.col("real"), 1.0).when(F.col("value") == F.col("real"), 0.5).otherwise(0.0)).alias("rank")
+    ]
+    return tall.groupBy(key, "metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), *(q[i].alias(n) for i, n in enumerate(("p05", "p25", "p50", "p75", "p95"))), *place)
+
+
+def real_path(rows: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """The metrics of each key's own series, as those of a simulation."""
+    kind = dict(rows.dtypes)[key]
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(order)[value].to_numpy(dtype=np.float64)
+        m = path_metrics(x, max(len(x) / 252, 1e-9))
+        return pd.DataFrame([(pdf[key].iloc[0], *(m[n] for n in METRICS))], columns=[key, *METRICS])
+
+    return rows.select(key, *order, value).groupBy(key).applyInPandas(work, f"{key} {kind}, " + ", ".join(f"{n} double" for n in METRICS))
 
 
 def permute_bars(b: dict[str, np.ndarray], days: np.ndarray, rng: np.random.Generator, method: str = "permutation") -> dict[str, np.ndarray]:

@@ -45,9 +45,13 @@ def suite(bars: DataFrame, signals: dict[str, SE.Signal], rules: dict[str, str],
     return parts.drop("param_id", "params").withColumn("rank", F.row_number().over(order))
 
 
-def stability_study(bars: DataFrame, signal: SE.Signal, space: dict, folds: int = 4, holdout: float = 0.25, bootstraps: int = 40, top: int = 5) -> DataFrame:
+def stability_study(bars: DataFrame, signal: SE.Signal, space: dict, folds: int = 4, holdout: float = 0.25, bootstraps: int = 40, top: int = 5, quantile: float = 0.5, radius: float = 0.7) -> DataFrame:
     """Five phases per parameter set: fold scores, filter, neighbourhood, bootstrap of the equity, hold-out; then tiers.
 
+    Folds are contiguous stretches of each symbol's first part. The filter keeps the sets of at least the
+    ``quantile`` of the median score, ``top`` of them; what is known of their neighbours within ``radius`` comes
+    from all sets.
+
     The grid is small; each phase is a fan-out over (symbol, parameter set) or an aggregate of the one before.
     """
     spark = bars.sparkSession
@@ -60,8 +64,12 @@ def stability_study(bars: DataFrame, signal: SE.Signal, space: dict, folds: int
     columns = ("symbol", "ts", "open", "high", "low", "close", "volume")
     scores = SE.run_grid(keyed.select(*columns), params, signal)
     phase1 = SE.path_metrics(scores.select("param_id", "sharpe", F.lit(0).alias("fold")))
-    phase2 = SE.dual_filter(phase1, 0.0, top)
-    chosen = phase2.join(params, "param_id")
+    phase2 = SE.dual_filter(phase1, quantile, top)
+    # the neighbourhood: how a set's scores compare with those of sets near to it
+    numeric = [k for k, v in space.items() if all(isinstance(x, (int, float)) for x in (v if isinstance(v, (tuple, list)) else (v,)))]
+    placed = phase1.join(params, "param_id").select(c("param_id").alias("number"), "median", *(F.get_json_object("params", f"$.{k}").cast("double").alias(k) for k in numeric))
+    around = SE.neighbours(placed, numeric, "median", radius).select(c("number").alias("param_id"), c("mean").alias("near_mean"), c("stability").alias("near_stability"))
+    chosen = phase2.join(params, "param_id").join(around, "param_id")
     out = SE.run_grid(marked.where(c("_share") > 1 - holdout).select(*columns), params, signal)
     tested = out.groupBy("param_id").agg(F.avg("sharpe").alias("oos_sharpe"), F.sum("trades").alias("oos_trades"))
     packed = head.select(*columns).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(*columns[1:]))).alias("bars"))
@@ -83,7 +91,7 @@ def stability_study(bars: DataFrame, signal: SE.Signal, space: dict, folds: int
     booted = booted.withColumn("boot_stability", 1 / (1 + F.coalesce(F.abs(F.try_divide("boot_sd", "boot_mean")), F.lit(0.0))))
     merged = chosen.join(tested, "param_id").join(booted, "param_id")
     merged = merged.withColumn("degradation", F.coalesce(F.try_divide("oos_sharpe", "median"), F.lit(0.0)))
-    ranked = SE.tiers(merged, {"median": 0.3, "consistency": 0.2, "boot_stability": 0.2, "oos_sharpe": 0.3})
+    ranked = SE.tiers(merged, {"median": 0.25, "consistency": 0.15, "near_stability": 0.15, "boot_stability": 0.15, "oos_sharpe": 0.3})
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc("composite"), "param_id")))
 
 

@@ -46,13 +46,27 @@ RSI = recursive(f"""{NUMBERED}, e AS (SELECT symbol, ts, n, CAST(NULL AS DOUBLE)
  CASE WHEN e.d IS NULL THEN greatest(b.pc - b.close, 0) ELSE e.d + (greatest(b.pc - b.close, 0) - e.d) / 14 END FROM e JOIN b ON b.symbol = e.symbol AND b.n = e.n + 1)
  SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts, round(CASE WHEN d = 0 THEN 100.0 ELSE 100 - 100 / (1 + u / d) END, 6) AS rsi FROM e""")
 
+ADX = recursive(f"""{NUMBERED}, h AS (SELECT *, lag(high) OVER (PARTITION BY symbol ORDER BY ts) AS ph, lag(low) OVER (PARTITION BY symbol ORDER BY ts) AS pl FROM b),
+ t AS (SELECT symbol, ts, n, {TR} AS tr, CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0 END AS u, CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0 END AS d FROM h),
+ e AS (SELECT symbol, ts, n, tr AS w, u::DOUBLE AS p, d::DOUBLE AS m FROM t WHERE n = 1 UNION ALL
+  SELECT t.symbol, t.ts, t.n, e.w + (t.tr - e.w) / 14, e.p + (t.u - e.p) / 14, e.m + (t.d - e.m) / 14 FROM e JOIN t ON t.symbol = e.symbol AND t.n = e.n + 1),
+ x AS (SELECT symbol, ts, n, 100 * p / nullif(w, 0) AS p, 100 * m / nullif(w, 0) AS m FROM e),
+ y AS (SELECT *, abs(p - m) / CASE WHEN p + m = 0 THEN 1 ELSE p + m END AS dx FROM x),
+ a AS (SELECT symbol, ts, n, p, m, dx AS a FROM y WHERE n = 1 UNION ALL
+  SELECT y.symbol, y.ts, y.n, y.p, y.m, CASE WHEN a.a IS NULL THEN y.dx ELSE a.a + (y.dx - a.a) / 14 END FROM a JOIN y ON y.symbol = a.symbol AND y.n = a.n + 1)
+ SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts, round(p, 6) AS di_plus, round(m, 6) AS di_minus, round(100 * a, 6) AS adx FROM a""")
+STOCH = RSI[: RSI.rindex("SELECT symbol, CAST")].rstrip() + """, r AS (SELECT symbol, ts, n, CASE WHEN d = 0 THEN 100.0 ELSE 100 - 100 / (1 + u / d) END AS r FROM e),
+ x AS (SELECT *, CASE WHEN count(r) OVER w = 14 THEN 100 * (r - min(r) OVER w) / nullif(max(r) OVER w - min(r) OVER w, 0) END AS raw FROM r WINDOW w AS (PARTITION BY symbol ORDER BY n ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
+ k AS (SELECT *, CASE WHEN count(raw) OVER w = 3 THEN avg(raw) OVER w END AS k FROM x WINDOW w AS (PARTITION BY symbol ORDER BY n ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
+ SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts, round(k, 4) AS stoch_rsi_k, round(CASE WHEN count(k) OVER w = 3 THEN avg(k) OVER w END, 4) AS stoch_rsi_d FROM k WINDOW w AS (PARTITION BY symbol ORDER BY n ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"""
+
 QUERIES = {
     "atr_rma": (indicators("atr"), ATR),
     "ema_tema": (indicators("ema", "tema"), EMA),
     "keltner": (indicators("kc_mid", "kc_up", "kc_low"), KELTNER),
     "rsi": (indicators("rsi"), RSI),
-    "adx": (indicators("di_plus", "di_minus", "adx"), None),
-    "stoch_rsi": (indicators("stoch_rsi_k", "stoch_rsi_d", digits=4), None),
+    "adx": (indicators("di_plus", "di_minus", "adx"), ADX),
+    "stoch_rsi": (indicators("stoch_rsi_k", "stoch_rsi_d", digits=4), STOCH),
     "dominant_cycle": (indicators("period"), None),
     "adaptive_oscillators": (indicators("adaptive_rsi", "adaptive_stoch", "adaptive_smi", "adaptive_cci"), None),
     "laguerre_rsi": (indicators("laguerre_rsi", "adaptive_laguerre_rsi"), None),

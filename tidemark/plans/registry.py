@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import indicators, performance, recursion, research
+from tidemark.plans import indicators, performance, recursion, reports, research
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (indicators, performance, recursion, research)
+MODULES = (indicators, performance, recursion, research, reports)
 
 
 def queries() -> dict[str, Query]:

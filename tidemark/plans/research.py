@@ -163,7 +163,7 @@ def portfolio_backtest(spark, sf_dir):
 
 def ruled_backtest(spark, sf_dir):
     d = daily_returns(spark, sf_dir).select(F.col("asset").alias("strategy"), "ts", "ret")
-    return PF.backtest(d, rules=PF.RiskRules()).withColumn("ts", F.unix_timestamp("ts"))
+    return rnd(PF.backtest(d, rules=PF.RiskRules()).withColumn("ts", F.unix_timestamp("ts")), ["strategy", "ts"], ["ret", "equity", "exposure"], 5)
 
 
 def equal_hold(spark, sf_dir):
@@ -187,7 +187,8 @@ SIMULATED_PATHS, PERMUTATIONS, PER_BATCH = 2000, 200, 5
 
 def monte_carlo(method):
     def query(spark, sf_dir):
-        return SI.summarise(SI.monte_carlo(daily_returns(spark, sf_dir), "asset", "ret", ["ts"], method, paths=SIMULATED_PATHS, batch=50), "asset")
+        d = daily_returns(spark, sf_dir)
+        return SI.summarise(SI.monte_carlo(d, "asset", "ret", ["ts"], method, paths=SIMULATED_PATHS, batch=50), "asset", SI.real_path(d, "asset", "ret", ["ts"]))
 
     return query
 
@@ -207,7 +208,8 @@ def permutation(spark, sf_dir):
     import pandas as pd
 
     fields = ("ts", "open", "high", "low", "close")
-    bars = V.bars(spark, sf_dir).withColumns({x: F.col(x) + 1000 for x in fields[1:]})
+    # permuted bars are products of ratios: prices of nothing have none
+    bars = V.bars(spark, sf_dir).where("low > 0")
     packed = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("bars"))
     dealt = packed.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(PERMUTATIONS // PER_BATCH - 1)))).repartition("symbol", "batch")
 
@@ -285,17 +287,26 @@ REGIME = """x AS (SELECT *, close - lag(close) OVER (PARTITION BY symbol ORDER B
 
 
 def detected(spark, sf_dir):
-    bars = W.volatility_features(V.bars(spark, sf_dir).withColumns({x: F.col(x) + 1000 for x in ("open", "high", "low", "close")}))
+    bars = W.volatility_features(V.bars(spark, sf_dir))
     return G.detect(bars, ["atr_14", "rv_20", "vov_20"]).withColumn("ts", F.unix_timestamp("ts"))
 
 
+def ensemble_regimes(spark, sf_dir):
+    bars = W.volatility_features(V.bars(spark, sf_dir))
+    return G.detect(bars, ["atr_14", "rv_20", "vov_20"], ensemble=10).withColumn("ts", F.unix_timestamp("ts"))
+
+
+def learned(spark, sf_dir):
+    return SE.learned_search(V.bars(spark, sf_dir), {"fast": [2, 3, 5, 8], "slow": [10, 13, 21, 34]}, SE.moving_cross)
+
+
 # search
 
 SPACE = {"fast": (3, 5, 8), "slow": (13, 21)}
 
 
 def grid_search(spark, sf_dir):
-    return SE.run_grid(V.bars(spark, sf_dir), SE.grid(spark, SPACE), SE.moving_cross)
+    return rnd(SE.run_grid(V.bars(spark, sf_dir), SE.grid(spark, SPACE), SE.moving_cross), ["symbol", "param_id", "params"], list(SE.SCORES), 5)
 
 
 def walk_forward(spark, sf_dir):
@@ -304,7 +315,27 @@ def walk_forward(spark, sf_dir):
     parts = bars.withColumn("third", third)
     train = parts.where("third < 3").select("*", (F.col("third") - 1).alias("fold"), F.lit("train").alias("role"))
     test = parts.where("third > 1").select("*", (F.col("third") - 2).alias("fold"), F.lit("test").alias("role"))
-    return SE.walk_forward(bars, train.unionByName(test), SE.grid(spark, SPACE), SE.moving_cross)
+    found = SE.walk_forward(bars, train.unionByName(test), SE.grid(spark, SPACE), SE.moving_cross)
+    return rnd(found, ["symbol", "fold", "param_id", "params"], ["is_score", *SE.SCORES, "efficiency"], 4)
+
+
+def replayed(source: str) -> str:
+    """DuckDB's own replay of the moving-average rule over ``source`` (k, ts, open, close) for every parameter set: scores per (k, param_id)."""
+    sets = [(f, s) for f in SPACE["fast"] for s in SPACE["slow"]]
+    union = " UNION ALL ".join(
+        f"""SELECT {i} AS param_id, '{{"fast": {f}, "slow": {s}}}' AS params, k, ts, open, close, CASE WHEN count(*) OVER f{i} = {f} AND count(*) OVER s{i} = {s} THEN sign(avg(close) OVER f{i} - avg(close) OVER s{i}) ELSE 0 END AS sig FROM {source}
+        WINDOW f{i} AS (PARTITION BY k ORDER BY ts ROWS BETWEEN {f - 1} PRECEDING AND CURRENT ROW), s{i} AS (PARTITION BY k ORDER BY ts ROWS BETWEEN {s - 1} PRECEDING AND CURRENT ROW)"""
+        for i, (f, s) in enumerate(sets)
+    )
+    return f"""sg AS ({union}),
+ ps AS (SELECT *, coalesce(lag(sig) OVER w, 0) AS p, lag(close) OVER w AS pc, row_number() OVER w AS n FROM sg WINDOW w AS (PARTITION BY k, param_id ORDER BY ts)),
+ st AS (SELECT *, coalesce(lag(p) OVER w, 0) AS pp FROM ps WINDOW w AS (PARTITION BY k, param_id ORDER BY ts)),
+ eq AS (SELECT *, 100000 + sum(coalesce(pp * (open - pc), 0) + p * (close - open)) OVER w AS e, sum(CASE WHEN p <> pp THEN 1 ELSE 0 END) OVER w AS seg FROM st WINDOW w AS (PARTITION BY k, param_id ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+ rt AS (SELECT *, e / lag(e) OVER w - 1 AS r, max(e) OVER (PARTITION BY k, param_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS pk, lead(open) OVER w AS nxt FROM eq WINDOW w AS (PARTITION BY k, param_id ORDER BY ts)),
+ tr AS (SELECT k, param_id, seg, any_value(p) AS p, arg_min(open, n) AS o, arg_max(coalesce(nxt, close), n) AS x FROM rt GROUP BY k, param_id, seg),
+ tt AS (SELECT k, param_id, count(*) AS trades, avg(CAST(p * (x - o) > 0 AS DOUBLE)) AS wins, sum(greatest(p * (x - o), 0)) / nullif(-sum(least(p * (x - o), 0)), 0) AS pf FROM tr WHERE p <> 0 GROUP BY k, param_id),
+ sc AS (SELECT k, param_id, any_value(params) AS params, coalesce(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252), 0) AS sharpe, arg_max(e, n) / arg_min(e, n) - 1 AS total_return, max(1 - e / pk) AS max_drawdown FROM rt GROUP BY k, param_id),
+ scores AS (SELECT sc.*, coalesce(trades, 0)::DOUBLE AS trades, coalesce(wins, 0) AS win_rate, coalesce(pf, 0) AS profit_factor FROM sc LEFT JOIN tt USING (k, param_id))"""
 
 
 def cpcv_metrics(spark, sf_dir):
@@ -412,7 +443,12 @@ QUERIES = {
     "walk_forward_split": (walk_forward_split, V.oracle(f"""WITH m AS (SELECT *, year(ts) * 12 + month(ts) AS m FROM v_returns), e AS (SELECT min(m) AS a, max(m) AS b FROM m),
         f AS (SELECT k AS fold, a + 3 * k AS tr, a + 3 * k + 10 AS te FROM e, range(1000) t(k) WHERE a + 3 * k + 12 <= b)
         SELECT CAST(fold AS INT) AS fold, CASE WHEN m < te THEN 'train' ELSE 'test' END AS role, {r('count(*)', 'n')}, {r('sum(ret)', 'total')} FROM m JOIN f ON m BETWEEN tr AND te + 2 GROUP BY 1, 2""", "v_returns")),
-    "cpcv_split": (cpcv_split, None),
+    "cpcv_split": (cpcv_split, V.oracle(f"""WITH e AS (SELECT date_trunc('month', min(ts)) AS a, max(ts) AS z FROM v_returns), g AS (SELECT k AS g, a + to_months(CAST(6 * k AS INT)) AS s, a + to_months(CAST(6 * k + 6 AS INT)) AS t FROM e, range(1000) u(k) WHERE a + to_months(CAST(6 * k + 6 AS INT)) <= z),
+        p AS (SELECT x.g AS g0, y.g AS g1, row_number() OVER (ORDER BY x.g, y.g) - 1 AS path FROM g x JOIN g y ON x.g < y.g QUALIFY row_number() OVER (ORDER BY x.g, y.g) <= 6),
+        f AS (SELECT path, 0 AS fold, g0 AS g, g1 AS o FROM p UNION ALL SELECT path, 1, g1, g0 FROM p), t AS (SELECT path, fold, s, t, s - to_days(CASE WHEN o = f.g - 1 THEN 0 ELSE 5 END) AS s5, t + to_days(CASE WHEN o = f.g + 1 THEN 0 ELSE 5 END) AS t5 FROM f JOIN g ON g.g = f.g),
+        u AS (SELECT path, fold, 'test' AS role, ret FROM v_returns JOIN t ON ts >= s AND ts < t UNION ALL
+          SELECT path, -1, 'train', ret FROM v_returns v, (SELECT DISTINCT path FROM t) q WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.path = q.path AND v.ts >= s5 AND v.ts < t5))
+        SELECT CAST(path AS INT) AS path, CAST(fold AS INT) AS fold, role, {r('count(*)', 'n')}, {r('sum(ret)', 'total')} FROM u GROUP BY 1, 2, 3""", "v_returns")),
     "merge_intervals": (merged, """WITH t AS (SELECT o_orderpriority, CAST(epoch(o_orderdate) AS BIGINT) AS s, CAST(epoch(o_orderdate) + 86400 * (o_custkey % 3) AS BIGINT) AS e FROM orders),
         a AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY o_orderpriority ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM t),
         b AS (SELECT *, sum(n) OVER (PARTITION BY o_orderpriority ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM a)
@@ -449,7 +485,11 @@ QUERIES = {
     "equal_weight_backtest": (equal_hold, V.oracle(f"""WITH {DAY}, a AS (SELECT max(ts) AS date FROM d GROUP BY year(ts)), f AS (SELECT min(date) AS first FROM a),
         p AS (SELECT ts, sum(0.2 * ret) AS ret FROM d, f WHERE ts >= first GROUP BY ts)
         SELECT 'equal' AS strategy, CAST(epoch(ts) AS BIGINT) AS ts, {r('ret', 'ret')}, {r('100000 * exp(sum(ln(1 + ret)) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING))', 'equity')} FROM p""", "v_returns")),
-    "ruled_backtest": (ruled_backtest, None),
+    "ruled_backtest": (ruled_backtest, V.oracle(f"""WITH {DAY}, x AS (SELECT asset, ts, ret, row_number() OVER (PARTITION BY asset ORDER BY ts) AS n FROM d),
+        u AS (SELECT asset, n, ts, ret, 1.0::DOUBLE AS q, greatest(1 + ret, 1) AS pk, 1 + ret AS e, 1 - (1 + ret) / greatest(1 + ret, 1) >= 0.075 AS half FROM x WHERE n = 1
+          UNION ALL SELECT asset, n, ts, ret, q, greatest(pk, e2), e2, 1 - e2 / greatest(pk, e2) >= 0.075 OR (half AND 1 - e2 / greatest(pk, e2) > 0.07)
+          FROM (SELECT x.asset, x.n, x.ts, x.ret, CASE WHEN u.half THEN 0.5 ELSE 1 END::DOUBLE AS q, u.pk, u.half, u.e * (1 + CASE WHEN u.half THEN 0.5 ELSE 1 END * x.ret) AS e2 FROM u JOIN x ON x.asset = u.asset AND x.n = u.n + 1))
+        SELECT asset AS strategy, CAST(epoch(ts) AS BIGINT) AS ts, {r('ret', 'ret', 5)}, {r('100000 * e', 'equity', 5)}, {r('q', 'exposure', 5)} FROM u""", "v_returns").replace("WITH ", "WITH RECURSIVE ", 1)),
     "scale_factors": (scales, V.oracle(f"""WITH {DAY} SELECT asset, CAST(epoch(ts) AS BIGINT) AS ts, {r("CASE WHEN count(ret) OVER w >= 60 THEN least(0.1 / greatest(stddev_samp(ret) OVER w * sqrt(252), 0.05), 10) ELSE 1 END", 'scale')}
         FROM d WINDOW w AS (PARTITION BY asset ORDER BY ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)""", "v_returns")),
     "monte_carlo_iid": (monte_carlo("iid"), None),
@@ -479,14 +519,23 @@ QUERIES = {
     "regime_returns": (lambda s, d: rnd(G.regime_returns(labelled(s, d)), ["symbol", "regime"], ["n", "mean", "sd", "var"]), V.oracle(f"""WITH {REGIME}, k AS (SELECT symbol, lag(regime) OVER w AS regime, close - lag(close) OVER w AS d FROM g WINDOW w AS (PARTITION BY symbol ORDER BY ts))
         SELECT symbol, CAST(regime AS INT) AS regime, {r('count(*)', 'n')}, {r('avg(d)', 'mean')}, {r('stddev_samp(d)', 'sd')}, {r('quantile_cont(d, 0.05)', 'var')} FROM k WHERE regime IS NOT NULL GROUP BY 1, 2""", "v_bars")),
     "detected_regimes": (detected, None),
-    "grid_search": (grid_search, None),
-    "walk_forward": (walk_forward, None),
+    "ensemble_regimes": (ensemble_regimes, None),
+    "learned_search": (learned, None),
+    "grid_search": (grid_search, V.oracle(f"WITH src AS (SELECT symbol AS k, ts, open, close FROM v_bars), {replayed('src')} SELECT k AS symbol, param_id, params, {', '.join(r(n, n, 5) for n in SE.SCORES)} FROM scores", "v_bars")),
+    "walk_forward": (walk_forward, V.oracle(f"""WITH th AS (SELECT *, ntile(3) OVER (PARTITION BY symbol ORDER BY ts) AS third FROM v_bars),
+        src AS (SELECT symbol || '/' || (third - 1) || '/train' AS k, ts, open, close FROM th WHERE third < 3 UNION ALL SELECT symbol || '/' || (third - 2) || '/test', ts, open, close FROM th WHERE third > 1), {replayed('src')},
+        sp AS (SELECT *, split_part(k, '/', 1) AS symbol, CAST(split_part(k, '/', 2) AS INT) AS fold, split_part(k, '/', 3) AS role FROM scores),
+        ch AS (SELECT symbol, fold, param_id, sharpe AS is_score FROM sp WHERE role = 'train' QUALIFY row_number() OVER (PARTITION BY symbol, fold ORDER BY round(sharpe, 9) DESC, param_id) = 1)
+        SELECT symbol, fold, param_id, params, {r('is_score', 'is_score', 4)}, {', '.join(r(n, n, 4) for n in SE.SCORES)}, {r('sharpe / nullif(is_score, 0)', 'efficiency', 4)} FROM ch JOIN sp USING (symbol, fold, param_id) WHERE role = 'test'""", "v_bars")),
     "cpcv_path_metrics": (cpcv_metrics, V.oracle(f"WITH {PATHS} SELECT param_id, {', '.join(r(n, n) for n in ('mean', 'median', 'p25', 'low', 'sd', 'n', 'consistency'))} FROM m", "v_folds")),
     "dual_filter": (dual, V.oracle(f"""WITH {PATHS}, f AS (SELECT * FROM m WHERE median >= (SELECT quantile_cont(median, 0.5) FROM m)),
         s AS (SELECT *, 0.5 * (median - min(median) OVER ()) / (max(median) OVER () - min(median) OVER ()) + 0.3 * (consistency - min(consistency) OVER ()) / (max(consistency) OVER () - min(consistency) OVER ())
           + 0.2 * (low - min(low) OVER ()) / (max(low) OVER () - min(low) OVER ()) AS score FROM f)
         SELECT param_id, {r('median', 'median')}, {r('consistency', 'consistency')}, {r('low', 'low')}, {r('score', 'score')} FROM s ORDER BY s.score DESC, param_id LIMIT 20""", "v_folds")),
-    "tiers": (tier, None),
+    "tiers": (tier, V.oracle(f"""WITH {PATHS}, d AS (SELECT median(median) AS m1, median(consistency) AS m2, median(low) AS m3 FROM m),
+        a AS (SELECT median(abs(median - m1)) AS a1, median(abs(consistency - m2)) AS a2, median(abs(low - m3)) AS a3 FROM m, d),
+        s AS (SELECT param_id, {' + '.join(f"{w} * (greatest(least(coalesce(({n} - m{k}) / nullif(1.4826 * a{k}, 0), 0), 3), -3) + 3) / 6" for k, n, w in ((1, 'median', 0.4), (2, 'consistency', 0.3), (3, 'low', 0.3)))} AS composite FROM m, d, a)
+        SELECT param_id, {r('composite', 'composite')}, CASE WHEN composite >= 0.7 THEN 1 WHEN composite >= 0.55 THEN 2 WHEN composite >= 0.4 THEN 3 ELSE 4 END AS tier FROM s""", "v_folds")),
     "trial_stability": (stability, V.oracle(f"""WITH d AS (SELECT * FROM v_trials WHERE state = 'COMPLETE'), c AS (SELECT quantile_cont(score, 0.9) AS q FROM d), u AS (SELECT 'all' AS part, p_size FROM d UNION ALL SELECT 'top', p_size FROM d, c WHERE score >= q),
         n AS (SELECT part, p_size, count(*) AS n FROM u GROUP BY 1, 2), o AS (SELECT part, p_size AS mode FROM n QUALIFY row_number() OVER (PARTITION BY part ORDER BY n DESC, p_size) = 1)
         SELECT u.part, {r('count(*)', 'n')}, {r('avg(p_size)', 'mean')}, {r('stddev_samp(p_size)', 'sd')}, {r('stddev_samp(p_size) / avg(p_size) * 100', 'cv')}, {r('max(mode)', 'mode')} FROM u JOIN o USING (part) GROUP BY u.part""", "v_trials")),

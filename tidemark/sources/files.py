@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import learning, regimes
 from tidemark.operators.resample import resample_ohlc
 
 PRICES = ("open", "high", "low", "close", "volume")
@@ -106,3 +107,19 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", by: list[str] |
     if by:
         out = out.partitionBy(*by)
     out.option("header", True).format(kind).save(path)
+
+
+#: Fitted models that can be written down, by the name that stands in their file.
+MODELS = {m.__name__: m for m in (learning.Calibrator, learning.Forest, learning.Bag, regimes.HiddenMarkov, regimes.Ensemble)}
+
+
+def save_model(spark: SparkSession, model, path: str) -> None:
+    """A fitted model's parameters as one line of JSON, in a folder of any store that Spark reaches."""
+    text = json.dumps({"kind": type(model).__name__, "state": model.state()})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_model(spark: SparkSession, path: str):
+    """The model that ``save_model`` wrote, which predicts the same."""
+    found = json.loads(spark.read.text(path, wholetext=True).first().value)
+    return MODELS[found["kind"]].from_state(found["state"])
