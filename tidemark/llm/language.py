@@ -6,9 +6,10 @@ softmax are trained together by stochastic gradient descent in numpy on a bounde
 and rejection thresholds are calibrated on a part of that sample that training does not see.
 
 A softmax is sure of anything that lies on one side of its borders, so a second score falls off away from
-the training data: the share of a text's trigrams that are familiar in the predicted language, as an upper
-bound that allows for short texts. Its threshold parts held-out texts from negatives made of them: the same
-texts judged without their own language, and with their letters shuffled.
+the training data: the share of a text's trigrams that are familiar in some learned language, as an upper
+bound that allows for short texts. Texts that mix learned languages are familiar throughout and stay. Its
+threshold parts held-out texts from negatives made of them: the same texts judged without their own
+language, and with their letters shuffled.
 
 Null and empty texts, and texts without any letter, are ``und`` with score 0 and are rejected. Texts of
 any length are read whole. Rows are judged one by one: repeated rows, an empty table and further
@@ -95,7 +96,7 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
-    #: Per language, whether texts of it commonly hold a trigram; and the least familiarity of a text.
+    #: Whether texts of some language commonly hold a trigram; and the least familiarity of a text.
     familiar: np.ndarray
     least: float
 
@@ -110,7 +111,7 @@ class Model:
         p = np.exp(logits - logits.max())
         p /= p.sum()
         best = int(p.argmax())
-        share = self.familiar[best, buckets(hashes[-n:], self.familiar.shape[1])].mean()
+        share = self.familiar[buckets(hashes[-n:], len(self.familiar))].mean()
         rejected = p[best] < self.threshold or familiarity(float(share), n) < self.least
         return self.languages[best], float(p[best]), bool(rejected)
 
@@ -150,7 +151,7 @@ def train(
     """Stochastic gradient descent on embeddings and softmax; every sixth text calibrates."""
     languages = tuple(sorted(set(langs)))
     if not languages:
-        return Model((), np.zeros((rows, 0)), np.zeros(0), 1.0, 1.0, np.zeros((0, 1 << _TRIGRAM_BITS), bool), 0.0)
+        return Model((), np.zeros((rows, 0)), np.zeros(0), 1.0, 1.0, np.zeros(1 << _TRIGRAM_BITS, bool), 0.0)
     counted, trigrams, kept = [], [], []
     for text, lang in zip(texts, langs, strict=True):
         hashes, last = subwords(text)
@@ -193,28 +194,27 @@ def train(
     target[np.arange(len(truth)), truth] = 1 - doubt
     losses = [-(target * np.log(np.maximum(confidence(t), 1e-12))).sum(axis=1).mean() for t in grid]
     temperature = float(grid[int(np.argmin(losses))])
-    # a right answer may be rejected in rejected_share of cases; never above an even vote
+    # a right answer may be rejected in rejected_share of cases; two languages that share a text are no doubt
     best = confidence(temperature)
     right = np.sort(best.max(axis=1)[best.argmax(axis=1) == truth])
-    threshold = float(min(right[int(rejected_share * len(right))] * 0.9 if len(right) else 1.0, 0.5))
+    threshold = float(min(right[int(rejected_share * len(right))] * 0.9 if len(right) else 1.0, 0.5, 1.5 / len(languages)))
     # familiar trigrams of the fitted part, judged on the held-out one and on negatives made of it
     chosen = [i % 6 == 0 for i in range(len(counted))] if len(counted) >= 60 else [True] * len(counted)
     part = [i for i in range(len(counted)) if len(counted) < 60 or i % 6]
     familiar = trigram_shares([trigrams[i] for i in part], [counted[i][2] for i in part], len(languages))
     good, bad = [], []
-    predicted = best.argmax(axis=1)
-    for k, i in enumerate(np.flatnonzero(chosen).tolist()):
-        shares, y = familiar[:, trigrams[i]].mean(axis=1), counted[i][2]
-        if predicted[k] == y:
-            good.append(familiarity(float(shares[y]), len(trigrams[i])))
+    some = familiar.any(axis=0)
+    others = [np.delete(familiar, y, axis=0).any(axis=0) for y in range(len(languages))]
+    for i in np.flatnonzero(chosen).tolist():
+        n = len(trigrams[i])
+        good.append(familiarity(float(some[trigrams[i]].mean()), n))
         if len(languages) > 1:
-            bad.append(familiarity(float(np.delete(shares, y).max()), len(trigrams[i])))
-        mixed = buckets(subwords(shuffled(kept[i][:2000], rng))[0], 1 << _TRIGRAM_BITS)
-        n = sum(c.isalpha() for c in kept[i][:2000])
+            bad.append(familiarity(float(others[counted[i][2]][trigrams[i]].mean()), n))
+        hashes, n = subwords(shuffled(kept[i][:2000], rng))
         if n:
-            bad.append(familiarity(float(familiar[:, mixed[-n:]].mean(axis=1).max()), n))
+            bad.append(familiarity(float(some[buckets(hashes[-n:], len(some))].mean()), n))
     least = least_familiarity(np.array(good), np.array(bad), rejected_share)
-    return Model(languages, scores, bias.astype(np.float64), temperature, threshold, familiar, least)
+    return Model(languages, scores, bias.astype(np.float64), temperature, threshold, some, least)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
