@@ -104,9 +104,8 @@ def quantile_bin(x: np.ndarray, n: int = 5) -> np.ndarray:
 
 def transfer_entropy(source: np.ndarray, target: np.ndarray, lag: int = 1, bins: int = 5) -> float:
     """Bits that the source's past adds to the target's own past about its present."""
-    s, t = quantile_bin(source, bins), quantile_bin(target, bins)
-    now, past, other = t[lag:], t[:-lag], s[:-lag]
-    return _bits(now, past) + _bits(past, other) - _bits(past) - _bits(now, past, other)
+    now, past, other = (quantile_bin(x, bins) for x in (target[lag:], target[:-lag], source[:-lag]))
+    return max(0.0, _bits(now, past) + _bits(past, other) - _bits(past) - _bits(now, past, other))
 
 
 def discrete_mi(x: np.ndarray, y: np.ndarray, bins: int = 5) -> float:

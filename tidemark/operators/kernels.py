@@ -92,43 +92,74 @@ def adx(b: Bars, n: int = 14, smooth: int = 14) -> dict[str, np.ndarray]:
     return {"di_plus": p, "di_minus": m, "adx": 100 * rma(dx, smooth)}
 
 
-def dominant_period(price: np.ndarray, part: float = 0.5, least: float = 6.0, most: float = 50.0) -> np.ndarray:
+def dominant_period(price: np.ndarray, part: float = 0.5, least: float = 6.0, most: float = 50.0, lag: int = 2, full_circle: bool = False) -> np.ndarray:
     """Dominant cycle of a price by the homodyne discriminator (Ehlers), times ``part``.
 
     A four-bar weighted average is passed through a Hilbert filter whose gain follows the last period; the
     phasor times its last value gives the angle per bar, hence the period, which may change by a factor
-    of 1.5 at most, is kept in bounds, and is smoothed twice.
+    of 1.5 at most, is kept in bounds, and is smoothed twice. Both parts of the phasor are smoothed with their
+    value ``lag`` bars before (published versions have 1 or 2). The angle is that of the ratio of both parts,
+    or with ``full_circle`` the one between all four quadrants.
     """
-    n = len(price)
-    out = np.full(n, np.nan)
+    n, warm = len(price), int(least) + 1
     # fixed values: taps of the filter and its gain
     taps, base, slope = (0.0962, 0.5769, -0.5769, -0.0962), 0.54, 0.075
-    smooth, detrended, inphase, quad = (np.zeros(n) for _ in range(4))
-    i2 = q2 = re = im = period = smoothed = 0.0
+    out, detrended, inphase, quad, i2, q2 = (np.zeros(n) for _ in range(6))
+    smooth = np.array(price, dtype=np.float64)
+    smooth[warm:] = (4 * smooth[warm:] + 3 * price[warm - 1 : n - 1] + 2 * price[warm - 2 : n - 2] + price[warm - 3 : n - 3]) / 10 if n > warm else smooth[warm:]
     hilbert = lambda x, i: sum(w * x[i - 2 * k] for k, w in enumerate(taps))
-    for i in range(n):
-        if i >= 3:
-            smooth[i] = (4 * price[i] + 3 * price[i - 1] + 2 * price[i - 2] + price[i - 3]) / 10
-        if i < 6:
-            out[i] = smoothed * part
-            continue
+    re = im = period = smoothed = 0.0
+    for i in range(warm, n):
         gain = slope * period + base
         detrended[i] = hilbert(smooth, i) * gain
         quad[i] = hilbert(detrended, i) * gain
         inphase[i] = detrended[i - 3]
-        ji, jq = hilbert(inphase, i) * gain, hilbert(quad, i) * gain
-        new_i, new_q = 0.2 * (inphase[i] - jq) + 0.8 * i2, 0.2 * (quad[i] + ji) + 0.8 * q2
-        re, im = 0.2 * (new_i * i2 + new_q * q2) + 0.8 * re, 0.2 * (new_i * q2 - new_q * i2) + 0.8 * im
-        i2, q2 = new_i, new_q
-        turn = math.atan2(im, re) if im or re else 0.0
+        i2[i] = 0.2 * (inphase[i] - hilbert(quad, i) * gain) + 0.8 * i2[i - lag]
+        q2[i] = 0.2 * (quad[i] + hilbert(inphase, i) * gain) + 0.8 * q2[i - lag]
+        re = 0.2 * (i2[i] * i2[i - 1] + q2[i] * q2[i - 1]) + 0.8 * re
+        im = 0.2 * (i2[i] * q2[i - 1] - q2[i] * i2[i - 1]) + 0.8 * im
+        turn = (math.atan2(im, re) if full_circle else math.atan(im / re)) if im and re else 0.0
         fresh = 2 * math.pi / turn if turn else period
-        fresh = min(max(fresh, 0.67 * period), 1.5 * period) if period else fresh
+        fresh = min(fresh, 1.5 * period)
+        fresh = max(fresh, 0.67 * period)
         period = 0.2 * min(max(fresh, least), most) + 0.8 * period
         smoothed = 0.33 * period + 0.67 * smoothed
         out[i] = smoothed * part
     return out
 
 
+def chandelier(b: Bars, multiplier: float = 3.0, least: float = 6.0, most: float = 50.0) -> dict[str, np.ndarray]:
+    """Exits below the highest high and above the lowest low of the dominant cycle, by its average range."""
+    period = dominant_period((b["high"] + b["low"] + b["close"]) / 3, 1.0, least, most)
+    width, n = multiplier * adaptive_atr(b, period / 2), spans(period)
+    return {"chandelier_long": variable(b["high"], n, np.max) - width, "chandelier_short": variable(b["low"], n, np.min) + width}
+
+
+def envelope_signal(b: Bars, dpo: int = 20, wma: int = 30, band: int = 10, offset: float = 0.06) -> np.ndarray:
+    """Direction by crossings of the weighted average that the detrended price confirms, or a breach of the envelope does.
+
+    What is not known counts as not above; a direction holds until the next one.
+    """
+    x = b["close"]
+    back = dpo // 2 + 1
+    before = np.concatenate((np.full(min(back, len(x)), np.nan), x[:-back]))
+    rising = before - moving(x, dpo, 10) > 0
+    weights = np.arange(1, wma + 1) / (wma * (wma + 1) / 2)
+    average = np.full(len(x), np.nan)
+    if len(x) >= wma:
+        average[wma - 1 :] = np.convolve(x, weights[::-1], mode="valid")
+    above = x > average
+    earlier = np.concatenate(([False], above[:-1]))
+    crossed_up, crossed_down = above & ~earlier, ~above & earlier
+    middle = ema(x, band)
+    low, high = x < middle * (1 - offset), x > middle * (1 + offset)
+    signal = np.zeros(len(x))
+    signal[(crossed_up & rising) | (low & (crossed_up | rising))] = 1
+    signal[(crossed_down & ~rising) | (high & (crossed_down | ~rising))] = -1
+    held = pd.Series(np.where(signal == 0, np.nan, signal)).ffill()
+    return held.fillna(0.0).to_numpy()
+
+
 def spans(period: np.ndarray, least: int = 1, default: int = 20) -> np.ndarray:
     """Whole window lengths out of periods."""
     return np.where(np.isfinite(period) & (period >= 1), np.maximum(period, least), default).astype(np.int64)
@@ -267,7 +298,7 @@ def indicator_set(b: Bars) -> dict[str, np.ndarray]:
     out = {
         "atr": atr(b), "rsi": rsi(b), **keltner(b), **adx(b), **stoch_rsi(b), "ema": ema(b["close"], 20), "tema": tema(b["close"], 20), **cycles,
         "laguerre_rsi": laguerre_rsi(b["close"]), "adaptive_laguerre_rsi": laguerre_rsi(b["close"], np.clip(4 / np.maximum(cycles["period"], 4), 0.1, 0.9)),
-        "adaptive_ma": adaptive_filter(typical, cycles["period"]), "adaptive_atr": width, **squeeze(b),
+        "adaptive_ma": adaptive_filter(typical, cycles["period"]), "adaptive_atr": width, **squeeze(b), **chandelier(b), "envelope_signal": envelope_signal(b),
     }
     turns = zigzag(b, width / 5.0)
     return out | {"pivot": turns["pivot"].astype(np.float64), "pivot_known": np.where(turns["pivot_known"] < 0, np.nan, turns["pivot_known"]).astype(np.float64)}

@@ -60,6 +60,14 @@ STOCH = RSI[: RSI.rindex("SELECT symbol, CAST")].rstrip() + """, r AS (SELECT sy
  k AS (SELECT *, CASE WHEN count(raw) OVER w = 3 THEN avg(raw) OVER w END AS k FROM x WINDOW w AS (PARTITION BY symbol ORDER BY n ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
  SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts, round(k, 4) AS stoch_rsi_k, round(CASE WHEN count(k) OVER w = 3 THEN avg(k) OVER w END, 4) AS stoch_rsi_d FROM k WINDOW w AS (PARTITION BY symbol ORDER BY n ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"""
 
+DEW = recursive(f"""{NUMBERED}, e AS (SELECT symbol, ts, n, close, close::DOUBLE AS m FROM b WHERE n = 1 UNION ALL SELECT b.symbol, b.ts, b.n, b.close, e.m + (b.close - e.m) * 2 / 11 FROM e JOIN b ON b.symbol = e.symbol AND b.n = e.n + 1),
+ a AS (SELECT *, coalesce(lag(close, 11) OVER o - CASE WHEN count(*) OVER d >= 10 THEN avg(close) OVER d END > 0, false) AS up, sum(close * n) OVER w AS cn, sum(close) OVER w AS cs, count(*) OVER w AS k FROM e
+  WINDOW o AS (PARTITION BY symbol ORDER BY n), d AS (PARTITION BY symbol ORDER BY n ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), w AS (PARTITION BY symbol ORDER BY n ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+ c AS (SELECT *, coalesce(CASE WHEN k = 30 THEN close > (cn - (n - 30) * cs) / 465 END, false) AS above FROM a),
+ x AS (SELECT *, above AND NOT coalesce(lag(above) OVER o, false) AS cu, NOT above AND coalesce(lag(above) OVER o, false) AS cd FROM c WINDOW o AS (PARTITION BY symbol ORDER BY n)),
+ s AS (SELECT *, CASE WHEN (cd AND NOT up) OR (close > m * 1.06 AND (cd OR NOT up)) THEN -1.0 WHEN (cu AND up) OR (close < m * 0.94 AND (cu OR up)) THEN 1.0 END AS s FROM x)
+ SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY n ROWS UNBOUNDED PRECEDING), 0.0)::DOUBLE AS envelope_signal FROM s""")
+
 QUERIES = {
     "atr_rma": (indicators("atr"), ATR),
     "ema_tema": (indicators("ema", "tema"), EMA),
@@ -71,6 +79,8 @@ QUERIES = {
     "adaptive_oscillators": (indicators("adaptive_rsi", "adaptive_stoch", "adaptive_smi", "adaptive_cci"), None),
     "laguerre_rsi": (indicators("laguerre_rsi", "adaptive_laguerre_rsi"), None),
     "adaptive_ma_atr": (indicators("adaptive_ma", "adaptive_atr"), None),
+    "adaptive_chandelier": (indicators("chandelier_long", "chandelier_short"), None),
+    "envelope_signal": (indicators("envelope_signal"), DEW),
     "squeeze": (indicators("squeeze_on", "squeeze_momentum", digits=4), None),
     "zigzag": (indicators("pivot", "pivot_known"), None),
 }
