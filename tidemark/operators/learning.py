@@ -302,13 +302,15 @@ def select_features(importance: pd.DataFrame, least: int = 10, critical: float =
     return kept + by_noise[: max(0, least - len(kept))]
 
 
-def fold_votes(features: DataFrame, folds: int = 5, repeats: int = 5, critical: float = 1.96, seed: int = 7) -> DataFrame:
+def fold_votes(features: DataFrame, folds: int = 5, repeats: int = 5, critical: float = 1.96, seed: int = 7, rows: int = 100_000) -> DataFrame:
     """(fold, feature, mean, se, harmful) by permutation on held-out rows: one task per fold.
 
-    ``features`` is wide (id, label, x array); the rows of all folds but its own train a fold's model.
+    ``features`` is wide (id, label, x array); the rows of all folds but its own train a fold's model. Models
+    and votes take about ``rows`` labelled rows in all, chosen by hash (a documented bound; all, where there are fewer).
     """
     fold = F.pmod(F.xxhash64("id"), F.lit(folds)).cast("int")
-    dealt = features.withColumn("own", fold).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    share = int(min(1.0, rows / max(features.count(), 1)) * (1 << 40))
+    dealt = features.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 40)) < share).withColumn("own", fold).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")

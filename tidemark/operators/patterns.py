@@ -11,6 +11,8 @@ from tidemark.operators import kernels as K
 from tidemark.operators.windows import fractals
 
 c = F.col
+#: Bars in a block, by which ranges of bars meet single ones.
+BLOCK = 256
 
 
 def numbered(bars: DataFrame) -> DataFrame:
@@ -55,8 +57,10 @@ def spring_signals(bars: DataFrame, pivots: DataFrame, divisor: float = 5.0, n:
         s = own.withColumns({"p2": F.lag("price", 1).over(w), "i2": F.lag("idx", 1).over(w), "p3": F.lag("price", 2).over(w)}).where("p3 is not null")
         s = s.where((sign * c("p3") < sign * c("p2")) & (sign * c("p2") < sign * c("price")))
         s = s.join(ranges.select("symbol", c("idx").alias("known"), c("ts").alias("at"), "range"), ["symbol", "known"])
-        o = other.select(c("symbol").alias("_s"), c("idx").alias("_i"), c("known").alias("_k"), c("price").alias("_p"))
-        inside = (c("_s") == c("symbol")) & (c("_i") > c("i2")) & (c("_i") < c("idx")) & (c("_k") <= c("known"))
+        o = other.select(c("symbol").alias("_s"), c("idx").alias("_i"), c("known").alias("_k"), c("price").alias("_p"), F.floor(c("idx") / BLOCK).alias("_b"))
+        # structures meet the pivots of the blocks of bars that they reach over
+        s = s.withColumn("_block", F.explode(F.sequence(F.floor(c("i2") / BLOCK), F.floor(c("idx") / BLOCK))))
+        inside = (c("_s") == c("symbol")) & (c("_b") == c("_block")) & (c("_i") > c("i2")) & (c("_i") < c("idx")) & (c("_k") <= c("known"))
         hits = s.join(o, inside).where(F.abs(c("_p") - c("p3")) <= c("range") / divisor)
         one = hits.groupBy("symbol", "at", "idx", "i2").agg(F.count("*").alias("n"), F.max("p2").alias("level"), F.max("_p").alias("limit_price")).where("n = 1")
         part = one.select("symbol", c("at").alias("ts"), F.lit(sign).alias("signal"), "level", "limit_price")
@@ -117,8 +121,10 @@ def rolling_zones(bars: DataFrame, window: int = 100, step: int = 10, least: int
 def zone_entries(bars: DataFrame, zones: DataFrame) -> DataFrame:
     """-1: entered a valid zone from below (or through it); 1: from above; 2: both; 0: none."""
     b = numbered(bars).withColumn("before", F.lag("close").over(Window.partitionBy("symbol").orderBy("ts")))
-    z = zones.select(c("symbol").alias("_s"), "zone_low", "zone_high", "first_idx", "expires_idx")
-    valid = (c("symbol") == c("_s")) & (c("idx") >= c("first_idx")) & (c("idx") < c("expires_idx"))
+    z = zones.where("expires_idx > first_idx").select(c("symbol").alias("_s"), "zone_low", "zone_high", "first_idx", "expires_idx")
+    # a zone meets the bars of the blocks that it is valid in
+    z = z.withColumn("_b", F.explode(F.sequence(F.floor(c("first_idx") / BLOCK), F.floor((c("expires_idx") - 1) / BLOCK))))
+    valid = (c("symbol") == c("_s")) & (F.floor(c("idx") / BLOCK) == c("_b")) & (c("idx") >= c("first_idx")) & (c("idx") < c("expires_idx"))
     crossed = (c("close") >= c("zone_low")) & (c("before") < c("zone_low")) | (c("close") <= c("zone_high")) & (c("before") > c("zone_high"))
     hits = b.join(z, valid & crossed).groupBy("symbol", "idx").agg(F.bool_or(c("before") < c("zone_low")).alias("up"), F.bool_or(c("before") > c("zone_high")).alias("down"))
     code = F.when(c("up") & c("down"), 2).when(c("up"), -1).when(c("down"), 1).otherwise(0)

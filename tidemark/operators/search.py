@@ -97,25 +97,27 @@ def grid(spark: SparkSession, space: dict, constraint: Callable[[dict], bool] |
     return spark.createDataFrame([(i, json.dumps(r, sort_keys=True)) for i, r in enumerate(rows)], "param_id int, params string")
 
 
-def run_grid(bars: DataFrame, params: DataFrame, signal: Signal, spread: float = 0.0) -> DataFrame:
-    """Scores of every parameter set on every symbol: one task per pair.
+def run_grid(bars: DataFrame, params: DataFrame, signal: Signal, spread: float = 0.0, per_task: int = 16) -> DataFrame:
+    """Scores of every parameter set on every symbol: one task per symbol and block of ``per_task`` sets.
 
-    A symbol's bars are packed into one row and dealt to its parameter sets; errors of a set give nulls.
+    A symbol's bars are packed into one row, which is dealt to each block of sets; errors of a set give nulls.
     """
     fields = ("ts", "open", "high", "low", "close", "volume")
     packed = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("bars"))
-    dealt = packed.crossJoin(F.broadcast(params)).repartition("symbol", "param_id")
+    blocks = params.groupBy(F.floor(c("param_id") / per_task).alias("block")).agg(F.collect_list(F.struct("param_id", "params")).alias("sets"))
+    dealt = packed.crossJoin(F.broadcast(blocks)).repartition("symbol", "block")
 
     def work(batches):
         for pdf in batches:
             out = []
-            for symbol, rows, i, text in zip(pdf["symbol"], pdf["bars"], pdf["param_id"], pdf["params"], strict=True):
+            for symbol, rows, sets in zip(pdf["symbol"], pdf["bars"], pdf["sets"], strict=True):
                 b = {k: np.array([r[k] for r in rows], dtype=np.float64) for k in fields[1:]}
-                try:
-                    found = score(*replay(b, signal(b, json.loads(text)), spread))
-                except (ValueError, KeyError, ZeroDivisionError):
-                    found = dict.fromkeys(SCORES)
-                out.append((symbol, i, text, *(found[k] for k in SCORES)))
+                for one in sets:
+                    try:
+                        found = score(*replay(b, signal(b, json.loads(one["params"])), spread))
+                    except (ValueError, KeyError, ZeroDivisionError):
+                        found = dict.fromkeys(SCORES)
+                    out.append((symbol, one["param_id"], one["params"], *(found[k] for k in SCORES)))
             yield pd.DataFrame(out, columns=["symbol", "param_id", "params", *SCORES])
 
     return dealt.mapInPandas(work, "symbol string, param_id int, params string, " + ", ".join(f"{k} double" for k in SCORES))
@@ -202,15 +204,19 @@ def dual_filter(metrics: DataFrame, quantile: float = 0.5, top: int = 20, weight
 def neighbours(trials: DataFrame, names: list[str], value: str, radius: float = 0.15) -> DataFrame:
     """For each trial the weighted mean and variation of scores within a Manhattan radius of scaled parameters.
 
-    The first parameter is cut into cells of the radius: only rows of touching cells meet.
+    The first parameters, two at most, are cut into cells of the radius: only rows of touching cells meet.
     """
     s = scaled(trials, names)
     pos = [f"{n}_s" for n in names]
-    cell = F.floor(c(pos[0]) / radius).cast("int")
-    left = s.select("number", *pos).withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
-    right = s.select(c("number").alias("other"), *(c(p).alias(f"o_{p}") for p in pos), c(value).alias("v")).withColumn("cell", F.floor(c(f"o_{pos[0]}") / radius).cast("int"))
+    place = lambda p: F.floor(c(p) / radius).cast("int")
+    left = s.select("number", *pos)
+    right = s.select(c("number").alias("other"), *(c(p).alias(f"o_{p}") for p in pos), c(value).alias("v"))
+    cells = [f"cell_{k}" for k in range(min(2, len(pos)))]
+    for cell, p in zip(cells, pos, strict=False):
+        left = left.withColumn(cell, F.explode(F.array(place(p) - 1, place(p), place(p) + 1)))
+        right = right.withColumn(cell, place(f"o_{p}"))
     d = sum((F.abs(c(p) - c(f"o_{p}")) for p in pos), F.lit(0.0))
-    near = left.join(right, "cell").withColumn("d", d).where(c("d") <= radius)
+    near = left.join(right, cells).withColumn("d", d).where(c("d") <= radius)
     w = 1 - c("d") / (radius * 1.000001)
     g = near.groupBy("number").agg((F.sum(w * c("v")) / F.sum(w)).alias("mean"), F.stddev_samp("v").alias("sd"), F.count("*").alias("n"))
     return g.withColumn("stability", 1 / (1 + F.coalesce(F.abs(F.try_divide("sd", "mean")), F.lit(0.0))))
