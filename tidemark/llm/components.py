@@ -16,7 +16,7 @@ def _handed(edges: DataFrame, least: DataFrame, end: str) -> DataFrame:
     other = "u" if end == "v" else "v"
     salted = edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(_SALTS)).cast("int"))
     spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    return salted.join(spread, (F.col(end) == F.col("c")) & (salted.salt == spread.salt)).drop("salt")
+    return salted.join(spread.hint("merge"), (F.col(end) == F.col("c")) & (salted.salt == spread.salt)).drop("salt")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

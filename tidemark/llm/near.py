@@ -47,7 +47,7 @@ FULL_DEPTH = 8
 RECALL = 0.9995
 #: Representatives, and bytes of their sets, in a block of a bucket that is too large for one task.
 BLOCK = 1024
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Bins of the similarities from the threshold to one.
 BINS = 20
 
@@ -141,7 +141,7 @@ def similarities(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.n
     term, owner = np.unique(term[shared], return_inverse=True)[1], owner[shared]
     n, m = len(left), 0 if right is None else len(right)
     common = np.zeros((n, m or n), dtype=np.float32)
-    step = max(1, (8 << 20) // len(both))
+    step = max(1, (2 << 20) // len(both))
     bounds = np.searchsorted(term, np.arange(0, (term[-1] + 1 if len(term) else 0) + step, step))
     for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
         if a == b:
@@ -253,14 +253,14 @@ def _forest(reps: DataFrame, trees: int, full: int, shortest: int) -> DataFrame:
     labels = lambda some: some.select("rep", "size", "sig", number).select("tree", label, "rep", "size")
     nodes = labels(reps).select(F.xxhash64("tree", F.substring("label", 1, 4 * shortest)).alias("node"), "rep")
     shared = cut(nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"))
-    inside = cut(nodes.join(shared, "node", "left_semi").select("rep").distinct())
-    forest = labels(reps.join(inside, "rep", "left_semi"))
+    inside = cut(nodes.join(shared.hint("merge"), "node", "left_semi").select("rep").distinct())
+    forest = labels(reps.join(inside.hint("merge"), "rep", "left_semi"))
     return cut(forest.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label"))
 
 
 def _sets(docs: DataFrame, reps: DataFrame, forest: DataFrame, width: int) -> DataFrame:
     """(rep, copies, sig, set) of the representatives in the forest; a text moves once, copies are dropped before."""
-    wanted = cut(reps.join(forest.select("rep").distinct(), "rep", "left_semi").select("rep", "content", "copies", "sig"))
+    wanted = cut(reps.join(forest.select("rep").distinct().hint("merge"), "rep", "left_semi").select("rep", "content", "copies", "sig"))
     texts = docs.select(_content(), F.coalesce("text", F.lit("")).alias("text")).groupBy("content").agg(F.first("text").alias("text"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -268,7 +268,7 @@ def _sets(docs: DataFrame, reps: DataFrame, forest: DataFrame, width: int) -> Da
         each = [x.tobytes() for x in np.split(sets, np.cumsum(counts)[:-1])]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "copies", "sig")), pa.array(each, pa.binary())], ["rep", "copies", "sig", "set"])
 
-    joined = texts.join(wanted, "content").select("rep", "copies", "sig", "text")
+    joined = texts.join(wanted.hint("merge"), "content").select("rep", "copies", "sig", "text")
     return cut(joined.mapInArrow(by_piece(work, "text"), "rep long, copies long, sig binary, set binary"))
 
 
@@ -281,10 +281,10 @@ def _round(forest: DataFrame, sets: DataFrame, seen: DataFrame | None, threshold
     members = ["n", "low", "mark"]
     first = buckets.where("n > 1").groupBy(*members).agg(F.min(F.struct("tree", "prefix", "size")).alias("first"))
     if seen is not None:
-        first = first.join(seen, members, "left_anti")
+        first = first.join(seen.hint("merge"), members, "left_anti")
     first = cut(first.select(*members, "first.*"))
     blocks = F.ceil(F.greatest(F.col("n") / block, F.col("size") / BLOCK_BYTES)).cast("int")
-    placed = at.drop("size").join(first.select("tree", "prefix", blocks.alias("blocks")), ["tree", "prefix"])
+    placed = at.drop("size").join(first.select("tree", "prefix", blocks.alias("blocks")).hint("merge"), ["tree", "prefix"])
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     keys = ["tree", "prefix", "one", "two"]
@@ -292,7 +292,7 @@ def _round(forest: DataFrame, sets: DataFrame, seen: DataFrame | None, threshold
         "tree", "prefix", "rep", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")
     )
     parts = int(forest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.join(sets, "rep").repartition(parts, *keys).sortWithinPartitions(*keys)
+    dealt = dealt.join(sets.hint("merge"), "rep").repartition(parts, *keys).sortWithinPartitions(*keys)
     checked = cut(dealt.mapInArrow(_verified(threshold, trees, depth, before), "u long, v long, links long"))
     now = first.select(*members)
     return checked, now if seen is None else seen.unionByName(now)
@@ -332,12 +332,12 @@ def near_classes(
 
     links = checked.where("u is not null and v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
     joined = connected_components(checked.where("u is not null and v is not null").select("u", "v"))
-    classes = reps.select("set_key", "rep", "copies", "least").join(joined, F.col("rep") == F.col("node"), "left").join(links, "rep", "left")
+    classes = reps.select("set_key", "rep", "copies", "least").join(joined.hint("merge"), F.col("rep") == F.col("node"), "left").join(links.hint("merge"), "rep", "left")
     n_links = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")
     classes = cut(classes.select("set_key", F.coalesce("root", "rep").alias("class_key"), "least", n_links))
     least = cut(classes.groupBy("class_key").agg(F.min("least").alias("class_id")))
-    classes = cut(classes.join(least, "class_key").select("set_key", "class_key", "class_id", "links"))
-    return rows.select("doc_id", "content", "row", "set_key").join(classes, "set_key", "left").select(
+    classes = cut(classes.join(least.hint("merge"), "class_key").select("set_key", "class_key", "class_id", "links"))
+    return rows.select("doc_id", "content", "row", "set_key").join(classes.hint("merge"), "set_key", "left").select(
         "doc_id", "content", F.coalesce("class_key", F.col("row")).alias("class_key"),
         F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"),
     )
@@ -353,5 +353,5 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     kept = cut(first.distinct())
     # a row travels as one value, so that its columns may have any names
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), _content().alias("own"), F.struct(*docs.columns).alias("whole"))
-    joined = rows.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("content")), "left_semi")
+    joined = rows.join(kept.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("content")), "left_semi")
     return joined.dropDuplicates(["id", "own"]).select("whole.*")
