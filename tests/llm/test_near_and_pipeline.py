@@ -178,3 +178,27 @@ def test_queries_run_on_the_smallest_tables(spark, name):
     from tidemark.llm import queries
 
     assert queries.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_near_recall_on_the_given_documents(spark):
+    """Links of every document whose id is divisible by 50, against all documents, by plain sets."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
+    sets = {i: shingles(t) for i, t in rows}
+    holders: dict[tuple, list[int]] = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in near.near_classes(df).collect()}
+    links = got = 0
+    for i in (i for i in sets if i % 50 == 0):
+        common: dict[int, int] = {}
+        for x in sets[i]:
+            for j in holders[x]:
+                common[j] = common.get(j, 0) + 1
+        near_ones = [j for j, n in common.items() if j != i and n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9]
+        links += len(near_ones)
+        got += min(found[i].n_links, len(near_ones))
+        assert found[i].n_links <= len(near_ones)
+        assert sum(found[j].class_id != found[i].class_id for j in near_ones) <= 0.01 * len(near_ones)
+    assert links > 50 and got >= 0.999 * links
