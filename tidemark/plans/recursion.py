@@ -68,6 +68,62 @@ DEW = recursive(f"""{NUMBERED}, e AS (SELECT symbol, ts, n, close, close::DOUBLE
  s AS (SELECT *, CASE WHEN (cd AND NOT up) OR (close > m * 1.06 AND (cd OR NOT up)) THEN -1.0 WHEN (cu AND up) OR (close < m * 0.94 AND (cu OR up)) THEN 1.0 END AS s FROM x)
  SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY n ROWS UNBOUNDED PRECEDING), 0.0)::DOUBLE AS envelope_signal FROM s""")
 
+#: The dominant cycle as ``sm`` of each bar ``n``: a recursion that carries the last values of its filters as lists.
+TAPS = "(0.0962 * {0} + 0.5769 * {1} - 0.5769 * {2} - 0.0962 * {3})"
+CYCLE = f"""{NUMBERED}, tp AS (SELECT *, (high + low + close) / 3 AS x, {TR} AS tr FROM b),
+ sx AS (SELECT *, CASE WHEN n <= 7 THEN x ELSE (4 * x + 3 * lag(x, 1) OVER o + 2 * lag(x, 2) OVER o + lag(x, 3) OVER o) / 10 END AS s FROM tp WINDOW o AS (PARTITION BY symbol ORDER BY n)),
+ sl AS (SELECT symbol, n, {TAPS.format('s', 'lag(s, 2) OVER o', 'lag(s, 4) OVER o', 'lag(s, 6) OVER o')} AS h FROM sx WINDOW o AS (PARTITION BY symbol ORDER BY n)),
+ cy AS (SELECT symbol, n, [0.0, 0, 0, 0, 0, 0]::DOUBLE[] AS d, [0.0, 0, 0, 0, 0, 0]::DOUBLE[] AS q, [0.0, 0, 0, 0, 0, 0]::DOUBLE[] AS p, [0.0, 0]::DOUBLE[] AS i2, [0.0, 0]::DOUBLE[] AS q2,
+   0.0::DOUBLE AS re, 0.0::DOUBLE AS im, 0.0::DOUBLE AS pe, 0.0::DOUBLE AS sm FROM sl WHERE n = 1
+  UNION ALL SELECT symbol, n, CASE WHEN n <= 7 THEN d ELSE [dn] || d[1:5] END, CASE WHEN n <= 7 THEN q ELSE [qn] || q[1:5] END, CASE WHEN n <= 7 THEN p ELSE [pn] || p[1:5] END,
+   CASE WHEN n <= 7 THEN i2 ELSE [i2n, i2[1]] END, CASE WHEN n <= 7 THEN q2 ELSE [q2n, q2[1]] END, CASE WHEN n <= 7 THEN re ELSE ren END, CASE WHEN n <= 7 THEN im ELSE imn END,
+   CASE WHEN n <= 7 THEN pe ELSE pen END, CASE WHEN n <= 7 THEN sm ELSE 0.33 * pen + 0.67 * sm END
+  FROM (SELECT *, 0.2 * least(greatest(greatest(least(fresh, 1.5 * pe), 0.67 * pe), 6), 50) + 0.8 * pe AS pen
+  FROM (SELECT *, CASE WHEN turn <> 0 THEN 2 * pi() / turn ELSE pe END AS fresh FROM (SELECT *, CASE WHEN imn <> 0 AND ren <> 0 THEN atan(imn / ren) ELSE 0 END AS turn
+  FROM (SELECT *, 0.2 * (i2n * i2[1] + q2n * q2[1]) + 0.8 * re AS ren, 0.2 * (i2n * q2[1] - q2n * i2[1]) + 0.8 * im AS imn
+  FROM (SELECT *, 0.2 * (pn - {TAPS.format('qn', 'q[2]', 'q[4]', 'q[6]')} * g) + 0.8 * i2[2] AS i2n, 0.2 * (qn + {TAPS.format('pn', 'p[2]', 'p[4]', 'p[6]')} * g) + 0.8 * q2[2] AS q2n
+  FROM (SELECT *, {TAPS.format('dn', 'd[2]', 'd[4]', 'd[6]')} * g AS qn, d[3] AS pn FROM (SELECT *, h * g AS dn
+  FROM (SELECT sl.symbol, sl.n, h, d, q, p, i2, q2, re, im, pe, sm, 0.075 * pe + 0.54 AS g FROM cy JOIN sl ON sl.symbol = cy.symbol AND sl.n = cy.n + 1)))))))))"""
+#: Bars with the cycle's half and whole length, and the windows that follow them.
+CYCLED = f"""{CYCLE}, cb AS (SELECT tp.*, sm * 0.5 AS half, sm AS whole FROM tp JOIN cy ON cy.symbol = tp.symbol AND cy.n = tp.n),
+ sp AS (SELECT *, CASE WHEN half >= 1 THEN CAST(floor(greatest(half, 1)) AS INT) ELSE 20 END AS k, CASE WHEN half >= 1 THEN CAST(floor(greatest(half, 2)) AS INT) ELSE 20 END AS k2,
+  CASE WHEN whole >= 1 THEN CAST(floor(greatest(whole, 1)) AS INT) ELSE 20 END AS kw FROM cb)"""
+AT = "symbol, CAST(epoch(ts) AS BIGINT) AS ts"
+
+
+def follows(name: str, period: str) -> str:
+    """The adaptive range by a period, as ``atr`` of the table ``name``."""
+    return f"""{name} AS (SELECT symbol, n, CAST(NULL AS DOUBLE) AS seed, tr AS s0, tr AS atr FROM cb WHERE n = 1 UNION ALL
+ SELECT cb.symbol, cb.n, NULL, e.s0 + cb.tr, CASE WHEN cb.n <= 3 THEN (e.s0 + cb.tr) / cb.n ELSE e.atr + (1.0 / least(greatest({period}, 3), 50)) * (cb.tr - e.atr) END FROM {name} e JOIN cb ON cb.symbol = e.symbol AND cb.n = e.n + 1)"""
+
+
+DOMINANT = recursive(f"{CYCLED} SELECT {AT}, round(half, 6) AS period FROM cb")
+OSCILLATORS = recursive(f"""{CYCLED}, st AS (SELECT *, coalesce(close - pc, 0) AS step, avg(x) OVER (PARTITION BY symbol ORDER BY n ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS wide FROM sp),
+ wi AS (SELECT a.symbol, a.n, any_value(a.ts) AS ts, any_value(a.close) AS close, any_value(a.x) AS x, any_value(a.wide) AS wide, avg(greatest(w.step, 0)) AS up, avg(greatest(-w.step, 0)) AS dn,
+  max(w.high) AS hi, min(w.low) AS lo, avg(abs(w.x - w.wide)) AS spread FROM st a JOIN st w ON w.symbol = a.symbol AND w.n BETWEEN a.n - a.k + 1 AND a.n GROUP BY a.symbol, a.n)
+ SELECT {AT}, round(CASE WHEN up + dn = 0 THEN 50 ELSE 100 * up / (up + dn) END, 6) AS adaptive_rsi, round(CASE WHEN hi = lo THEN 50 ELSE 100 * (close - lo) / (hi - lo) END, 6) AS adaptive_stoch,
+ round(CASE WHEN hi = lo THEN 0 ELSE 200 * (close - (hi + lo) / 2) / (hi - lo) END, 6) AS adaptive_smi, round(CASE WHEN spread > 1e-10 THEN (x - wide) / (0.015 * spread) END, 6) AS adaptive_cci FROM wi""")
+LAGUERRE = recursive(f"""{CYCLED}, gm AS (SELECT symbol, ts, n, close, 0.5::DOUBLE AS g0, least(greatest(4 / greatest(half, 4), 0.1), 0.9)::DOUBLE AS g1 FROM cb),
+ la AS (SELECT symbol, ts, n, [close, close, close, close]::DOUBLE[] AS a, [close, close, close, close]::DOUBLE[] AS b FROM gm WHERE n = 1 UNION ALL SELECT symbol, ts, n, [a1, a2, a3, -g0 * a3 + a[3] + g0 * a[4]], [b1, b2, b3, -g1 * b3 + b[3] + g1 * b[4]]
+  FROM (SELECT *, -g0 * a2 + a[2] + g0 * a[3] AS a3, -g1 * b2 + b[2] + g1 * b[3] AS b3 FROM (SELECT *, -g0 * a1 + a[1] + g0 * a[2] AS a2, -g1 * b1 + b[1] + g1 * b[2] AS b2
+  FROM (SELECT gm.symbol, gm.ts, gm.n, a, b, g0, g1, (1 - g0) * close + g0 * a[1] AS a1, (1 - g1) * close + g1 * b[1] AS b1 FROM la JOIN gm ON gm.symbol = la.symbol AND gm.n = la.n + 1)))),
+ ud AS (SELECT symbol, ts, greatest(a[1] - a[2], 0) + greatest(a[2] - a[3], 0) + greatest(a[3] - a[4], 0) AS au, greatest(a[2] - a[1], 0) + greatest(a[3] - a[2], 0) + greatest(a[4] - a[3], 0) AS ad,
+  greatest(b[1] - b[2], 0) + greatest(b[2] - b[3], 0) + greatest(b[3] - b[4], 0) AS bu, greatest(b[2] - b[1], 0) + greatest(b[3] - b[2], 0) + greatest(b[4] - b[3], 0) AS bd FROM la)
+ SELECT {AT}, round(CASE WHEN au + ad <> 0 THEN 100 * au / (au + ad) ELSE 0 END, 6) AS laguerre_rsi, round(CASE WHEN bu + bd <> 0 THEN 100 * bu / (bu + bd) ELSE 0 END, 6) AS adaptive_laguerre_rsi FROM ud""")
+MIDDLE = """{name} AS (SELECT a.symbol, a.n, CASE WHEN any_value(a.n) - 1 < any_value(a.k2) + greatest(1, any_value(a.k2) // 4) THEN any_value(a.{x}) WHEN sum(abs(w.{x} - t.{x})) > 0
+  THEN sum(abs(w.{x} - t.{x}) * w.{x}) / sum(abs(w.{x} - t.{x})) ELSE avg(w.{x}) END AS mid FROM sp a JOIN sp w ON w.symbol = a.symbol AND w.n BETWEEN a.n - a.k2 + 1 AND a.n
+  LEFT JOIN sp t ON t.symbol = w.symbol AND t.n = w.n - greatest(1, a.k2 // 4) GROUP BY a.symbol, a.n)"""
+FILTERED = recursive(f"""{CYCLED}, {MIDDLE.format(name='mi', x='x')}, {follows('ra', '2 * cb.half')}
+ SELECT cb.symbol, CAST(epoch(cb.ts) AS BIGINT) AS ts, round(mid, 6) AS adaptive_ma, CASE WHEN cb.n >= 3 THEN round(atr, 6) END AS adaptive_atr FROM cb JOIN mi ON mi.symbol = cb.symbol AND mi.n = cb.n JOIN ra ON ra.symbol = cb.symbol AND ra.n = cb.n""")
+CHANDELIER = recursive(f"""{CYCLED}, {follows('ra', 'cb.whole / 2')}, wi AS (SELECT a.symbol, a.n, any_value(a.ts) AS ts, max(w.high) AS hi, min(w.low) AS lo FROM sp a JOIN sp w ON w.symbol = a.symbol AND w.n BETWEEN a.n - a.kw + 1 AND a.n GROUP BY a.symbol, a.n)
+ SELECT wi.symbol, CAST(epoch(ts) AS BIGINT) AS ts, CASE WHEN wi.n >= 3 THEN round(hi - 3 * atr, 6) END AS chandelier_long, CASE WHEN wi.n >= 3 THEN round(lo + 3 * atr, 6) END AS chandelier_short FROM wi JOIN ra ON ra.symbol = wi.symbol AND ra.n = wi.n""")
+SQUEEZE = recursive(f"""{CYCLED}, {MIDDLE.format(name='mi', x='close')}, {follows('ra', 'cb.half')},
+ rr AS (SELECT symbol, n, coalesce(ln(greatest(close, 1e-9)) - ln(greatest(pc, 1e-9)), 0) AS r FROM sp), dv AS (SELECT symbol, n, CASE WHEN count(*) OVER w = 20 THEN exp(2 * stddev_samp(r) OVER w) END AS f FROM rr WINDOW w AS (PARTITION BY symbol ORDER BY n ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+ hl AS (SELECT a.symbol, a.n, (max(w.high) + min(w.low)) / 2 AS mm FROM sp a JOIN sp w ON w.symbol = a.symbol AND w.n BETWEEN a.n - a.k2 + 1 AND a.n GROUP BY a.symbol, a.n),
+ yy AS (SELECT sp.symbol, sp.n, sp.ts, k2, close - (mm + mid) / 2 AS y, mid, f, 1.5 * CASE WHEN sp.n >= 3 THEN atr END AS width FROM sp JOIN mi ON mi.symbol = sp.symbol AND mi.n = sp.n JOIN hl ON hl.symbol = sp.symbol AND hl.n = sp.n JOIN ra ON ra.symbol = sp.symbol AND ra.n = sp.n JOIN dv ON dv.symbol = sp.symbol AND dv.n = sp.n),
+ lr AS (SELECT a.symbol, a.n, CASE WHEN count(*) = 1 THEN any_value(w.y) ELSE regr_intercept(w.y, w.n - a.n) END AS m FROM yy a JOIN yy w ON w.symbol = a.symbol AND w.n BETWEEN a.n - a.k2 + 1 AND a.n GROUP BY a.symbol, a.n)
+ SELECT yy.symbol, CAST(epoch(ts) AS BIGINT) AS ts, CASE WHEN mid * f < mid + width AND mid / f > mid - width THEN 1.0 ELSE 0.0 END::DOUBLE AS squeeze_on, round(m, 4) AS squeeze_momentum FROM yy JOIN lr ON lr.symbol = yy.symbol AND lr.n = yy.n""")
+
 QUERIES = {
     "atr_rma": (indicators("atr"), ATR),
     "ema_tema": (indicators("ema", "tema"), EMA),
@@ -75,12 +131,12 @@ QUERIES = {
     "rsi": (indicators("rsi"), RSI),
     "adx": (indicators("di_plus", "di_minus", "adx"), ADX),
     "stoch_rsi": (indicators("stoch_rsi_k", "stoch_rsi_d", digits=4), STOCH),
-    "dominant_cycle": (indicators("period"), None),
-    "adaptive_oscillators": (indicators("adaptive_rsi", "adaptive_stoch", "adaptive_smi", "adaptive_cci"), None),
-    "laguerre_rsi": (indicators("laguerre_rsi", "adaptive_laguerre_rsi"), None),
-    "adaptive_ma_atr": (indicators("adaptive_ma", "adaptive_atr"), None),
-    "adaptive_chandelier": (indicators("chandelier_long", "chandelier_short"), None),
+    "dominant_cycle": (indicators("period"), DOMINANT),
+    "adaptive_oscillators": (indicators("adaptive_rsi", "adaptive_stoch", "adaptive_smi", "adaptive_cci"), OSCILLATORS),
+    "laguerre_rsi": (indicators("laguerre_rsi", "adaptive_laguerre_rsi"), LAGUERRE),
+    "adaptive_ma_atr": (indicators("adaptive_ma", "adaptive_atr"), FILTERED),
+    "adaptive_chandelier": (indicators("chandelier_long", "chandelier_short"), CHANDELIER),
     "envelope_signal": (indicators("envelope_signal"), DEW),
-    "squeeze": (indicators("squeeze_on", "squeeze_momentum", digits=4), None),
+    "squeeze": (indicators("squeeze_on", "squeeze_momentum", digits=4), SQUEEZE),
     "zigzag": (indicators("pivot", "pivot_known"), None),
 }
