@@ -88,6 +88,9 @@ ANNUAL_SQL = f"""WITH {DAILY}, g AS (SELECT asset, count(*) AS days, exp(avg(ln(
  a AS (SELECT *, pow(1 + g, 252) - 1 AS ar, sqrt(pow(v + (1 + g) * (1 + g), 252) - pow(1 + g, 504)) AS av FROM g)"""
 MOMENTS = "m AS (SELECT asset, count(*) AS n, avg(r) / stddev_samp(r) AS sr, skewness(r) AS sk, kurtosis(r) + 3 AS ku FROM d GROUP BY asset)"
 
+#: The normal distribution function of ``z``, by its series of odd powers over odd factorials.
+PHI = """0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda k: exp((2 * k + 1) * ln(greatest(abs(z), 1e-300)) + k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2))))"""
+
 QUERIES = {
     "drawdown": (on_equity(lambda e: M.drawdown(e).withColumn("ts", F.unix_timestamp("ts")), ["asset", "ts"], ["drawdown"]),
                  V.oracle(f"WITH {DRAW} SELECT asset, CAST(epoch(ts) AS BIGINT) AS ts, {r('dd', 'drawdown')} FROM x", "v_equity")),
@@ -103,7 +106,8 @@ QUERIES = {
     "probabilistic_sharpe": (on_equity(lambda e: M.probabilistic_sharpe(e).drop("psr"), ["asset"], ["n", "sr", "skew", "kurt", "min_trl"]),
         V.oracle(f"""WITH {DAILY}, {MOMENTS} SELECT asset, {r('n', 'n')}, {r('sr', 'sr')}, {r('sk', 'skew')}, {r('ku', 'kurt')},
         {r("CASE WHEN sr > 1 / sqrt(252) THEN ceil(1 + (1 - sk * sr + (ku - 1) / 4 * sr * sr) * pow(1.6448536269514715 / (sr - 1 / sqrt(252)), 2)) ELSE 'inf'::DOUBLE END", 'min_trl')} FROM m""", "v_equity")),
-    "deflated_sharpe": (on_equity(lambda e: M.deflated_sharpe(e, 20, 0.5), ["asset"], ["dsr"], 5), None),
+    "deflated_sharpe": (on_equity(lambda e: M.deflated_sharpe(e, 20, 0.5), ["asset"], ["dsr"], 5),
+        V.oracle(f"""WITH {DAILY}, {MOMENTS}, z AS (SELECT asset, (sr - {M.expected_max_sharpe(20, 0.5)!r} / 252) * sqrt(n - 1) / sqrt(1 - sk * sr + (ku - 1) / 4 * sr * sr) AS z FROM m) SELECT asset, {r(PHI, 'dsr', 5)} FROM z""", "v_equity")),
     "curve_risk": (on_equity(M.curve_risk, ["asset"], ["max_drawdown", "mean_drawdown", "ulcer", "best", "worst", "var", "cvar"]),
         V.oracle(f"""WITH {DRAW}, b AS (SELECT asset, max(dd) AS md, avg(dd) AS ad, sqrt(avg(dd * dd)) * 100 AS u, max(lr) * 100 AS b, min(lr) * 100 AS w, quantile_cont(lr, 0.05) AS q FROM x GROUP BY asset),
         t AS (SELECT asset, avg(lr) AS cv FROM x JOIN b USING (asset) WHERE lr <= q GROUP BY asset)

@@ -124,6 +124,25 @@ SQUEEZE = recursive(f"""{CYCLED}, {MIDDLE.format(name='mi', x='close')}, {follow
  lr AS (SELECT a.symbol, a.n, CASE WHEN count(*) = 1 THEN any_value(w.y) ELSE regr_intercept(w.y, w.n - a.n) END AS m FROM yy a JOIN yy w ON w.symbol = a.symbol AND w.n BETWEEN a.n - a.k2 + 1 AND a.n GROUP BY a.symbol, a.n)
  SELECT yy.symbol, CAST(epoch(ts) AS BIGINT) AS ts, CASE WHEN mid * f < mid + width AND mid / f > mid - width THEN 1.0 ELSE 0.0 END::DOUBLE AS squeeze_on, round(m, 4) AS squeeze_momentum FROM yy JOIN lr ON lr.symbol = yy.symbol AND lr.n = yy.n""")
 
+
+def turns(divisor: float, top: str, bottom: str) -> str:
+    """Alternating pivots as ``tu`` (symbol, hit, dir, known), from adaptive ranges over ``divisor``."""
+    return f"""{CYCLED}, {follows('ra', '2 * cb.half')}, th AS (SELECT cb.symbol, cb.n, cb.ts, {top} AS tp, {bottom} AS bt, CASE WHEN cb.n >= 3 THEN atr / {divisor} END AS t FROM cb JOIN ra ON ra.symbol = cb.symbol AND ra.n = cb.n),
+ z0 AS (SELECT symbol, arg_max(n, (tp, -n)) AS hi, arg_min(n, (bt, n)) AS lo FROM th WHERE n <= 20 GROUP BY symbol HAVING count(*) > 1),
+ zz AS (SELECT th.symbol, th.n, lo < hi AS up, th.n AS pos, CASE WHEN lo < hi THEN tp ELSE -bt END AS best, CAST(NULL AS BIGINT) AS hit, CAST(NULL AS INT) AS dir FROM th JOIN z0 ON z0.symbol = th.symbol AND th.n = CASE WHEN lo < hi THEN hi ELSE lo END
+  UNION ALL SELECT symbol, n, up <> turn, CASE WHEN further OR turn THEN n ELSE pos END, CASE WHEN further THEN edge WHEN turn THEN CASE WHEN up THEN -bt ELSE tp END ELSE best END, CASE WHEN turn THEN pos END, CASE WHEN turn THEN CASE WHEN up THEN 1 ELSE -1 END END
+  FROM (SELECT *, NOT further AND coalesce(best - CASE WHEN up THEN bt ELSE -tp END >= t, false) AS turn FROM (SELECT *, edge > best AS further
+  FROM (SELECT th.symbol, th.n, up, pos, best, tp, bt, t, CASE WHEN up THEN tp ELSE -bt END AS edge FROM zz JOIN th ON th.symbol = zz.symbol AND th.n = zz.n + 1)))),
+ tu AS (SELECT symbol, hit, dir, n AS known FROM zz WHERE hit IS NOT NULL)"""
+
+
+ZIGZAG = recursive(f"""{turns(5.0, 'close', 'close')} SELECT th.symbol, CAST(epoch(ts) AS BIGINT) AS ts, coalesce(dir, 0)::DOUBLE AS pivot, (known - 1)::DOUBLE AS pivot_known FROM th LEFT JOIN tu ON tu.symbol = th.symbol AND tu.hit = th.n""")
+CONFIRMED = recursive(f"""{turns(2.0, 'high', 'low')}, fr AS (SELECT symbol, n, ts, high, low, count(*) OVER l = 3 AND count(*) OVER r = 3 AND high > max(high) OVER l AND high > max(high) OVER r AS fu,
+  count(*) OVER l = 3 AND count(*) OVER r = 3 AND low < min(low) OVER l AND low < min(low) OVER r AS fd FROM b
+  WINDOW l AS (PARTITION BY symbol ORDER BY n ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), r AS (PARTITION BY symbol ORDER BY n ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING))
+ SELECT fr.symbol, CAST(epoch(ts) AS BIGINT) AS ts, CAST(n - 1 AS INT) AS idx, dir AS side, CAST(greatest(n - 1 + 3, known - 1) AS BIGINT) AS known, CASE WHEN dir = 1 THEN high ELSE low END AS price
+ FROM fr JOIN tu ON tu.symbol = fr.symbol AND tu.hit = fr.n WHERE (dir = 1 AND fu) OR (dir = -1 AND fd)""")
+
 QUERIES = {
     "atr_rma": (indicators("atr"), ATR),
     "ema_tema": (indicators("ema", "tema"), EMA),
@@ -138,5 +157,5 @@ QUERIES = {
     "adaptive_chandelier": (indicators("chandelier_long", "chandelier_short"), CHANDELIER),
     "envelope_signal": (indicators("envelope_signal"), DEW),
     "squeeze": (indicators("squeeze_on", "squeeze_momentum", digits=4), SQUEEZE),
-    "zigzag": (indicators("pivot", "pivot_known"), None),
+    "zigzag": (indicators("pivot", "pivot_known"), ZIGZAG),
 }

@@ -20,6 +20,7 @@ from tidemark.operators import simulation as SI
 from tidemark.operators import splits as SP
 from tidemark.operators import studies as ST
 from tidemark.operators import windows as W
+from tidemark.plans.recursion import CONFIRMED
 from tidemark.sources import views as V
 
 ORDER = V.TRADE_ORDER
@@ -319,13 +320,20 @@ def walk_forward(spark, sf_dir):
     return rnd(found, ["symbol", "fold", "param_id", "params"], ["is_score", *SE.SCORES, "efficiency"], 4)
 
 
-def replayed(source: str) -> str:
-    """DuckDB's own replay of the moving-average rule over ``source`` (k, ts, open, close) for every parameter set: scores per (k, param_id)."""
-    sets = [(f, s) for f in SPACE["fast"] for s in SPACE["slow"]]
+def cross_sql(fast: int, slow: int) -> str:
+    """The moving-average rule's signal in SQL."""
+    f, w = (f"(PARTITION BY k ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (fast, slow))
+    return f"CASE WHEN count(*) OVER {f} = {fast} AND count(*) OVER {w} = {slow} THEN sign(avg(close) OVER {f} - avg(close) OVER {w}) ELSE 0 END"
+
+
+def replayed(source: str, signals: list[tuple[str, str]] | None = None) -> str:
+    """DuckDB's own replay of signals (params, SQL) over ``source`` (k, ts, open, close): ``scores`` per (k, param_id).
+
+    Without signals, the moving-average rule with every parameter set of ``SPACE``.
+    """
+    every = [(f'{{"fast": {f}, "slow": {s}}}', cross_sql(f, s)) for f in SPACE["fast"] for s in SPACE["slow"]]
     union = " UNION ALL ".join(
-        f"""SELECT {i} AS param_id, '{{"fast": {f}, "slow": {s}}}' AS params, k, ts, open, close, CASE WHEN count(*) OVER f{i} = {f} AND count(*) OVER s{i} = {s} THEN sign(avg(close) OVER f{i} - avg(close) OVER s{i}) ELSE 0 END AS sig FROM {source}
-        WINDOW f{i} AS (PARTITION BY k ORDER BY ts ROWS BETWEEN {f - 1} PRECEDING AND CURRENT ROW), s{i} AS (PARTITION BY k ORDER BY ts ROWS BETWEEN {s - 1} PRECEDING AND CURRENT ROW)"""
-        for i, (f, s) in enumerate(sets)
+        f"SELECT {i} AS param_id, '{params}' AS params, k, ts, open, close, CAST({signal} AS DOUBLE) AS sig FROM {source}" for i, (params, signal) in enumerate(signals or every)
     )
     return f"""sg AS ({union}),
  ps AS (SELECT *, coalesce(lag(sig) OVER w, 0) AS p, lag(close) OVER w AS pc, row_number() OVER w AS n FROM sg WINDOW w AS (PARTITION BY k, param_id ORDER BY ts)),
@@ -404,7 +412,8 @@ def squeeze_windows(spark, sf_dir):
 
 
 def meta_matrix(spark, sf_dir):
-    return FT.meta_features(V.bars(spark, sf_dir)).withColumn("ts", F.unix_timestamp("ts"))
+    names = ["session_width", "session_width_ratio", "session_position", "prev_session_position", *(f"{n}_{h}h" for h in (2, 6) for n in ("bb_width", "williams_r", "roc", "zscore"))]
+    return rnd(FT.meta_features(V.bars(spark, sf_dir)).withColumn("ts", F.unix_timestamp("ts")), ["symbol", "ts"], names)
 
 
 def rescaled(spark, sf_dir):
@@ -413,7 +422,13 @@ def rescaled(spark, sf_dir):
 
 
 def suite(spark, sf_dir):
-    return ST.suite(V.bars(spark, sf_dir), {"cross": SE.moving_cross, "hold": SE.buy_and_hold}, {"1h": "1 hour", "6h": "6 hours"}, {"fast": 3, "slow": 13})
+    found = ST.suite(V.bars(spark, sf_dir), {"cross": SE.moving_cross, "hold": SE.buy_and_hold}, {"1h": "1 hour", "6h": "6 hours"}, {"fast": 3, "slow": 13})
+    return rnd(found, ["symbol", "timeframe", "strategy", "rank"], list(SE.SCORES), 5)
+
+
+SUITE = V.oracle(f"""WITH src AS (SELECT symbol || '/1h' AS k, ts, open, close FROM v_bars UNION ALL SELECT symbol || '/6h', time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01'), first(open ORDER BY ts), last(close ORDER BY ts) FROM v_bars GROUP BY symbol, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')),
+ {replayed('src', [('cross', cross_sql(3, 13)), ('hold', '1')])}, sp AS (SELECT *, split_part(k, '/', 1) AS symbol, split_part(k, '/', 2) AS timeframe FROM scores)
+ SELECT symbol, {', '.join(r(n, n, 5) for n in SE.SCORES)}, timeframe, params AS strategy, CAST(row_number() OVER (PARTITION BY timeframe, params ORDER BY sharpe DESC NULLS LAST, symbol) AS INT) AS rank FROM sp""", "v_bars")
 
 
 def five_phases(spark, sf_dir):
@@ -438,6 +453,43 @@ COV = f"""WITH {DAY}, n AS (SELECT count(DISTINCT ts) AS n FROM d), s AS (SELECT
  c AS (SELECT a.asset AS i, b.asset AS j, sum(a.ret * b.ret) AS xy FROM d a JOIN d b USING (ts) GROUP BY 1, 2),
  k AS (SELECT p.asset AS i, q.asset AS j, (coalesce(xy, 0) - p.s * q.s / n) / (n - 1) AS cov FROM s p CROSS JOIN s q CROSS JOIN n LEFT JOIN c ON c.i = p.asset AND c.j = q.asset)"""
 
+
+
+def phi(x: str, terms: int = 120) -> str:
+    """The normal distribution function in SQL, by its series of odd powers over odd factorials."""
+    series = f"list_sum(list_transform(range(0, {terms}), lambda k: exp((2 * k + 1) * ln(greatest(abs({x}), 1e-300)) + k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2))))"
+    return f"(0.5 + sign({x}) * exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * {series})"
+
+
+def newton(x: str) -> str:
+    return f"{x} - ({phi(x)} - p) * sqrt(2 * pi()) * exp({x} * {x} / 2)"
+
+
+#: Normal quantiles ``x2`` of the shares ``p`` of the table ``s``: a rational start and two steps of Newton's method.
+QUANTILES = f"""t AS (SELECT *, sqrt(-2 * ln(least(p, 1 - p))) AS t FROM s), x0 AS (SELECT *, sign(p - 0.5) * (t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)) AS x0 FROM t),
+ x1 AS (SELECT *, {newton('x0')} AS x1 FROM x0), x2 AS (SELECT *, {newton('x1')} AS x2 FROM x1)"""
+TWENTY = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+ROWS = "PARTITION BY symbol ORDER BY ts ROWS BETWEEN"
+
+
+def oscillators_sql(hours: int) -> str:
+    """The oscillators of a timeframe as table ``o<hours>``, each with the last complete bar's values at ``b``."""
+    return f"""c{hours} AS (SELECT symbol, time_bucket(INTERVAL {hours} HOUR, ts, TIMESTAMP '1970-01-01') AS ts, max(high) AS high, min(low) AS low, last(close ORDER BY ts) AS close FROM v_bars GROUP BY 1, 2),
+ f{hours} AS (SELECT symbol, ts, CASE WHEN count(*) OVER a = 20 THEN 2 * 2.0 * stddev_samp(close) OVER a / (avg(close) OVER a + 1e-9) END AS bb_width,
+  CASE WHEN count(*) OVER b = 14 THEN -100 * (max(high) OVER b - close) / nullif(max(high) OVER b - min(low) OVER b, 0) END AS williams_r, (close / nullif(lag(close, 10) OVER w, 0) - 1) * 100 AS roc,
+  CASE WHEN count(*) OVER z >= 20 THEN (close - avg(close) OVER z) / nullif(stddev_samp(close) OVER z, 0) END AS zscore FROM c{hours}
+  WINDOW a AS ({ROWS} 19 PRECEDING AND CURRENT ROW), b AS ({ROWS} 13 PRECEDING AND CURRENT ROW), z AS ({ROWS} 251 PRECEDING AND CURRENT ROW), w AS (PARTITION BY symbol ORDER BY ts)),
+ o{hours} AS (SELECT symbol, ts, lag(bb_width) OVER w AS bb_width, lag(williams_r) OVER w AS williams_r, lag(roc) OVER w AS roc, lag(zscore) OVER w AS zscore FROM f{hours} WINDOW w AS (PARTITION BY symbol ORDER BY ts))"""
+
+
+META = f"""WITH q AS (SELECT *, max(CASE WHEN strftime(ts, '%H:%M') BETWEEN '03:00' AND '04:30' THEN high END) OVER d AS h0, min(CASE WHEN strftime(ts, '%H:%M') BETWEEN '03:00' AND '04:30' THEN low END) OVER d AS l0 FROM v_bars WINDOW d AS (PARTITION BY symbol, CAST(ts AS DATE))),
+ e AS (SELECT *, last_value(h0 IGNORE NULLS) OVER c AS sh, last_value(l0 IGNORE NULLS) OVER c AS sl FROM q WINDOW c AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+ dy AS (SELECT symbol, CAST(ts AS DATE) AS day, max(sh) AS h, min(sl) AS l FROM e GROUP BY 1, 2), pv AS (SELECT symbol, day, lag(h) OVER w AS ph, lag(l) OVER w AS pl FROM dy WINDOW w AS (PARTITION BY symbol ORDER BY day)),
+ {oscillators_sql(2)}, {oscillators_sql(6)}, j AS (SELECT e.*, ph, pl FROM e LEFT JOIN pv ON pv.symbol = e.symbol AND pv.day = CAST(e.ts AS DATE))
+ SELECT j.symbol, CAST(epoch(j.ts) AS BIGINT) AS ts, {r('(sh - sl) / nullif(close, 0)', 'session_width')}, {r('(sh - sl) / nullif(ph - pl, 0)', 'session_width_ratio')}, {r('(close - sl) / nullif(sh - sl, 0)', 'session_position')}, {r('(close - pl) / nullif(ph - pl, 0)', 'prev_session_position')},
+ {', '.join(f"round(coalesce(o{h}.{n}, 0), 6) + 0.0 AS {n}_{h}h" for h in (2, 6) for n in ('bb_width', 'williams_r', 'roc', 'zscore'))}
+ FROM j ASOF LEFT JOIN o2 ON o2.symbol = j.symbol AND j.ts >= o2.ts ASOF LEFT JOIN o6 ON o6.symbol = j.symbol AND j.ts >= o6.ts"""
+
 QUERIES = {
     "three_way_split": (three_way, V.oracle(f"SELECT asset, CASE WHEN ts <= '1998-01-01' THEN 'train' WHEN ts <= '2000-01-01' THEN 'test' ELSE 'live' END AS part, {r('count(*)', 'n')}, {r('sum(ret)', 'total')} FROM v_returns GROUP BY 1, 2", "v_returns")),
     "walk_forward_split": (walk_forward_split, V.oracle(f"""WITH m AS (SELECT *, year(ts) * 12 + month(ts) AS m FROM v_returns), e AS (SELECT min(m) AS a, max(m) AS b FROM m),
@@ -478,7 +530,8 @@ QUERIES = {
         k AS (SELECT a.feature AS i, c.feature AS j, corr(a.value, c.value) AS corr FROM b a JOIN b c USING (id) WHERE a.feature < c.feature GROUP BY 1, 2)
         SELECT j.i, j.j, {r('greatest(x.h + y.h - j.h, 0)', 'mi')}, {r('2 * greatest(x.h + y.h - j.h, 0) / (x.h + y.h)', 'nmi')}, {r('corr', 'corr')} FROM j JOIN k ON j.i = k.i AND j.j = k.j JOIN h x ON x.feature = j.i JOIN h y ON y.feature = j.j""", "v_features")),
     "rank_share": (rank_share, V.oracle(f"SELECT id, feature, {r('(rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2) / count(*) OVER (PARTITION BY feature)', 'share')} FROM v_features", "v_features")),
-    "rank_gaussian": (gauss, None),
+    "rank_gaussian": (gauss, V.oracle(f"""WITH s AS (SELECT id, feature, least(greatest((rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2) / count(*) OVER (PARTITION BY feature), 1e-6), 1 - 1e-6)::DOUBLE AS p FROM v_features), {QUANTILES}
+        SELECT id, feature, round(x2, 5) + 0.0 AS gauss FROM x2""", "v_features")),
     "rolling_dependence": (rolling_pairs, None),
     "portfolio_weights": (weights, None),
     "portfolio_backtest": (portfolio_backtest, None),
@@ -550,19 +603,23 @@ QUERIES = {
           WINDOW w AS (PARTITION BY symbol ORDER BY b), x AS (PARTITION BY symbol ORDER BY b ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
         g AS (SELECT symbol, b, lag(roc) OVER w AS roc, lag(wr) OVER w AS wr FROM f WINDOW w AS (PARTITION BY symbol ORDER BY b))
         SELECT v.symbol, CAST(epoch(v.ts) AS BIGINT) AS ts, round(coalesce(roc, 0), 6) + 0.0 AS roc_6h, round(coalesce(wr, 0), 6) + 0.0 AS williams_r_6h FROM v_bars v ASOF LEFT JOIN g ON v.symbol = g.symbol AND v.ts >= g.b""", "v_bars")),
-    "squeeze_windows": (squeeze_windows, None),
-    "meta_features": (meta_matrix, None),
+    "squeeze_windows": (squeeze_windows, V.oracle(f"""WITH t AS (SELECT *, coalesce(greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)), high - low) AS tr FROM v_bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+        a AS (SELECT symbol, ts, close, count(*) OVER w AS n, avg(close) OVER w AS m, stddev_samp(close) OVER w AS d, avg(tr) OVER w AS g, (max(high) OVER w + min(low) OVER w) / 2 AS h FROM t WINDOW w AS {TWENTY}),
+        y AS (SELECT *, CASE WHEN n = 20 THEN close - (h + m) / 2 END AS y FROM a), l AS (SELECT *, list(y) OVER {TWENTY} AS l FROM y), o AS (SELECT *, list_sum(list_transform(l, lambda y, i: y * (i - 1))) AS sxy, list_sum(l) AS sy FROM l)
+        SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts, CASE WHEN n = 20 AND m + 2 * d < m + 1.5 * g THEN 1.0 ELSE 0.0 END::DOUBLE AS squeeze_on,
+        round(CASE WHEN len(list_filter(l, lambda v: v IS NOT NULL)) = 20 THEN (20 * sxy - 190 * sy) / (20 * 2470 - 190 * 190) END, 5) AS squeeze_slope FROM o""", "v_bars")),
+    "meta_features": (meta_matrix, V.oracle(META, "v_bars")),
     "dynamic_normalized": (rescaled, V.oracle(f"""WITH q AS (SELECT max(ts) AS ts FROM v_equity GROUP BY date_trunc('quarter', ts)), a AS (SELECT asset, ts, equity / lag(equity) OVER (PARTITION BY asset ORDER BY ts) - 1 AS r FROM v_equity),
         b AS (SELECT a.*, q.ts IS NOT NULL AS hit, CASE WHEN count(r) OVER p >= 60 THEN stddev_samp(r) OVER p * sqrt(252) END AS v FROM a LEFT JOIN q USING (ts) WINDOW p AS (PARTITION BY asset ORDER BY a.ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
         k AS (SELECT asset, ts, r, coalesce(last_value(CASE WHEN hit THEN 0.1 / nullif(v, 0) END IGNORE NULLS) OVER (PARTITION BY asset ORDER BY ts ROWS UNBOUNDED PRECEDING), 1) AS scale FROM b)
         SELECT asset, CAST(epoch(ts) AS BIGINT) AS ts, {r('scale', 'scale', 4)}, {r('100000 * exp(sum(ln(1 + coalesce(r * scale, 0))) OVER (PARTITION BY asset ORDER BY ts ROWS UNBOUNDED PRECEDING))', 'equity_scaled', 4)} FROM k""", "v_equity")),
-    "backtest_suite": (suite, None),
+    "backtest_suite": (suite, SUITE),
     "stability_study": (five_phases, None),
     "risk_model_pilot": (pilot, None),
     "turnover": (turnovers, V.oracle(f"""WITH {DAY}, a AS (SELECT max(ts) AS date FROM d GROUP BY year(ts)), k AS (SELECT asset, row_number() OVER (ORDER BY asset) AS k FROM (SELECT DISTINCT asset FROM d)),
         w AS (SELECT date, asset, (k + year(date) % 3) / 20.0::DOUBLE AS w FROM a CROSS JOIN k), m AS (SELECT date, abs(w - lag(w) OVER (PARTITION BY asset ORDER BY date)) AS m FROM w)
         SELECT 'moving' AS strategy, CAST(epoch(date) AS BIGINT) AS date, {r('sum(m) * 0.5', 'turnover')} FROM m GROUP BY date""", "v_returns")),
-    "confirmed_pivots": (pivots, None),
+    "confirmed_pivots": (pivots, CONFIRMED),
     "spring_signals": (springs, None),
     "zone_entries": (zones, None),
     "optimal_difference": (optimal_d, None),
