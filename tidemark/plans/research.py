@@ -408,7 +408,7 @@ def multi_timeframe(spark, sf_dir):
 
 
 def squeeze_windows(spark, sf_dir):
-    return rnd(FT.squeeze_momentum(V.bars(spark, sf_dir)).withColumn("ts", F.unix_timestamp("ts")), ["symbol", "ts"], ["squeeze_on", "squeeze_slope"], 5)
+    return rnd(FT.squeeze_momentum(V.bars(spark, sf_dir)).withColumn("ts", F.unix_timestamp("ts")), ["symbol", "ts"], ["squeeze_on", "squeeze_slope"], 9)
 
 
 def meta_matrix(spark, sf_dir):
@@ -607,7 +607,7 @@ QUERIES = {
         a AS (SELECT symbol, ts, close, count(*) OVER w AS n, avg(close) OVER w AS m, stddev_samp(close) OVER w AS d, avg(tr) OVER w AS g, (max(high) OVER w + min(low) OVER w) / 2 AS h FROM t WINDOW w AS {TWENTY}),
         y AS (SELECT *, CASE WHEN n = 20 THEN close - (h + m) / 2 END AS y FROM a), l AS (SELECT *, list(y) OVER {TWENTY} AS l FROM y), o AS (SELECT *, list_sum(list_transform(l, lambda y, i: y * (i - 1))) AS sxy, list_sum(l) AS sy FROM l)
         SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts, CASE WHEN n = 20 AND m + 2 * d < m + 1.5 * g THEN 1.0 ELSE 0.0 END::DOUBLE AS squeeze_on,
-        round(CASE WHEN len(list_filter(l, lambda v: v IS NOT NULL)) = 20 THEN (20 * sxy - 190 * sy) / (20 * 2470 - 190 * 190) END, 5) AS squeeze_slope FROM o""", "v_bars")),
+        round(CASE WHEN len(list_filter(l, lambda v: v IS NOT NULL)) = 20 THEN (20 * sxy - 190 * sy) / (20 * 2470 - 190 * 190) END, 9) AS squeeze_slope FROM o""", "v_bars")),
     "meta_features": (meta_matrix, V.oracle(META, "v_bars")),
     "dynamic_normalized": (rescaled, V.oracle(f"""WITH q AS (SELECT max(ts) AS ts FROM v_equity GROUP BY date_trunc('quarter', ts)), a AS (SELECT asset, ts, equity / lag(equity) OVER (PARTITION BY asset ORDER BY ts) - 1 AS r FROM v_equity),
         b AS (SELECT a.*, q.ts IS NOT NULL AS hit, CASE WHEN count(r) OVER p >= 60 THEN stddev_samp(r) OVER p * sqrt(252) END AS v FROM a LEFT JOIN q USING (ts) WINDOW p AS (PARTITION BY asset ORDER BY a.ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
