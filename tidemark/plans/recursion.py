@@ -122,7 +122,7 @@ SQUEEZE = recursive(f"""{CYCLED}, {MIDDLE.format(name='mi', x='close')}, {follow
  hl AS (SELECT a.symbol, a.n, (max(w.high) + min(w.low)) / 2 AS mm FROM sp a JOIN sp w ON w.symbol = a.symbol AND w.n BETWEEN a.n - a.k2 + 1 AND a.n GROUP BY a.symbol, a.n),
  yy AS (SELECT sp.symbol, sp.n, sp.ts, k2, close - (mm + mid) / 2 AS y, mid, f, 1.5 * CASE WHEN sp.n >= 3 THEN atr END AS width FROM sp JOIN mi ON mi.symbol = sp.symbol AND mi.n = sp.n JOIN hl ON hl.symbol = sp.symbol AND hl.n = sp.n JOIN ra ON ra.symbol = sp.symbol AND ra.n = sp.n JOIN dv ON dv.symbol = sp.symbol AND dv.n = sp.n),
  lr AS (SELECT a.symbol, a.n, CASE WHEN count(*) = 1 THEN any_value(w.y) ELSE regr_intercept(w.y, w.n - a.n) END AS m FROM yy a JOIN yy w ON w.symbol = a.symbol AND w.n BETWEEN a.n - a.k2 + 1 AND a.n GROUP BY a.symbol, a.n)
- SELECT yy.symbol, CAST(epoch(ts) AS BIGINT) AS ts, CASE WHEN mid * f < mid + width AND mid / f > mid - width THEN 1.0 ELSE 0.0 END::DOUBLE AS squeeze_on, round(m, 9) AS squeeze_momentum FROM yy JOIN lr ON lr.symbol = yy.symbol AND lr.n = yy.n""")
+ SELECT yy.symbol, CAST(epoch(ts) AS BIGINT) AS ts, CASE WHEN mid * f < mid + width AND mid / f > mid - width THEN 1.0 ELSE 0.0 END::DOUBLE AS squeeze_on, round(m, 7) AS squeeze_momentum FROM yy JOIN lr ON lr.symbol = yy.symbol AND lr.n = yy.n""")
 
 
 def turns(divisor: float, top: str, bottom: str) -> str:
@@ -156,6 +156,6 @@ QUERIES = {
     "adaptive_ma_atr": (indicators("adaptive_ma", "adaptive_atr"), FILTERED),
     "adaptive_chandelier": (indicators("chandelier_long", "chandelier_short"), CHANDELIER),
     "envelope_signal": (indicators("envelope_signal"), DEW),
-    "squeeze": (indicators("squeeze_on", "squeeze_momentum", digits=9), SQUEEZE),
+    "squeeze": (indicators("squeeze_on", "squeeze_momentum", digits=7), SQUEEZE),
     "zigzag": (indicators("pivot", "pivot_known"), ZIGZAG),
 }
