@@ -207,3 +207,29 @@ def test_tree_importance(spark):
     assert found["a"] > 0.95 and abs(sum(found.values()) - 1) < 1e-9
     few = RP.tree_importance(spark.createDataFrame(rows[:5], "a double, b double, score double"), ["a", "b"]).collect()
     assert [r.importance for r in few] == [0.0, 0.0]
+
+
+def test_cohesion_falls_where_a_feature_belongs():
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(500, 2))
+    x = np.column_stack([base[:, [0]] + 0.3 * rng.normal(size=(500, 3)), base[:, [1]] + 0.3 * rng.normal(size=(500, 2)), rng.normal(size=(500, 1))])
+    found = {j: loss for j, _, loss in RK.cohesion_loss(x, [[0, 1, 2], [3, 4, 5]])}
+    assert min(found[j] for j in (0, 1, 2)) > 0.4 and abs(found[5]) < 0.1 < found[3]
+    assert RK.cohesion_loss(x, [[0]]) == [(0, 0, 0.0)]
+
+
+def test_detoned_correlation_has_no_market():
+    rng = np.random.default_rng(4)
+    market = rng.normal(size=(400, 1))
+    sector = rng.normal(size=(400, 1))
+    x = market + 0.8 * np.column_stack([sector] * 4 + [rng.normal(size=400) for _ in range(4)]) + 0.5 * rng.normal(size=(400, 8))
+    r = np.corrcoef(x.T)
+    clean = RK.detone(r, 400)
+    off = ~np.eye(8, dtype=bool)
+    assert np.allclose(np.diag(clean), 1) and np.allclose(clean, clean.T) and r[off].mean() > 0.5 and abs(clean[off].mean()) < 0.2
+    assert clean[:4, :4][~np.eye(4, dtype=bool)].min() > clean[4:, :4].max()
+
+
+def test_gates_and_bets(spark):
+    df = spark.createDataFrame([(0.2,), (0.6,), (0.8,), (None,)], "p double")
+    assert [(r.gate_col, round(r.bet_col, 6)) for r in L.gate_and_bet(df, "p", 0.6).collect()] == [(0, 0.0), (1, 0.0), (1, 0.5), (0, 0.0)]

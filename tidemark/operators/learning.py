@@ -176,6 +176,13 @@ def calibrate(df: DataFrame, p: str, label: str, method: str = "platt", rows: in
     return df.withColumn("calibrated", apply(c(p)))
 
 
+def gate_and_bet(df: DataFrame, p: str, gate: float = 0.5) -> DataFrame:
+    """``gate_col`` 1 where a calibrated probability reaches the gate, and ``bet_col`` the size it asks for; unknown ones nothing."""
+    known = F.coalesce(c(p), F.lit(0.0))
+    size = F.greatest(F.least((known - gate) / (1 - gate), F.lit(1.0)), F.lit(0.0))
+    return df.withColumns({"gate_col": (known >= gate).cast("int"), "bet_col": size})
+
+
 Model = Callable[[np.ndarray], np.ndarray]
 
 

@@ -311,6 +311,25 @@ def hold(returns: DataFrame, weights: DataFrame) -> DataFrame:
     return joined.where("_w is not null").groupBy("strategy", "ts").agg(F.sum(c("_w") * c("ret")).alias("ret"))
 
 
+def equal_risk(returns: DataFrame, n: int = 60, decay: float = 0.94) -> DataFrame:
+    """(ts, asset, weight): inverse volatility of the ``n`` rows before, newer ones weighing more, normalised per time.
+
+    A time at which some asset has no volatility yet has equal weights.
+    """
+    past = Window.partitionBy("asset").orderBy("ts").rowsBetween(-n, -1)
+    rows = returns.withColumn("_x", F.collect_list("ret").over(past))
+    size = F.size("_x")
+    weight = F.transform("_x", lambda x, i: F.pow(F.lit(decay), size - 1 - i))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    rows = rows.withColumns({"_w": weight, "_s": total(weight)})
+    rows = rows.withColumn("_m", F.try_divide(total(F.zip_with("_x", "_w", lambda x, w: x * w)), c("_s")))
+    var = F.try_divide(total(F.zip_with("_x", "_w", lambda x, w: w * (x - c("_m")) * (x - c("_m")))), c("_s"))
+    rows = rows.withColumn("_i", F.when((size >= n) & (var > 0), F.try_divide(F.lit(1.0), F.sqrt(var))))
+    at = Window.partitionBy("ts")
+    ready = F.count("_i").over(at) == F.count("*").over(at)
+    return rows.select("ts", "asset", F.when(ready, c("_i") / F.sum("_i").over(at)).otherwise(1 / F.count("*").over(at)).alias("weight"))
+
+
 def turnover(weights: DataFrame, halved: bool = True) -> DataFrame:
     """Per rebalance the sum of weight changes, halved or whole."""
     before = F.lag("weight").over(Window.partitionBy("strategy", "asset").orderBy("date"))

@@ -39,6 +39,15 @@ def rebalance_dates(df: DataFrame, unit: str = "QUARTER") -> DataFrame:
     return df.groupBy(F.date_trunc(unit, "ts").alias("period")).agg(F.max("ts").alias("ts"))
 
 
+def rebalance_schedule(df: DataFrame, units: dict[str, str]) -> DataFrame:
+    """(ts, strategies): the dates on which any strategy rebalances, each by its own unit, and which do."""
+    out = None
+    for strategy, unit in units.items():
+        part = rebalance_dates(df, unit).select("ts", F.lit(strategy).alias("strategy"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("ts").agg(F.array_sort(F.collect_set("strategy")).alias("strategies"))
+
+
 def annualization_factor(df: DataFrame, key: str, days: int = 252) -> DataFrame:
     """Median number of rows per day, times the trading days of a year."""
     per_day = df.groupBy(key, F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))

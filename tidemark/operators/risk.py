@@ -345,6 +345,46 @@ def project(vectors: DataFrame, column: str, corr: np.ndarray, mean: np.ndarray,
     return vectors.withColumn("scores", scores(c(column).cast("array<double>")))
 
 
+def cohesion(corr: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(cluster, n, cohesion, weight): mean correlation of a cluster's pairs, and its share of squared sizes.
+
+    ``corr`` is long (i, j, corr), ``clusters`` holds (feature, cluster); a cluster of one coheres fully.
+    """
+    a, b = clusters.select(c("feature").alias("i"), "cluster"), clusters.select(c("feature").alias("j"), c("cluster").alias("_other"))
+    inside = corr.where("i < j").join(a, "i").join(b, "j").where("cluster = _other").groupBy("cluster").agg(F.avg("corr").alias("cohesion"))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n")).join(inside, "cluster", "left")
+    square = c("n") * c("n")
+    return sizes.select("cluster", "n", F.coalesce("cohesion", F.lit(1.0)).alias("cohesion"), (square / F.sum(square).over(Window.partitionBy())).alias("weight"))
+
+
+def cohesion_loss(x: np.ndarray, members: list[list[int]], repeats: int = 20, seed: int = 7) -> list[tuple[int, int, float]]:
+    """(feature, cluster, loss): how far a cluster's mean correlation falls when one of its features is shuffled."""
+    rng, z = np.random.default_rng(seed), (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
+    out = []
+    for k, own in enumerate(members):
+        if len(own) < 2:
+            out += [(j, k, 0.0) for j in own]
+            continue
+        pairs = len(own) * (len(own) - 1) / 2
+        for j in own:
+            others = [i for i in own if i != j]
+            real = float((z[:, others].T @ z[:, j]).sum()) / len(z)
+            shuffled = [float((z[:, others].T @ z[rng.permutation(len(z)), j]).sum()) / len(z) for _ in range(repeats)]
+            out.append((j, k, (real - float(np.mean(shuffled))) / pairs))
+    return out
+
+
+def detone(r: np.ndarray, rows: int, market: int = 1) -> np.ndarray:
+    """A correlation without its noise: eigenvalues within the edge of chance count as nothing, nor do the ``market`` first."""
+    values, vectors = np.linalg.eigh(r)
+    edge = (1 + math.sqrt(len(r) / rows)) ** 2
+    kept = np.where(values > edge, values, 0.0)
+    kept[len(r) - market :] = 0.0
+    m = (vectors * kept) @ vectors.T + np.diag(1e-9 + np.zeros(len(r)))
+    m += np.diag(np.maximum(1 - np.diag(m), 0.0))
+    return correlation(m)
+
+
 def redundant(silhouettes: DataFrame, threshold: float = 0.25, share: float = 0.2, least: int = 2) -> DataFrame:
     """Features (feature, cluster, silhouette) to remove: below the threshold or in a cluster's lowest share, while ``least`` stay."""
     best = Window.partitionBy("cluster").orderBy(F.desc("silhouette"), "feature")

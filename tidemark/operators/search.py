@@ -123,6 +123,13 @@ def run_grid(bars: DataFrame, params: DataFrame, signal: Signal, spread: float =
     return dealt.mapInPandas(work, "symbol string, param_id int, params string, " + ", ".join(f"{k} double" for k in SCORES))
 
 
+def versus(scores: DataFrame, base: DataFrame) -> DataFrame:
+    """Scores of a strategy beside those of a base on the same symbols, and what is between them."""
+    other = base.select("symbol", *(c(k).alias(f"base_{k}") for k in SCORES))
+    both = scores.select("symbol", *SCORES).join(other, "symbol")
+    return both.withColumns({f"{k}_gain": c(k) - c(f"base_{k}") for k in ("sharpe", "total_return", "max_drawdown")})
+
+
 def best_per(df: DataFrame, metric: str, *keys: str, largest: bool = True) -> DataFrame:
     """The parameter set of best score per key; equal scores go to the least id."""
     value = c(metric) if largest else -c(metric)

@@ -159,6 +159,25 @@ class CombinatorialPurged:
         return test.unionByName(train.withColumn("fold", F.lit(-1)).withColumn("role", F.lit("train")).select(*test.columns))
 
 
+    def split_with_holdout(self, df: DataFrame, share: float = 0.2) -> DataFrame:
+        """The split of all but the last ``share`` of the rows in time, which come once, as (path -1, fold -1, hold-out)."""
+        every = Window.orderBy("ts")
+        times = df.groupBy("ts").agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(every.rowsBetween(Window.unboundedPreceding, 0)))
+        cut = times.agg(F.max_by("ts", F.when(c("_upto") <= F.lit(1 - share) * F.lit(df.count()), c("ts")))).first()[0]
+        if cut is None:
+            return self.split(df)
+        rest = df.where(c("ts") > F.lit(cut)).withColumns({"path": F.lit(-1), "fold": F.lit(-1), "role": F.lit("holdout")})
+        inside = self.split(df.where(c("ts") <= F.lit(cut)))
+        return inside.unionByName(rest.select(*inside.columns))
+
+    @staticmethod
+    def of_path(split: DataFrame, path: int) -> DataFrame:
+        """The training rows of a path, each once, and the rows of its tests."""
+        own = split.where(c("path") == path)
+        train = own.where(c("role") == "train").dropDuplicates()
+        return train.unionByName(own.where(c("role") == "test"))
+
+
 def holdout(df: DataFrame, share: float, key: str) -> DataFrame:
     """The last ``share`` of each key's rows as hold-out."""
     w = Window.partitionBy(key)

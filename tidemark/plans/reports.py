@@ -13,7 +13,8 @@ from tidemark.operators import reports as RP
 from tidemark.operators import resample as R
 from tidemark.operators import risk as RK
 from tidemark.operators import search as SE
-from tidemark.plans.research import DAY, ORDER, ORDER_SQL, REGIME, RR, daily_returns, labelled, r, rnd
+from tidemark.operators import splits as SP
+from tidemark.plans.research import DAY, ORDER, ORDER_SQL, REGIME, RR, cross_sql, daily_returns, labelled, r, replayed, rnd
 from tidemark.sources import views as V
 
 ASSETS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -252,7 +253,72 @@ def pc_loadings(spark, sf_dir):
     return RK.component_loadings(corr, 10)
 
 
+SCHEDULE = {"slow": "YEAR", "middle": "QUARTER", "fast": "MONTH"}
+
+
+def union_schedule(spark, sf_dir):
+    found = R.rebalance_schedule(daily_returns(spark, sf_dir), SCHEDULE)
+    return found.select(V.epoch(), F.array_join("strategies", ",").alias("strategies"))
+
+
+def latest(spark, sf_dir):
+    d = daily_returns(spark, sf_dir)
+    last = SP.MonthWalkForward(in_months=10, out_months=3).latest_train(d)
+    return rnd(last.groupBy("asset").agg(F.count("*").alias("n"), F.sum("ret").alias("total")), ["asset"], ["n", "total"])
+
+
+def held_out_paths(spark, sf_dir):
+    df = SP.CombinatorialPurged(seed=None, paths=3).split_with_holdout(daily_returns(spark, sf_dir), 0.2)
+    return rnd(df.groupBy("path", "fold", "role").agg(F.count("*").alias("n"), F.sum("ret").alias("total")), ["path", "fold", "role"], ["n", "total"])
+
+
+def versus_hold(spark, sf_dir):
+    bars = V.bars(spark, sf_dir)
+    one = lambda text: spark.createDataFrame([(0, text)], "param_id int, params string")
+    rule, hold = SE.run_grid(bars, one('{"fast": 3, "slow": 13}'), SE.moving_cross), SE.run_grid(bars, one("{}"), SE.buy_and_hold)
+    return rnd(SE.versus(rule, hold), ["symbol"], [*SE.SCORES, *(f"base_{k}" for k in SE.SCORES), "sharpe_gain", "total_return_gain", "max_drawdown_gain"], 5)
+
+
+def equal_risk(spark, sf_dir):
+    w = PF.equal_risk(daily_returns(spark, sf_dir), 20)
+    return rnd(w.withColumn("ts", F.unix_timestamp("ts")), ["ts", "asset"], ["weight"], 7)
+
+
+def cluster_cohesion(spark, sf_dir):
+    corr = RK.vector_correlation(V.read(spark, sf_dir, "embeddings").select("embedding"), "embedding")
+    clusters = spark.range(64).select(F.col("id").cast("int").alias("feature"), (F.col("id") % 7).cast("int").alias("cluster"))
+    return rnd(RK.cohesion(corr, clusters), ["cluster"], ["n", "cohesion", "weight"])
+
+
+def bets(spark, sf_dir):
+    t = V.trades(spark, sf_dir).withColumn("p", F.round(F.col("entry_indicator") / 50, 6))
+    g = L.gate_and_bet(t, "p", 0.6).groupBy("strategy").agg(F.sum("gate_col").alias("taken"), F.sum("bet_col").alias("stake"), F.sum(F.col("bet_col") * F.col("pnl")).alias("pnl"))
+    return rnd(g, ["strategy"], ["taken", "stake", "pnl"], 4)
+
+
 QUERIES = {
+    "rebalance_schedule": (union_schedule, V.oracle(f"""WITH {DAY}, u AS ({' UNION '.join(f"SELECT max(ts) AS ts, '{k}' AS s FROM d GROUP BY date_trunc('{v.lower()}', ts)" for k, v in SCHEDULE.items())})
+        SELECT CAST(epoch(ts) AS BIGINT) AS ts, string_agg(s, ',' ORDER BY s) AS strategies FROM u GROUP BY ts""", "v_returns")),
+    "latest_train": (latest, V.oracle(f"WITH {DAY}, m AS (SELECT *, year(ts) * 12 + month(ts) AS m FROM d) SELECT asset, {r('count(*)', 'n')}, {r('sum(ret)', 'total')} FROM m WHERE m > (SELECT max(m) FROM m) - 10 GROUP BY asset", "v_returns")),
+    "cpcv_with_holdout": (held_out_paths, V.oracle(f"""WITH {DAY}, k AS (SELECT ts, sum(count(*)) OVER (ORDER BY ts) AS upto FROM d GROUP BY ts), z AS (SELECT max(ts) AS c FROM k WHERE upto <= 0.8::DOUBLE * (SELECT count(*) FROM d)), v AS (SELECT d.* FROM d, z WHERE ts <= c),
+        e AS (SELECT date_trunc('month', min(ts)) AS a, max(ts) AS z FROM v), g AS (SELECT k AS g, a + to_months(CAST(6 * k AS INT)) AS s, a + to_months(CAST(6 * k + 6 AS INT)) AS t FROM e, range(1000) u(k) WHERE a + to_months(CAST(6 * k + 6 AS INT)) <= z),
+        p AS (SELECT x.g AS g0, y.g AS g1, row_number() OVER (ORDER BY x.g, y.g) - 1 AS path FROM g x JOIN g y ON x.g < y.g QUALIFY row_number() OVER (ORDER BY x.g, y.g) <= 3),
+        f AS (SELECT path, 0 AS fold, g0 AS g, g1 AS o FROM p UNION ALL SELECT path, 1, g1, g0 FROM p), t AS (SELECT path, fold, s, t, s - to_days(CASE WHEN o = f.g - 1 THEN 0 ELSE 5 END) AS s5, t + to_days(CASE WHEN o = f.g + 1 THEN 0 ELSE 5 END) AS t5 FROM f JOIN g ON g.g = f.g),
+        u AS (SELECT path, fold, 'test' AS role, ret FROM v JOIN t ON ts >= s AND ts < t UNION ALL SELECT path, -1, 'train', ret FROM v, (SELECT DISTINCT path FROM t) q WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.path = q.path AND v.ts >= s5 AND v.ts < t5)
+          UNION ALL SELECT -1, -1, 'holdout', ret FROM d, z WHERE ts > c)
+        SELECT CAST(path AS INT) AS path, CAST(fold AS INT) AS fold, role, {r('count(*)', 'n')}, {r('sum(ret)', 'total')} FROM u GROUP BY 1, 2, 3""", "v_returns")),
+    "versus_buy_and_hold": (versus_hold, V.oracle(f"""WITH src AS (SELECT symbol AS k, ts, open, close FROM v_bars), {replayed('src', [('rule', cross_sql(3, 13)), ('hold', '1')])}
+        SELECT a.k AS symbol, {', '.join(r(f'a.{n}', n, 5) for n in SE.SCORES)}, {', '.join(r(f'b.{n}', f'base_{n}', 5) for n in SE.SCORES)}, {', '.join(r(f'a.{n} - b.{n}', f'{n}_gain', 5) for n in ('sharpe', 'total_return', 'max_drawdown'))}
+        FROM scores a JOIN scores b ON a.k = b.k AND a.params = 'rule' AND b.params = 'hold'""", "v_bars")),
+    "equal_risk_weights": (equal_risk, V.oracle(f"""WITH {DAY}, n AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts) AS n FROM d),
+        x AS (SELECT a.asset, a.ts, a.n, b.ret AS x, pow(0.94::DOUBLE, a.n - 1 - b.n) AS w FROM n a LEFT JOIN n b ON b.asset = a.asset AND b.n BETWEEN a.n - 20 AND a.n - 1),
+        m AS (SELECT *, sum(w * x) OVER (PARTITION BY asset, n) / sum(w) OVER (PARTITION BY asset, n) AS m FROM x), v AS (SELECT asset, ts, count(x) AS k, sum(w * (x - m) * (x - m)) / sum(w) AS v FROM m GROUP BY asset, ts),
+        i AS (SELECT *, CASE WHEN k >= 20 AND v > 0 THEN 1 / sqrt(v) END AS i FROM v)
+        SELECT CAST(epoch(ts) AS BIGINT) AS ts, asset, {r('CASE WHEN count(i) OVER (PARTITION BY ts) = count(*) OVER (PARTITION BY ts) THEN i / sum(i) OVER (PARTITION BY ts) ELSE 1 / count(*) OVER (PARTITION BY ts) END', 'weight', 7)} FROM i""", "v_returns")),
+    "cluster_cohesion": (cluster_cohesion, V.oracle(f"""WITH c AS (SELECT a.feature AS i, b.feature AS j, corr(a.value, b.value) AS r FROM v_features a JOIN v_features b ON a.id = b.id AND a.feature < b.feature WHERE a.feature % 7 = b.feature % 7 GROUP BY 1, 2),
+        n AS (SELECT g AS cluster, count(*) AS n FROM (SELECT unnest(range(64)) % 7 AS g) GROUP BY g) SELECT CAST(cluster AS INT) AS cluster, {r('any_value(n)', 'n')}, {r('avg(c.r)', 'cohesion')}, {r('any_value(n * n) / (SELECT sum(n * n) FROM n)', 'weight')} FROM n JOIN c ON c.i % 7 = cluster GROUP BY cluster""", "v_features")),
+    "gated_bets": (bets, V.oracle(f"""WITH t AS (SELECT strategy, pnl, round(entry_indicator / 50, 6) AS p FROM v_trades), b AS (SELECT *, greatest(least((p - 0.6::DOUBLE) / (1 - 0.6::DOUBLE), 1), 0) AS s FROM t)
+        SELECT strategy, {r('sum(CASE WHEN p >= 0.6 THEN 1 ELSE 0 END)', 'taken', 4)}, {r('sum(s)', 'stake', 4)}, {r('sum(s * pnl)', 'pnl', 4)} FROM b GROUP BY strategy""", "v_trades")),
     "wide_returns": (wide_query(daily_returns, "ret", 12), wide_sql("(SELECT asset, date_trunc('day', ts) AS ts, avg(ret) AS ret FROM v_returns GROUP BY 1, 2)", "ret", 12, "v_returns")),
     "wide_equity": (wide_query(V.equity, "equity", 4), wide_sql("v_equity", "equity", 4, "v_equity")),
     "curve_points": (curve_points, V.oracle(CURVE, "v_equity")),
