@@ -14,6 +14,7 @@ from tidemark.operators import reports as RP
 from tidemark.operators import risk as RK
 from tidemark.operators import search as SE
 from tidemark.operators import simulation as SI
+from tidemark.operators import studies
 from tidemark.sources import files
 
 SF = f"{DATA}/sf0.001"
@@ -233,3 +234,19 @@ def test_detoned_correlation_has_no_market():
 def test_gates_and_bets(spark):
     df = spark.createDataFrame([(0.2,), (0.6,), (0.8,), (None,)], "p double")
     assert [(r.gate_col, round(r.bet_col, 6)) for r in L.gate_and_bet(df, "p", 0.6).collect()] == [(0, 0.0), (1, 0.0), (1, 0.5), (0, 0.0)]
+
+
+def test_pilot_from_files(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    days = pd.date_range("2022-01-03", periods=400, freq="B")
+    pd.DataFrame(rng.normal(0.0004, [0.005, 0.01, 0.02], (400, 3)), index=days, columns=list("abc")).rename_axis("time").to_csv(tmp_path / "returns.csv")
+    (tmp_path / "config.json").write_text('{"unit": "MONTH", "lookback": 120}')
+    found = studies.pilot_from_files(spark, str(tmp_path / "returns.csv"), str(tmp_path / "out"), str(tmp_path / "config.json")).toPandas()
+    assert sorted(found.strategy) == ["garch", "marchenko_pastur", "sample", "shrinkage"] and found.total_return.notna().all()
+
+
+def test_suite_in_local_time(spark, bars_frame):
+    one = bars_frame.assign(open=bars_frame.close, high=bars_frame.close, low=bars_frame.close, volume=1.0)[["symbol", "ts", "open", "high", "low", "close", "volume"]]
+    bars = spark.createDataFrame(one)
+    plain, local = (studies.suite(bars, {"hold": SE.buy_and_hold}, {"1d": "1 day"}, timezone=z).toPandas() for z in ("UTC", "Europe/Berlin"))
+    assert len(plain) == len(local) == 1 and plain.sharpe[0] != local.sharpe[0]

@@ -216,3 +216,19 @@ def gate_sweep(trades: DataFrame, probability: str, gates: list[float], pnl: str
     rows = trades.withColumn("gate", F.explode(passed))
     g = rows.groupBy(*keys, "gate").agg(F.count("*").alias("n"), F.avg((c(pnl) > 0).cast("double")).alias("win_rate"), F.avg(pnl).alias("mean"), F.sum(pnl).alias("total"))
     return g
+
+
+def session_heatmap(trades: DataFrame, time: str, value: str) -> DataFrame:
+    """(weekday, month, n, mean, smooth): mean of a value by weekday and month, and the mean of the cells around each."""
+    g = trades.groupBy(F.weekday(time).alias("weekday"), F.month(time).alias("month")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    other = g.select(c("weekday").alias("_d"), c("month").alias("_m"), c("mean").alias("_v"))
+    # twelve months of seven days, whatever the trades
+    near = g.join(F.broadcast(other), (F.abs(c("weekday") - c("_d")) <= 1) & (F.abs(c("month") - c("_m")) <= 1))
+    return near.groupBy("weekday", "month", "n", "mean").agg(F.avg("_v").alias("smooth"))
+
+
+def with_reference(ranked: DataFrame, reference: DataFrame, key: str, value: str, top: int = 20) -> DataFrame:
+    """``ranked`` (with ``rank``) and, for the first ``top``, the value that ``reference`` gives their key as ``reference``."""
+    found = reference.select(c(key).alias("_key"), c(value).alias("_value"))
+    joined = ranked.join(found, (c(key) == c("_key")) & (c("rank") <= top), "left")
+    return joined.withColumn("reference", c("_value")).drop("_key", "_value")

@@ -19,6 +19,19 @@ from pyspark.sql import functions as F
 c = F.col
 
 
+def clean_returns(returns: DataFrame, least: int = 20, share: float = 0.5) -> DataFrame:
+    """Returns without gaps: infinite ones count as missing; only times that every asset has stay, if at least
+    ``least`` and ``share`` of all do, else all times stay and gaps are 0."""
+    finite = returns.select("ts", "asset", F.when(F.abs("ret") < float("inf"), c("ret")).alias("ret"))
+    assets = finite.select("asset").distinct()
+    grid = finite.select("ts").distinct().crossJoin(F.broadcast(assets)).join(finite, ["ts", "asset"], "left")
+    whole = grid.groupBy("ts").agg((F.count("ret") == F.count("*")).alias("_whole"))
+    kept = whole.agg(F.sum(c("_whole").cast("int")).alias("_k"), F.count("*").alias("_n"))
+    enough = c("_k") >= F.greatest(F.lit(least), share * c("_n"))
+    rows = grid.join(whole, "ts").crossJoin(F.broadcast(kept)).where(c("_whole") | ~enough)
+    return rows.select("ts", "asset", F.coalesce("ret", F.lit(0.0)).alias("ret"))
+
+
 def pairs(returns: DataFrame, complete: bool) -> DataFrame:
     """(asset_i, asset_j, x, y) of equal times; where not ``complete`` only times both have."""
     a = returns.select("ts", c("asset").alias("asset_i"), c("ret").alias("x"))

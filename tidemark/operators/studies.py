@@ -7,14 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import portfolio as PF
 from tidemark.operators import risk as RK
 from tidemark.operators import search as SE
 from tidemark.operators import simulation as SI
-from tidemark.operators.resample import resample_ohlc
+from tidemark.operators.resample import rebalance_dates, resample_ohlc
+from tidemark.sources import files
 
 c = F.col
 
@@ -31,9 +32,13 @@ class Instrument:
     currencies: tuple[str, ...] = ("USD",)
 
 
-def suite(bars: DataFrame, signals: dict[str, SE.Signal], rules: dict[str, str], params: dict | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """Scores of every strategy on every symbol and timeframe, and rank by Sharpe ratio within the timeframe."""
+def suite(bars: DataFrame, signals: dict[str, SE.Signal], rules: dict[str, str], params: dict | None = None, exclude: tuple[str, ...] = (), timezone: str = "UTC") -> DataFrame:
+    """Scores of every strategy on every symbol and timeframe, and rank by Sharpe ratio within the timeframe.
+
+    Timeframes begin at the local times of ``timezone``.
+    """
     chosen = bars.where(~c("symbol").isin(*exclude)) if exclude else bars
+    chosen = chosen.withColumn("ts", F.from_utc_timestamp("ts", timezone)) if timezone != "UTC" else chosen
     grid = bars.sparkSession.createDataFrame([(0, json.dumps(params or {}))], "param_id int, params string")
     parts = None
     for timeframe, rule in rules.items():
@@ -125,3 +130,15 @@ def pilot(returns: DataFrame, dates: DataFrame, lookback: int = 252) -> DataFram
     joined = figures.join(turned, "strategy").crossJoin(F.broadcast(base))
     better = (c("sharpe") > c("_s")) & (c("max_drawdown") <= c("_d"))
     return joined.withColumns({"sharpe_delta": c("sharpe") - c("_s"), "drawdown_delta": c("max_drawdown") - c("_d"), "better": better}).drop("_s", "_d")
+
+
+def pilot_from_files(spark: SparkSession, returns_path: str, out_path: str, config_path: str | None = None) -> DataFrame:
+    """The pilot on a CSV of returns: its figures, and those also as CSV below ``out_path``.
+
+    The configuration may name ``unit`` (of rebalancing) and ``lookback``.
+    """
+    options = {"unit": "QUARTER", "lookback": 252} | (files.read_config(config_path) if config_path else {})
+    returns = files.read_returns(spark, returns_path)
+    found = pilot(returns, rebalance_dates(returns, options["unit"]).select("ts"), options["lookback"])
+    files.write_table(found, out_path, "csv")
+    return spark.read.option("header", True).option("inferSchema", True).csv(out_path)

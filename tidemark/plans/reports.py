@@ -253,6 +253,22 @@ def pc_loadings(spark, sf_dir):
     return RK.component_loadings(corr, 10)
 
 
+def cleaned(spark, sf_dir):
+    d = daily_returns(spark, sf_dir)
+    return rnd(RK.clean_returns(d).withColumn("ts", F.unix_timestamp("ts")), ["ts", "asset"], ["ret"], 12)
+
+
+def sessions(spark, sf_dir):
+    return rnd(RP.session_heatmap(V.trades(spark, sf_dir), "entry_time", "pnl"), ["weekday", "month"], ["n", "mean", "smooth"], 4)
+
+
+def referenced(spark, sf_dir):
+    m = SE.path_metrics(V.folds(spark, sf_dir))
+    ranked = m.select("param_id", "median", F.row_number().over(Window.orderBy(F.desc("median"), "param_id")).alias("rank"))
+    whole = V.trades(spark, sf_dir).groupBy(F.col("strategy").alias("param_id")).agg(F.try_divide(F.avg("return_pct"), F.stddev_samp("return_pct")).alias("sharpe"))
+    return rnd(RP.with_reference(ranked, whole, "param_id", "sharpe", 20), ["param_id", "rank"], ["median", "reference"])
+
+
 SCHEDULE = {"slow": "YEAR", "middle": "QUARTER", "fast": "MONTH"}
 
 
@@ -297,6 +313,13 @@ def bets(spark, sf_dir):
 
 
 QUERIES = {
+    "clean_returns": (cleaned, V.oracle(f"""WITH {DAY}, g AS (SELECT t.ts, a.asset, d.ret FROM (SELECT DISTINCT ts FROM d) t CROSS JOIN (SELECT DISTINCT asset FROM d) a LEFT JOIN d ON d.ts = t.ts AND d.asset = a.asset),
+        w AS (SELECT ts, count(ret) = count(*) AS w FROM g GROUP BY ts), k AS (SELECT sum(w::INT) >= greatest(20, 0.5 * count(*)) AS enough FROM w)
+        SELECT CAST(epoch(g.ts) AS BIGINT) AS ts, asset, {r('coalesce(ret, 0)', 'ret', 12)} FROM g JOIN w ON w.ts = g.ts, k WHERE w OR NOT enough""", "v_returns")),
+    "session_heatmap": (sessions, V.oracle(f"""WITH g AS (SELECT isodow(entry_time) - 1 AS d, month(entry_time) AS m, count(*) AS n, avg(pnl) AS v FROM v_trades GROUP BY 1, 2)
+        SELECT CAST(a.d AS INT) AS weekday, CAST(a.m AS INT) AS month, {r('any_value(a.n)', 'n', 4)}, {r('any_value(a.v)', 'mean', 4)}, {r('avg(b.v)', 'smooth', 4)} FROM g a JOIN g b ON abs(a.d - b.d) <= 1 AND abs(a.m - b.m) <= 1 GROUP BY a.d, a.m""", "v_trades")),
+    "reference_scores": (referenced, V.oracle(f"""WITH m AS (SELECT param_id, median(sharpe) AS median FROM v_folds WHERE sharpe IS NOT NULL GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY median DESC, param_id) AS rank FROM m),
+        w AS (SELECT strategy, avg(return_pct) / nullif(stddev_samp(return_pct), 0) AS s FROM v_trades GROUP BY 1) SELECT param_id, CAST(rank AS INT) AS rank, {r('median', 'median')}, {r('CASE WHEN rank <= 20 THEN s END', 'reference')} FROM k LEFT JOIN w ON strategy = param_id""", "v_folds")),
     "rebalance_schedule": (union_schedule, V.oracle(f"""WITH {DAY}, u AS ({' UNION '.join(f"SELECT max(ts) AS ts, '{k}' AS s FROM d GROUP BY date_trunc('{v.lower()}', ts)" for k, v in SCHEDULE.items())})
         SELECT CAST(epoch(ts) AS BIGINT) AS ts, string_agg(s, ',' ORDER BY s) AS strategies FROM u GROUP BY ts""", "v_returns")),
     "latest_train": (latest, V.oracle(f"WITH {DAY}, m AS (SELECT *, year(ts) * 12 + month(ts) AS m FROM d) SELECT asset, {r('count(*)', 'n')}, {r('sum(ret)', 'total')} FROM m WHERE m > (SELECT max(m) FROM m) - 10 GROUP BY asset", "v_returns")),
