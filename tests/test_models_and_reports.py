@@ -250,3 +250,26 @@ def test_suite_in_local_time(spark, bars_frame):
     bars = spark.createDataFrame(one)
     plain, local = (studies.suite(bars, {"hold": SE.buy_and_hold}, {"1d": "1 day"}, timezone=z).toPandas() for z in ("UTC", "Europe/Berlin"))
     assert len(plain) == len(local) == 1 and plain.sharpe[0] != local.sharpe[0]
+
+
+def test_importances_side_by_side():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(500, 4))
+    y = (x[:, 1] + 0.3 * rng.normal(size=500) > 0).astype(float)
+    table = L.importance_table(x, y)
+    assert all(table[k].idxmax() == 1 for k in ("gain", "loss", "alone"))
+    same = L.agreement(np.arange(5.0), np.arange(5.0), 2)
+    assert same["pearson"] == pytest.approx(1) and same["kendall"] == pytest.approx(1) and same["shared"] == 1
+    assert L.agreement(np.arange(5.0), -np.arange(5.0), 2)["shared"] == 0 and L.agreement(np.ones(3), np.arange(3.0))["pearson"] == 0
+    both, how = L.gain_and_spectrum(x, y)
+    assert list(both.columns) == ["feature", "gain", "spectral"] and set(how) == {"pearson", "kendall", "shared"}
+
+
+def test_component_thresholds():
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(300, 2))
+    x = np.column_stack([base @ rng.normal(size=(2, 6)) + 0.05 * rng.normal(size=(300, 6)), rng.normal(size=(300, 1))])
+    rows = RK.pca_thresholds(x, [0.01, 0.1], [0.2, 0.4, 0.9])
+    assert len(rows) == 6 and rows[0]["retained"] >= 0.9 and rows[0]["efficiency"] == max(r["efficiency"] for r in rows if r["retained"] >= 0.9)
+    assert RK.retained(x, np.ones(7, dtype=bool)) == pytest.approx(1) and RK.retained(x, np.zeros(7, dtype=bool)) == 0
+    assert sorted(RK.pca_remove(x) + np.flatnonzero(RK.pca_keep(x)).tolist()) == list(range(7))

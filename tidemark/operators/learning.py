@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import risk
+
 c = F.col
 STATE_WINDOWS = (20, 50, 1000)
 
@@ -388,3 +390,26 @@ def kendall(x: np.ndarray, y: np.ndarray) -> float:
     """Kendall's rank correlation with ties, over all pairs of a short vector."""
     a, b = np.sign(x[:, None] - x[None, :]), np.sign(y[:, None] - y[None, :])
     return float((a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()))
+
+
+def importance_table(x: np.ndarray, y: np.ndarray, folds: int = 3, repeats: int = 5, seed: int = 7) -> pd.DataFrame:
+    """(feature, gain, loss, alone): shares of the splits' gain, loss added by shuffling held-out rows, and each feature's own score."""
+    fold, added = np.arange(len(y)) % folds, []
+    for f in range(folds):
+        model, _ = boosted_trees(x[fold != f], y[fold != f], trees=20, seed=seed)
+        added.append(permutation_importance(model, x[fold == f], y[fold == f], repeats=repeats, seed=seed)["mean"].to_numpy())
+    return pd.DataFrame({"feature": np.arange(x.shape[1]), "gain": impurity_importance(x, y, 4, seed)["mean"], "loss": np.mean(added, axis=0), "alone": single_feature_scores(x, y, folds)})
+
+
+def agreement(a: np.ndarray, b: np.ndarray, top: int = 10) -> dict[str, float]:
+    """How two importances agree: Pearson's and Kendall's correlation, and the shared part of their best features."""
+    best = lambda v: set(np.argsort(-v, kind="stable")[:top].tolist())
+    flat = a.std() == 0 or b.std() == 0
+    return {"pearson": 0.0 if flat else float(np.corrcoef(a, b)[0, 1]), "kendall": 0.0 if flat else kendall(a, b), "shared": len(best(a) & best(b)) / min(top, len(a))}
+
+
+def gain_and_spectrum(x: np.ndarray, y: np.ndarray, models: int = 4, seed: int = 7) -> tuple[pd.DataFrame, dict[str, float]]:
+    """Gains beside the spectral scores of the features' correlation, and how both agree."""
+    table = impurity_importance(x, y, models, seed)[["feature", "mean"]].rename(columns={"mean": "gain"})
+    table["spectral"] = risk.spectral_scores(x)
+    return table, agreement(table["gain"].to_numpy(), table["spectral"].to_numpy())

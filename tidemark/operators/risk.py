@@ -326,6 +326,31 @@ def pca_keep(x: np.ndarray, variance: float = 0.02, loading: float = 0.3) -> np.
     return (np.abs(vectors[:, share >= variance]) >= loading).any(axis=1)
 
 
+def retained(x: np.ndarray, kept: np.ndarray) -> float:
+    """Mean share of the features' variance that the kept ones explain linearly."""
+    z = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
+    if not kept.any():
+        return 0.0
+    beta, *_ = np.linalg.lstsq(z[:, kept], z, rcond=None)
+    return float(1 - ((z - z[:, kept] @ beta) ** 2).mean())
+
+
+def pca_remove(x: np.ndarray, variance: float = 0.02, loading: float = 0.3) -> list[int]:
+    """The features that ``pca_keep`` leaves out."""
+    return np.flatnonzero(~pca_keep(x, variance, loading)).tolist()
+
+
+def pca_thresholds(x: np.ndarray, variances: list[float], loadings: list[float], least: float = 0.9) -> list[dict[str, float]]:
+    """Pairs of thresholds, the best first: those that retain ``least`` by what they retain per feature kept, then the others by what they retain."""
+    rows = []
+    for v in variances:
+        for l in loadings:
+            kept = pca_keep(x, v, l)
+            part = retained(x, kept)
+            rows.append({"variance": v, "loading": l, "kept": int(kept.sum()), "retained": part, "efficiency": part * len(kept) / max(int(kept.sum()), 1)})
+    return sorted(rows, key=lambda r: (r["retained"] < least, -r["efficiency"] if r["retained"] >= least else -r["retained"], r["kept"]))
+
+
 def correlation_long(features: DataFrame) -> DataFrame:
     """Correlations of all pairs of features of a long table (id, feature, value), as one aggregate."""
     a = features.select("id", c("feature").alias("i"), c("value").alias("x"))
