@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     hand a node's least neighbour to its edges are salted, so that the edges of one node spread over tasks.
     """
     edges = cut(
-        edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), narrow=True
     )
     before = None
     while True:
@@ -42,7 +42,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         joined = _handed(large, low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("c").alias("u"), F.col("m").alias("v")))
-        edges = cut(small.where(F.col("u") != F.col("v")).distinct())
+        edges = cut(small.where(F.col("u") != F.col("v")).distinct(), narrow=True)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if now == before:
             break

@@ -283,7 +283,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
     rows = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     keyed = rows.mapInArrow(by_piece(work, "text"), "item binary, item_id long, item_text string").where("item is not null")
-    return cut(keyed.groupBy("item").agg(F.min("item_id").alias("item_id"), F.min("item_text").alias("item_text")))
+    return cut(keyed.groupBy("item").agg(F.min("item_id").alias("item_id"), F.min("item_text").alias("item_text")), narrow=True)
 
 
 def _windows(items: DataFrame, width: int) -> DataFrame:
@@ -360,7 +360,7 @@ def _passing(docs: DataFrame, windows: DataFrame, n: int) -> DataFrame:
             ["content", "text", "hash", "at"],
         )
 
-    passed = docs.select(_content(), "text").mapInArrow(by_piece(work, "text"), "content binary, text string, hash array<long>, at array<int>")
+    passed = docs.select(_content(), "text").mapInArrow(by_piece(work, "text", limit=1 << 20), "content binary, text string, hash array<long>, at array<int>")
     return cut(passed.groupBy("content").agg(*(F.first(c).alias(c) for c in ("text", "hash", "at"))))
 
 
@@ -371,7 +371,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: f
     passed = _passing(docs, windows, windows.count())
     hits = passed.select("content", F.explode(F.arrays_zip("hash", "at")).alias("hit")).select("content", "hit.*")
     hits = hits.join(windows.select("hash", "item", "place"), "hash")
-    pairs = cut(hits.groupBy("content", "item").agg(F.collect_list(F.struct("at", "place")).alias("hits")))
+    pairs = cut(hits.groupBy("content", "item").agg(F.collect_list(F.struct("at", "place")).alias("hits")), narrow=True)
     both = pairs.join(items, "item").join(passed.select("content", "text"), "content")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -390,7 +390,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: f
     found = both.select("content", "text", "item_id", "item_text", "hits").mapInArrow(by_piece(work, "text"), "content binary, item_id long, share double")
     ids = F.array_sort(F.collect_set("item_id"))
     nameless = F.max(F.col("item_id").isNull().cast("long"))
-    return cut(found.groupBy("content").agg(ids.alias("items"), (F.size(ids) + nameless).alias("n_items"), F.max("share").alias("coverage")))
+    return cut(found.groupBy("content").agg(ids.alias("items"), (F.size(ids) + nameless).alias("n_items"), F.max("share").alias("coverage")), narrow=True)
 
 
 def _beside(texts: DataFrame) -> DataFrame:

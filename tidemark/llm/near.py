@@ -252,8 +252,8 @@ def _forest(reps: DataFrame, trees: int, full: int, shortest: int) -> DataFrame:
     number = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
     labels = lambda some: some.select("rep", "size", "sig", number).select("tree", label, "rep", "size")
     nodes = labels(reps).select(F.xxhash64("tree", F.substring("label", 1, 4 * shortest)).alias("node"), "rep")
-    shared = cut(nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"))
-    inside = cut(nodes.join(shared.hint("merge"), "node", "left_semi").select("rep").distinct())
+    shared = cut(nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), narrow=True)
+    inside = cut(nodes.join(shared.hint("merge"), "node", "left_semi").select("rep").distinct(), narrow=True)
     forest = labels(reps.join(inside.hint("merge"), "rep", "left_semi"))
     return cut(forest.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label"))
 
@@ -282,7 +282,7 @@ def _round(forest: DataFrame, sets: DataFrame, seen: DataFrame | None, threshold
     first = buckets.where("n > 1").groupBy(*members).agg(F.min(F.struct("tree", "prefix", "size")).alias("first"))
     if seen is not None:
         first = first.join(seen.hint("merge"), members, "left_anti")
-    first = cut(first.select(*members, "first.*"))
+    first = cut(first.select(*members, "first.*"), narrow=True)
     blocks = F.ceil(F.greatest(F.col("n") / block, F.col("size") / BLOCK_BYTES)).cast("int")
     placed = at.drop("size").join(first.select("tree", "prefix", blocks.alias("blocks")).hint("merge"), ["tree", "prefix"])
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -334,9 +334,9 @@ def near_classes(
     joined = connected_components(checked.where("u is not null and v is not null").select("u", "v"))
     classes = reps.select("set_key", "rep", "copies", "least").join(joined.hint("merge"), F.col("rep") == F.col("node"), "left").join(links.hint("merge"), "rep", "left")
     n_links = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")
-    classes = cut(classes.select("set_key", F.coalesce("root", "rep").alias("class_key"), "least", n_links))
-    least = cut(classes.groupBy("class_key").agg(F.min("least").alias("class_id")))
-    classes = cut(classes.join(least.hint("merge"), "class_key").select("set_key", "class_key", "class_id", "links"))
+    classes = cut(classes.select("set_key", F.coalesce("root", "rep").alias("class_key"), "least", n_links), narrow=True)
+    least = cut(classes.groupBy("class_key").agg(F.min("least").alias("class_id")), narrow=True)
+    classes = cut(classes.join(least.hint("merge"), "class_key").select("set_key", "class_key", "class_id", "links"), narrow=True)
     return rows.select("doc_id", "content", "row", "set_key").join(classes.hint("merge"), "set_key", "left").select(
         "doc_id", "content", F.coalesce("class_key", F.col("row")).alias("class_key"),
         F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"),
@@ -350,7 +350,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     found = near_classes(docs, **options)
     first = found.groupBy("class_key").agg(F.min(F.struct("doc_id", "content")).alias("first")).select("first.*")
-    kept = cut(first.distinct())
+    kept = cut(first.distinct(), narrow=True)
     # a row travels as one value, so that its columns may have any names
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), _content().alias("own"), F.struct(*docs.columns).alias("whole"))
     joined = rows.join(kept.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("content")), "left_semi")

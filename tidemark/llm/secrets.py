@@ -133,7 +133,7 @@ def findings(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     Findings are written before they are joined, so that a blob that many rows hold can be split by
     adaptive execution.
     """
-    found = cut(known_findings(ledger))
+    found = cut(known_findings(ledger), narrow=True)
     # a row travels as one value, so that its columns may have any names
     held = rows.select(F.struct(*rows.columns).alias("whole"), blob_of(F.col("text")).alias("blob"))
     return held.join(found, "blob", "left").select("whole", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))

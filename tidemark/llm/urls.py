@@ -97,9 +97,9 @@ def templates(paths: DataFrame, kinds: int = 12, support: int = 8, z: float = 1.
         worth = (F.col("n_here") >= least) | ((F.col("bad_here") > 0) & (F.col("bad_here") < F.col("labelled_here")))
         merged = merged.select("template", "kind", name.alias("name"), worth.alias("open"))
         known = marked.select("template", "salt", "segment", "kind").join(merged.withColumn("salt", salt), ["template", "kind", "salt"])
-        names = cut(known.select(F.col("template").alias("parent"), F.col("segment").alias("own"), "name", "open"))
+        names = cut(known.select(F.col("template").alias("parent"), F.col("segment").alias("own"), "name", "open"), narrow=True)
         deeper = tree.join(names, (F.col("template") == F.col("parent")) & (at == F.col("own")))
-        tree = cut(deeper.withColumn("template", F.concat_ws("/", "template", "name")).drop("parent", "own", "name"))
+        tree = cut(deeper.withColumn("template", F.concat_ws("/", "template", "name")).drop("parent", "own", "name"), narrow=True)
         level += 1
 
 
@@ -121,7 +121,7 @@ def judge_pages(
     judged = tree.groupBy("template").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
     # a template is rejected on labels of its own only
     judged = judged.withColumn("purity", purity).withColumn("reject", (F.col("bad") > 0) & (F.col("purity") >= threshold))
-    judged = cut(judged.select("template", "purity", "reject"))
+    judged = cut(judged.select("template", "purity", "reject"), narrow=True)
     per_path = cut(tree.select("host", "path", "template").join(judged, "template"))
     out = parsed.join(per_path, ["host", "path"], "left")
     rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
