@@ -283,7 +283,7 @@ def _round(forest: DataFrame, sets: DataFrame, seen: DataFrame | None, threshold
     if seen is not None:
         first = first.join(seen.hint("merge"), members, "left_anti")
     first = cut(first.select(*members, "first.*"), narrow=True)
-    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("size") / BLOCK_BYTES)).cast("int")
+    blocks = F.ceil(F.least(F.greatest(F.col("n") / block, F.col("size") / BLOCK_BYTES), F.col("n"))).cast("int")
     placed = at.drop("size").join(first.select("tree", "prefix", blocks.alias("blocks")).hint("merge"), ["tree", "prefix"])
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
