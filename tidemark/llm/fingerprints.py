@@ -13,6 +13,7 @@ row is its own next. An empty table gives an empty result; other columns are ign
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 from collections.abc import Iterable, Iterator
 
@@ -27,6 +28,8 @@ from tidemark.llm.hashing import STEP, mix, seeds, word_hashes, words_of
 SAMPLES = 64
 _FLUSH_CHARS = 1 << 20
 _FLUSH_ROWS = 4096
+#: Bins of ids for each run that they are put together to.
+FINE = 8
 _FIRST = -(1 << 63)
 
 
@@ -134,6 +137,11 @@ def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _result(held)
 
 
+def _constant(values: list, kind: str) -> Column:
+    """A nested list as one constant: a column per number would make plans as long as the list."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def place_among(bounds: list[int], key: Column) -> Column:
     """How many of the ascending ``bounds`` lie below ``key``, looked up in two steps."""
     if not bounds:
@@ -141,32 +149,38 @@ def place_among(bounds: list[int], key: Column) -> Column:
     width = math.isqrt(len(bounds) - 1) + 1
     chunks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
     below = lambda some, k: F.array_size(F.filter(some, lambda b: b < k))
-    whole = below(F.array(*(F.lit(c[-1]) for c in chunks)), key)
-    inside = F.get(F.array(*(F.array(*map(F.lit, c)) for c in chunks)), whole)
+    whole = below(_constant([c[-1] for c in chunks], "array<bigint>"), key)
+    inside = F.get(_constant(chunks, "array<array<bigint>>"), whole)
     return whole * width + F.coalesce(below(inside, key), F.lit(0))
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edit, and how alike they are.
 
-    Ids are cut into as many runs as the session has shuffle partitions (their bounds and first ids, two
-    numbers per run, are all the driver sees). Texts move once, run k to partition k; the first row of each
-    run also goes to the end of the run before it, so that every row finds its next one beside it.
+    Ids are cut into as many runs of about equal size as the session has shuffle partitions, out of ``FINE``
+    times as many bins (their bounds, first ids and sizes, three numbers per bin, are all the driver sees). Texts
+    move once, run k to partition k; the first row of each run also goes to the end of the run before it, so that
+    every row finds its next one beside it.
     """
     runs = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bins = FINE * runs
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))
-    cuts = docs.select(F.percentile_approx(key, [i / runs for i in range(1, runs)], 10 * runs).alias("q")).first().q or []
-    own = place_among(sorted(set(cuts)), key)
-    firsts = sorted((r.run, r.k) for r in docs.select(key.alias("k"), own.alias("run")).groupBy("run").agg(F.min("k").alias("k")).collect())
+    cuts = sorted(set(docs.select(F.percentile_approx(key, [i / bins for i in range(1, bins)], 10 * bins).alias("q")).first().q or []))
+    sizes = docs.select(key.alias("k"), place_among(cuts, key).alias("bin"), (F.coalesce(F.length("text"), F.lit(0)) + 64).alias("size"))
+    found = sorted((r.bin, r.k, r.size) for r in sizes.groupBy("bin").agg(F.min("k").alias("k"), F.sum("size").alias("size")).collect())
+    # a run ends with the bin that fills its part of the whole
+    whole, upto, bounds, starts = sum(size for *_, size in found), 0, [], []
+    for i, (at, first, size) in enumerate(found):
+        if not i or upto * runs // whole != (upto - found[i - 1][2]) * runs // whole:
+            bounds += [cuts[found[i - 1][0]]] if i else []
+            starts.append(first)
+        upto += size
+    own = place_among(bounds, key)
     # the first id of a run is a guest of the run before, that of the first run one of the last
-    starts, before = [k for _, k in firsts], [run for run, _ in firsts[-1:] + firsts[:-1]]
+    before = [(i - 1) % len(starts) for i in range(len(starts))]
     at = place_among(starts, key)
-    other = F.when(F.get(_longs(starts), at) == key, F.get(_longs(before), at).cast("int"))
+    other = F.when(F.get(_constant(starts, "array<bigint>"), at) == key, F.get(_constant(before, "array<int>"), at))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), key.alias("k"), own.alias("own"), other.alias("other"))
     places = F.when(F.col("other").isNull(), F.array("own")).otherwise(F.array("own", "other"))
     placed = rows.select("doc_id", "text", "k", F.posexplode(places).alias("guest", "run")).withColumn("guest", F.col("guest") > 0)
     return placed.repartitionById(runs, "run").sortWithinPartitions("run", "guest", "k", "text").mapInArrow(_pairs, SCHEMA)
-
-
-def _longs(values: list[int]) -> Column:
-    return F.array(*map(F.lit, values)).cast("array<long>")
