@@ -9,11 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_text_operators import AWKWARD, PATH, SCHEMA
-from tidemark.llm import bpe, chat, decontaminate, fingerprints, language, licences, near, secrets, toxicity, urls
+from tidemark.llm import bpe, chat, decontaminate, fingerprints, infill, language, licences, near, quality, resampling, secrets, toxicity, urls
 
 NAMES = (
     "content whole spans _blob row rep set_key sig size items _items coverage hash at own other k run guest key ids tokens words toxic n "
-    "label labels bad template open name kind segment salt host path found new pairs seen n_rows pairs_ item place share class_key links root node"
+    "label labels bad template open name kind segment salt host path found new pairs seen n_rows pairs_ item place share class_key links root node "
+    "host_rules large kept n_words buckets weight score copies upto above rank output form"
 ).split()
 
 
@@ -49,6 +50,9 @@ WORK = {
     "op8_keep": ("docs", lambda d, m: language.keep_identified(d, m["language"])),
     "op9": ("docs", lambda d, m: fingerprints.fingerprint_documents(d)),
     "op10": ("docs", lambda d, m: bpe.encode_documents(d, PATH)),
+    "op11": ("docs", lambda d, m: quality.judge_documents(d)),
+    "op12": ("docs", lambda d, m: resampling.resample_documents(d, m["bench"])),
+    "op13": ("docs", lambda d, m: infill.infill_documents(d)),
 }
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, decontaminate, fingerprints, infill, language, licences, near, resampling, secrets, toxicity, urls
+from tidemark.llm import bpe, chat, decontaminate, fingerprints, infill, language, licences, near, quality, resampling, secrets, toxicity, urls
 
 #: Where the vocabulary of op10 lies, on the driver.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,6 +61,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY, digests=True)
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rules")
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resampling.resample_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
@@ -82,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_fingerprints": op9_fingerprints,
         "op10_bpe": op10_bpe,
+        "op11_quality": op11_quality,
         "op12_resampling": op12_resampling,
         "op13_infill": op13_infill,
     }
@@ -91,6 +97,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat": chat.ORACLE_SQL,
         "op4_secrets": secrets.oracle(),
+        "op11_quality": quality.oracle(),
         "op12_resampling": resampling.ORACLE_SQL,
         "op13_infill": infill.ORACLE_SQL,
     }
