@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 from tests.conftest import DATA
 from tidemark.plans import registry
+from tidemark.sources import views
 
 
 def oracle(name, folder, *tables):
-    """The query's SQL, in one thread: several add up a fold's returns in an order that changes from run to run."""
-    con = duckdb.connect(config={"threads": 1})
+    con = duckdb.connect()
     con.execute("set timezone = 'UTC'")
     for t in tables:
         con.execute(f"create view {t} as from '{folder}/{t}.parquet'")
@@ -19,24 +20,40 @@ def oracle(name, folder, *tables):
 
 
 def same(got, want, keys):
-    got, want = (df[sorted(df.columns)].sort_values(keys).reset_index(drop=True) for df in (got, want))
+    got, want = (df[sorted(df.columns)].sort_values([*keys, *sorted(set(df.columns) - set(keys))]).reset_index(drop=True) for df in (got, want))
     pd.testing.assert_frame_equal(got, want, check_dtype=False, check_exact=True)
 
 
+FOLD_QUERIES = {
+    "reference_scores": ["param_id"], "combined_p_values": ["param_id"], "walk_forward_scorecard": ["param_id"], "path_scores": ["fold"], "path_statistics": ["fold"],
+    "cpcv_path_metrics": ["param_id"], "dual_filter": ["param_id"], "tiers": ["param_id"], "normalised_scores": ["param_id"],
+}
+
+
 def test_ranks_of_equal_folds_go_by_key(spark, tmp_path):
-    """Six copies of all trades under keys of their own have equal scores, in whatever order the rows come."""
+    """Six copies of all trades under keys of their own have equal scores, in whatever order the rows come, in every query over folds."""
     line = pd.read_parquet(f"{DATA}/sf0.001/lineitem.parquet")
     step = int(line.l_suppkey.max()) + 1
     copies = pd.concat([line.assign(l_suppkey=line.l_suppkey + step * i) for i in range(6)], ignore_index=True)
     for name, rows in {"given": copies, "dealt": copies.sample(frac=1, random_state=7)}.items():
         (tmp_path / name).mkdir()
-        rows.to_parquet(tmp_path / name / "lineitem.parquet", index=False)
-    for name, keys in {"reference_scores": ["param_id"], "combined_p_values": ["param_id"]}.items():
+        rows.to_parquet(tmp_path / name / "lineitem.parquet", index=False, row_group_size=2000)
+    for name, keys in FOLD_QUERIES.items():
         want = oracle(name, tmp_path / "given", "lineitem")
+        same(oracle(name, tmp_path / "dealt", "lineitem"), want, keys)
         for folder in ("given", "dealt"):
             same(registry.queries()[name](spark, str(tmp_path / folder)).toPandas(), want, keys)
 
 
+def test_folds_against_numpy(spark):
+    """Means and deviations of the views are those of the plain formula."""
+    got = views.folds(spark, f"{DATA}/sf0.001").toPandas().set_index(["param_id", "fold"]).sort_index()
+    t = views.trades(spark, f"{DATA}/sf0.001").select("strategy", "l_linenumber", "return_pct").toPandas().groupby(["strategy", "l_linenumber"]).return_pct
+    np.testing.assert_allclose(got.mean_ret, t.mean(), atol=1e-10)
+    np.testing.assert_allclose(got.sd_ret, t.std(), atol=1e-9)
+    assert (got.n == t.size()).all()
+
+
 def test_squeeze_at_the_first_full_window(spark, tmp_path):
     """Wide bars that close alike are a squeeze, but not on bar 20, whose window has the first bar's return."""
     start = pd.Timestamp("2024-01-01")

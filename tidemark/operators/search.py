@@ -201,11 +201,14 @@ def scaled(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def dual_filter(metrics: DataFrame, quantile: float = 0.5, top: int = 20, weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> DataFrame:
-    """Parameter sets above a quantile of performance, ranked by performance, consistency and worst fold."""
+    """Parameter sets above a quantile of performance, ranked by performance, consistency and worst fold.
+
+    Scores rank by nine digits, so that sets of equal folds go by their key.
+    """
     floor = metrics.agg(F.percentile("median", quantile)).first()[0]
     good = scaled(metrics.where(c("median") >= floor), ["median", "consistency", "low"])
     total = weights[0] * c("median_s") + weights[1] * c("consistency_s") + weights[2] * c("low_s")
-    return good.withColumn("score", total).orderBy(F.desc("score"), "param_id").limit(top).select("param_id", "median", "consistency", "low", "score")
+    return good.withColumn("score", total).orderBy(F.desc(F.round("score", 9)), "param_id").limit(top).select("param_id", "median", "consistency", "low", "score")
 
 
 def neighbours(trials: DataFrame, names: list[str], value: str, radius: float = 0.15) -> DataFrame:

@@ -584,7 +584,7 @@ QUERIES = {
     "dual_filter": (dual, V.oracle(f"""WITH {PATHS}, f AS (SELECT * FROM m WHERE median >= (SELECT quantile_cont(median, 0.5) FROM m)),
         s AS (SELECT *, 0.5 * (median - min(median) OVER ()) / (max(median) OVER () - min(median) OVER ()) + 0.3 * (consistency - min(consistency) OVER ()) / (max(consistency) OVER () - min(consistency) OVER ())
           + 0.2 * (low - min(low) OVER ()) / (max(low) OVER () - min(low) OVER ()) AS score FROM f)
-        SELECT param_id, {r('median', 'median')}, {r('consistency', 'consistency')}, {r('low', 'low')}, {r('score', 'score')} FROM s ORDER BY s.score DESC, param_id LIMIT 20""", "v_folds")),
+        SELECT param_id, {r('median', 'median')}, {r('consistency', 'consistency')}, {r('low', 'low')}, {r('score', 'score')} FROM s ORDER BY round(s.score, 9) DESC, param_id LIMIT 20""", "v_folds")),
     "tiers": (tier, V.oracle(f"""WITH {PATHS}, d AS (SELECT median(median) AS m1, median(consistency) AS m2, median(low) AS m3 FROM m),
         a AS (SELECT median(abs(median - m1)) AS a1, median(abs(consistency - m2)) AS a2, median(abs(low - m3)) AS a3 FROM m, d),
         s AS (SELECT param_id, {' + '.join(f"{w} * (greatest(least(coalesce(({n} - m{k}) / nullif(1.4826 * a{k}, 0), 0), 3), -3) + 3) / 6" for k, n, w in ((1, 'median', 0.4), (2, 'consistency', 0.3), (3, 'low', 0.3)))} AS composite FROM m, d, a)

@@ -80,24 +80,25 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Returns are added up as whole numbers of this part of one.
+RETURN_UNITS = 1e10
+
+
 def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, deviation and ratio of trade returns per (parameter set, fold).
 
-    Equal returns have equal scores, however their rows are dealt: means are sums of decimals (of doubles, where
-    one is too large for them), deviations take the returns by size. So ranks go by the scores, then by the next
-    key, and not by the last digits of a sum.
+    Returns are rounded to whole numbers of 1e-10 and these and their squares are added exactly: every task sends three
+    sums for each pair, and equal returns have equal scores however their rows are dealt. So ranks go by the scores,
+    then by the next key, and not by the last digits of a sum.
     """
     t = trades(spark, sf_dir).select(F.col("strategy").alias("param_id"), F.col("l_linenumber").alias("fold"), "return_pct")
-    t = t.withColumn("_d", F.col("return_pct").try_cast("decimal(38,24)"))
-    by_size = Window.partitionBy("param_id", "fold").orderBy("return_pct")
-    upto = by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    g = t.withColumns({
-        "_total": F.try_sum("_d").over(upto).cast("double"), "_n": F.count("return_pct").over(upto), "_fit": F.count("_d").over(upto),
-        "_mean": F.avg("return_pct").over(upto), "sd_ret": F.stddev_samp("return_pct").over(upto), "n": F.count("*").over(upto),
-        "_more": F.lead(F.lit(True)).over(by_size),
-    }).where("_more is null")
-    exact = F.when(F.col("_fit") == F.col("_n"), F.try_divide("_total", "_n"))
-    g = g.withColumn("mean_ret", F.coalesce(exact, "_mean"))
+    q = F.when(~F.isnan("return_pct"), F.floor(F.col("return_pct") * RETURN_UNITS + 0.5)).cast("decimal(18, 0)")
+    k, total, squares = F.count("q"), F.sum("q").cast("decimal(19, 0)"), F.sum(F.col("q") * F.col("q")).cast("decimal(38, 0)")
+    g = t.withColumn("q", q).groupBy("param_id", "fold").agg(k.alias("k"), total.alias("total"), squares.alias("squares"), F.count("*").alias("n"))
+    spread = (F.col("k").cast("decimal(10, 0)") * F.col("squares") - F.col("total") * F.col("total")).cast("double")
+    mean = F.try_divide(F.col("total").cast("double"), F.col("k").cast("double")) / RETURN_UNITS
+    pairs = F.col("k").cast("double") * (F.col("k").cast("double") - 1)
+    g = g.withColumns({"mean_ret": mean, "sd_ret": F.sqrt(F.try_divide(spread, pairs)) / RETURN_UNITS})
     return g.select("param_id", "fold", "mean_ret", "sd_ret", "n", F.try_divide("mean_ret", "sd_ret").alias("sharpe"))
 
 
@@ -127,8 +128,10 @@ SQL = {
  CASE WHEN event_id % 97 = 0 THEN 'Bank Holiday' ELSE event_type END AS event, event_id FROM events WHERE event_type IN ('error', 'signup')""",
     "v_trials": """SELECT p_partkey AS number, p_size, p_brand, p_retailprice / 100 AS score,
  CASE WHEN p_partkey % 11 = 0 THEN 'PRUNED' ELSE 'COMPLETE' END AS state FROM part""",
-    "v_folds": """SELECT strategy AS param_id, l_linenumber AS fold, avg(return_pct) AS mean_ret, stddev_samp(return_pct) AS sd_ret, count(*) AS n,
- avg(return_pct) / nullif(stddev_samp(return_pct), 0) AS sharpe FROM v_trades GROUP BY 1, 2""",
+    "v_folds": """SELECT *, mean_ret / nullif(sd_ret, 0) AS sharpe FROM (SELECT param_id, fold, total::DOUBLE / nullif(k, 0)::DOUBLE / 1e10 AS mean_ret,
+ sqrt((k * squares - total * total)::DOUBLE / nullif(k::DOUBLE * (k - 1), 0)) / 1e10 AS sd_ret, n FROM (SELECT param_id, fold, count(q)::HUGEINT AS k, sum(q)::HUGEINT AS total,
+ sum(q::HUGEINT * q) AS squares, count(*) AS n FROM (SELECT strategy AS param_id, l_linenumber AS fold,
+ CASE WHEN NOT isnan(return_pct) THEN floor(return_pct * 1e10 + 0.5)::BIGINT END AS q FROM v_trades) GROUP BY 1, 2))""",
     "v_features": """SELECT vec_id AS id, i - 1 AS feature, CAST(embedding[i] AS DOUBLE) AS value, label % 2 AS label
  FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""",
 }
