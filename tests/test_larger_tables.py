@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import statistics
+
 import duckdb
 import numpy as np
 import pandas as pd
 
 from tests.conftest import DATA
+from tidemark.operators import kernels
 from tidemark.plans import registry
 from tidemark.sources import views
 
@@ -54,12 +58,59 @@ def test_folds_against_numpy(spark):
     assert (got.n == t.size()).all()
 
 
-def test_squeeze_at_the_first_full_window(spark, tmp_path):
-    """Wide bars that close alike are a squeeze, but not on bar 20, whose window has the first bar's return."""
+def plain_squeeze(high, low, close, period):
+    """(on, off, momentum) bar by bar, from the definitions: no window is shared, nothing is carried on."""
+    price = [(h + l + c) / 3 for h, l, c in zip(high, low, close, strict=True)]
+    ranges = [high[0] - low[0]] + [max(h - l, abs(h - c), abs(l - c)) for h, l, c in zip(high[1:], low[1:], close[:-1], strict=True)]
+    reach, out, gaps = sum(ranges[:3]) / 3, [], []
+    for i, p in enumerate(period):
+        n = int(p) if p >= 1 else 20
+        first = max(0, i - n + 1)
+        gaps.append(price[i] - ((max(high[first : i + 1]) + min(low[first : i + 1])) / 2 + statistics.mean(close[first : i + 1])) / 2)
+        if i >= 3:
+            reach += (ranges[i] - reach) / min(max(p, 3.0), 50.0)
+        bounded = min(max(p, 6.0), 50.0)
+        k, back, mid = int(bounded * 0.5), int(bounded * 0.7), price[i]
+        if i >= k + back:
+            weights = [abs(price[j] - price[j - back]) for j in range(i - k + 1, i + 1)]
+            mid = sum(w * price[j] for w, j in zip(weights, range(i - k + 1, i + 1), strict=True)) / sum(weights)
+        y = gaps[first:]
+        line = statistics.linear_regression(range(len(y)), y) if len(y) > 1 else None
+        momentum = line.slope * (len(y) - 1) + line.intercept if line and p >= 2 else 0.0
+        if i < 20:
+            out.append((0.0, 0.0, momentum))
+            continue
+        returns = [price[j] / price[j - 1] - 1 for j in range(i - 19, i + 1)]
+        growth = statistics.geometric_mean([1 + r for r in returns])
+        band = 0.7 * mid * math.sqrt(max((statistics.variance(returns) + growth**2) ** 20 - growth**40, 0.0))
+        out.append((float(band < 1.5 * reach), float(band > 1.5 * reach), momentum))
+    return out
+
+
+def test_squeeze_against_plain_bars():
+    """Golden values: all three columns over bars that are quiet, wild and rising in turn."""
+    rng = np.random.default_rng(11)
+    steps = rng.standard_normal(400) * np.repeat([0.02, 0.3, 0.02, 0.5], 100) + np.repeat([0, 0, 0.2, 0], 100)
+    wide = np.repeat([1.0, 40.0, 9.0, 1.0], 100)
+    close = 100 + np.cumsum(steps) + 4 * np.sin(np.arange(400) / 3)
+    b = {"open": close, "close": close, "high": close + wide * rng.random(400), "low": close - wide * rng.random(400), "volume": close}
+    got = kernels.squeeze(b)
+    period = kernels.dominant_period((b["high"] + b["low"] + b["close"]) / 3, part=1.0)
+    want = np.array(plain_squeeze(*(b[k].tolist() for k in ("high", "low", "close")), period.tolist()))
+    np.testing.assert_array_equal(got["squeeze_on"], want[:, 0])
+    np.testing.assert_array_equal(got["squeeze_off"], want[:, 1])
+    np.testing.assert_allclose(got["squeeze_momentum"], want[:, 2], atol=1e-8)
+    assert 20 < want[:, 0].sum() < 380 and 20 < want[:, 1].sum() < 380
+
+
+def test_squeeze_needs_twenty_returns(spark, tmp_path):
+    """Wide bars that close alike are a squeeze from bar 21 on, the first that has twenty returns, and no bar before is on or off."""
     start = pd.Timestamp("2024-01-01")
     rows = [(start + pd.Timedelta(hours=h, minutes=10 * k), v) for h in range(40) for k, v in enumerate((50.0, 90.0 + h % 3, 10.0, 50.0 + h % 4 / 100))]
     events = pd.DataFrame(rows, columns=["ts", "value"]).assign(event_type="view")
     events.assign(event_id=range(len(events)), ts=events.ts.astype("datetime64[us]")).to_parquet(tmp_path / "events.parquet", index=False)
     got = registry.queries()["squeeze"](spark, str(tmp_path)).toPandas()
     same(got, oracle("squeeze", tmp_path, "events"), ["symbol", "ts"])
-    assert got.sort_values("ts").squeeze_on.tolist()[18:22] == [0.0, 0.0, 1.0, 1.0]
+    got = got.sort_values("ts")
+    assert got.squeeze_on.tolist()[18:22] == [0.0, 0.0, 1.0, 1.0] and not got.squeeze_off.tolist()[0]
+    assert (got.squeeze_on + got.squeeze_off).tolist()[:20] == [0.0] * 20

@@ -267,30 +267,59 @@ def zigzag(b: Bars, threshold: np.ndarray, use_high_low: bool = False, warm: int
     return {"pivot": pivot, "pivot_known": known}
 
 
-def squeeze(b: Bars) -> dict[str, np.ndarray]:
-    """Geometric bands inside an adaptive channel, and the momentum of the deviation from both middles."""
+def momentum_average(price: np.ndarray, period: np.ndarray, span: float = 0.5, ratio: float = 0.7, least: float = 6.0, most: float = 50.0) -> np.ndarray:
+    """An average over a part of the period, weighted by the momentum across another part of it; the price while there are too few bars."""
+    out = np.array(price, dtype=np.float64)
+    bounded = np.clip(period, least, most)
+    for i, (k, back) in enumerate(zip((bounded * span).astype(int).tolist(), np.maximum(bounded * ratio, 1).astype(int).tolist(), strict=True)):
+        if i < k + back:
+            continue
+        now = price[i - k + 1 : i + 1]
+        w = np.abs(now - price[i - k + 1 - back : i + 1 - back])
+        if w.sum() > 0:
+            out[i] = (w @ now) / w.sum()
+    return out
+
+
+def compounded_deviation(price: np.ndarray, n: int = 20) -> np.ndarray:
+    """Deviation of the compounded return over ``n`` bars, from the variance and the geometric mean of one bar's.
+
+    Nothing before there are ``n`` returns; the first bar has none.
+    """
+    r = np.full(len(price), np.nan)
+    r[1:] = price[1:] / price[:-1] - 1
+    out = np.full(len(r), np.nan)
+    if len(r) > n:
+        windows = np.lib.stride_tricks.sliding_window_view(r[1:], n)
+        growth = np.exp(np.log1p(windows).mean(axis=1))
+        inside = np.maximum(windows.var(axis=1, ddof=1) + growth**2, 1e-12) ** n - np.maximum(growth, 1e-12) ** (2 * n)
+        out[n:] = np.sqrt(np.maximum(inside, 0))
+    return out
+
+
+def squeeze(b: Bars, n: int = 20, deviations: float = 0.7, ranges: float = 1.5) -> dict[str, np.ndarray]:
+    """Bands of the compounded deviation against a channel of the adaptive range, both about one adaptive average.
+
+    On: both bands inside the channel; off: both outside; neither where there are no bands yet. The momentum is the end
+    of the line through the typical price less the mean of the cycle's average close and its middle, 0 in the warm-up.
+    """
     typical = (b["high"] + b["low"] + b["close"]) / 3
-    period = dominant_period(typical)
-    mid = adaptive_filter(b["close"], period)
-    width = 1.5 * adaptive_atr(b, period)
-    # the first bar's return is from the least price, so that no band of 20 bars with it is narrow
-    r = np.diff(np.log(np.maximum(b["close"], 1e-9)), prepend=math.log(1e-9))
-    dev = np.full(len(r), np.nan)
-    if len(r) >= 20:
-        # every window by itself: a running deviation keeps a trace of the first return
-        dev[19:] = np.lib.stride_tricks.sliding_window_view(r, 20).std(axis=1, ddof=1)
-    factor = np.exp(2 * dev)
-    n = spans(period, 2)
-    middle = (variable(b["high"], n, np.max) + variable(b["low"], n, np.min)) / 2
-    x = b["close"] - (middle + mid) / 2
+    period = dominant_period(typical, part=1.0)
+    mid, width = momentum_average(typical, period), ranges * adaptive_atr(b, period)
+    band = mid * compounded_deviation(typical, n) * deviations
+    lengths = spans(period)
+    middle = (variable(b["high"], lengths, np.max) + variable(b["low"], lengths, np.min)) / 2
+    x = typical - (middle + variable_mean(b["close"], lengths)) / 2
 
     def endpoint(y: np.ndarray) -> float:
         # the last value of the line by least squares; its weights rise evenly and add up to k (k + 1)
         k = len(y)
-        return float(y[-1]) if k < 2 else float((6 * np.arange(k) - 2 * k + 4) @ y / (k * (k + 1)))
+        return 0.0 if k < 2 else float((6 * np.arange(k) - 2 * k + 4) @ y / (k * (k + 1)))
 
-    on = (mid * factor < mid + width) & (mid / factor > mid - width)
-    return {"squeeze_on": on.astype(np.float64), "squeeze_momentum": variable(x, n, endpoint)}
+    on = (mid - band > mid - width) & (mid + band < mid + width)
+    off = (mid - band < mid - width) & (mid + band > mid + width)
+    momentum = np.where(period >= 2, variable(x, lengths, endpoint), 0.0)
+    return {"squeeze_on": on.astype(np.float64), "squeeze_off": off.astype(np.float64), "squeeze_momentum": momentum}
 
 
 def indicator_set(b: Bars) -> dict[str, np.ndarray]:

@@ -117,12 +117,18 @@ FILTERED = recursive(f"""{CYCLED}, {MIDDLE.format(name='mi', x='x')}, {follows('
  SELECT cb.symbol, CAST(epoch(cb.ts) AS BIGINT) AS ts, round(mid, 6) AS adaptive_ma, CASE WHEN cb.n >= 3 THEN round(atr, 6) END AS adaptive_atr FROM cb JOIN mi ON mi.symbol = cb.symbol AND mi.n = cb.n JOIN ra ON ra.symbol = cb.symbol AND ra.n = cb.n""")
 CHANDELIER = recursive(f"""{CYCLED}, {follows('ra', 'cb.whole / 2')}, wi AS (SELECT a.symbol, a.n, any_value(a.ts) AS ts, max(w.high) AS hi, min(w.low) AS lo FROM sp a JOIN sp w ON w.symbol = a.symbol AND w.n BETWEEN a.n - a.kw + 1 AND a.n GROUP BY a.symbol, a.n)
  SELECT wi.symbol, CAST(epoch(ts) AS BIGINT) AS ts, CASE WHEN wi.n >= 3 THEN round(hi - 3 * atr, 6) END AS chandelier_long, CASE WHEN wi.n >= 3 THEN round(lo + 3 * atr, 6) END AS chandelier_short FROM wi JOIN ra ON ra.symbol = wi.symbol AND ra.n = wi.n""")
-SQUEEZE = recursive(f"""{CYCLED}, {MIDDLE.format(name='mi', x='close')}, {follows('ra', 'cb.half')},
- rr AS (SELECT symbol, n, coalesce(ln(greatest(close, 1e-9)) - ln(greatest(pc, 1e-9)), 0) AS r FROM sp), dv AS (SELECT symbol, n, CASE WHEN count(*) OVER w = 20 THEN exp(2 * stddev_samp(r) OVER w) END AS f FROM rr WINDOW w AS (PARTITION BY symbol ORDER BY n ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
- hl AS (SELECT a.symbol, a.n, (max(w.high) + min(w.low)) / 2 AS mm FROM sp a JOIN sp w ON w.symbol = a.symbol AND w.n BETWEEN a.n - a.k2 + 1 AND a.n GROUP BY a.symbol, a.n),
- yy AS (SELECT sp.symbol, sp.n, sp.ts, k2, close - (mm + mid) / 2 AS y, mid, f, 1.5 * CASE WHEN sp.n >= 3 THEN atr END AS width FROM sp JOIN mi ON mi.symbol = sp.symbol AND mi.n = sp.n JOIN hl ON hl.symbol = sp.symbol AND hl.n = sp.n JOIN ra ON ra.symbol = sp.symbol AND ra.n = sp.n JOIN dv ON dv.symbol = sp.symbol AND dv.n = sp.n),
- lr AS (SELECT a.symbol, a.n, CASE WHEN count(*) = 1 THEN any_value(w.y) ELSE regr_intercept(w.y, w.n - a.n) END AS m FROM yy a JOIN yy w ON w.symbol = a.symbol AND w.n BETWEEN a.n - a.k2 + 1 AND a.n GROUP BY a.symbol, a.n)
- SELECT yy.symbol, CAST(epoch(ts) AS BIGINT) AS ts, CASE WHEN mid * f < mid + width AND mid / f > mid - width THEN 1.0 ELSE 0.0 END::DOUBLE AS squeeze_on, round(m, 7) AS squeeze_momentum FROM yy JOIN lr ON lr.symbol = yy.symbol AND lr.n = yy.n""")
+SQUEEZE = recursive(f"""{CYCLED}, {follows('ra', 'cb.whole')},
+ pw AS (SELECT *, CAST(floor(least(greatest(whole, 6), 50) * 0.5::DOUBLE) AS INT) AS ks, CAST(floor(least(greatest(whole, 6), 50) * 0.7::DOUBLE) AS INT) AS kb, x / lag(x) OVER (PARTITION BY symbol ORDER BY n) - 1 AS r FROM sp),
+ mi AS (SELECT a.symbol, a.n, CASE WHEN any_value(a.n) - 1 >= any_value(a.ks + a.kb) AND sum(abs(w.x - t.x)) > 0 THEN sum(abs(w.x - t.x) * w.x) / sum(abs(w.x - t.x)) ELSE any_value(a.x) END AS mid
+  FROM pw a JOIN pw w ON w.symbol = a.symbol AND w.n BETWEEN a.n - a.ks + 1 AND a.n LEFT JOIN pw t ON t.symbol = w.symbol AND t.n = w.n - a.kb GROUP BY a.symbol, a.n),
+ gv AS (SELECT symbol, n, CASE WHEN count(r) OVER w = 20 THEN exp(avg(ln(1 + r)) OVER w) END AS g, var_samp(r) OVER w AS v FROM pw WINDOW w AS (PARTITION BY symbol ORDER BY n ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+ dv AS (SELECT symbol, n, sqrt(greatest(pow(greatest(v + g * g, 1e-12), 20) - pow(greatest(g, 1e-12), 40), 0)) AS d FROM gv WHERE g IS NOT NULL),
+ hl AS (SELECT a.symbol, a.n, ((max(w.high) + min(w.low)) / 2 + avg(w.close)) / 2 AS base FROM sp a JOIN sp w ON w.symbol = a.symbol AND w.n BETWEEN a.n - a.kw + 1 AND a.n GROUP BY a.symbol, a.n),
+ yy AS (SELECT sp.symbol, sp.n, sp.ts, kw, whole, x - base AS y, mid, 0.7 * mid * d AS band, 1.5 * CASE WHEN sp.n >= 3 THEN atr END AS width FROM sp JOIN mi ON mi.symbol = sp.symbol AND mi.n = sp.n JOIN hl ON hl.symbol = sp.symbol AND hl.n = sp.n
+  JOIN ra ON ra.symbol = sp.symbol AND ra.n = sp.n LEFT JOIN dv ON dv.symbol = sp.symbol AND dv.n = sp.n),
+ lr AS (SELECT a.symbol, a.n, CASE WHEN count(*) = 1 OR any_value(a.whole) < 2 THEN 0 ELSE regr_intercept(w.y, w.n - a.n) END AS m FROM yy a JOIN yy w ON w.symbol = a.symbol AND w.n BETWEEN a.n - a.kw + 1 AND a.n GROUP BY a.symbol, a.n)
+ SELECT yy.symbol, CAST(epoch(ts) AS BIGINT) AS ts, CASE WHEN mid - band > mid - width AND mid + band < mid + width THEN 1.0 ELSE 0.0 END::DOUBLE AS squeeze_on,
+  CASE WHEN mid - band < mid - width AND mid + band > mid + width THEN 1.0 ELSE 0.0 END::DOUBLE AS squeeze_off, round(m, 8) AS squeeze_momentum FROM yy JOIN lr ON lr.symbol = yy.symbol AND lr.n = yy.n""")
 
 
 def turns(divisor: float, top: str, bottom: str) -> str:
@@ -156,6 +162,6 @@ QUERIES = {
     "adaptive_ma_atr": (indicators("adaptive_ma", "adaptive_atr"), FILTERED),
     "adaptive_chandelier": (indicators("chandelier_long", "chandelier_short"), CHANDELIER),
     "envelope_signal": (indicators("envelope_signal"), DEW),
-    "squeeze": (indicators("squeeze_on", "squeeze_momentum", digits=7), SQUEEZE),
+    "squeeze": (indicators("squeeze_on", "squeeze_off", "squeeze_momentum", digits=8), SQUEEZE),
     "zigzag": (indicators("pivot", "pivot_known"), ZIGZAG),
 }
