@@ -10,6 +10,7 @@ from tidemark.operators import features as FT
 from tidemark.operators import information as I
 from tidemark.operators import learning as L
 from tidemark.operators import metrics as M
+from tidemark.operators import neighbours as NB
 from tidemark.operators import patterns as P
 from tidemark.operators import portfolio as PF
 from tidemark.operators import regimes as G
@@ -129,6 +130,27 @@ def onc_clusters(spark, sf_dir):
 # information
 
 
+def neighbour_information(spark, sf_dir):
+    return rnd(NB.neighbour_information(V.features(spark, sf_dir).select("id", "feature", "value")), ["i", "j", "n"], ["mi"])
+
+
+def asset_features(spark, sf_dir):
+    return V.returns(spark, sf_dir).select(F.unix_timestamp("ts").alias("id"), F.col("asset").alias("feature"), F.col("ret").alias("value"))
+
+
+def neighbour_pairs(spark, sf_dir):
+    return rnd(NB.neighbour_information(asset_features(spark, sf_dir), cell_rows=200), ["i", "j", "n"], ["mi"])
+
+
+#: Psi of whole numbers, as a sum.
+HARMONIC = "h AS (SELECT m AS n, sum(CASE WHEN m > 1 THEN 1 / (m - 1)::DOUBLE ELSE 0 END) OVER (ORDER BY m) - 0.5772156649015329::DOUBLE AS psi FROM range(1, (SELECT count(*) + 2 FROM v_returns)) t(m))"
+NEIGHBOURS = f"""WITH {HARMONIC}, z AS (SELECT ts, asset, ret / stddev_pop(ret) OVER (PARTITION BY asset) AS v FROM v_returns),
+ p AS (SELECT a.asset AS i, b.asset AS j, ts, a.v AS x, b.v AS y FROM z a JOIN z b USING (ts) WHERE a.asset < b.asset), k AS (SELECT i, j, count(*) AS n FROM p GROUP BY i, j HAVING count(*) > 3),
+ d AS (SELECT a.i, a.j, a.ts, a.x, a.y, list_sort(min(greatest(abs(a.x - b.x), abs(a.y - b.y)), 3))[3] AS e FROM p a JOIN p b ON a.i = b.i AND a.j = b.j AND a.ts <> b.ts GROUP BY ALL),
+ c AS (SELECT d.i, d.j, d.ts, count(*) FILTER (abs(d.x - p.x) < e) AS nx, count(*) FILTER (abs(d.y - p.y) < e) AS ny FROM d JOIN p ON p.i = d.i AND p.j = d.j GROUP BY ALL)
+ SELECT i, j, k.n AS n, round(greatest(avg(1.5 - 0.5772156649015329::DOUBLE + hn.psi - hx.psi - hy.psi), 0), 6) AS mi FROM c JOIN k USING (i, j) JOIN h hx ON hx.n = nx JOIN h hy ON hy.n = ny JOIN h hn ON hn.n = k.n GROUP BY i, j, k.n"""
+
+
 def mutual(spark, sf_dir):
     return rnd(I.vector_information(vectors(spark, sf_dir), "embedding"), ["i", "j"], ["mi", "nmi", "corr"], 6)
 
@@ -523,6 +545,8 @@ QUERIES = {
     "feature_correlation": (feature_correlation, V.oracle(f"SELECT a.feature AS i, b.feature AS j, {r('corr(a.value, b.value)', 'corr')} FROM v_features a JOIN v_features b USING (id) GROUP BY 1, 2", "v_features")),
     "pca_spectrum": (pca_spectrum, None),
     "onc_clusters": (onc_clusters, None),
+    "neighbour_information": (neighbour_information, None),
+    "neighbour_pairs": (neighbour_pairs, V.oracle(NEIGHBOURS, "v_returns")),
     "mutual_information": (mutual, V.oracle(f"""WITH e AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM v_features GROUP BY feature),
         b AS (SELECT id, feature, value, least(CAST(floor((value - lo) / (hi - lo) * 5) AS INT), 4) AS bin FROM v_features JOIN e USING (feature)),
         h AS (SELECT feature, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h FROM (SELECT feature, bin, count(*)::DOUBLE AS n FROM b GROUP BY 1, 2) GROUP BY 1),
