@@ -156,7 +156,17 @@ def differences(df, returns, vectors):
     assert df.d.between(0, 1).all() and len(df) == 5
 
 
+def members(df, returns, vectors):
+    assert (df.members == 24).all() and (df.kept + df.failed + df.not_converged + df.unstable == 24).all() and (df.kept > 12).all()
+
+
+def information(df, returns, vectors):
+    """All pairs, held to brute force in test_neighbours."""
+    assert len(df) == vectors.shape[1] * (vectors.shape[1] - 1) // 2 and (df.n == len(vectors)).all() and (df.mi >= 0).all()
+
+
 CHECKS = {
+    "ensemble_members": members, "neighbour_information": information,
     "garch_covariance": covariance, "denoised_covariance": covariance, "pca_spectrum": spectrum, "onc_clusters": clusters, "component_loadings": loadings,
     "rolling_eigenvalues": eigenvalues, "rolling_dependence": dependence, "portfolio_weights": weights, "scheme_weights_ewma": weights, "portfolio_backtest": curve,
     "allocator_backtest": curve, "allocator_schedule": schedule, "rolling_optimal_fraction": fraction, "monte_carlo_iid": simulated, "monte_carlo_stationary": simulated,

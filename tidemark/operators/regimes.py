@@ -72,7 +72,11 @@ def _soft(log_p: np.ndarray) -> tuple[np.ndarray, float]:
 
 @dataclass
 class HiddenMarkov:
-    """Gaussian hidden Markov model by expectation and maximisation, scaled in logarithms."""
+    """Gaussian hidden Markov model by expectation and maximisation, scaled in logarithms.
+
+    ``spherical`` gives each state one variance for all features; no variance falls below ``floor``, and no state is left
+    with more than 1 - ``stay``. ``history`` holds the likelihood before each round.
+    """
 
     states: int = 3
     rounds: int = 100
@@ -80,6 +84,10 @@ class HiddenMarkov:
     seed: int = 7
     converged: bool = False
     likelihood: float = -math.inf
+    spherical: bool = False
+    floor: float = 1e-4
+    stay: float = 0.0
+    history: list[float] = field(default_factory=list)
 
     def _emissions(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([log_gauss(x, m, s) for m, s in zip(self.means, self.covs, strict=True)])
@@ -87,9 +95,20 @@ class HiddenMarkov:
     def _update(self, x: np.ndarray, g: np.ndarray) -> None:
         n = g.sum(axis=0) + 1e-9
         self.means = (g.T @ x) / n[:, None]
-        eye = 1e-4 * np.eye(x.shape[1])
+        if self.spherical:
+            spread = [(g[:, k] @ ((x - m) ** 2)).mean() / n[k] for k, m in enumerate(self.means)]
+            self.covs = np.array([max(v, self.floor) * np.eye(x.shape[1]) for v in spread])
+            return
+        eye = self.floor * np.eye(x.shape[1])
         self.covs = np.array([((x - m).T * g[:, k]) @ (x - m) / n[k] + eye for k, m in enumerate(self.means)])
 
+    def _settle(self) -> None:
+        """Raises the chance to stay to its least value, at the cost of all others in proportion."""
+        for k in range(self.states):
+            if self.states > 1 and self.moves[k, k] < self.stay:
+                self.moves[k] *= (1 - self.stay) / (1 - self.moves[k, k])
+                self.moves[k, k] = self.stay
+
     def fit(self, x: np.ndarray) -> HiddenMarkov:
         rng = np.random.default_rng(self.seed)
         k, n = self.states, len(x)
@@ -105,6 +124,8 @@ class HiddenMarkov:
             self._update(x, g)
             self.start = g[0] / g[0].sum()
             self.moves = (xi + 1e-6) / (xi + 1e-6).sum(axis=1, keepdims=True)
+            self._settle()
+            self.history.append(like)
             if like - self.likelihood < 1e-4 * abs(like):
                 self.converged, self.likelihood = True, like
                 break

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators import ensembles as EN
 from tidemark.operators import features as FT
 from tidemark.operators import information as I
 from tidemark.operators import learning as L
@@ -314,9 +315,17 @@ def detected(spark, sf_dir):
     return G.detect(bars, ["atr_14", "rv_20", "vov_20"]).withColumn("ts", F.unix_timestamp("ts"))
 
 
+MEMBERS, REGIME_FEATURES = EN.EnsembleSpec(states=3, least_features=2), ["atr_14", "rv_20", "vov_20"]
+
+
 def ensemble_regimes(spark, sf_dir):
     bars = W.volatility_features(V.bars(spark, sf_dir))
-    return G.detect(bars, ["atr_14", "rv_20", "vov_20"], ensemble=10).withColumn("ts", F.unix_timestamp("ts"))
+    found = EN.expected_next(bars, REGIME_FEATURES, EN.ensemble_regimes(bars, REGIME_FEATURES, MEMBERS), MEMBERS)
+    return found.withColumn("ts", F.unix_timestamp("ts"))
+
+
+def ensemble_members(spark, sf_dir):
+    return EN.rejections(EN.fit_members(W.volatility_features(V.bars(spark, sf_dir)), REGIME_FEATURES, MEMBERS))
 
 
 def learned(spark, sf_dir):
@@ -597,6 +606,7 @@ QUERIES = {
         SELECT symbol, CAST(regime AS INT) AS regime, {r('count(*)', 'n')}, {r('avg(d)', 'mean')}, {r('stddev_samp(d)', 'sd')}, {r('quantile_cont(d, 0.05)', 'var')} FROM k WHERE regime IS NOT NULL GROUP BY 1, 2""", "v_bars")),
     "detected_regimes": (detected, None),
     "ensemble_regimes": (ensemble_regimes, None),
+    "ensemble_members": (ensemble_members, None),
     "learned_search": (learned, None),
     "grid_search": (grid_search, V.oracle(f"WITH src AS (SELECT symbol AS k, ts, open, close FROM v_bars), {replayed('src')} SELECT k AS symbol, param_id, params, {', '.join(r(n, n, 5) for n in SE.SCORES)} FROM scores", "v_bars")),
     "walk_forward": (walk_forward, V.oracle(f"""WITH th AS (SELECT *, ntile(3) OVER (PARTITION BY symbol ORDER BY ts) AS third FROM v_bars),
