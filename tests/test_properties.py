@@ -165,7 +165,22 @@ def information(df, returns, vectors):
     assert len(df) == vectors.shape[1] * (vectors.shape[1] - 1) // 2 and (df.n == len(vectors)).all() and (df.mi >= 0).all()
 
 
+def boosting(df, returns, vectors):
+    """Trees and losses are held to those of one array in test_boosting."""
+    train = df[df.part == "train"].sort_values("round").loss.tolist()
+    assert set(df.part) == {"train", "dev", "test"} and train == sorted(train, reverse=True) and df.groupby("part").size().nunique() == 1
+
+
+def parts(df, returns, vectors):
+    assert df.n.sum() == len(vectors) and (df.positive + df.negative == df.n).all() and df.set_index("part").accuracy["train"] > 0.6
+
+
+def moved(df, returns, vectors):
+    assert sorted(df.group) == list(range(vectors.shape[1])) and (df.se >= 0).all() and df["mean"].between(-1, 1).all()
+
+
 CHECKS = {
+    "boosting_losses": boosting, "boosting_metrics": parts, "permuted_importance": moved,
     "ensemble_members": members, "neighbour_information": information,
     "garch_covariance": covariance, "denoised_covariance": covariance, "pca_spectrum": spectrum, "onc_clusters": clusters, "component_loadings": loadings,
     "rolling_eigenvalues": eigenvalues, "rolling_dependence": dependence, "portfolio_weights": weights, "scheme_weights_ewma": weights, "portfolio_backtest": curve,

@@ -239,10 +239,10 @@ class Bag:
         return cls([Forest.from_state(m) for m in state["models"]], state["threshold"])
 
 
-def boosted_trees(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 3, rate: float = 0.1, bins: int = 32, ridge: float = 1.0, seed: int = 7, sample: float = 1.0) -> tuple[Forest, np.ndarray]:
+def boosted_trees(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 3, rate: float = 0.1, bins: int = 32, ridge: float = 1.0, seed: int = 7, sample: float = 1.0, edges: list[np.ndarray] | None = None) -> tuple[Forest, np.ndarray]:
     """Gradient boosting on histograms for a binary label: (probability function, gain per feature)."""
     rng = np.random.default_rng(seed)
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])] if edges is None else edges
     binned = np.column_stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(edges)])
     base = math.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9))
     score, gain_of, forest = np.full(len(y), base), np.zeros(x.shape[1]), []

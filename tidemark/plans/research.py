@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators import boosting as BO
 from tidemark.operators import ensembles as EN
 from tidemark.operators import features as FT
 from tidemark.operators import information as I
@@ -298,6 +299,27 @@ def labels(spark, sf_dir):
     return t.groupBy("strategy", "meta", "meta_binary").agg(F.count("*").alias("n"))
 
 
+def boosted(spark, sf_dir, trees=10) -> tuple[DataFrame, BO.Boosted]:
+    rows = V.vectors(spark, sf_dir)
+    width = rows.agg(F.max(F.size("x"))).first()[0]
+    return rows, BO.boost(rows, width, trees=trees, patience=5)
+
+
+def boosting_losses(spark, sf_dir):
+    _, found = boosted(spark, sf_dir)
+    return rnd(spark.createDataFrame(found.losses, "round int, part string, loss double"), ["round", "part"], ["loss"])
+
+
+def boosting_metrics(spark, sf_dir):
+    rows, found = boosted(spark, sf_dir)
+    return rnd(BO.split_metrics(BO.predict(rows, found.forest)), ["part", "n", "positive", "negative"], ["accuracy", "precision", "recall", "f1", "log_loss"])
+
+
+def permuted_importance(spark, sf_dir):
+    rows, found = boosted(spark, sf_dir)
+    return rnd(BO.permutation_importance(rows.where("part <> 'train'"), found.forest), ["group"], ["mean", "se"])
+
+
 # regimes
 
 
@@ -607,6 +629,9 @@ QUERIES = {
     "detected_regimes": (detected, None),
     "ensemble_regimes": (ensemble_regimes, None),
     "ensemble_members": (ensemble_members, None),
+    "boosting_losses": (boosting_losses, None),
+    "boosting_metrics": (boosting_metrics, None),
+    "permuted_importance": (permuted_importance, None),
     "learned_search": (learned, None),
     "grid_search": (grid_search, V.oracle(f"WITH src AS (SELECT symbol AS k, ts, open, close FROM v_bars), {replayed('src')} SELECT k AS symbol, param_id, params, {', '.join(r(n, n, 5) for n in SE.SCORES)} FROM scores", "v_bars")),
     "walk_forward": (walk_forward, V.oracle(f"""WITH th AS (SELECT *, ntile(3) OVER (PARTITION BY symbol ORDER BY ts) AS third FROM v_bars),

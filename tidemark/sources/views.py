@@ -110,6 +110,14 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("value", F.col("value").cast("double"))
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole embeddings (id, label, x, part): of ten rows six train, two are for watching and two for testing, by a hash of the id."""
+    e = read(spark, sf_dir, "embeddings")
+    draw = F.pmod(F.xxhash64("vec_id"), F.lit(10))
+    part = F.when(draw < 6, "train").when(draw < 8, "dev").otherwise("test")
+    return e.select(F.col("vec_id").alias("id"), (F.col("label") % 2).alias("label"), F.col("embedding").cast("array<double>").alias("x"), part.alias("part"))
+
+
 #: The same views in DuckDB's SQL.
 SQL = {
     "v_bars": """SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, first(value ORDER BY ts, event_id) AS open, max(value) AS high,
