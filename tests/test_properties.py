@@ -179,7 +179,19 @@ def moved(df, returns, vectors):
     assert sorted(df.group) == list(range(vectors.shape[1])) and (df.se >= 0).all() and df["mean"].between(-1, 1).all()
 
 
+def trials(df, returns, vectors):
+    """Scores are held to a full run in test_tuning."""
+    df = df.sort_values("place")
+    assert len(df) == 8 and df.rung.is_monotonic_decreasing and (df.rung == 2).sum() == 2 and (df.objective <= df["mean"] + 1e-9).all()
+
+
+def curve_of_sizes(df, returns, vectors):
+    df = df.sort_values("share")
+    assert df.rows.is_monotonic_increasing and len(df) == 5 and df.train.iloc[0] - df.test.iloc[0] > df.train.iloc[-1] - df.test.iloc[-1]
+
+
 CHECKS = {
+    "tuned_trials": trials, "learning_curve": curve_of_sizes,
     "boosting_losses": boosting, "boosting_metrics": parts, "permuted_importance": moved,
     "ensemble_members": members, "neighbour_information": information,
     "garch_covariance": covariance, "denoised_covariance": covariance, "pca_spectrum": spectrum, "onc_clusters": clusters, "component_loadings": loadings,

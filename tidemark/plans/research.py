@@ -22,6 +22,7 @@ from tidemark.operators import search as SE
 from tidemark.operators import simulation as SI
 from tidemark.operators import splits as SP
 from tidemark.operators import studies as ST
+from tidemark.operators import tuning as TU
 from tidemark.operators import windows as W
 from tidemark.plans.recursion import CONFIRMED
 from tidemark.sources import views as V
@@ -320,6 +321,21 @@ def permuted_importance(spark, sf_dir):
     return rnd(BO.permutation_importance(rows.where("part <> 'train'"), found.forest), ["group"], ["mean", "se"])
 
 
+def purged(spark, sf_dir) -> DataFrame:
+    rows = V.vectors(spark, sf_dir)
+    return TU.purged_paths(rows.withColumn("t", F.col("id")), 4, embargo=5)
+
+
+def tuned_trials(spark, sf_dir):
+    _, found = TU.halving(purged(spark, sf_dir), TU.grid({"depth": [1, 3], "trees": [5, 15], "rate": [0.05, 0.3]}), gap=0.1)
+    return rnd(found, ["trial", "params", "rung", "place"], ["objective", "mean", "sd", "overfit"])
+
+
+def learning_curve(spark, sf_dir):
+    found = TU.learning_curve(purged(spark, sf_dir), {"trees": 15, "rate": 0.1})
+    return rnd(found, ["share"], ["rows", "train", "train_sd", "test", "test_sd"])
+
+
 # regimes
 
 
@@ -632,6 +648,8 @@ QUERIES = {
     "boosting_losses": (boosting_losses, None),
     "boosting_metrics": (boosting_metrics, None),
     "permuted_importance": (permuted_importance, None),
+    "tuned_trials": (tuned_trials, None),
+    "learning_curve": (learning_curve, None),
     "learned_search": (learned, None),
     "grid_search": (grid_search, V.oracle(f"WITH src AS (SELECT symbol AS k, ts, open, close FROM v_bars), {replayed('src')} SELECT k AS symbol, param_id, params, {', '.join(r(n, n, 5) for n in SE.SCORES)} FROM scores", "v_bars")),
     "walk_forward": (walk_forward, V.oracle(f"""WITH th AS (SELECT *, ntile(3) OVER (PARTITION BY symbol ORDER BY ts) AS third FROM v_bars),
