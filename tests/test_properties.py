@@ -190,7 +190,24 @@ def curve_of_sizes(df, returns, vectors):
     assert df.rows.is_monotonic_increasing and len(df) == 5 and df.train.iloc[0] - df.test.iloc[0] > df.train.iloc[-1] - df.test.iloc[-1]
 
 
+def components(df, returns, vectors):
+    """Held to dense decompositions in test_spectra_and_reality."""
+    assert set(df.component) == {0, 1, 2} and (df.groupby("day").value.sum() <= 5 + 1e-6).all() and df.value.ge(-1e-9).all()
+
+
+def levelled(df, returns, vectors):
+    df = df.sort_values("place")
+    assert df.value.is_monotonic_decreasing and np.allclose(df.value, np.linalg.eigvalsh(np.corrcoef(vectors, rowvar=False))[::-1], atol=1e-5)
+    assert df[~df.signal].cleaned.nunique() == 1 and (df[df.signal].value > df.edge.iloc[0]).all() and df.cleaned.sum() == pytest.approx(vectors.shape[1], abs=1e-4)
+
+
+def luck(df, returns, vectors):
+    """Held to plain recomputation in test_spectra_and_reality."""
+    assert len(df) == 1 and df[["plain", "lower", "consistent", "upper"]].iloc[0].between(0, 1).all() and df.lower.iloc[0] <= df.upper.iloc[0]
+
+
 CHECKS = {
+    "rolling_spectrum": components, "noise_spectrum": levelled, "reality_check": luck,
     "tuned_trials": trials, "learning_curve": curve_of_sizes,
     "boosting_losses": boosting, "boosting_metrics": parts, "permuted_importance": moved,
     "ensemble_members": members, "neighbour_information": information,

@@ -15,11 +15,13 @@ from tidemark.operators import metrics as M
 from tidemark.operators import neighbours as NB
 from tidemark.operators import patterns as P
 from tidemark.operators import portfolio as PF
+from tidemark.operators import reality as RC
 from tidemark.operators import regimes as G
 from tidemark.operators import resample as R
 from tidemark.operators import risk as RK
 from tidemark.operators import search as SE
 from tidemark.operators import simulation as SI
+from tidemark.operators import spectra as SX
 from tidemark.operators import splits as SP
 from tidemark.operators import studies as ST
 from tidemark.operators import tuning as TU
@@ -336,6 +338,23 @@ def learning_curve(spark, sf_dir):
     return rnd(found, ["share"], ["rows", "train", "train_sd", "test", "test_sd"])
 
 
+def rolling_spectrum(spark, sf_dir):
+    found = SX.rolling_spectrum(daily_returns(spark, sf_dir), 60).withColumn("day", F.unix_timestamp(F.col("day").cast("timestamp")))
+    return rnd(found, ["day", "component"], ["value", "share"])
+
+
+def noise_spectrum(spark, sf_dir):
+    names, r = correlation_matrix(spark, sf_dir)
+    found = SX.noise_spectrum(r, vectors(spark, sf_dir).count())
+    frame = spark.createDataFrame(found, "place int, value double, signal boolean, cleaned double, q double, variance double, edge double")
+    return rnd(frame, ["place", "signal"], ["value", "cleaned", "q", "variance", "edge"])
+
+
+def reality_check(spark, sf_dir):
+    monthly = V.trades(spark, sf_dir).groupBy("strategy", F.date_trunc("month", "entry_time").alias("ts")).agg(F.avg("return_pct").alias("value"))
+    return RC.reality_check(monthly)
+
+
 # regimes
 
 
@@ -649,6 +668,9 @@ QUERIES = {
     "boosting_metrics": (boosting_metrics, None),
     "permuted_importance": (permuted_importance, None),
     "tuned_trials": (tuned_trials, None),
+    "rolling_spectrum": (rolling_spectrum, None),
+    "noise_spectrum": (noise_spectrum, None),
+    "reality_check": (reality_check, None),
     "learning_curve": (learning_curve, None),
     "learned_search": (learned, None),
     "grid_search": (grid_search, V.oracle(f"WITH src AS (SELECT symbol AS k, ts, open, close FROM v_bars), {replayed('src')} SELECT k AS symbol, param_id, params, {', '.join(r(n, n, 5) for n in SE.SCORES)} FROM scores", "v_bars")),
