@@ -206,7 +206,13 @@ def luck(df, returns, vectors):
     assert len(df) == 1 and df[["plain", "lower", "consistent", "upper"]].iloc[0].between(0, 1).all() and df.lower.iloc[0] <= df.upper.iloc[0]
 
 
+def matrix(df, returns, vectors):
+    """Held to pandas and to other operators in test_matrices."""
+    assert df.shape[1] == 2 + 28 + 11 + 3 and not df.isna().any().any() and df.bb_position_b.between(0, 1).all() and df.atr_adaptive_b.between(0, 1).all()
+
+
 CHECKS = {
+    "meta_label_matrix": matrix,
     "rolling_spectrum": components, "noise_spectrum": levelled, "reality_check": luck,
     "tuned_trials": trials, "learning_curve": curve_of_sizes,
     "boosting_losses": boosting, "boosting_metrics": parts, "permuted_importance": moved,

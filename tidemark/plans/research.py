@@ -11,6 +11,7 @@ from tidemark.operators import ensembles as EN
 from tidemark.operators import features as FT
 from tidemark.operators import information as I
 from tidemark.operators import learning as L
+from tidemark.operators import matrices as MX
 from tidemark.operators import metrics as M
 from tidemark.operators import neighbours as NB
 from tidemark.operators import patterns as P
@@ -355,6 +356,42 @@ def reality_check(spark, sf_dir):
     return RC.reality_check(monthly)
 
 
+# matrices
+
+REGIME_FRAMES = {"2h": 7200, "6h": 21600}
+VOLATILITY = [*(f"atr_{n}" for n in (5, 14, 21, 40)), "rv_20", "rv_40", "vov_20", "vov_40"]
+
+
+def meta_label_matrix(spark, sf_dir):
+    found = MX.meta_label_matrix(V.bars(spark, sf_dir), 0, 7200, 21600, suffixes=("b", "2h", "6h")).withColumn("ts", F.unix_timestamp("ts"))
+    return rnd(found, ["symbol", "ts"], [n for n in found.columns if n not in ("symbol", "ts", "close")])
+
+
+def regime_matrix(spark, sf_dir):
+    found = MX.regime_matrix(V.bars(spark, sf_dir), REGIME_FRAMES).withColumn("ts", F.unix_timestamp("ts"))
+    return rnd(found, ["symbol", "ts"], [f"{n}_{s}" for s in REGIME_FRAMES for n in VOLATILITY])
+
+
+def _frame_sql(suffix: str, seconds: int) -> str:
+    """A timeframe's volatility features as the table f_<suffix> of bucket starts ``b``, each of the bucket before."""
+
+    def over(n: int) -> str:
+        return f"(PARTITION BY symbol ORDER BY b ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+    atr = ", ".join(f"CASE WHEN count(*) OVER {over(n)} = {n} THEN avg(tr) OVER {over(n)} / close END AS atr_{n}" for n in (5, 14, 21, 40))
+    rv = ", ".join(f"CASE WHEN count(r) OVER {over(n)} = {n} THEN stddev_samp(r) OVER {over(n)} END AS rv_{n}" for n in (20, 40))
+    vov = ", ".join(f"CASE WHEN count(rv_{n}) OVER {over(n)} = {n} THEN stddev_samp(rv_{n}) OVER {over(n)} END AS vov_{n}" for n in (20, 40))
+    return f"""c_{suffix} AS (SELECT symbol, time_bucket(INTERVAL {seconds} SECOND, ts, TIMESTAMP '1970-01-01') AS b, max(high) AS high, min(low) AS low, last(close ORDER BY ts) AS close FROM v_bars GROUP BY 1, 2),
+ r_{suffix} AS (SELECT *, ln(close / lag(close) OVER o) AS r, coalesce(greatest(high - low, abs(high - lag(close) OVER o), abs(low - lag(close) OVER o)), high - low) AS tr FROM c_{suffix} WINDOW o AS (PARTITION BY symbol ORDER BY b)),
+ v_{suffix} AS (SELECT *, {atr}, {rv} FROM r_{suffix}), w_{suffix} AS (SELECT *, {vov} FROM v_{suffix}),
+ f_{suffix} AS (SELECT symbol, b, {', '.join(f'lag({n}) OVER (PARTITION BY symbol ORDER BY b) AS {n}_{suffix}' for n in VOLATILITY)} FROM w_{suffix})"""
+
+
+REGIME_SQL = f"""WITH {', '.join(_frame_sql(s, n) for s, n in REGIME_FRAMES.items())}
+ SELECT v_bars.symbol, CAST(epoch(ts) AS BIGINT) AS ts, {', '.join(r(f'coalesce({n}_{s}, 0)', f'{n}_{s}') for s in REGIME_FRAMES for n in VOLATILITY)} FROM v_bars
+ {' '.join(f"JOIN f_{s} ON f_{s}.symbol = v_bars.symbol AND f_{s}.b = time_bucket(INTERVAL {n} SECOND, ts, TIMESTAMP '1970-01-01')" for s, n in REGIME_FRAMES.items())}"""
+
+
 # regimes
 
 
@@ -668,6 +705,8 @@ QUERIES = {
     "boosting_metrics": (boosting_metrics, None),
     "permuted_importance": (permuted_importance, None),
     "tuned_trials": (tuned_trials, None),
+    "meta_label_matrix": (meta_label_matrix, None),
+    "regime_matrix": (regime_matrix, V.oracle(REGIME_SQL, "v_bars")),
     "rolling_spectrum": (rolling_spectrum, None),
     "noise_spectrum": (noise_spectrum, None),
     "reality_check": (reality_check, None),
