@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 from datetime import datetime
 from pathlib import Path
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import learning, regimes
-from tidemark.operators.resample import resample_ohlc
+from tidemark.operators.resample import mark_news, resample_ohlc
 
 PRICES = ("open", "high", "low", "close", "volume")
 
@@ -61,6 +62,48 @@ def load_security(
     return out, out.where(F.col("ts") < at), out.where(F.col("ts") >= at)
 
 
+@dataclass(frozen=True)
+class Instrument:
+    """What a broker says of a security: local time zone, costs, currencies of its news, and whether its intraday bars begin at half past nine."""
+
+    timezone: str = "UTC"
+    spread: float = 0.0
+    commission: tuple[float, float] = (0.0, 0.0)
+    currencies: tuple[str, ...] = ("USD",)
+    half_past: bool = False
+
+
+#: Hours of the rules whose bars begin at half past nine, where the instrument's do.
+HALF_PAST_RULES = {"1 hour": 1, "2 hours": 2, "4 hours": 4}
+
+
+def load_instrument(
+    bars: DataFrame, instrument: Instrument, rule: str = "1 day", use_offset: bool = True, split_time: str | datetime | None = None, indicator=None,
+    session_hours: tuple[int, int] | None = None, news: DataFrame | None = None, news_bars: int = 1, news_impacts: tuple[str, ...] = ("red", "High Impact Expected"),
+) -> tuple[DataFrame, DataFrame, DataFrame, float, tuple[float, float]]:
+    """(all, train, out-of-sample, spread, commission) of one instrument's bars, as ``Manifest.table`` or ``read_bars`` give them.
+
+    Bars are resampled from midnight UTC, or where the instrument and the rule ask for it from 09:30 of local time; times stay in UTC.
+    Indicators see all hours, the session's hours (both included) are local. With ``news``, bars near events are marked.
+    """
+    local = F.from_utc_timestamp("ts", instrument.timezone)
+    if use_offset and instrument.half_past and rule in HALF_PAST_RULES:
+        start = (9 * 60 + 30) % (60 * HALF_PAST_RULES[rule])
+        shifted = resample_ohlc(bars.withColumn("ts", local), rule, f"{start} minutes")
+        out = shifted.withColumn("ts", F.to_utc_timestamp("ts", instrument.timezone))
+    else:
+        out = resample_ohlc(bars, rule)
+    if indicator is not None:
+        out = out.transform(indicator)
+    if session_hours:
+        out = out.where(F.hour(local).between(*session_hours))
+    if news is not None:
+        out = mark_news(out, news, news_bars, instrument.timezone, instrument.currencies, news_impacts)
+    at = F.lit(split_time).cast("timestamp")
+    parts = (out, out.limit(0)) if split_time is None else (out.where(F.col("ts") < at), out.where(F.col("ts") >= at))
+    return (out, *parts, instrument.spread, instrument.commission)
+
+
 def read_strategy_files(spark: SparkSession, folder: str, start_date: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Long (strategy, ts, equity) and trades tables out of ``*_equity.csv`` and ``*_trades.csv``."""
 
