@@ -9,12 +9,13 @@ its placeholder will expand to. The template marks each turn as
 
 and no text can contain those marks: inside texts a backslash is doubled, and a backslash is put behind
 the first character of ``<s>``, ``</s>``, ``[INST]``, ``[/INST]`` and of ``<|``, which opens placeholders.
-``unescape`` undoes exactly that. The loss mask is a list of spans of the formatted text, one for the
+Texts that follow each other are one run and are escaped as one, so that no mark comes about where two parts
+meet. ``unescape`` undoes exactly that, and ``read_parts`` gives the runs of text and the attachments back. The loss mask is a list of spans of the formatted text, one for the
 content of each assistant turn.
 
 Turns of a conversation are ordered by turn (nulls first), then role, then text; repeated rows are
 repeated turns. Null roles and texts are empty; rows with a null conversation form one conversation.
-Parts of unknown kind are written as attachments of no tokens. Empty tables give empty results; other
+Parts of unknown kind are written as attachments of no tokens. Texts of any length are written whole. Empty tables give empty results; other
 columns are ignored. A conversation is one row of the result, so its turns meet in one task by nature;
 no other rows do.
 """
@@ -59,12 +60,23 @@ class Flattener:
     tokens_per_second: float = 12.5
     tokens_per_page: int = 800
     attachments: list[dict] = field(default_factory=list)
+    _texts: list[str] = field(default_factory=list)
+
+    def content(self, parts: list[dict]) -> str:
+        """All parts of a turn; a run of texts is written where the next attachment, or the end, comes."""
+        written = [self.visit(p) for p in parts]
+        return "".join([*written, self._run()])
 
     def visit(self, part: dict) -> str:
         return getattr(self, f"visit_{part.get('kind') or 'text'}", self.visit_unknown)(part)
 
     def visit_text(self, part: dict) -> str:
-        return escape(part.get("text") or "")
+        self._texts.append(part.get("text") or "")
+        return ""
+
+    def _run(self) -> str:
+        run, self._texts = escape("".join(self._texts)), []
+        return run
 
     def visit_image(self, part: dict) -> str:
         across, down = (math.ceil((part.get(k) or 0) / self.tile) for k in ("width", "height"))
@@ -82,7 +94,7 @@ class Flattener:
     def _attach(self, kind: str, part: dict, tokens: int) -> str:
         number = len(self.attachments)
         self.attachments.append({"number": number, "kind": kind, "ref": part.get("ref"), "tokens": tokens})
-        return f"<|{kind}:{number}|>"
+        return f"{self._run()}<|{kind}:{number}|>"
 
 
 def format_turns(turns: list[dict], **sizes) -> tuple[str, list[dict], list[dict]]:
@@ -93,7 +105,7 @@ def format_turns(turns: list[dict], **sizes) -> tuple[str, list[dict], list[dict
     at = 0
     for turn in turns:
         head = f"<s>[INST]{escape(turn['role'] or '')}[/INST]"
-        content = "".join(flat.visit(p) for p in turn["parts"] or [])
+        content = flat.content(turn["parts"] or [])
         out += [head, content, "</s>"]
         at += len(head)
         if turn["role"] == LEARNED_ROLE:
@@ -107,6 +119,19 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2])) for m in TURN.finditer(formatted)]
 
 
+def read_parts(formatted: str) -> list[tuple[str, list[tuple[str, str | int]]]]:
+    """(role, parts) of each turn: ``("text", run)`` for runs of texts that are not empty, ``(kind, number)`` for attachments."""
+    turns = []
+    for m in TURN.finditer(formatted):
+        parts, at = [], 0
+        for hole in PLACEHOLDER.finditer(m[2]):
+            parts += [("text", unescape(m[2][at : hole.start()])), (hole[1], int(hole[2]))]
+            at = hole.end()
+        parts.append(("text", unescape(m[2][at:])))
+        turns.append((unescape(m[1]), [p for p in parts if p != ("text", "")]))
+    return turns
+
+
 FORMATTED = (
     "conv_id long, formatted string, loss array<struct<start:int,end:int>>, "
     "attachments array<struct<number:int,kind:string,ref:string,tokens:int>>, expanded_tokens long"
