@@ -3,8 +3,8 @@ evaluates the expressions behind the tags.
 
 Texts are lower-cased (A-Z only) and cut into words of ``[0-9a-z]`` and everything beyond ASCII. The
 words, joined by single spaces, run once through one automaton of all phrases and of the identifier
-tag ``spdx license identifier``. Where the tag occurs, the original text behind it is parsed as an
-expression of identifiers, ``AND``, ``OR``, ``WITH`` and parentheses.
+tag ``spdx license identifier``. Where the automaton finds the tag, the original line behind it is parsed as an
+expression of identifiers, ``AND``, ``OR`` (a slash as well), ``WITH`` and parentheses, in one pass.
 
 Null texts are empty: no words, no places, empty labels, score 0. Texts of any length are read whole.
 Repeated rows give repeated results, an empty table none; other columns are ignored.
@@ -67,8 +67,8 @@ NOTICES = {
     "zope public license": "zpl",
 }
 TAG = "spdx license identifier"
-#: What stands behind the tag's words, however they are joined.
-TAGGED = re.compile(r"spdx[^0-9a-z\r\n]+license[^0-9a-z\r\n]+identifier[ \t]*[:=]?[ \t]*([^\r\n]*)", re.IGNORECASE | re.ASCII)
+#: What may stand between the tag and its expression.
+LEAD = re.compile(r"[ \t]*[:=]?[ \t]*")
 #: Openness of a label, 0 to 1: what the score of a document is made of. Its keys are the families of identifiers.
 OPENNESS = {
     "0bsd": 1.0, "afl": 0.9, "agpl": 0.1, "apache": 1.0, "apsl": 0.6, "artistic": 0.8, "blueoak": 1.0, "bsd": 1.0, "bsl": 1.0, "busl": 0.05,
@@ -78,45 +78,51 @@ OPENNESS = {
     "osl": 0.3, "php": 0.9, "postgresql": 1.0, "proprietary": 0.0, "python": 1.0, "ruby": 0.9, "sleepycat": 0.3, "sspl": 0.05, "unlicense": 1.0, "upl": 1.0,
     "vim": 0.8, "w3c": 0.9, "wtfpl": 1.0, "x11": 1.0, "zlib": 1.0, "zpl": 0.9,
 }
+LONGEST = max(map(len, [*OPENNESS, "unlicensed"]))
 #: Exceptions behind ``WITH`` that let code be linked or generated without the licence's own terms.
 LINKING = ("autoconf-exception", "bison-exception", "bootloader-exception", "classpath-exception", "ecos-exception", "font-exception",
            "gcc-exception", "linux-syscall-note", "llvm-exception", "ocaml-lgpl-linking-exception", "qt-lgpl-exception", "wxwindows-exception")
 #: The label of an identifier of no known family.
 OTHER = "other"
-TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
+TOKEN = re.compile(r"[()/]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 #: Binding strength of the operators, the tightest last.
 BINDING = {"or": 1, "and": 2, "with": 3}
 
 
-@cache
 def family(identifier: str) -> str:
     """The label of an identifier, by its longest known beginning: ``Apache-2.0`` -> ``apache``."""
-    low = identifier.lower()
-    names = (name for name in OPENNESS if low == name or low.startswith((f"{name}-", f"{name}.", f"{name}+")))
-    return max(names, key=len, default="proprietary" if low in ("none", "unlicensed") else OTHER)
+    low = identifier[: LONGEST + 1].lower()
+    for n in range(min(len(low), LONGEST), 0, -1):
+        if low[:n] in OPENNESS and low[n : n + 1] in ("", "-", ".", "+"):
+            return low[:n]
+    return "proprietary" if low in ("none", "unlicensed") else OTHER
 
 
 def parse(expression: str) -> list[str] | None:
     """The longest leading part of ``expression`` that is an expression, in postfix; else None.
 
-    Shunting-yard: operands go out, operators wait on a stack until a looser one comes.
+    Shunting-yard: operands go out, operators wait on a stack until a looser one comes. What is out stays out, so the
+    longest part is remembered as its length and the few operators that waited then, one of each strength at most.
     """
     out: list[str] = []
     stack: list[str] = []
-    best: list[str] | None = None
-    operand_next = True
-    for token in TOKEN.findall(expression):
-        low = token.lower()
+    best: tuple[int, list[str]] | None = None
+    operand_next, depth = True, 0
+    for match in TOKEN.finditer(expression):
+        token = match.group()
+        low = "or" if token == "/" else token.lower()
         if token == "(":
             if not operand_next:
                 break
             stack.append(token)
+            depth += 1
         elif token == ")":
-            if operand_next or "(" not in stack:
+            if operand_next or not depth:
                 break
             while stack[-1] != "(":
                 out.append(stack.pop())
             stack.pop()
+            depth -= 1
         elif low in BINDING:
             if operand_next:
                 break
@@ -129,9 +135,9 @@ def parse(expression: str) -> list[str] | None:
                 break
             out.append(token)
             operand_next = False
-        if not operand_next and "(" not in stack:
-            best = [*out, *reversed(stack)]
-    return best
+        if not operand_next and not depth:
+            best = len(out), stack[::-1]
+    return out[: best[0]] + best[1] if best else None
 
 
 def evaluate(postfix: list[str]) -> tuple[set[str], float]:
@@ -164,7 +170,9 @@ def automaton() -> ahocorasick.Automaton:
 
 def scan(text: str) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score) of one text."""
-    words = WORDS.findall(text.encode("utf-8", "surrogatepass").lower())
+    original = text.encode("utf-8", "surrogatepass")
+    data = original.lower()
+    words = WORDS.findall(data)
     joined = b" " + b" ".join(words) + b" " if words else b""
     # one letter per byte, so that places in it are places in the bytes
     ends = [(end, phrase) for end, phrase in automaton().iter(joined.decode("latin-1"))]
@@ -179,8 +187,14 @@ def scan(text: str) -> tuple:
                 labels.add(NOTICES[phrase])
         scores = [OPENNESS[x] for x in labels]
         if any(phrase == TAG for _, phrase in ends):
-            for m in TAGGED.finditer(text):
-                if postfix := parse(m.group(1)):
+            after = [m.end() for m in WORDS.finditer(data)]
+            for end, phrase in ends:
+                if phrase != TAG:
+                    continue
+                # the place of the tag's last word in the text, and the rest of its line
+                start = after[int(np.searchsorted(spaces, end)) - 1]
+                line = re.compile(rb"[^\r\n]*").match(original, start).group().decode("utf-8", "surrogatepass")
+                if postfix := parse(line[LEAD.match(line).end() :]):
                     found, score = evaluate(postfix)
                     labels |= found
                     scores.append(score)
