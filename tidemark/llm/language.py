@@ -210,7 +210,7 @@ def train(
         good.append(familiarity(float(some[trigrams[i]].mean()), n))
         if len(languages) > 1:
             bad.append(familiarity(float(others[counted[i][2]][trigrams[i]].mean()), n))
-        hashes, n = subwords(shuffled(kept[i][:2000], rng))
+        hashes, n = subwords(shuffled(kept[i], rng))
         if n:
             bad.append(familiarity(float(some[buckets(hashes[-n:], len(some))].mean()), n))
     least = least_familiarity(np.array(good), np.array(bad), rejected_share)

@@ -211,7 +211,9 @@ def fit_documents(docs: DataFrame, labels: DataFrame, rows: int = 6000) -> Chain
     chosen = {r.doc_id: r.toxic for r in bounded_sample(given, rows, "toxicity")}
     # the chosen ids and flags are bounded by ``rows``: small by construction
     ids = docs.sparkSession.createDataFrame(sorted(chosen.items()), "doc_id long, toxic long")
-    joined = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    joined = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id")
+    # of several texts under one id the least, so that the model does not depend on the order of rows
+    joined = joined.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [" ".join(sorted(words_in(t))) for t in texts_of(batch)]
