@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pytest
 
 from tests.conftest import DATA
 from tidemark.operators import information as I
+from tidemark.operators import portfolio as PF
 from tidemark.operators import risk as RK
+from tidemark.operators import spectra
 from tidemark.plans import registry
 from tidemark.plans.research import daily_returns
 
@@ -211,7 +214,39 @@ def matrix(df, returns, vectors):
     assert df.shape[1] == 2 + 28 + 11 + 3 and not df.isna().any().any() and df.bb_position_b.between(0, 1).all() and df.atr_adaptive_b.between(0, 1).all()
 
 
+def denoised(df, returns, vectors):
+    """All three methods from sums, against those of the rows themselves."""
+    cov, k = np.cov(vectors, rowvar=False), vectors.shape[1]
+    want = {"auto": spectra.denoise(cov, vectors), "shrinkage": RK.ledoit_wolf(vectors)[0], "nonlinear": RK.nonlinear_shrinkage(vectors)}
+    for method, own in df.groupby("method"):
+        assert np.allclose(own.sort_values(["i", "j"])["cov"].to_numpy().reshape(k, k), want[method], atol=1e-7), method
+
+
+def diagnosed(df, returns, vectors):
+    x = returns.fillna(0.0).to_numpy()
+    for how, own in df.groupby("how"):
+        want = PF.diagnose(x, how).set_index("strategy")
+        got = own.set_index("strategy").loc[want.index]
+        for n in ("share", "mean", "sd", "correlation"):
+            assert np.allclose(got[n], want[n], atol=1e-6), (how, n)
+
+
+def perturbed(df, returns, vectors):
+    base = duckdb.sql(f"select p_partkey as param_id, p_size as size0, p_brand as brand0, p_retailprice / 100 as score0 from '{SF}/part.parquet'").df()
+    both = df.merge(base, on="param_id")
+    assert len(both) == 3 * len(base) and both.p_size.between(1, 50).all() and ((both.p_size - both.size0).abs() <= 5).all() and both.p_size.ne(both.size0).mean() > 0.7
+    assert ((both.score - both.score0).abs() <= 10 + 1e-9).all() and both.p_brand.isin([f"Brand#{k}" for k in range(1, 26)]).all()
+    assert 0.05 < both.p_brand.ne(both.brand0).mean() < 0.15
+
+
+def selected(df, returns, vectors):
+    whole, inside = df[df.feature.isna()], df[df.feature.notna()]
+    assert whole.cluster.is_unique and inside.feature.is_unique and set(inside.cluster) <= set(whole[whole["mean"] > 0].cluster)
+    assert (inside[inside.kept]["mean"] > 0).all() and not whole.kept.any() and inside.gain.between(0, 1).all()
+
+
 CHECKS = {
+    "denoised_vectors": denoised, "ensemble_diagnosis": diagnosed, "perturbed_trials": perturbed, "selection_report": selected,
     "meta_label_matrix": matrix,
     "rolling_spectrum": components, "noise_spectrum": levelled, "reality_check": luck,
     "tuned_trials": trials, "learning_curve": curve_of_sizes,
@@ -234,3 +269,14 @@ def test_properties(spark, returns, vectors, name):
 def test_covariances_agree_with_numpy(spark, returns):
     names, m = RK.matrix(RK.sample_covariance(daily_returns(spark, SF)))
     assert names == list(returns.columns) and np.allclose(m, np.cov(returns.fillna(0.0).to_numpy(), rowvar=False))
+
+
+def test_ewma_starts(spark, returns):
+    """Both starts over the table are those of the matrix of rows."""
+    for start in ("sample", "diagonal"):
+        _, m = RK.matrix(RK.ewma_covariance(daily_returns(spark, SF), start=start))
+        assert np.allclose(m, RK.ewma_matrix(returns.to_numpy(), start=start), atol=1e-12)
+    few = np.array([[0.01, -0.02], [0.03, 0.01], [0.0, 0.02]])
+    assert not np.allclose(RK.ewma_matrix(few), RK.ewma_matrix(few, start="diagonal"))
+    with pytest.raises(ValueError):
+        RK.ewma_covariance(daily_returns(spark, SF), start="other")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import risk
 from tidemark.operators.learning import Forest, leaf_values
 from tidemark.sources.tables import written
 
@@ -304,6 +305,25 @@ def clustered_importance(rows: DataFrame, forest: Forest, clusters: list[list[in
     return whole.unionByName(inside.select(of[0].cast("int").alias("cluster"), of[1].cast("int").alias("feature"), "mean", "se"))
 
 
+def selection_report(rows: DataFrame, width: int, repeats: int = 10, top: int | None = None, critical: float = 1.96, block_rows: int = 50_000, seed: int = 7, **options) -> tuple[Boosted, DataFrame]:
+    """The whole of a selection in one call: clusters by correlation, a model on ``train``, importance of clusters and of the features inside, and what stays.
+
+    (the model, (cluster, feature, mean, se, silhouette, gain, kept)): features of chosen clusters stay where their importance on the other
+    parts lies above zero beyond its error. The correlation is one matrix of products per task.
+    """
+    filled = rows.where((c("part") == "train") & c("x").isNotNull()).select(F.transform(F.slice("x", 1, width), lambda v: F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0))).alias("x")).where(F.size("x") == width)
+    r = np.eye(width)
+    for cell in risk.vector_correlation(filled, "x").collect():
+        r[cell.i, cell.j] = 0.0 if cell.corr is None else cell.corr
+    clusters = risk.onc(r)
+    model = boost(rows, width, **options)
+    table = clustered_importance(rows.where(c("part") != "train"), model.forest, clusters.members, repeats, top, block_rows, seed)
+    told = [(int(i), float(s), float(model.gain[i])) for i, _, s in risk.feature_silhouettes(r, clusters)]
+    facts = rows.sparkSession.createDataFrame(told, "feature int, silhouette double, gain double")
+    kept = c("feature").isNotNull() & (c("mean") - critical * c("se") > 0)
+    return model, table.join(F.broadcast(facts), "feature", "left").select("cluster", "feature", "mean", "se", "silhouette", "gain", kept.alias("kept"))
+
+
 def importance_shift(train: DataFrame, dev: DataFrame, drop: float = 0.3) -> DataFrame:
     """(group, train_mean, dev_mean, train_rank, dev_rank, dropped, rank_correlation) of two tables of importances.
 

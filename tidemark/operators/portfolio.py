@@ -159,9 +159,13 @@ def sub_strategies(cov: np.ndarray) -> dict[str, np.ndarray]:
 
 def blend(x: np.ndarray, subs: np.ndarray, how: str) -> np.ndarray:
     """Shares of sub-strategies (rows of weights), equally, by least variance or by hierarchy of their returns."""
+    return equal(len(subs)) if how == "equal" else blend_of(np.cov(x @ subs.T, rowvar=False), how)
+
+
+def blend_of(cov: np.ndarray, how: str) -> np.ndarray:
+    """The same from the covariance of the sub-strategies' returns."""
     if how == "equal":
-        return equal(len(subs))
-    cov = np.cov(x @ subs.T, rowvar=False)
+        return equal(len(cov))
     shrunk = 0.9 * cov + 0.1 * np.diag(np.diag(cov))
     return minimum_variance(shrunk) if how == "minvar" else hierarchical_risk_parity(shrunk)
 
@@ -182,6 +186,16 @@ def diagnose(x: np.ndarray, how: str = "equal", cov: np.ndarray | None = None) -
     return pd.DataFrame({"strategy": list(found), "share": blend(x, subs, how), "mean": series.mean(axis=0), "sd": series.std(axis=0, ddof=1), "correlation": others})
 
 
+def diagnose_moments(mean: np.ndarray, cov: np.ndarray, how: str = "equal") -> list[tuple[str, float, float, float, float]]:
+    """``diagnose`` from the assets' means and covariance, which are aggregates: (strategy, share, mean, sd, correlation)."""
+    found = sub_strategies(cov)
+    subs = np.array(list(found.values()))
+    own = subs @ cov @ subs.T
+    sd = np.sqrt(np.diag(own))
+    others = ((own / np.outer(sd, sd)).sum(axis=0) - 1) / max(len(subs) - 1, 1)
+    return [(n, float(a), float(m), float(s), float(r)) for n, a, m, s, r in zip(found, blend_of(own, how), subs @ mean, sd, others, strict=True)]
+
+
 #: Strategies from the rows of returns and a covariance of their columns, by whatever risk model.
 STRATEGIES: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
     "equal": lambda x, cov: equal(x.shape[1]),

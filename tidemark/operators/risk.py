@@ -33,10 +33,13 @@ def clean_returns(returns: DataFrame, least: int = 20, share: float = 0.5) -> Da
 
 
 def pairs(returns: DataFrame, complete: bool) -> DataFrame:
-    """(asset_i, asset_j, x, y) of equal times; where not ``complete`` only times both have."""
-    a = returns.select("ts", c("asset").alias("asset_i"), c("ret").alias("x"))
-    b = returns.select("ts", c("asset").alias("asset_j"), c("ret").alias("y"))
-    joined = a.join(b, "ts")
+    """(ts, asset_i, asset_j, x, y) of equal times; where not ``complete`` only times both have.
+
+    The assets of a time are one row, and their pairs are made inside it: rows move once.
+    """
+    whole = returns.groupBy("ts").agg(F.collect_list(F.struct("asset", "ret")).alias("all"))
+    both = whole.select("ts", "all", F.explode("all").alias("a")).select("ts", "a", F.explode("all").alias("b"))
+    joined = both.select("ts", c("a.asset").alias("asset_i"), c("b.asset").alias("asset_j"), c("a.ret").alias("x"), c("b.ret").alias("y"))
     return joined if complete else joined.where("x is not null and y is not null")
 
 
@@ -56,18 +59,24 @@ def pairwise_covariance(returns: DataFrame) -> DataFrame:
     return pairs(returns, False).groupBy("asset_i", "asset_j").agg(F.covar_samp("x", "y").alias("cov"))
 
 
-def ewma_covariance(returns: DataFrame, decay: float = 0.94) -> DataFrame:
-    """Exponentially weighted: (1 - d) d^(m - 1 - i) on demeaned rows but the last, and d^m of the sample matrix."""
+def ewma_covariance(returns: DataFrame, decay: float = 0.94, start: str = "sample") -> DataFrame:
+    """Exponentially weighted: (1 - d) d^(m - 1 - i) on demeaned rows but the last, and d^m of the sample matrix.
+
+    With ``start`` ``diagonal``, only the sample's variances begin.
+    """
+    if start not in ("sample", "diagonal"):
+        raise ValueError(f"unknown start {start}")
     times = returns.select("ts").distinct().withColumn("i", F.row_number().over(Window.orderBy("ts")) - 1)
     n = times.count()
     means = returns.groupBy("asset").agg((F.sum("ret") / n).alias("mu"))
     full = times.crossJoin(means.select("asset", "mu")).join(returns, ["ts", "asset"], "left")
-    x = full.select("i", "asset", (F.coalesce("ret", F.lit(0.0)) - c("mu")).alias("r"))
-    a, b = x.select("i", c("asset").alias("asset_i"), c("r").alias("p")), x.select("i", c("asset").alias("asset_j"), c("r").alias("q"))
+    x = full.select(c("i").alias("ts"), "asset", (F.coalesce("ret", F.lit(0.0)) - c("mu")).alias("ret"))
+    products = pairs(x, True).select(c("ts").alias("i"), "asset_i", "asset_j", c("x").alias("p"), c("y").alias("q"))
     m = n - 1
     weight = F.when(c("i") < m, (1 - decay) * F.pow(F.lit(decay), m - 1 - c("i"))).otherwise(0.0)
-    g = a.join(b, "i").groupBy("asset_i", "asset_j").agg(F.sum(weight * c("p") * c("q")).alias("w"), (F.sum(c("p") * c("q")) / n).alias("s"))
-    cov = c("w") + decay**m * c("s")
+    g = products.groupBy("asset_i", "asset_j").agg(F.sum(weight * c("p") * c("q")).alias("w"), (F.sum(c("p") * c("q")) / n).alias("s"))
+    begun = F.when((c("asset_i") == c("asset_j")) | F.lit(start == "sample"), c("s")).otherwise(0.0)
+    cov = c("w") + decay**m * begun
     return g.select("asset_i", "asset_j", F.when(c("asset_i") == c("asset_j"), F.greatest(cov, F.lit(1e-12))).otherwise(cov).alias("cov"))
 
 
@@ -190,11 +199,15 @@ def marchenko_pastur(cov: np.ndarray, rows: int) -> np.ndarray:
 def ledoit_wolf(x: np.ndarray) -> tuple[np.ndarray, float]:
     """Linear shrinkage towards a multiple of the identity, with the optimal intensity."""
     x = x - x.mean(axis=0)
-    n, p = x.shape
-    s = x.T @ x / n
+    return shrunk(x.T @ x, (x**2).T @ (x**2), len(x))
+
+
+def shrunk(products: np.ndarray, squares: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """The same from the sums of products of centred rows, and of their squares."""
+    p, s = len(products), products / n
     mu = np.trace(s) / p
     delta = ((s - mu * np.eye(p)) ** 2).sum() / p
-    beta = min((((x**2).T @ (x**2)) / n - s**2).sum() / (p * n), delta)
+    beta = min((squares / n - s**2).sum() / (p * n), delta)
     k = beta / delta if delta > 0 else 0.0
     return (1 - k) * s + k * mu * np.eye(p), float(k)
 
@@ -219,13 +232,15 @@ def pairwise_matrix(x: np.ndarray) -> np.ndarray:
     return np.where(n > 1, cov, 0.0)
 
 
-def ewma_matrix(x: np.ndarray, decay: float = 0.94) -> np.ndarray:
+def ewma_matrix(x: np.ndarray, decay: float = 0.94, start: str = "sample") -> np.ndarray:
     """``ewma_covariance`` on a matrix of rows in time."""
     z = np.nan_to_num(x)
     z = z - z.mean(axis=0)
     n = len(z)
     weight = np.append((1 - decay) * decay ** np.arange(n - 2, -1, -1.0), 0.0)
-    cov = (z * weight[:, None]).T @ z + decay ** (n - 1) * (z.T @ z) / n
+    begun = z.T @ z / n
+    begun = np.diag(np.diag(begun)) if start == "diagonal" else begun
+    cov = (z * weight[:, None]).T @ z + decay ** (n - 1) * begun
     np.fill_diagonal(cov, np.maximum(np.diag(cov), 1e-12))
     return cov
 
@@ -517,8 +532,13 @@ def rolling_top_eigenvalue(returns: DataFrame, n: int) -> DataFrame:
 def nonlinear_shrinkage(x: np.ndarray) -> np.ndarray:
     """Analytical nonlinear shrinkage of the sample eigenvalues (Ledoit and Wolf, 2020), for more rows than columns."""
     x = x - x.mean(axis=0)
-    n, p = len(x) - 1, x.shape[1]
-    values, vectors = np.linalg.eigh(x.T @ x / n)
+    return nonlinear_of(x.T @ x, len(x))
+
+
+def nonlinear_of(products: np.ndarray, rows: int) -> np.ndarray:
+    """The same from the sums of products of centred rows."""
+    n, p = rows - 1, len(products)
+    values, vectors = np.linalg.eigh(products / n)
     values = np.maximum(values, 1e-18)
     width = n ** (-1 / 3)
     h = width * values[None, :]

@@ -265,6 +265,30 @@ def perturb(params: DataFrame, names: list[str], copies: int, radius: float = 0.
     return out.withColumns({n: c(n) * (1 + radius * (2 * u(n) - 1)) for n in names})
 
 
+def perturb_within(params: DataFrame, space: dict[str, tuple[float, float] | list], copies: int, radius: float = 0.1, flip: float = 0.1, seed: int = 7) -> DataFrame:
+    """Copies of parameter sets moved inside their space: (low, high) for numbers, a list for categories.
+
+    Whole numbers move by up to ``radius`` of their span, one at least; others by a part of it; both stay within their bounds. A
+    category is drawn anew with the chance ``flip``. The draws come from ``param_id``, the copy and the name.
+    """
+    out = params.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    draw = lambda *key: F.pmod(F.xxhash64("param_id", "copy", F.lit(seed), *map(F.lit, key)), F.lit(1_000_003)) / 1_000_003.0
+    for name, spec in space.items():
+        if isinstance(spec, tuple):
+            low, high = spec
+            if params.schema[name].dataType.typeName() in ("integer", "long", "short", "byte"):
+                step = max(1, round(max(high - low, 1) * radius))
+                moved = c(name) + (F.floor(draw(name) * (2 * step + 1)) - step)
+            else:
+                moved = c(name) + (high - low) * radius * (2 * draw(name) - 1)
+            moved = F.greatest(F.least(moved, F.lit(high)), F.lit(low)).cast(params.schema[name].dataType)
+        else:
+            other = F.element_at(F.array(*map(F.lit, spec)), (F.floor(draw(name, "which") * len(spec)) + 1).cast("int"))
+            moved = F.when(draw(name) < flip, other).otherwise(c(name))
+        out = out.withColumn(name, F.when(c(name).isNotNull(), moved))
+    return out
+
+
 def adf(x: np.ndarray, most: int = 10) -> float:
     """Augmented Dickey-Fuller statistic with a constant, the number of lags by Akaike's criterion."""
     dx = np.diff(x)

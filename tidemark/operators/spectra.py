@@ -139,6 +139,29 @@ def denoise(cov: np.ndarray, x: np.ndarray, method: str = "auto") -> np.ndarray:
     return fitted_denoising(cov, len(x)) if used == "fitted" else risk.nonlinear_shrinkage(x)
 
 
+def denoised_vectors(vectors: DataFrame, column: str, method: str = "auto") -> tuple[str, np.ndarray]:
+    """(the method used, the covariance of the places of a vector column without noise).
+
+    Only matrices of sums meet the driver: one of products, and where it shrinks linearly one of products of squares.
+    """
+    n, sums, _, _ = risk.vector_ends(vectors, column)
+    mean = sums / max(n, 1)
+    products = dense(risk.gram(vectors, column, lambda x: x - mean), len(mean))
+    used = choose(method, len(mean), n)
+    if used == "shrinkage":
+        return used, risk.shrunk(products, dense(risk.gram(vectors, column, lambda x: (x - mean) ** 2), len(mean)), n)[0]
+    if used == "nonlinear":
+        return used, risk.nonlinear_of(products, n)
+    return used, fitted_denoising(products / (n - 1), n)
+
+
+def dense(cells: DataFrame, width: int) -> np.ndarray:
+    out = np.zeros((width, width))
+    for r in cells.collect():
+        out[r.i, r.j] = r.s
+    return out
+
+
 def noise_spectrum(correlation: np.ndarray, rows: int) -> list[tuple[int, float, bool, float, float, float, float]]:
     """(place, value, signal, cleaned, q, variance, edge) of the eigenvalues, the largest first."""
     values = np.maximum(np.linalg.eigvalsh(correlation), 0)[::-1]

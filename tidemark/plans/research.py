@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -356,6 +357,37 @@ def reality_check(spark, sf_dir):
     return RC.reality_check(monthly)
 
 
+def denoised_vectors(spark, sf_dir):
+    rows = []
+    for method in ("auto", "shrinkage", "nonlinear"):
+        used, cov = SX.denoised_vectors(vectors(spark, sf_dir), "embedding", method)
+        rows += [(method, used, i, j, float(cov[i, j])) for i in range(len(cov)) for j in range(len(cov))]
+    return rnd(spark.createDataFrame(rows, "method string, used string, i int, j int, cov double"), ["method", "used", "i", "j"], ["cov"], 9)
+
+
+def ensemble_diagnosis(spark, sf_dir):
+    daily = daily_returns(spark, sf_dir)
+    times = daily.select("ts").distinct().count()
+    names, cov = RK.matrix(RK.sample_covariance(daily))
+    sums = {r.asset: r.s for r in daily.groupBy("asset").agg(F.sum("ret").alias("s")).collect()}
+    mean = np.array([sums[n] / times for n in names])
+    rows = [(how, *r) for how in ("equal", "minvar", "hrp") for r in PF.diagnose_moments(mean, cov, how)]
+    return rnd(spark.createDataFrame(rows, "how string, strategy string, share double, mean double, sd double, correlation double"), ["how", "strategy"], ["share", "mean", "sd", "correlation"], 9)
+
+
+def perturbed_trials(spark, sf_dir):
+    trials = V.trials(spark, sf_dir).select(F.col("number").alias("param_id"), "p_size", "p_brand", "score")
+    brands = [f"Brand#{i}" for i in range(1, 26)]
+    return SE.perturb_within(trials, {"p_size": (1, 50), "score": (0.0, 100.0), "p_brand": brands}, 3)
+
+
+def selection_report(spark, sf_dir):
+    rows = V.vectors(spark, sf_dir)
+    width = rows.agg(F.max(F.size("x"))).first()[0]
+    _, found = BO.selection_report(rows, width, repeats=5, trees=8, patience=5)
+    return rnd(found, ["cluster", "feature", "kept"], ["mean", "se", "silhouette", "gain"])
+
+
 # matrices
 
 REGIME_FRAMES = {"2h": 7200, "6h": 21600}
@@ -705,6 +737,10 @@ QUERIES = {
     "boosting_metrics": (boosting_metrics, None),
     "permuted_importance": (permuted_importance, None),
     "tuned_trials": (tuned_trials, None),
+    "denoised_vectors": (denoised_vectors, None),
+    "ensemble_diagnosis": (ensemble_diagnosis, None),
+    "perturbed_trials": (perturbed_trials, None),
+    "selection_report": (selection_report, None),
     "meta_label_matrix": (meta_label_matrix, None),
     "regime_matrix": (regime_matrix, V.oracle(REGIME_SQL, "v_bars")),
     "rolling_spectrum": (rolling_spectrum, None),
