@@ -99,14 +99,19 @@ def mark_news(
     local = lambda c: F.to_date(F.from_utc_timestamp(c, timezone))
     days = wanted.where(holiday).select(local("ts").alias("day")).distinct()
     events = wanted.where(F.lower("impact").isin(low(impacts)) & ~holiday).select("ts").distinct()
-    symbols = bars.select("symbol").distinct()
-    per_symbol = events.crossJoin(symbols)  # an event concerns every symbol
-    snapped = asof_forward(per_symbol, bars.select("symbol", "ts", F.col("ts").alias("bar")), "symbol", ["bar"])
-    hit = snapped.where("bar is not null").select("symbol", F.col("bar").alias("ts")).distinct().withColumn("_hit", F.lit(1))
+    # an event concerns every symbol: a bar is hit where more events have come by its time than by the bar before it
+    dated = events.groupBy(F.to_date("ts").alias("_date")).agg(F.collect_list("ts").alias("_times"), F.count("*").alias("_n"))
+    dates = bars.select(F.to_date("ts").alias("_date")).union(dated.select("_date")).distinct()
+    earlier = Window.orderBy("_date").rowsBetween(Window.unboundedPreceding, -1)  # a calendar: one row per date
+    calendar = dates.join(dated, "_date", "left").select("_date", "_times", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    come = F.col("_before") + F.coalesce(F.array_size(F.filter("_times", lambda t: t <= F.col("ts"))), F.lit(0))
+    counted = bars.withColumn("_date", F.to_date("ts")).join(calendar, "_date").withColumn("_come", come).drop("_date", "_times", "_before")
+    by_time = Window.partitionBy("symbol").orderBy("ts")
+    hit = F.when(F.col("_come") > F.coalesce(F.lag("_come").over(by_time), F.lit(0)), 1)
     near = Window.partitionBy("symbol").orderBy("ts").rowsBetween(-n_bars, n_bars)
-    marked = bars.withColumn("day", local("ts")).join(hit, ["symbol", "ts"], "left").join(days.withColumn("_day", F.lit(1)), "day", "left")
+    marked = counted.withColumns({"_hit": hit, "day": local("ts")}).join(days.withColumn("_day", F.lit(1)), "day", "left")
     flag = F.greatest(F.coalesce("_hit", F.lit(0)), F.coalesce("_day", F.lit(0)))
-    return marked.withColumn("_flag", flag).withColumn("news", F.max("_flag").over(near)).drop("_flag", "_hit", "_day", "day")
+    return marked.withColumn("_flag", flag).withColumn("news", F.max("_flag").over(near)).drop("_flag", "_hit", "_day", "day", "_come")
 
 
 def global_month(ts: str | Column, first_year: Column) -> Column:
