@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +51,25 @@ def test_nearest_distances():
             np.testing.assert_array_equal(neighbours.nearest_distances(p, p if own else q, 3, own), want)
 
 
+@pytest.mark.parametrize("chunk,candidates", [(neighbours.CHUNK, neighbours.CANDIDATES), (64, 7)])
+def test_nearest_inside(monkeypatch, chunk, candidates):
+    """Strips and windows against all distances: even, tied, repeated, clustered, dependent and heavy-tailed points."""
+    monkeypatch.setattr(neighbours, "CHUNK", chunk)
+    monkeypatch.setattr(neighbours, "CANDIDATES", candidates)
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 4, 37, 700):
+        x, z = rng.standard_normal((2, n))
+        tiny = 1e-10 * rng.random((2, n))
+        spreads = [(x, z), (x, x + 1e-3 * z), (np.round(x, 1), np.round(z, 1)), (np.where(z < -0.4, 0.0, x) + tiny[0], rng.random(n)), rng.standard_cauchy((2, n)), rng.integers(0, 3, (2, n)) + tiny]
+        for a, b in [*spreads, (np.zeros(n), np.zeros(n))]:
+            p = np.column_stack((a, b))
+            d = np.abs(p[:, None, :] - p[None, :, :]).max(axis=2)
+            np.fill_diagonal(d, np.inf)
+            for k in (1, 3, 5):
+                want = np.sort(np.concatenate([d, np.full((n, k), np.inf)], axis=1), axis=1)[:, :k]
+                np.testing.assert_array_equal(neighbours.nearest_inside(p, k), want)
+
+
 def table(spark, columns):
     rows = [(i, name, None if v != v else float(v)) for name, x in columns.items() for i, v in enumerate(x)]
     return spark.createDataFrame(rows, "id long, feature string, value double").repartition(5)
@@ -83,6 +104,36 @@ def test_small_and_empty_tables(spark):
     assert neighbours.neighbour_matrix(features.limit(0)).count() == 0
 
 
+def test_repeated_ids_in_packed_pairs_and_in_cells(spark):
+    """Every value of an id meets every one of the other feature, whether pairs are packed or cut into cells."""
+    rng = np.random.default_rng(6)
+    rows = [(int(i), f, float(v)) for f in ("a", "b", "c") for i, v in zip(rng.integers(0, 150, 200), rng.standard_normal(200), strict=True)]
+    features = spark.createDataFrame(rows, "id long, feature string, value double").repartition(5)
+    got, cells = ({(r.i, r.j): (r.n, r.mi) for r in neighbours.neighbour_information(features, cell_rows=n).collect()} for n in (10_000, 20))
+    scaled = neighbours._scaled(features).toPandas()
+    for (i, j), (n, mi) in got.items():
+        both = scaled[scaled.feature == i].merge(scaled[scaled.feature == j], on="id")
+        assert n == len(both) == cells[i, j][0]
+        # equal values of one id are equal in their feature's column, too
+        assert mi == pytest.approx(brute(both.v_x.to_numpy(), both.v_y.to_numpy()), abs=1e-9), (i, j)
+    assert set(got) == {("a", "b"), ("a", "c"), ("b", "c")}
+
+
+def test_pairs_are_packed_and_their_time_grows_with_the_rows(spark):
+    """No row per point of a pair is shuffled, and many pairs of some thousand rows end in good time."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((6000, 24))
+    features = spark.createDataFrame(pd.DataFrame({"id": np.repeat(np.arange(6000), 24), "feature": np.tile(np.arange(24), 6000), "value": x.ravel()})).repartition(4)
+    scaled = neighbours.written(neighbours._scaled(features))
+    wide = scaled.groupBy("id").agg(F.collect_list(F.struct("feature", "v")).alias("all")).select("all.feature", "all.v")
+    packed = wide.mapInArrow(neighbours._packed, "i long, j long, x binary, y binary")
+    n, points = packed.agg(F.count("*"), F.sum(F.octet_length("x") / 8)).first()
+    assert points == 276 * 6000 and n <= 276 * 4
+    began = time.perf_counter()
+    assert {r.n for r in neighbours.neighbour_information(features).collect()} == {6000}
+    assert time.perf_counter() - began < 60
+
+
 def test_matrix(spark):
     """Known information of normal pairs, and the normalised form from its definition."""
     rng = np.random.default_rng(3)

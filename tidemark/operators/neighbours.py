@@ -4,8 +4,12 @@ Of a pair of features, a row's reach is its distance to the k-th nearest other r
 the information is psi(k) + psi(n) less the mean of psi over the numbers of rows that lie nearer than the reach in
 either feature, the row itself included. Nothing is sampled:
 
-* Every feature is cut into slabs of about equal numbers of rows, and the plane of a pair into the cells of its slabs.
-  A cell is one group; inside, tiles of neighbouring points are compared, nearest tiles first.
+* Up to ``cell_rows`` rows, a pair is one cell and one group. Map tasks pack the values of every pair, so that what is shuffled
+  is a few long rows for each pair and not a row for each point.
+* Beyond, every feature is cut into slabs of about equal numbers of rows, and the plane of a pair into the cells of its slabs.
+  A cell is one group.
+* Inside a cell points lie in strips, and a window of each strip bounds the reach; the square of that size is then searched
+  whole where it goes beyond the window.
 * The reach inside the own cell bounds the true one. Rows whose square of that size touches other cells visit them, and
   the least distances of all visits are the true ones. A row whose cell has too few others takes its bound from the least
   block of 2, 4, 8 ... cells a side that has enough.
@@ -19,11 +23,12 @@ neighbours of each other. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +39,17 @@ c = F.col
 Number = TypeVar("Number", Column, np.ndarray)
 
 #: Rows of a cell that a pair of independent features has, the points of a tile, and the most slabs of a feature.
-CELL_ROWS = 2000
+CELL_ROWS = 1 << 20
 TILE = 64
 MOST_SLABS = 4096
 NOISE = 1e-10
+#: Points on either side that a window has in a strip, points looked at together, and candidates held at once.
+WINDOW = 3
+CHUNK = 1 << 14
+CANDIDATES = 1 << 20
+#: Values of a packed row, and bytes of a batch of them.
+PACKED_ROWS = 1 << 17
+PACKED_BYTES = 8 << 20
 
 
 def digamma(n: Number, log: Callable[[Number], Number]) -> Number:
@@ -86,6 +98,104 @@ def nearest_distances(points: np.ndarray, queries: np.ndarray, k: int, own: bool
     return out
 
 
+def _ranges(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of these lengths, one after the other: the run of each place, and the place in its run."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def nearest_inside(points: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` least distances from every point to the others, ascending, infinite where there are too few.
+
+    Points lie in strips of the first coordinate, sorted by the second. The windows around a point's place in its own and both
+    adjoining strips bound its reach; points whose square goes beyond them are compared with all that lies in it.
+    """
+    n = len(points)
+    if n < 2:
+        return np.full((n, k), np.inf)
+    m, gap = max(1, round(0.7 * math.sqrt(n))), max(WINDOW, k) + 1
+    order = np.argsort(points[:, 0], kind="stable")
+    strip = np.arange(n) * m // n
+    order = order[np.lexsort((points[order, 1], strip))]
+    x, y = np.ascontiguousarray(points[order, 0]), np.ascontiguousarray(points[order, 1])
+    start = np.searchsorted(strip, np.arange(m + 1))
+    low, high = np.minimum.reduceat(x, start[:-1]), np.maximum.reduceat(x, start[:-1])
+    by_y = np.argsort(y, kind="stable")
+    rank = np.empty(n, dtype=np.int64)
+    rank[by_y] = np.arange(n)
+    sorted_y, keys = y[by_y], strip * n + rank
+    # between strips, and for one more strip at both ends, places that lie infinitely far away
+    padded = np.full((2, n + (m + 3) * gap), np.inf)
+    own = np.arange(n) + (strip + 2) * gap
+    padded[0, own], padded[1, own] = x, y
+    far_x, far_y = padded
+    before, after = np.concatenate(([-np.inf, -np.inf], high)), np.concatenate((low, [np.inf, np.inf]))
+    out = np.empty((n, k))
+    for begin in range(0, n, CHUNK):
+        part = slice(begin, min(begin + CHUNK, n))
+        px, py, s, best = x[part], y[part], strip[part], [np.full(part.stop - begin, np.inf) for _ in range(k)]
+        ends = []
+        for side in (0, -1, 1):
+            at = own[part] if not side else np.searchsorted(keys, (s + side) * n + rank[part]) + (s + side + 2) * gap
+            last = gap if not side else gap - 1
+            for step in range(1 - gap, last):
+                if side or step:
+                    d = np.maximum(np.abs(far_x[at + step] - px), np.abs(far_y[at + step] - py))
+                    for level in range(k):
+                        best[level], d = np.minimum(best[level], d), np.maximum(best[level], d)
+            ends += [at - gap, at + last]
+        reach = best[-1]
+        settled = (px - before[s] >= reach) & (after[s + 2] - px >= reach)
+        for at in ends:
+            settled &= np.abs(far_y[at] - py) >= reach
+        out[part] = np.column_stack(best)
+        rest = np.flatnonzero(~settled)
+        if len(rest):
+            _search(out, rest + begin, k, x, y, low, high, sorted_y, keys)
+    result = np.empty((n, k))
+    result[order] = out
+    return result
+
+
+def _search(out: np.ndarray, rest: np.ndarray, k: int, x: np.ndarray, y: np.ndarray, low: np.ndarray, high: np.ndarray, sorted_y: np.ndarray, keys: np.ndarray) -> None:
+    """Puts the ``k`` least distances of the points ``rest`` into ``out``, from all points in the squares of the bounds there."""
+    n, reach = len(x), out[rest, -1]
+    # sums may round to the wrong side, so squares are a little wider
+    wide = reach + 1e-12 * (np.abs(x[rest]) + np.abs(y[rest]) + reach)
+    first, end = np.searchsorted(high, x[rest] - wide), np.searchsorted(low, x[rest] + wide, side="right")
+    bottom, top = np.searchsorted(sorted_y, y[rest] - wide), np.searchsorted(sorted_y, y[rest] + wide, side="right")
+    counts = np.maximum(end - first, 0)
+    runs = np.cumsum(counts)
+    done = 0
+    while done < len(rest):
+        upto = max(done + 1, int(np.searchsorted(runs, (runs[done - 1] if done else 0) + CANDIDATES, side="right")))
+        point, place = _ranges(counts[done:upto])
+        point += done
+        key = (first[point] + place) * n
+        begin, stop = np.searchsorted(keys, key + bottom[point]), np.searchsorted(keys, key + top[point])
+        some, held = 0, np.cumsum(stop - begin)
+        # whole points at a time
+        last = np.searchsorted(point, np.arange(done, upto), side="right")
+        at = done
+        while at < upto:
+            base = held[some - 1] if some else 0
+            at_end = max(at + 1, done + int(np.searchsorted(held[np.maximum(last - 1, 0)], base + CANDIDATES, side="right")))
+            piece = slice(some, int(last[at_end - done - 1]))
+            run, step = _ranges((stop - begin)[piece])
+            who, other = point[piece][run], begin[piece][run] + step
+            me = rest[who]
+            d = np.maximum(np.abs(x[other] - x[me]), np.abs(y[other] - y[me]))
+            near = (d <= reach[who]) & (other != me)
+            who, d = who[near], d[near]
+            d = d[np.lexsort((d, who))]
+            number = np.bincount(who - at, minlength=at_end - at)
+            where = (np.cumsum(number) - number)[:, None] + np.arange(k)
+            there = np.arange(k) < number[:, None]
+            out[rest[at:at_end]] = np.where(there, d[np.minimum(where, max(len(d) - 1, 0))] if len(d) else np.inf, np.inf)
+            at, some = at_end, piece.stop
+        done = upto
+
+
 def nearer(values: np.ndarray, at: np.ndarray, reach: np.ndarray) -> np.ndarray:
     """How many of ``values`` lie nearer than ``reach`` to each of ``at``, by the rounded differences.
 
@@ -142,7 +252,7 @@ def _reaches(points: DataFrame, slabs: DataFrame, bounds: DataFrame, k: int, kin
 
     def inside(table: pa.Table) -> pa.Table:
         p = _array(table, "x", "y")
-        return table.append_column("best", _lists(nearest_distances(p, p, k, own=True)))
+        return table.append_column("best", _lists(nearest_inside(p, k)))
 
     own = written(points.groupBy(*key).applyInArrow(inside, f"{kinds}, x double, y double, sx int, sy int, best array<double>"))
     reach = F.element_at("best", k)
@@ -214,18 +324,80 @@ def _nearer_rows(reaches: DataFrame, bounds: DataFrame, kinds: str) -> DataFrame
     )
 
 
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(i, j, x, y): the values of all pairs of features as bytes, from rows of lists (feature, v); a row's features meet in it."""
+    for batch in batches:
+        lists = batch.column("feature")
+        encoded = pc.dictionary_encode(lists.flatten())
+        names = encoded.dictionary
+        ranked = pc.sort_indices(names).to_numpy()
+        rank = np.empty(len(names), dtype=np.int64)
+        rank[ranked] = np.arange(len(names))
+        feature, row = rank[encoded.indices.to_numpy()], np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+        order = np.lexsort((row, feature))
+        ends = np.searchsorted(feature[order], np.arange(len(names) + 1))
+        v, row = batch.column("v").flatten().to_numpy()[order], row[order]
+        parts = [slice(a, b) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        times = [np.bincount(row[p], minlength=len(lists)) for p in parts]
+        once = [bool((t == 1).all()) for t in times]
+        out: list[tuple] = []
+        held = 0
+        for a, one in enumerate(parts):
+            for b in range(a + 1, len(parts)):
+                x, y = v[one], v[parts[b]]
+                if not (once[a] and once[b]):
+                    # every value of a row meets every one of the other feature
+                    number = times[b][row[one]]
+                    owner, place = _ranges(number)
+                    x, y = x[owner], y[(np.cumsum(times[b]) - times[b])[row[one]][owner] + place]
+                for at in range(0, len(x), PACKED_ROWS):
+                    out.append((ranked[a], ranked[b], x[at : at + PACKED_ROWS].tobytes(), y[at : at + PACKED_ROWS].tobytes()))
+                    held += 2 * len(out[-1][2])
+                if held > PACKED_BYTES:
+                    yield _pair_batch(names, out)
+                    out, held = [], 0
+        if out:
+            yield _pair_batch(names, out)
+
+
+def _pair_batch(names: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    i, j, x, y = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([names.take(pa.array(i)), names.take(pa.array(j)), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["i", "j", "x", "y"])
+
+
+def _whole_pairs(scaled: DataFrame, k: int, kind: str) -> DataFrame:
+    """(i, j, points, psi) of pairs that are one cell each: sums over both features, for pairs with more than ``k`` rows."""
+    rows = scaled.groupBy("id").agg(F.collect_list(F.struct("feature", "v")).alias("all")).select("all.feature", "all.v")
+
+    def inside(table: pa.Table) -> pa.Table:
+        x, y = (np.concatenate([np.frombuffer(b, dtype=np.float64) for b in table.column(n).to_pylist()]) for n in ("x", "y"))
+        pair = table.slice(0, 1 if len(x) > k else 0).select(["i", "j"])
+        psi = 0.0
+        if len(x) > k:
+            reach = nearest_inside(np.column_stack((x, y)), k)[:, -1]
+            psi = sum(float(digamma(np.maximum(nearer(v, v, reach), 1).astype(np.float64), np.log).sum()) for v in (x, y))
+        return pair.append_column("points", pa.array([2.0 * len(x)][: len(pair)], pa.float64())).append_column("psi", pa.array([psi][: len(pair)], pa.float64()))
+
+    pairs = rows.mapInArrow(_packed, f"i {kind}, j {kind}, x binary, y binary")
+    return pairs.groupBy("i", "j").applyInArrow(inside, f"i {kind}, j {kind}, points double, psi double")
+
+
 def neighbour_information(features: DataFrame, k: int = 3, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(i, j, n, mi): nearest-neighbour mutual information in nats of all pairs of features of (id, feature, value), ids not null."""
     scaled = written(_scaled(features.where("id is not null")))
     most = scaled.groupBy("feature").count().agg(F.max("count")).first()[0] or 0
     slabs = min(MOST_SLABS, max(1, math.ceil(math.sqrt(most / cell_rows))))
-    shares = [s / slabs for s in range(1, slabs)]
-    cuts = F.array_distinct(F.percentile_approx("v", shares, 10 * slabs)) if shares else F.array().cast("array<double>")
-    bounds = scaled.groupBy("feature").agg(F.count("*").alias("_n"), cuts.alias("bounds")).drop("_n")
-    placed = scaled.join(bounds, "feature").select("id", "feature", "v", _slab(c("bounds"), c("v")).alias("slab"))
-    kind = {f: features.schema[f].dataType.simpleString() for f in ("feature", "id")}
-    kinds = f"i {kind['feature']}, j {kind['feature']}, id {kind['id']}"
-    parts = _nearer_rows(_reaches(_pairs(placed), placed, bounds, k, kinds), bounds, kinds)
+    kind = features.schema["feature"].dataType.simpleString()
+    if slabs == 1:
+        parts = _whole_pairs(scaled, k, kind)
+    else:
+        shares = [s / slabs for s in range(1, slabs)]
+        bounds = scaled.groupBy("feature").agg(F.array_distinct(F.percentile_approx("v", shares, 10 * slabs)).alias("bounds"))
+        placed = scaled.join(bounds, "feature").select("id", "feature", "v", _slab(c("bounds"), c("v")).alias("slab"))
+        # an id that repeats has several points in a pair, which are told apart by a number of their own
+        points = _pairs(placed).withColumn("id", F.monotonically_increasing_id())
+        kinds = f"i {kind}, j {kind}, id long"
+        parts = _nearer_rows(_reaches(points, placed, bounds, k, kinds), bounds, kinds)
     total = parts.groupBy("i", "j").agg((F.sum("points") / 2).cast("long").alias("n"), (F.sum("psi") / F.sum("points") * 2).alias("mean"))
     psi_k = float(digamma(np.array([float(k)]), np.log)[0])
     return total.select("i", "j", "n", F.greatest(F.lit(psi_k) + digamma(c("n").cast("double"), F.log) - c("mean"), F.lit(0.0)).alias("mi"))
