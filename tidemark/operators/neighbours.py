@@ -44,9 +44,9 @@ TILE = 64
 MOST_SLABS = 4096
 NOISE = 1e-10
 #: Points on either side that a window has in a strip, points looked at together, and candidates held at once.
-WINDOW = 3
+WINDOW = 8
 CHUNK = 1 << 14
-CANDIDATES = 1 << 20
+CANDIDATES = 1 << 16
 #: Values of a packed row, and bytes of a batch of them.
 PACKED_ROWS = 1 << 17
 PACKED_BYTES = 8 << 20
