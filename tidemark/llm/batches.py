@@ -39,13 +39,20 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 
 def by_piece(
-    work: Callable[[pa.RecordBatch], pa.RecordBatch], *columns: str, limit: int = PIECE_BYTES
+    work: Callable[[pa.RecordBatch], pa.RecordBatch], *columns: str, limit: int = PIECE_BYTES, done: Callable[[], None] | None = None
 ) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A ``mapInArrow`` function that applies ``work`` to bounded pieces."""
+    """A ``mapInArrow`` function that applies ``work`` to bounded pieces.
+
+    ``done`` ends each partition: workers live on for later stages, and what ``work`` keeps between pieces would stay in them.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch, *columns, limit=limit):
-                yield work(piece)
+        try:
+            for batch in batches:
+                for piece in pieces(batch, *columns, limit=limit):
+                    yield work(piece)
+        finally:
+            if done:
+                done()
 
     return run

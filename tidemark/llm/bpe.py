@@ -30,7 +30,7 @@ from tidemark.llm.batches import by_piece, texts_of
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHORT = 40
 _NONE = np.int32(1 << 30)
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -255,8 +255,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, digests: bool = False) ->
             [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(first), pa.array(second)], names
         )
 
+    def forget() -> None:
+        definition.value.codec().cache.clear()
+
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else SCHEMA
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(by_piece(work, "text"), schema)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(by_piece(work, "text", done=forget), schema)
 
 
 class _Definition:

@@ -91,7 +91,7 @@ def canonical(text: str) -> tuple[list[str], list[str]]:
 
 #: What a raw token is, in the low bits of its hash: a mark, number, unit symbol or word; capitalised; a unit's name.
 _MARK, _NUMBER, _SYMBOL, _WORD, _CAPITAL, _UNIT_WORD, _BITS = 0, 1, 2, 3, 4, 8, 15
-_CACHE_TOKENS = 300_000
+_CACHE_TOKENS = 100_000
 
 
 class _Tokens(dict):
@@ -114,6 +114,10 @@ class _Tokens(dict):
 _tokens = _Tokens()
 
 
+def _forget_tokens() -> None:
+    _tokens.clear()
+
+
 def template_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the template tokens of all texts, whether each is a slot, and their number per text.
 
@@ -282,7 +286,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column("item_id"), batch.column("text")], ["item", "item_id", "item_text"])
 
     rows = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    keyed = rows.mapInArrow(by_piece(work, "text"), "item binary, item_id long, item_text string").where("item is not null")
+    keyed = rows.mapInArrow(by_piece(work, "text", done=_forget_tokens), "item binary, item_id long, item_text string").where("item is not null")
     return cut(keyed.groupBy("item").agg(F.min("item_id").alias("item_id"), F.min("item_text").alias("item_text")), narrow=True)
 
 
@@ -305,7 +309,7 @@ def _windows(items: DataFrame, width: int) -> DataFrame:
             [pa.array(w, pa.int32()), pa.array(h, pa.int64()), batch.column("item").take(pa.array(o)), pa.array(p, pa.int32())], ["w", "hash", "item", "place"]
         )
 
-    return cut(items.mapInArrow(by_piece(work, "item_text"), "w int, hash long, item binary, place int"))
+    return cut(items.mapInArrow(by_piece(work, "item_text", done=_forget_tokens), "w int, hash long, item binary, place int"))
 
 
 def _filter(windows: DataFrame, n: int) -> np.ndarray:
@@ -360,7 +364,7 @@ def _passing(docs: DataFrame, windows: DataFrame, n: int) -> DataFrame:
             ["content", "text", "hash", "at"],
         )
 
-    passed = docs.select(_content(), "text").mapInArrow(by_piece(work, "text", limit=1 << 20), "content binary, text string, hash array<long>, at array<int>")
+    passed = docs.select(_content(), "text").mapInArrow(by_piece(work, "text", limit=1 << 20, done=_forget_tokens), "content binary, text string, hash array<long>, at array<int>")
     return cut(passed.groupBy("content").agg(*(F.first(c).alias(c) for c in ("text", "hash", "at"))))
 
 
@@ -387,7 +391,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: f
             [batch.column("content").take(rows), batch.column("item_id").take(rows), pa.array([shares[i] for i in keep], pa.float64())], ["content", "item_id", "share"]
         )
 
-    found = both.select("content", "text", "item_id", "item_text", "hits").mapInArrow(by_piece(work, "text"), "content binary, item_id long, share double")
+    found = both.select("content", "text", "item_id", "item_text", "hits").mapInArrow(by_piece(work, "text", done=_forget_tokens), "content binary, item_id long, share double")
     ids = F.array_sort(F.collect_set("item_id"))
     nameless = F.max(F.col("item_id").isNull().cast("long"))
     return cut(found.groupBy("content").agg(ids.alias("items"), (F.size(ids) + nameless).alias("n_items"), F.max("share").alias("coverage")), narrow=True)

@@ -12,7 +12,7 @@ WORD = re.compile(r"\w+")
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 100_000
 
 
 class _WordHashes(dict):
@@ -28,6 +28,11 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+def forget_words() -> None:
+    """Empties the cache of this worker."""
+    _hashes.clear()
+
+
 def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
 

@@ -261,4 +261,4 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array([not shared.value.predict(t)[2] for t in texts_of(batch)], pa.bool_()))
 
-    return docs.mapInArrow(by_piece(work, "text"), docs.schema)
+    return docs.mapInArrow(by_piece(work, "text", limit=1 << 19), docs.schema)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.batches import by_piece, pieces, texts_of
 from tidemark.llm.components import connected_components
-from tidemark.llm.hashing import seeds, unique_per_text, windows, word_hashes, words_of
+from tidemark.llm.hashing import forget_words, seeds, unique_per_text, windows, word_hashes, words_of
 from tidemark.llm.storage import cut
 
 WIDTH = 5
@@ -48,6 +48,8 @@ RECALL = 0.9995
 #: Representatives, and bytes of their sets, in a block of a bucket that is too large for one task.
 BLOCK = 1024
 BLOCK_BYTES = 2 << 20
+#: Bytes of text whose shingles a worker makes at once.
+TEXT_BYTES = 1 << 19
 #: Bins of the similarities from the threshold to one.
 BINS = 20
 
@@ -125,7 +127,7 @@ def _signed(docs: DataFrame, width: int, values: int) -> DataFrame:
         )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _content(), "text")
-    return rows.mapInArrow(by_piece(work, "text"), "doc_id long, content binary, set_key binary, sig binary, size long")
+    return rows.mapInArrow(by_piece(work, "text", limit=TEXT_BYTES, done=forget_words), "doc_id long, content binary, set_key binary, sig binary, size long")
 
 
 def similarities(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -269,7 +271,7 @@ def _sets(docs: DataFrame, reps: DataFrame, forest: DataFrame, width: int) -> Da
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "copies", "sig")), pa.array(each, pa.binary())], ["rep", "copies", "sig", "set"])
 
     joined = texts.join(wanted.hint("merge"), "content").select("rep", "copies", "sig", "text")
-    return cut(joined.mapInArrow(by_piece(work, "text"), "rep long, copies long, sig binary, set binary"))
+    return cut(joined.mapInArrow(by_piece(work, "text", limit=TEXT_BYTES, done=forget_words), "rep long, copies long, sig binary, set binary"))
 
 
 def _round(forest: DataFrame, sets: DataFrame, seen: DataFrame | None, threshold: float, trees: int, depth: int, before: int | None, block: int) -> tuple[DataFrame, DataFrame]:
